@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -173,3 +174,15 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again, so that later steps read only the columns they need.
+    The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.parquet(path)

@@ -1,11 +1,16 @@
 """The queries of this subpackage and their DuckDB forms, by name."""
 
-from . import exact_dedup, mixing, sharding
+from . import chat, exact_dedup, line_rules, mixing, packing, sharding, token_counts, toxicity
 
 _MODULES = {
     "op1_exact_dedup": exact_dedup,
     "op3_mixing": mixing,
+    "op4_line_rules": line_rules,
+    "op5_chat": chat,
+    "op6_toxicity": toxicity,
     "op7_sharding": sharding,
+    "op8_token_counts": token_counts,
+    "op9_packing": packing,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
