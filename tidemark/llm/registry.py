@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB forms, by name."""
 
-from . import chat, exact_dedup, line_rules, mixing, packing, sharding, token_counts, toxicity
+from . import chat, exact_dedup, line_rules, mixing, near_dedup, packing, sharding, token_counts, toxicity
 
 _MODULES = {
     "op1_exact_dedup": exact_dedup,
+    "op2_near_dedup": near_dedup,
     "op3_mixing": mixing,
     "op4_line_rules": line_rules,
     "op5_chat": chat,
