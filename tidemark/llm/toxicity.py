@@ -25,11 +25,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import mix, names_free, row_ranges, strings, table, uniform
 
-SIZES = (4, 5)
+SIZES = (4, 6, 8)
 #: Most labelled rows of each label that the fit uses.
 POSITIVES, NEGATIVES = 2000, 3000
 #: Features of the final model, at most, and documents of the sample that a feature needs.
-FEATURES, LEAST = 20_000, 3
+FEATURES, LEAST = 5_000, 3
 FOLDS = 5
 CHUNK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,9 +91,9 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _descend(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, n_cols: int, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adam on the entries (rows, cols), column c scaled by scale[c]."""
+    """Logistic regression by full-batch Adam on the entries (rows, cols), column c scaled by scale[c]; both labels weigh alike."""
     n = len(y)
-    weight = 1.0 / n
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     w, b = np.zeros(n_cols), 0.0
     m, v, mb, vb = np.zeros(n_cols), np.zeros(n_cols), 0.0, 0.0
     value = scale[cols]
@@ -110,33 +110,41 @@ def _descend(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarra
     return w * scale, b
 
 
-def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, least: int = LEAST, l2: float = 1e-5, steps: int = 80) -> tuple[np.ndarray, np.ndarray, float]:
+def _entries(features: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and place in names of each feature of a document that is among names."""
+    rows, cols = [], []
+    for i, f in enumerate(features):
+        at = np.searchsorted(names, f)
+        at[at == len(names)] = 0
+        at = at[names[at] == f] if len(names) else at[:0]
+        rows.append(np.full(len(at), i, np.int32))
+        cols.append(at.astype(np.int32))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, least: int = LEAST, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights and the bias."""
     y = np.asarray(labels, np.float64)
     none = (np.zeros(0, np.uint32), np.zeros(0))
     if not len(y) or y.min() == y.max():
         return *none, float(np.clip(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)), -20, 20)) if len(y) else 0.0
-    rows = np.repeat(np.arange(len(y)), [len(f) for f in features])
-    flat = np.concatenate(features)
-    del features
-    names, cols = np.unique(flat, return_inverse=True)
-    del flat
+    names, df = np.unique(np.concatenate(features), return_counts=True)
+    names, df = names[df >= least], df[df >= least]
     n1, n0 = y.sum(), len(y) - y.sum()
-    df1 = np.bincount(cols, weights=y[rows], minlength=len(names))
-    df = np.bincount(cols, minlength=len(names))
+    found, n = np.unique(np.concatenate([f for f, one in zip(features, y, strict=True) if one]), return_counts=True)
+    there = np.isin(found, names)
+    df1 = np.zeros(len(names))
+    df1[np.searchsorted(names, found[there])] = n[there]
     ratio = np.log(((df1 + 1) / (n1 + 2)) / ((df - df1 + 1) / (n0 + 2)))
-    # Those that tell the labels apart most, by ratio and by how often they occur in either.
-    strength = np.abs(ratio) * np.sqrt(df1 / n1 + (df - df1) / n0) * (df >= least)
+    # Those that tell the labels apart most, by ratio and by how often they occur in either; after a fit, by weight.
+    strength, weights, bias = np.abs(ratio) * np.sqrt(df1 / n1 + (df - df1) / n0), np.zeros(0), 0.0
     for keep in (most * 4, most):
-        chosen = np.argsort(-strength, kind="stable")[: min(keep, int((strength > 0).sum()))]
-        chosen.sort()
-        place = np.full(len(names), -1)
-        place[chosen] = np.arange(len(chosen))
-        there = place[cols] >= 0
-        weights, bias = _descend(rows[there], place[cols[there]], ratio[chosen], y, len(chosen), l2, steps)
-        strength = np.zeros(len(names))
-        strength[chosen] = np.abs(weights) * np.sqrt(df[chosen])
-    return names[chosen], weights, float(bias)
+        chosen = np.sort(np.argsort(-strength, kind="stable")[:keep])
+        chosen = chosen[strength[chosen] > 0]
+        names, df, ratio = names[chosen], df[chosen], ratio[chosen]
+        weights, bias = _descend(*_entries(features, names), ratio, y, len(names), l2, steps)
+        strength = np.abs(weights) * np.sqrt(df)
+    return names, weights, float(bias)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, positives: int, negatives: int) -> DataFrame:
