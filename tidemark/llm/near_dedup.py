@@ -9,8 +9,8 @@ of coordinates are joined, and candidates are checked exactly.
 
 Texts with equal words are one node before anything is joined, so groups of copies never meet in a band. Within a bucket
 of a band every node is first compared with one leader (the node's most frequent one, then its other ones), links are
-merged to components, and only nodes of a bucket whose components still differ are compared with each other: no
-bucket emits its pairs wholesale, and no candidate link between different texts is left untested.
+merged to components, and only buckets whose nodes still differ in component are compared throughout, exactly and in
+blocks that emit nothing but links: no bucket emits its pairs, and no candidate between different texts is left untested.
 
 Defined results: null text has no words; all texts without words are one class; a class's id is its smallest doc_id, null
 ids last; repeated rows share their class, and one of them is kept; an empty table gives no rows; further
@@ -35,6 +35,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND = 20, 5
 COORDINATES = BANDS * BAND
 CHUNK = 1 << 20
+#: Nodes of a bucket that are compared at once with as many others, and columns of the matrices for it.
+BLOCK, COLUMNS = 256, 4096
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -182,6 +184,50 @@ def links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(least), "a long, b long"))
 
 
+def _links_of_block(least: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """The pairs of a cell of blocks that are similar enough and not in one component yet: intersections of all pairs at
+        once, as a product of 0/1 matrices whose columns are the occurrences of shingles that several rows have."""
+        node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
+        one_block = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        n = len(node)
+        row, h, weight = shingles(*strings(rows.column("text")))
+        size = np.bincount(row, weights=weight, minlength=n)
+        nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+        row, h = np.repeat(row, weight), mix(np.repeat(h, weight) + nth.astype(np.uint64) * _B)
+        _, column, count = np.unique(h, return_inverse=True, return_counts=True)
+        many = count > 1
+        place, keep = np.cumsum(many) - 1, many[column]
+        row, column = row[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common, total = np.zeros((n, n), np.float32), int(many.sum())
+        for begin in range(0, total, COLUMNS):
+            a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, total - begin)), np.float32)
+            part[row[a:b], column[a:b] - begin] = 1
+            common += part @ part.T
+        both = size[:, None] + size[None, :] - common
+        good = (common >= (least - 1e-9) * both) & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
+        if not one_block:
+            good &= own[:, None] != own[None, :]
+        x, y = np.nonzero(good)
+        return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
+
+    return run
+
+
+def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Links between the nodes of each key (key, node, label, n rows of the key) that differ in label. A key's nodes are cut into
+    blocks, and every two blocks meet in a group of their own: a group is bounded, and only links are emitted."""
+    rows = member.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", "node", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.join(texts.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node")).drop("of_node")
+    found = rows.groupBy("key", "low", "high").applyInArrow(_links_of_block(least), "a long, b long")
+    return cut(found.distinct())
+
+
 # --- components --------------------------------------------------------------------------------------------------
 
 
@@ -241,16 +287,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = _with_label(_with_label(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
     rest = cut(rest.select("a", "b").join(best, ["a", "b"], "left_anti"))
     labels = _relabelled(labels, links(rest, texts, least))
-    # Buckets that still hold several components: nodes outside the bucket's largest one against all others.
-    member = cut(_with_label(met, labels, "node", "label").select("key", "node", "label", "leader"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("key").alias("of_key"))
-    member = cut(member.join(mixed, F.col("key") == F.col("of_key"), "left_semi"))
-    sizes = member.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("x")).select(F.col("key").alias("of_key"), F.col("x.label").alias("main"))
-    small = member.join(sizes, F.col("key") == F.col("of_key")).filter("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    other = member.select(F.col("key").alias("of_key"), F.col("node").alias("y"), F.col("label").alias("ly"))
-    cross = small.join(other, (F.col("key") == F.col("of_key")) & (F.col("lx") != F.col("ly"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tested = star.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    labels = _relabelled(labels, links(cut(cross.join(tested, ["a", "b"], "left_anti")), texts, least))
+    # Buckets that still hold several components: their nodes are compared exactly, in blocks.
+    member = cut(_with_label(met.select("key", "node"), labels, "node", "label"))
+    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select(F.col("key").alias("of_key"), "n")
+    member = member.join(mixed, F.col("key") == F.col("of_key")).drop("of_key")
+    labels = _relabelled(labels, links_in_blocks(member, texts, least))
     classed = cut(_with_label(nodes.select("content", "node", "id", "void", "rows"), labels, "node", "label"))
     least_id = F.min(F.struct("void", "id", "node"))
     classes = classed.groupBy("label").agg(least_id.alias("c"), F.sum("rows").alias("class_size")).select(F.col("label").alias("of_label"), F.col("c.id").alias("class_id"), F.col("c.node").alias("kept_tag"), "class_size")
