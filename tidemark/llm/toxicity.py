@@ -15,7 +15,7 @@ score is the share of label 1 (1/2 without any label); an empty table gives no r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +23,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, names_free, row_ranges, strings, table, uniform
+from .common import mix, names_free, row_ranges, stored, strings, table, uniform
 
 SIZES = (4, 6, 8)
 #: Most labelled rows of each label that the fit uses.
-POSITIVES, NEGATIVES = 2000, 3000
+POSITIVES, NEGATIVES = 1500, 2500
 #: Features of the final model, at most, and documents of the sample that a feature needs.
 FEATURES, LEAST = 5_000, 3
 FOLDS = 5
 CHUNK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BITS = 22
 
 
 def held_out(id_col: Column) -> Column:
@@ -122,15 +123,34 @@ def _entries(features: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def promising(documents: Callable[[], Iterable[tuple[int, np.ndarray]]], most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each document's label and its features in the buckets of hashes that tell the labels apart most. The documents are gone
+    through twice; counts per bucket take a fixed memory, while all features at once would not fit a small driver."""
+    counts, n = np.zeros((2, 1 << _BITS), np.int32), [0, 0]
+    shift = np.uint32(32 - _BITS)
+    for one, f in documents():
+        counts[one][np.unique(f >> shift)] += 1
+        n[one] += 1
+    n0, n1 = max(1, n[0]), max(1, n[1])
+    strength = np.log(((counts[1] + np.float32(1)) / np.float32(n1 + 2)) / ((counts[0] + np.float32(1)) / np.float32(n0 + 2)))
+    np.abs(strength, out=strength)
+    strength *= np.sqrt(counts[1] / np.float32(n1) + counts[0] / np.float32(n0))
+    del counts
+    kept = strength > (np.partition(strength, -most)[-most] if most < len(strength) else 0)
+    del strength
+    for one, f in documents():
+        yield one, f[kept[f >> shift]]
+
+
 def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, least: int = LEAST, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights and the bias."""
     y = np.asarray(labels, np.float64)
     none = (np.zeros(0, np.uint32), np.zeros(0))
     if not len(y) or y.min() == y.max():
         return *none, float(np.clip(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)), -20, 20)) if len(y) else 0.0
+    n1, n0 = y.sum(), len(y) - y.sum()
     names, df = np.unique(np.concatenate(features), return_counts=True)
     names, df = names[df >= least], df[df >= least]
-    n1, n0 = y.sum(), len(y) - y.sum()
     found, n = np.unique(np.concatenate([f for f, one in zip(features, y, strict=True) if one]), return_counts=True)
     there = np.isin(found, names)
     df1 = np.zeros(len(names))
@@ -161,15 +181,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample has at most positives + negatives rows, whatever the input: it may be broadcast.
     chosen = sample(docs, labels, id_col, label_col, positives, negatives)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
-    got = rows.select("text", "label").mapInArrow(_featured, "label int, features binary").toArrow()
-    features = [np.frombuffer(x, "<u4") for x in got.column("features").to_pylist()]
-    order = sorted(range(len(features)), key=lambda i: (got["label"][i].as_py(), features[i].tobytes()[:256], len(features[i])))
-    return fit(np.array([got["label"][i].as_py() for i in order]), [features[i] for i in order])
+    kept = stored(rows.select("text", "label").mapInArrow(_featured, "label int, features binary"))
 
+    def documents() -> Iterator[tuple[int, np.ndarray]]:
+        for r in kept.toLocalIterator(prefetchPartitions=True):
+            yield r["label"], np.frombuffer(bytes(r["features"]), "<u4")
 
-# --- scores ------------------------------------------------------------------------------------------------------
+    # In an order of their own, so that a fit does not depend on how the rows were dealt out.
+    found = sorted(promising(documents, FEATURES * 16), key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes()))
+    return fit(np.array([y for y, _ in found]), [f for _, f in found])
 
-_BITS = 22
+
+# --- scores ------------------------------------------------------------------------------------------------------
 
 
 def score_texts(texts: list[str], names: np.ndarray, weights: np.ndarray, bias: float, seen: np.ndarray | None = None) -> np.ndarray:
