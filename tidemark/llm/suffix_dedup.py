@@ -14,7 +14,7 @@ batch share, only those of its least id are sent on. So a passage in a third of
 batch, not once a document. Shuffled rows are packs of arrays, dealt out by hash into as many partitions as the bytes of
 the text ask for, so that a task's arrays have a bounded size at every size of the input.
 
-Defined results: null text is empty; ids that are null count as larger than all others, and documents with equal ids
+Defined results: null text is empty; ids that are null count as larger than all others (as the largest 64-bit number), and documents with equal ids
 (repeated rows) remove nothing from each other; texts under the length keep all; removed bytes may split a
 character, as texts are bytes here; an empty table gives no rows; further columns are ignored.
 """
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +35,18 @@ from .common import mix, names_free, powers, prefix_hash, row_ranges, shuffle_wi
 LENGTH = 50
 #: Bytes of an anchor.
 ANCHOR = 20
-#: Bytes of text for a partition of the packs, and of a run of documents that is settled at once.
-PART, CHUNK = 16 << 20, 2 << 20
+#: Bytes of text for a partition of the packs, of a run that is hashed at once (its arrays fit a cache), and of
+#: candidates that are settled before they are sent on.
+PART, CHUNK, SETTLED = 16 << 20, 1 << 18, 2 << 20
 #: Strings that are sorted at once.
 SORTED = 1 << 20
 SHALLOW = 2
 NO_ID = (1 << 63) - 1
 _SLOT = 24  # bits for a place in a run; longer documents are cut into runs that overlap
 
-SHARED = "kind int, bucket int, id long, text_key long, data binary, hashes binary, docs binary, places binary, ids binary, keys binary"
+#: Rows between the steps: kind 0 and 2 are packs of anchors and of candidates, 1 and 3 a document's places and spans.
+PACKED = "kind int, bucket int, id long, text_key long, data binary, hashes binary, counts binary, places binary, ids binary, keys binary"
+ANSWER = "id long, text_key long, data binary"
 
 
 # --- anchors -----------------------------------------------------------------------------------------------------
@@ -85,22 +89,63 @@ def runs(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK, length: int =
 
 def _pack(**columns: list) -> pa.RecordBatch:
     kinds = {"kind": pa.int32(), "bucket": pa.int32(), "id": pa.int64(), "text_key": pa.int64()}
-    names = [x.split()[0] for x in SHARED.split(", ")]
+    names = [x.split()[0] for x in PACKED.split(", ")]
     n = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns.get(x, [None] * n), kinds.get(x, pa.binary())) for x in names], names=names)
 
 
-def _answers(kind: int, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch | None:
-    """A row for each document that has values: their arrays, as they are in row order."""
+def planes(x: np.ndarray, keep: int = 8) -> bytes:
+    """The bytes of the numbers, all lowest ones first, so that a general compressor sees the zeros of the high ones together."""
+    width = x.dtype.itemsize
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T[:keep]).tobytes()
+
+
+def unplaned(raw: bytes, kind: str, keep: int = 8) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    part = np.frombuffer(raw, np.uint8).reshape(min(keep, width), -1)
+    out = np.zeros((part.shape[1], width), np.uint8)
+    out[:, : len(part)] = part.T
+    return out.view(kind).ravel()
+
+
+def heads(*sorted_columns: np.ndarray) -> np.ndarray:
+    """The first entry of each run of equal ones."""
+    n = len(sorted_columns[0])
+    new = np.ones(n, bool)
+    new[1:] = False
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _answers(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, values: np.ndarray) -> dict[str, list] | None:
+    """For each document that has values: their arrays, as they are in row order."""
     if not len(row):
         return None
     order = np.argsort(row, kind="stable")
     row, values = row[order], values[order]
-    new = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    stop = np.append(new[1:], len(row))
+    new = heads(row)
     of = row[new]
-    bucket = (mix(ids[of].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    return _pack(kind=[kind] * len(of), bucket=bucket.tolist(), id=ids[of].tolist(), text_key=keys[of].tolist(), data=[values[a:b].tobytes() for a, b in zip(new, stop, strict=True)])
+    return {"id": ids[of].tolist(), "text_key": keys[of].tolist(), "data": [values[a:b].tobytes() for a, b in zip(new, np.append(new[1:], len(row)), strict=True)]}
+
+
+def _passing(kind: int, parts: int, found: dict[str, list] | None) -> Iterator[pa.RecordBatch]:
+    """Answers that only pass through the next step, in partitions by their document."""
+    if found:
+        bucket = (mix(np.array(found["id"], np.int64).astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        yield _pack(kind=[kind] * len(bucket), bucket=bucket.tolist(), **found)
+
+
+def _answer_batch(found: dict[str, list] | None) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(found["id"], pa.int64()), pa.array(found["text_key"], pa.int64()), pa.array(found["data"], pa.binary())], names=["id", "text_key", "data"])
+
+
+def _documents(row: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict[str, bytes]:
+    """Ids, keys and entries of the documents of a pack, whose entries are in row order."""
+    new = heads(row)
+    of = row[new]
+    return {"ids": planes(ids[of]), "keys": planes(keys[of]), "counts": planes(np.diff(np.append(new, len(row))).astype("<u4"))}
 
 
 def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,18 +158,18 @@ def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _share(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At each entry: whether its hash stands under several ids, and whether it is sent on (the entries of the least id for each hash)."""
-    shared, sent = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    """At each entry: whether its hash stands under several ids, and whether its id is the least of them."""
+    shared, least = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     if not len(hashes):
-        return shared, sent
-    order = np.lexsort((ids, hashes))
+        return shared, least
+    order = np.argsort(hashes)
     h, d = hashes[order], ids[order]
-    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    many = d[new] != d[np.append(new[1:], len(h)) - 1]
+    new = heads(h)
     n = np.diff(np.append(new, len(h)))
-    shared[order] = np.repeat(many, n)
-    sent[order] = d == np.repeat(d[new], n)
-    return shared, sent
+    lo, hi = np.minimum.reduceat(d, new), np.maximum.reduceat(d, new)
+    shared[order] = np.repeat(lo != hi, n)
+    least[order] = d == np.repeat(lo, n)
+    return shared, least
 
 
 def _anchors(parts: int, length: int):
@@ -135,7 +180,7 @@ def _anchors(parts: int, length: int):
             found = []
             for piece, own, rows, at in runs(data, offsets, CHUNK, length):
                 _, place, hashes = minimizers(piece, own, length)
-                place = np.unique(place)
+                place = place[heads(place)] if len(place) else place  # anchors only move to the right
                 row = np.searchsorted(own, place, "right") - 1
                 found.append((hashes[place], rows[row], place - own[row] + at[row]))
             if not found:
@@ -143,17 +188,15 @@ def _anchors(parts: int, length: int):
             hashes, row, place = (np.concatenate([f[k] for f in found]) for k in range(3))
             shared, sent = _share(hashes, ids[row])
             # Settled here: those that others of the batch share need no answer, those of the least id still answer others.
-            local = _answers(1, ids, keys, row[shared], place[shared].astype("<u4"), parts)
-            if local is not None:
-                yield local
+            yield from _passing(1, parts, _answers(ids, keys, row[shared], place[shared].astype("<u4")))
             hashes, row, place, known = hashes[sent], row[sent], place[sent], shared[sent]
             order, new, buckets = _dealt(hashes, parts)
-            out = {c: [] for c in ("hashes", "docs", "places", "ids", "keys", "data")}
+            out = {c: [] for c in ("hashes", "places", "data", "ids", "keys", "counts")}
             for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
                 e = order[a:b]
-                of, doc = np.unique(row[e], return_inverse=True)
-                for c, v in (("hashes", hashes[e]), ("docs", doc.astype("<u4")), ("places", place[e].astype("<u4")), ("ids", ids[of]), ("keys", keys[of]), ("data", known[e])):
-                    out[c].append(v.tobytes())
+                # The bucket and 40 bits name an anchor: what else shares them is a candidate more, no more than that.
+                for c, v in (("hashes", planes(hashes[e], 5)), ("places", planes(place[e].astype("<u4"))), ("data", known[e].tobytes()), *_documents(row[e], ids, keys).items()):
+                    out[c].append(v)
             if len(new):
                 yield _pack(kind=[0] * len(new), bucket=buckets.tolist(), **out)
 
@@ -161,15 +204,23 @@ def _anchors(parts: int, length: int):
 
 
 def _passed(batch: pa.RecordBatch, kind: int) -> Iterator[pa.RecordBatch]:
-    import pyarrow.compute as pc
-
     own = batch.filter(pc.equal(batch.column("kind"), kind))
     if len(own):
-        yield own
+        yield own.select(["id", "text_key", "data"])
+
 
+def _entries(batch: pa.RecordBatch, kind: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Each pack with the id and key of each of its entries."""
+    for r in batch.filter(pc.equal(batch.column("kind"), kind)).to_pylist():
+        n = unplaned(r["counts"], "<u4")
+        yield r, np.repeat(unplaned(r["ids"], "<i8"), n), np.repeat(unplaned(r["keys"], "<i8"), n)
 
-def _entries(batch: pa.RecordBatch, of_kind: int) -> list[dict]:
-    return [r for r in batch.to_pylist() if r["kind"] == of_kind]
+
+def _by_document(ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> dict[str, list] | None:
+    order = np.lexsort((keys, ids))
+    ids, keys = ids[order], keys[order]
+    new = heads(ids, keys) if len(ids) else np.zeros(0, np.int64)
+    return _answers(ids[new], keys[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(ids)))), values[order])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,20 +228,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, ids, keys, places, known = [], [], [], [], []
     for batch in batches:
         yield from _passed(batch, 1)
-        for r in _entries(batch, 0):
-            doc = np.frombuffer(r["docs"], "<u4")
-            hashes.append(np.frombuffer(r["hashes"], "<u8"))
-            places.append(np.frombuffer(r["places"], "<u4"))
+        for r, i, k in _entries(batch, 0):
+            hashes.append(unplaned(r["hashes"], "<u8", 5))
+            places.append(unplaned(r["places"], "<u4"))
             known.append(np.frombuffer(r["data"], bool))
-            ids.append(np.frombuffer(r["ids"], "<i8")[doc])
-            keys.append(np.frombuffer(r["keys"], "<i8")[doc])
+            ids.append(i)
+            keys.append(k)
     if hashes:
         hashes, ids, keys, places, known = map(np.concatenate, (hashes, ids, keys, places, known))
         shared, _ = _share(hashes, ids)
-        wanted = np.flatnonzero(shared & ~known)
-        if len(wanted):
-            of, row = np.unique(np.stack([ids[wanted], keys[wanted]], 1), axis=0, return_inverse=True)
-            yield _answers(1, of[:, 0], of[:, 1], row.ravel(), places[wanted], 1)
+        wanted = shared & ~known
+        yield from _answer_batch(_by_document(ids[wanted], keys[wanted], places[wanted]))
 
 
 # --- deep-shallow sorting ----------------------------------------------------------------------------------------
@@ -206,9 +254,17 @@ def _symbol(text: np.ndarray, starts: np.ndarray, k: int, length: int) -> np.nda
 
 def _regrouped(group: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by group and then symbol, and the numbers of the groups that this makes."""
-    order = np.lexsort((symbol, group))
-    g, s = group[order], symbol[order]
-    return order, np.cumsum(np.concatenate(([0], (g[1:] != g[:-1]) | (s[1:] != s[:-1]))))
+    order = np.argsort(symbol)
+    s = symbol[order]
+    if group[0] == group[-1]:  # one group
+        return order, np.cumsum(np.concatenate(([False], s[1:] != s[:-1])))
+    # Few symbols differ: their ranks and the groups fit one number.
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([False], s[1:] != s[:-1])))
+    both = (group << 32) | rank
+    order = np.argsort(both)
+    b = both[order]
+    return order, np.cumsum(np.concatenate(([False], b[1:] != b[:-1])))
 
 
 def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +310,8 @@ def settle(text: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int =
     covered = np.zeros(len(starts), bool)
     if not len(starts):
         return covered
-    by_id = np.lexsort((ids[order], group))
-    order, group = order[by_id], group[by_id]
-    new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.repeat(ids[order[new]], np.diff(np.append(new, len(order))))
-    covered[order] = ids[order] > least
+    own, new = ids[order], heads(group)
+    covered[order] = own > np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(order))))
     return covered
 
 
@@ -267,52 +320,69 @@ def settle(text: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int =
 
 def _spans(row: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and (start, end) of the runs of bytes that strings at these places (sorted by row, place) cover."""
-    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] > place[:-1] + length)))) if len(row) else np.zeros(0, np.int64)
+    if not len(row):
+        return row, np.zeros((0, 2), "<u4")
+    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] > place[:-1] + length))))
     last = np.append(new[1:], len(row)) - 1
     return row[new], np.stack([place[new], place[last] + length], 1).astype("<u4")
 
 
+def _wanted(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For about SETTLED bytes at once: their text, and start, row, place in the row, anchor and its hash of each candidate."""
+    data, offsets = strings(batch.column("text"))
+    places = batch.column("places").to_pylist()
+    held, size = [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        base = np.cumsum([0] + [len(h[0]) for h in held])
+        text = np.concatenate([h[0] for h in held] + [np.zeros(16, np.uint8)])
+        start, anchor = (np.concatenate([h[k] + b for h, b in zip(held, base, strict=False)]) for k in (1, 4))
+        return text, start, *(np.concatenate([h[k] for h in held]) for k in (2, 3)), anchor, np.concatenate([h[5] for h in held])
+
+    for piece, own, rows, at in runs(data, offsets, CHUNK, length):
+        start, anchor, hashes = minimizers(piece, own, length)
+        marked = np.zeros(len(piece) + 1, bool)
+        for r, begin, end, skip in zip(rows, own[:-1], own[1:], at, strict=True):
+            p = np.frombuffer(b"".join(places[r]), "<u4").astype(np.int64) - skip
+            marked[begin + p[(p >= 0) & (p < end - begin)]] = True
+        wanted = marked[anchor]
+        start, anchor = start[wanted], anchor[wanted]
+        of = np.searchsorted(own, start, "right") - 1
+        held.append((piece, start, rows[of], start - own[of] + at[of], anchor, hashes[anchor]))
+        size += len(piece)
+        if size >= SETTLED:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
 def _candidates(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = strings(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in ("id", "text_key"))
-            places = [np.frombuffer(b"".join(x), "<u4") for x in batch.column("places").to_pylist()]
-            for piece, own, rows, at in runs(data, offsets, CHUNK, length):
-                start, anchor, hashes = minimizers(piece, own, length)
-                marked = np.zeros(len(piece) + 1, bool)
-                for r, begin, end, skip in zip(rows, own[:-1], own[1:], at, strict=True):
-                    p = places[r].astype(np.int64) - skip
-                    marked[begin + p[(p >= 0) & (p < end - begin)]] = True
-                wanted = marked[anchor]
-                start, anchor = start[wanted], anchor[wanted]
+            for text, start, row, place, anchor, hashes in _wanted(batch, length):
                 if not len(start):
                     continue
-                of = np.searchsorted(own, start, "right") - 1
-                row, place = rows[of], start - own[of] + at[of]
-                text = np.concatenate((piece, np.zeros(16, np.uint8)))
                 covered = settle(text, start, ids[row], length)
                 r, spans = _spans(row[covered], place[covered], length)
-                local = _answers(3, ids, keys, r, spans, parts)
-                if local is not None:
-                    yield local
+                yield from _passing(3, parts, _answers(ids, keys, r, spans))
                 # Those of the least id among their equals go on, as runs of strings at one anchor that follow each other.
-                start, anchor, row, place = start[~covered], anchor[~covered], row[~covered], place[~covered]
+                left = ~covered
+                start, anchor, row, place, hashes = start[left], anchor[left], row[left], place[left], hashes[left]
                 if not len(start):
                     continue
-                new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1]))))
+                new = heads(anchor, row, start - np.arange(len(start)))
                 n = np.diff(np.append(new, len(start)))
-                order, begin, buckets = _dealt(hashes[anchor[new]], parts)
-                out = {c: [] for c in ("hashes", "docs", "places", "ids", "keys", "data")}
+                order, begin, buckets = _dealt(hashes[new], parts)
+                out = {c: [] for c in ("hashes", "places", "data", "ids", "keys", "counts")}
                 for a, b in zip(begin, np.append(begin[1:], len(order)), strict=True):
                     e = order[a:b]
-                    docs, doc = np.unique(row[new[e]], return_inverse=True)
                     size = n[e] + length - 1
                     flat = np.repeat(start[new[e]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    for c, v in (("hashes", n[e].astype("<u2")), ("docs", doc.astype("<u4")), ("places", place[new[e]].astype("<u4")), ("ids", ids[docs]), ("keys", keys[docs]), ("data", piece[flat])):
-                        out[c].append(v.tobytes())
-                if len(begin):
-                    yield _pack(kind=[2] * len(begin), bucket=buckets.tolist(), **out)
+                    for c, v in (("hashes", planes(n[e].astype("<u2"))), ("places", planes(place[new[e]].astype("<u4"))), ("data", text[flat].tobytes()), *_documents(row[new[e]], ids, keys).items()):
+                        out[c].append(v)
+                yield _pack(kind=[2] * len(begin), bucket=buckets.tolist(), **out)
 
     return run
 
@@ -323,9 +393,8 @@ def _sort(length: int):
         got = {c: [] for c in ("n", "place", "id", "key", "text")}
         for batch in batches:
             yield from _passed(batch, 3)
-            for r in _entries(batch, 2):
-                doc = np.frombuffer(r["docs"], "<u4")
-                for c, v in (("n", np.frombuffer(r["hashes"], "<u2")), ("place", np.frombuffer(r["places"], "<u4")), ("id", np.frombuffer(r["ids"], "<i8")[doc]), ("key", np.frombuffer(r["keys"], "<i8")[doc]), ("text", np.frombuffer(r["data"], np.uint8))):
+            for r, i, k in _entries(batch, 2):
+                for c, v in (("n", unplaned(r["hashes"], "<u2")), ("place", unplaned(r["places"], "<u4")), ("id", i), ("key", k), ("text", np.frombuffer(r["data"], np.uint8))):
                     got[c].append(v)
         if not got["n"]:
             return
@@ -338,23 +407,23 @@ def _sort(length: int):
         nth = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
         starts = begin[entry] + nth
         covered = np.zeros(len(starts), bool)
-        # Strings that begin alike are sorted together, at most about SORTED at once.
-        slot = mix(np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))[starts]) % np.uint64(max(1, len(starts) // SORTED + 1))
-        for k in range(int(slot.max()) + 1):
+        # Strings that begin alike are sorted together, about SORTED at once.
+        slots = len(starts) // SORTED + 1
+        slot = mix(np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))[starts]) % np.uint64(slots) if slots > 1 else np.zeros(len(starts), np.uint64)
+        for k in range(slots):
             mine = np.flatnonzero(slot == k)
             covered[mine] = settle(text, starts[mine], ids[entry[mine]], length)
         entry, at = entry[covered], (place[entry] + nth)[covered]
         r, spans = _spans(entry, at, length)
-        if len(r):
-            of, row = np.unique(np.stack([ids[r], keys[r]], 1), axis=0, return_inverse=True)
-            yield _answers(3, of[:, 0], of[:, 1], row.ravel(), spans, 1)
+        # Pairs of 32 bits travel as one number.
+        yield from _answer_batch(_by_document(ids[r], keys[r], spans.reshape(-1).view("<u8")))
 
     return run
 
 
 # --- removal -----------------------------------------------------------------------------------------------------
 
-REMOVED = "id long, void boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REMOVED = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -381,34 +450,40 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.update(whole[at:])
             rows.append((len(whole), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), kept.hexdigest()))
         n = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("void"), *n, pa.array([r[3] for r in rows], pa.string())], names=[x.split()[0] for x in REMOVED.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *n, pa.array([r[3] for r in rows], pa.string())], names=[x.split()[0] for x in REMOVED.split(", ")])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text_key, text. The key tells rows of equal ids apart, where there are any."""
     names_free(docs, id_col, text_col)
+    number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    repeated = docs.groupBy(number.alias("id")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_key"), F.col(id_col).isNull().alias("void"), text.alias("text"))
+    return docs.select(number.alias("id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("text_key"), text.alias("text"))
+
+
+def _spans_of(rows: DataFrame, length: int) -> DataFrame:
+    parts = shuffle_width(rows.sparkSession, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART)
+    anchors = rows.mapInArrow(_anchors(parts, length), PACKED)
+    places = anchors.repartitionById(parts, "bucket").mapInArrow(_meet, ANSWER)
+    places = places.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list("data").alias("places"))  # a document's own
+    marked = rows.join(places, (F.col("id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    packs = marked.select("id", "text_key", "text", "places").mapInArrow(_candidates(parts, length), PACKED)
+    spans = packs.repartitionById(parts, "bucket").mapInArrow(_sort(length), ANSWER)
+    return spans.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list("data").alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """id (NO_ID for null), text_key and the spans to remove, as packed pairs of 32-bit (start, end), of the documents that have any."""
+    """id, text, and spans: packed pairs of 32-bit (start, end), null where nothing is removed."""
     rows = _keyed(docs, id_col, text_col)
-    parts = shuffle_width(docs.sparkSession, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, PART)
-    anchors = rows.select("id", "text_key", "text").mapInArrow(_anchors(parts, length), SHARED)
-    places = anchors.repartitionById(parts, "bucket").mapInArrow(_meet, SHARED)
-    places = places.groupBy("id", "text_key").agg(F.collect_list("data").alias("places"))  # a document's own, no more than its length
-    marked = rows.join(places.withColumnsRenamed({"id": "of_id", "text_key": "of_key"}), (F.col("id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    packs = marked.select("id", "text_key", "text", "places").mapInArrow(_candidates(parts, length), SHARED)
-    spans = packs.repartitionById(parts, "bucket").mapInArrow(_sort(length), SHARED)
-    return spans.groupBy("id", "text_key").agg(F.collect_list("data").alias("spans"))
+    both = rows.join(_spans_of(rows, length), (F.col("id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
+    return both.select("id", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = repeated_spans(docs, id_col, text_col, length).withColumnsRenamed({"id": "of_id", "text_key": "of_key"})
-    both = _keyed(docs, id_col, text_col).join(spans, (F.col("id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left")
-    found = both.select("id", "void", "text", "spans").mapInArrow(_removed, REMOVED)
-    return found.select(F.when(~F.col("void"), F.col("id")).alias("id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = repeated_spans(docs, id_col, text_col, length).mapInArrow(_removed, REMOVED)
+    return found.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
