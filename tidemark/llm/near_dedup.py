@@ -184,10 +184,30 @@ def links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(least), "a long, b long"))
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that join the same labels as all links (a, b) do, fewer than there are labels."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    n = int(max(a.max(), b.max())) + 1
+    link = np.full((n, n), -1, np.int64)
+    link[a, b] = link[b, a] = np.arange(len(a))
+    fresh, keep = np.ones(n, bool), []
+    for seed in range(n):
+        todo = [seed] if fresh[seed] else []
+        fresh[seed] = False
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero((link[x] >= 0) & fresh)
+            fresh[new] = False
+            keep.append(link[x, new])
+            todo.extend(new.tolist())
+    return np.concatenate(keep)
+
+
 def _links_of_block(least: float):
     def run(rows: pa.Table) -> pa.Table:
-        """The pairs of a cell of blocks that are similar enough and not in one component yet: intersections of all pairs at
-        once, as a product of 0/1 matrices whose columns are the occurrences of shingles that several rows have."""
+        """Links of a cell of blocks that join all its components that any of its similar pairs joins. Intersections of all
+        pairs come at once, as a product of 0/1 matrices whose columns are the occurrences of shingles that several rows have."""
         node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
         one_block = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
         n = len(node)
@@ -212,7 +232,8 @@ def _links_of_block(least: float):
         if not one_block:
             good &= own[:, None] != own[None, :]
         x, y = np.nonzero(good)
-        return pa.table({"a": pa.array(node[x], pa.int64()), "b": pa.array(node[y], pa.int64())})
+        keep = spanning(*np.unique(label, return_inverse=True)[1][[x, y]])
+        return pa.table({"a": pa.array(node[x[keep]], pa.int64()), "b": pa.array(node[y[keep]], pa.int64())})
 
     return run
 
