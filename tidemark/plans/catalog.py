@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import drift_queries, model_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**text_queries.Q.queries, **drift_queries.Q.queries, **model_queries.Q.queries}
+ORACLES = {**text_queries.Q.oracles, **drift_queries.Q.oracles, **model_queries.Q.oracles}
