@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, names_free, row_ranges, stored, strings, table, uniform
+from .common import mix, names_free, row_ranges, strings, table, uniform
 
 SIZES = (4, 6, 8)
 #: Most labelled rows of each label that the fit uses.
@@ -125,7 +125,7 @@ def _entries(features: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray,
 
 def promising(documents: Callable[[], Iterable[tuple[int, np.ndarray]]], most: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each document's label and its features in the buckets of hashes that tell the labels apart most. The documents are gone
-    through twice; counts per bucket take a fixed memory, while all features at once would not fit a small driver."""
+    through twice; counts per bucket take a fixed memory, which the names and counts of all features would not."""
     counts, n = np.zeros((2, 1 << _BITS), np.int32), [0, 0]
     shift = np.uint32(32 - _BITS)
     for one, f in documents():
@@ -181,15 +181,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample has at most positives + negatives rows, whatever the input: it may be broadcast.
     chosen = sample(docs, labels, id_col, label_col, positives, negatives)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
-    kept = stored(rows.select("text", "label").mapInArrow(_featured, "label int, features binary"))
+    # The sample's features are fitted by one task: they are bounded, and the driver gets the model alone.
+    kept = rows.select("text", "label").mapInArrow(_featured, "label int, features binary").withColumn("all", F.lit(0))
+    found = kept.groupBy("all").applyInArrow(_fitted, "names binary, weights binary, bias double").first()
+    if found is None:
+        return np.zeros(0, np.uint32), np.zeros(0), 0.0
+    return np.frombuffer(bytes(found["names"]), "<u4"), np.frombuffer(bytes(found["weights"]), "<f8"), found["bias"]
 
-    def documents() -> Iterator[tuple[int, np.ndarray]]:
-        for r in kept.toLocalIterator(prefetchPartitions=True):
-            yield r["label"], np.frombuffer(bytes(r["features"]), "<u4")
 
+def _fitted(rows: pa.Table) -> pa.Table:
+    documents = [(y, np.frombuffer(x.as_buffer(), "<u4")) for y, x in zip(rows.column("label").to_pylist(), rows.column("features"), strict=True)]
     # In an order of their own, so that a fit does not depend on how the rows were dealt out.
-    found = sorted(promising(documents, FEATURES * 16), key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes()))
-    return fit(np.array([y for y, _ in found]), [f for _, f in found])
+    documents.sort(key=lambda x: (x[0], len(x[1]), x[1][:64].tobytes()))
+    few = list(promising(lambda: documents, FEATURES * 16))
+    names, weights, bias = fit(np.array([y for y, _ in few]), [f for _, f in few])
+    return pa.table({"names": pa.array([names.astype("<u4").tobytes()], pa.binary()), "weights": pa.array([weights.astype("<f8").tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
 
 
 # --- scores ------------------------------------------------------------------------------------------------------
