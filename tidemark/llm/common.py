@@ -63,6 +63,17 @@ def names_free(df: DataFrame, *wanted: str) -> None:
         raise ValueError(f"columns are missing: {', '.join(lacks)}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the table has columns of those names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # --- Arrow batches -----------------------------------------------------------------------------------------------
 
 

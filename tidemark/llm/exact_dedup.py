@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, mix, names_free, parts, table
+from .common import SPACE, cut, fresh, mix, names_free, parts, table
 
 #: Digests in a segment of the history, about; a segment is one row of some 60 bytes a digest.
 SEGMENT = 4096
@@ -198,19 +198,19 @@ def first_arrival() -> Column:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
+    key, of_id, of_key = fresh(docs, "_key", "_of_id", "_of_key")
     verdicts = exact_dedup(docs, first_arrival(), id_col, text_col)
-    stay = verdicts.filter("kept").select(F.col("id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    rows = docs.withColumn("_digest", digest(F.col(text_col)))
-    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_digest") == F.col("_keep_digest")), "left_semi")
-    return one_of_repeated(rows, id_col).drop("_digest")
+    stay = verdicts.filter("kept").select(F.col("id").alias(of_id), F.col("digest").alias(of_key))
+    rows = docs.withColumn(key, digest(F.col(text_col)))
+    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left_semi")
+    return one_of_repeated(rows, id_col, key).drop(key)
 
 
-def one_of_repeated(rows: DataFrame, id_col: str) -> DataFrame:
-    """One row of each id and digest; such groups are repeated rows alone."""
-    from pyspark.sql import Window
-
-    keys = [F.col(id_col), F.col("_digest")]
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter("_nth = 1").drop("_nth")
+def one_of_repeated(rows: DataFrame, id_col: str, key: str) -> DataFrame:
+    """One row of each id and key; such groups are repeated rows alone."""
+    (nth,) = fresh(rows, "_nth")
+    keys = [F.col(id_col), F.col(key)]
+    return rows.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter(F.col(nth) == 1).drop(nth)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

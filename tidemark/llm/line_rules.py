@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, counts_by_row, cut, mix, names_free, powers, prefix_hash, row_ranges, span_hash, strings, table, words_in
+from .common import SPACE, counts_by_row, cut, fresh, mix, names_free, powers, prefix_hash, row_ranges, span_hash, strings, table, words_in
 
 #: A line is removed if it stands in more documents of its host than this share of them, and than this number.
 SHARE, LEAST = 0.1, 20
@@ -32,7 +32,7 @@ MIN_WORDS, MOST_REPEATED = 50, 50
 CHUNK = 1 << 20
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-SCANNED = f"id long, host string, content binary, {BASE}, lines array<long>, words array<long>"
+SCANNED = f"id long, host string, text_key long, content binary, {BASE}, lines array<long>, words array<long>"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACE]] = True
@@ -111,18 +111,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column("id").slice(a, b - a),
                     batch.column("host").slice(a, b - a),
+                    batch.column("text_key").slice(a, b - a),
                     pa.array(content, pa.binary()),
                     *[pa.array(x, pa.int64()) for x in base],
                     pa.ListArray.from_arrays(at, pa.array(line.view(np.int64))),
                     pa.ListArray.from_arrays(at, pa.array(words, pa.int64())),
                 ],
-                names=["id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "words"],
+                names=["id", "host", "text_key", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "words"],
             )
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     names_free(docs, id_col, text_col, host_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     return cut(rows.mapInArrow(_scan, SCANNED).withColumn("tag", F.monotonically_increasing_id()))
 
 
@@ -136,7 +137,7 @@ def frequent_lines(scanned: DataFrame, share: float = SHARE, least: int = LEAST)
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """Per row: id, content, the base statistics, removed_words, removed (hashes of its removed lines), base_failed, kept."""
+    """Per row: id, text_key, the base statistics, removed_words, removed (hashes of its removed lines), base_failed, kept."""
     rows = scan(docs, id_col, text_col, host_col)
     frequent = frequent_lines(rows, share, least)
     lines = rows.select("tag", "host", F.explode(F.arrays_zip("lines", "words")).alias("x")).select("tag", "host", "x.lines", "x.words")
@@ -145,7 +146,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = rows.join(lost, F.col("tag") == F.col("of_tag"), "left").withColumn("removed_words", F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (2 * F.col("removed_words") <= F.col("n_words")))
-    return out.select("id", "content", *[x.split()[0] for x in BASE.split(", ")], "removed_words", "removed", "base_failed", "kept")
+    return out.select("id", "text_key", *[x.split()[0] for x in BASE.split(", ")], "removed_words", "removed", "base_failed", "kept")
 
 
 def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -168,9 +169,12 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
 
 def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """The documents that are kept, with all their columns, and the text without its frequent lines."""
-    found = line_verdicts(docs, id_col, text_col, host_col, share, least).filter("kept").groupBy(F.col("id").alias("_id")).agg(F.max("removed").alias("_removed"))
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn(text_col, F.pandas_udf(_without, "string")(F.col(text_col), F.col("_removed"))).select(*docs.columns)
+    of_id, of_key, gone, key = fresh(docs, "_of_id", "_of_key", "_gone", "_key")
+    found = line_verdicts(docs, id_col, text_col, host_col, share, least).filter("kept")
+    found = found.groupBy(F.col("id").alias(of_id), F.col("text_key").alias(of_key)).agg(F.max("removed").alias(gone))
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = rows.join(found, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)))
+    return rows.withColumn(text_col, F.pandas_udf(_without, "string")(F.col(text_col), F.col(gone))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, names_free, parts, table, uniform
+from .common import WORD, cut, fresh, names_free, parts, table, uniform
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -93,11 +93,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, a row for each copy, with all their columns."""
-    mix = mix_sources(docs, id_col, text_col, source_col).select(F.col("id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    mix = mix.filter("_copies > 0").groupBy("_id", "_size", "_source").agg(F.max("_copies").alias("_copies"))
-    rows = docs.withColumn("_words", word_count(F.col(text_col)))
-    rows = rows.join(mix, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    of_id, of_size, of_source, copies, words, nth = fresh(docs, "_of_id", "_of_size", "_of_source", "_copies", "_words", "_nth")
+    mix = mix_sources(docs, id_col, text_col, source_col).filter("copies > 0")
+    mix = mix.groupBy(F.col("id").alias(of_id), F.col("size").alias(of_size), F.col("source").alias(of_source)).agg(F.max("copies").alias(copies))
+    rows = docs.withColumn(words, word_count(F.col(text_col)))
+    rows = rows.join(mix, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(words) == F.col(of_size)) & F.col(source_col).eqNullSafe(F.col(of_source)))
+    return rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, names_free, prefix_hash, row_ranges, span_hash, stored, strings, table, words_in
+from .common import cut, fresh, mix, names_free, prefix_hash, row_ranges, span_hash, stored, strings, table, words_in
+from .exact_dedup import one_of_repeated
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band of 5 with probability 1 - (1 - 0.8**5)**20 = 0.9997.
@@ -323,12 +324,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns."""
-    from .exact_dedup import one_of_repeated
-
-    stay = near_classes(docs, id_col, text_col).filter("kept").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    rows = docs.withColumn("_digest", text_key(F.col(text_col)))
-    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key")), "left_semi")
-    return one_of_repeated(rows, id_col).drop("_digest")
+    key, of_id, of_key = fresh(docs, "_key", "_of_id", "_of_key")
+    stay = near_classes(docs, id_col, text_col).filter("kept").select(F.col("id").alias(of_id), F.col("text_key").alias(of_key))
+    rows = docs.withColumn(key, text_key(F.col(text_col)))
+    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left_semi")
+    return one_of_repeated(rows, id_col, key).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

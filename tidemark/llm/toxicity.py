@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix, names_free, row_ranges, strings, table, uniform
+from .common import fresh, names_free, row_ranges, strings, table, uniform
 
 SIZES = (4, 6, 8)
 #: Most labelled rows of each label that the fit uses.
@@ -243,7 +243,8 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], tex
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are not predicted toxic."""
-    return with_score(docs, train(docs, labels), name="_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    (name,) = fresh(docs, "_toxicity")
+    return with_score(docs, train(docs, labels), name=name).filter(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
