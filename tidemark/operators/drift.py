@@ -14,7 +14,8 @@ def drift_score(features: tuple[str, ...], settings: Settings) -> Column:
     """Weighted mean of clipped absolute z-scores over those that are there; 0 without any."""
     add = lambda xs: reduce(lambda a, b: a + b, xs)
     weight = {f: float(settings.weights.get(f, 1.0)) for f in features}
-    top = add([F.coalesce(F.lit(weight[f]) * F.least(F.abs(f"z_{f}"), F.lit(settings.clip_at)), F.lit(0.0)) for f in features])
+    # least() would skip a null
+    top = add([F.when(F.col(f"z_{f}").isNotNull(), F.lit(weight[f]) * F.least(F.abs(f"z_{f}"), F.lit(settings.clip_at))).otherwise(F.lit(0.0)) for f in features])
     below = add([F.when(F.col(f"z_{f}").isNotNull(), F.lit(weight[f])).otherwise(F.lit(0.0)) for f in features])
     return F.when(below > 0, F.round(top / below, 4)).otherwise(F.lit(0.0))
 

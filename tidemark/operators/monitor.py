@@ -40,7 +40,7 @@ def shifts(stats: DataFrame, order: str, settings: Settings | None = None) -> Da
     s = settings or Settings()
     w = Window.partitionBy("feature").orderBy(order)
     out = stats.withColumn("before", F.lag("mean").over(w)).filter(F.col("before").isNotNull() & (F.col("std").isNull() | (F.col("std") != 0)))
-    out = out.withColumn("shift", F.abs(F.col("mean") - F.col("before")) / F.greatest("std", F.lit(1e-9)))
+    out = out.withColumn("shift", F.abs(F.col("mean") - F.col("before")) / F.when(F.col("std").isNotNull(), F.greatest("std", F.lit(1e-9))))
     return out.withColumn("alert", F.coalesce(F.col("shift") >= s.shift_at, F.lit(False)))
 
 

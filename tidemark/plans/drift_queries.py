@@ -44,7 +44,7 @@ ur AS (SELECT "user", avg(drift_score) AS avg_drift_score, max(drift_score) AS m
        round(count(*) FILTER (n_flagged > 0)::DOUBLE / count(*), 4) AS flagged_message_rate FROM ed GROUP BY "user")
 """
 
-_NUM = " + ".join(f"coalesce({S.weights.get(f, 1.0)}::DOUBLE * least(abs(z_{f}), 10::DOUBLE), 0)" for f in DOC_FEATURES)
+_NUM = " + ".join(f"CASE WHEN z_{f} IS NOT NULL THEN {S.weights.get(f, 1.0)}::DOUBLE * least(abs(z_{f}), 10::DOUBLE) ELSE 0 END" for f in DOC_FEATURES)
 _DEN = " + ".join(f"CASE WHEN z_{f} IS NOT NULL THEN {S.weights.get(f, 1.0)}::DOUBLE ELSE 0 END" for f in DOC_FEATURES)
 _DOC = rf"""
 WITH d AS (SELECT source AS "user", doc_id AS id, text, regexp_extract_all(lower(text), '[a-z'']+') AS tk FROM documents),
@@ -238,7 +238,7 @@ def monitor_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add(_EV + """
 , s AS (SELECT date_trunc('week', date) AS week, unnest(['value', 'drift_score']) AS feature, unnest([avg(value), avg(drift_score)]) AS mean, unnest([stddev_samp(value), stddev_samp(drift_score)]) AS std FROM ed GROUP BY 1),
 l AS (SELECT *, lag(mean) OVER (PARTITION BY feature ORDER BY week) AS before FROM s)
-SELECT feature, strftime(week, '%Y-%m-%d') AS week, round(abs(mean - before) / greatest(std, 1e-9), 6) AS shift, coalesce(abs(mean - before) / greatest(std, 1e-9) >= 2, false) AS alert
+SELECT feature, strftime(week, '%Y-%m-%d') AS week, round(abs(mean - before) / CASE WHEN std IS NOT NULL THEN greatest(std, 1e-9) END, 6) AS shift, coalesce(abs(mean - before) / CASE WHEN std IS NOT NULL THEN greatest(std, 1e-9) END >= 2, false) AS alert
 FROM l WHERE before IS NOT NULL AND (std IS NULL OR std <> 0)""")
 def org_shift(spark: SparkSession, sf: str) -> DataFrame:
     weekly = scored_events(spark, sf).withColumn("week", F.date_trunc("week", "date"))
