@@ -334,3 +334,17 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
+#: The classes by comparing all texts that share a shingle.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d),
+g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS n FROM p GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(n) AS total FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN t tx ON x = tx.doc_id JOIN t ty ON y = ty.doc_id WHERE 5 * common >= 4 * (tx.total + ty.total - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM k
+"""

@@ -65,3 +65,19 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = interleave(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", F.col("checksum").cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum bit by bit: each bit of the bytes, lowest first, shifts the register.
+SQL = """
+WITH d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         (('0x' || substr(md5(concat_ws('/', 'shard-1', coalesce(CAST(doc_id AS VARCHAR), '~'))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u,
+         xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+           lambda p: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda k: (('0x' || p)::BIGINT >> k) & 1)))),
+           lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1)))) AS text_crc32
+  FROM documents
+), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY u, doc_id, text_crc32, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM d
+), a AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, source NULLS LAST, u, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM r
+), s AS (SELECT *, place * 16 // total AS shard FROM a)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
