@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +38,15 @@ LENGTH = 50
 ANCHOR = 20
 #: Bytes of text for a partition of the packs, of a run that is hashed at once (its arrays fit a cache), and of
 #: candidates that are settled before they are sent on.
-PART, CHUNK, SETTLED = 16 << 20, 1 << 18, 2 << 20
+PART, CHUNK, SETTLED = 128 << 20, 1 << 18, 2 << 20
 #: Strings that are sorted at once.
 SORTED = 1 << 20
 SHALLOW = 2
 NO_ID = (1 << 63) - 1
 _SLOT = 24  # bits for a place in a run; longer documents are cut into runs that overlap
 
-#: Rows between the steps: kind 0 and 2 are packs of anchors and of candidates, 1 and 3 a document's places and spans.
-PACKED = "kind int, bucket int, id long, text_key long, data binary, hashes binary, counts binary, places binary, ids binary, keys binary"
+#: Packs between the steps: kind 0 of anchors and 2 of candidates, by their hash; 1 of places and 3 of spans, by document.
+PACKED = "kind int, bucket int, data binary, hashes binary, counts binary, places binary, ids binary, keys binary"
 ANSWER = "id long, text_key long, data binary"
 
 
@@ -88,7 +89,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK, length: int =
 
 
 def _pack(**columns: list) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "bucket": pa.int32(), "id": pa.int64(), "text_key": pa.int64()}
+    kinds = {"kind": pa.int32(), "bucket": pa.int32()}
     names = [x.split()[0] for x in PACKED.split(", ")]
     n = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns.get(x, [None] * n), kinds.get(x, pa.binary())) for x in names], names=names)
@@ -118,29 +119,6 @@ def heads(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _answers(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, values: np.ndarray) -> dict[str, list] | None:
-    """For each document that has values: their arrays, as they are in row order."""
-    if not len(row):
-        return None
-    order = np.argsort(row, kind="stable")
-    row, values = row[order], values[order]
-    new = heads(row)
-    of = row[new]
-    return {"id": ids[of].tolist(), "text_key": keys[of].tolist(), "data": [values[a:b].tobytes() for a, b in zip(new, np.append(new[1:], len(row)), strict=True)]}
-
-
-def _passing(kind: int, parts: int, found: dict[str, list] | None) -> Iterator[pa.RecordBatch]:
-    """Answers that only pass through the next step, in partitions by their document."""
-    if found:
-        bucket = (mix(np.array(found["id"], np.int64).astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        yield _pack(kind=[kind] * len(bucket), bucket=bucket.tolist(), **found)
-
-
-def _answer_batch(found: dict[str, list] | None) -> Iterator[pa.RecordBatch]:
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(found["id"], pa.int64()), pa.array(found["text_key"], pa.int64()), pa.array(found["data"], pa.binary())], names=["id", "text_key", "data"])
-
-
 def _documents(row: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict[str, bytes]:
     """Ids, keys and entries of the documents of a pack, whose entries are in row order."""
     new = heads(row)
@@ -148,6 +126,53 @@ def _documents(row: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> dict[str,
     return {"ids": planes(ids[of]), "keys": planes(keys[of]), "counts": planes(np.diff(np.append(new, len(row))).astype("<u4"))}
 
 
+def _answers(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packs of the values of each document (its row in ids and keys), dealt out by document."""
+    if not len(row):
+        return
+    bucket = (mix(ids[row].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((row, bucket))
+    bucket, row, values = bucket[order], row[order], values[order]
+    new = heads(bucket)
+    out = {c: [] for c in ("data", "ids", "keys", "counts")}
+    for a, b in zip(new, np.append(new[1:], len(row)), strict=True):
+        for c, v in (("data", planes(values[a:b])), *_documents(row[a:b], ids, keys).items()):
+            out[c].append(v)
+    yield _pack(kind=[kind] * len(new), bucket=bucket[new].tolist(), **out)
+
+
+def _answers_of(kind: int, parts: int, ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The same for values with the id and key of each."""
+    if len(ids):
+        order = np.lexsort((keys, ids))
+        ids, keys, values = ids[order], keys[order], values[order]
+        new = heads(ids, keys)
+        yield from _answers(kind, parts, ids[new], keys[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(ids)))), values)
+
+
+def _gathered(kind: int, form: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All packs of a partition's documents: a row for each with its values."""
+        ids, keys, values = [], [], []
+        for batch in batches:
+            for r, i, k in _entries(batch, kind):
+                ids.append(i)
+                keys.append(k)
+                values.append(unplaned(r["data"], form))
+        if not ids:
+            return
+        ids, keys, values = map(np.concatenate, (ids, keys, values))
+        order = np.lexsort((keys, ids))
+        ids, keys, values = ids[order], keys[order], values[order]
+        new = heads(ids, keys)
+        stop = np.append(new[1:], len(ids))
+        for k in range(0, len(new), 5000):
+            part = slice(k, k + 5000)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new[part]]), pa.array(keys[new[part]]), pa.array([values[a:b].tobytes() for a, b in zip(new[part], stop[part], strict=True)], pa.binary())], names=["id", "text_key", "data"])
+
+    return run
+
+
 def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by bucket, and first entry and bucket of each."""
     bucket = ((hashes >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
@@ -183,12 +208,12 @@ def _anchors(parts: int, length: int):
                 place = place[heads(place)] if len(place) else place  # anchors only move to the right
                 row = np.searchsorted(own, place, "right") - 1
                 found.append((hashes[place], rows[row], place - own[row] + at[row]))
-            if not found:
+            if not any(len(f[0]) for f in found):
                 continue
             hashes, row, place = (np.concatenate([f[k] for f in found]) for k in range(3))
             shared, sent = _share(hashes, ids[row])
             # Settled here: those that others of the batch share need no answer, those of the least id still answer others.
-            yield from _passing(1, parts, _answers(ids, keys, row[shared], place[shared].astype("<u4")))
+            yield from _answers(1, parts, ids, keys, row[shared], place[shared].astype("<u4"))
             hashes, row, place, known = hashes[sent], row[sent], place[sent], shared[sent]
             order, new, buckets = _dealt(hashes, parts)
             out = {c: [] for c in ("hashes", "places", "data", "ids", "keys", "counts")}
@@ -206,7 +231,7 @@ def _anchors(parts: int, length: int):
 def _passed(batch: pa.RecordBatch, kind: int) -> Iterator[pa.RecordBatch]:
     own = batch.filter(pc.equal(batch.column("kind"), kind))
     if len(own):
-        yield own.select(["id", "text_key", "data"])
+        yield own
 
 
 def _entries(batch: pa.RecordBatch, kind: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
@@ -216,29 +241,25 @@ def _entries(batch: pa.RecordBatch, kind: int) -> Iterator[tuple[dict, np.ndarra
         yield r, np.repeat(unplaned(r["ids"], "<i8"), n), np.repeat(unplaned(r["keys"], "<i8"), n)
 
 
-def _by_document(ids: np.ndarray, keys: np.ndarray, values: np.ndarray) -> dict[str, list] | None:
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    new = heads(ids, keys) if len(ids) else np.zeros(0, np.int64)
-    return _answers(ids[new], keys[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(ids)))), values[order])
-
+def _meet(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All packs of a partition: the places of the anchors whose hash several documents share."""
+        hashes, ids, keys, places, known = [], [], [], [], []
+        for batch in batches:
+            yield from _passed(batch, 1)
+            for r, i, k in _entries(batch, 0):
+                hashes.append(unplaned(r["hashes"], "<u8", 5))
+                places.append(unplaned(r["places"], "<u4"))
+                known.append(np.frombuffer(r["data"], bool))
+                ids.append(i)
+                keys.append(k)
+        if hashes:
+            hashes, ids, keys, places, known = map(np.concatenate, (hashes, ids, keys, places, known))
+            shared, _ = _share(hashes, ids)
+            wanted = shared & ~known
+            yield from _answers_of(1, parts, ids[wanted], keys[wanted], places[wanted])
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packs of a partition: the places of the anchors whose hash several documents share."""
-    hashes, ids, keys, places, known = [], [], [], [], []
-    for batch in batches:
-        yield from _passed(batch, 1)
-        for r, i, k in _entries(batch, 0):
-            hashes.append(unplaned(r["hashes"], "<u8", 5))
-            places.append(unplaned(r["places"], "<u4"))
-            known.append(np.frombuffer(r["data"], bool))
-            ids.append(i)
-            keys.append(k)
-    if hashes:
-        hashes, ids, keys, places, known = map(np.concatenate, (hashes, ids, keys, places, known))
-        shared, _ = _share(hashes, ids)
-        wanted = shared & ~known
-        yield from _answer_batch(_by_document(ids[wanted], keys[wanted], places[wanted]))
+    return run
 
 
 # --- deep-shallow sorting ----------------------------------------------------------------------------------------
@@ -319,12 +340,12 @@ def settle(text: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int =
 
 
 def _spans(row: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and (start, end) of the runs of bytes that strings at these places (sorted by row, place) cover."""
+    """Row and (start, end), two 32-bit numbers as one, of the runs of bytes that strings at these places (by row, place) cover."""
     if not len(row):
-        return row, np.zeros((0, 2), "<u4")
+        return row, np.zeros(0, "<u8")
     new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (place[1:] > place[:-1] + length))))
     last = np.append(new[1:], len(row)) - 1
-    return row[new], np.stack([place[new], place[last] + length], 1).astype("<u4")
+    return row[new], np.stack([place[new], place[last] + length], 1).astype("<u4").reshape(-1).view("<u8")
 
 
 def _wanted(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -343,7 +364,7 @@ def _wanted(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ..
         start, anchor, hashes = minimizers(piece, own, length)
         marked = np.zeros(len(piece) + 1, bool)
         for r, begin, end, skip in zip(rows, own[:-1], own[1:], at, strict=True):
-            p = np.frombuffer(b"".join(places[r]), "<u4").astype(np.int64) - skip
+            p = np.frombuffer(places[r], "<u4").astype(np.int64) - skip
             marked[begin + p[(p >= 0) & (p < end - begin)]] = True
         wanted = marked[anchor]
         start, anchor = start[wanted], anchor[wanted]
@@ -361,12 +382,13 @@ def _candidates(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("id", "text_key"))
+            squeeze = zstandard.ZstdCompressor(3).compress  # the shuffle's own codec does half as well on such text
             for text, start, row, place, anchor, hashes in _wanted(batch, length):
                 if not len(start):
                     continue
                 covered = settle(text, start, ids[row], length)
                 r, spans = _spans(row[covered], place[covered], length)
-                yield from _passing(3, parts, _answers(ids, keys, r, spans))
+                yield from _answers(3, parts, ids, keys, r, spans)
                 # Those of the least id among their equals go on, as runs of strings at one anchor that follow each other.
                 left = ~covered
                 start, anchor, row, place, hashes = start[left], anchor[left], row[left], place[left], hashes[left]
@@ -380,43 +402,40 @@ def _candidates(parts: int, length: int):
                     e = order[a:b]
                     size = n[e] + length - 1
                     flat = np.repeat(start[new[e]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    for c, v in (("hashes", planes(n[e].astype("<u2"))), ("places", planes(place[new[e]].astype("<u4"))), ("data", text[flat].tobytes()), *_documents(row[new[e]], ids, keys).items()):
+                    for c, v in (("hashes", planes((n[e] | (hashes[new[e]] & np.uint64(0xFF)).astype(np.int64) << 16).astype("<u4"), 3)), ("places", planes(place[new[e]].astype("<u4"))), ("data", squeeze(text[flat].tobytes())), *_documents(row[new[e]], ids, keys).items()):
                         out[c].append(v)
                 yield _pack(kind=[2] * len(begin), bucket=buckets.tolist(), **out)
 
     return run
 
 
-def _sort(length: int):
+def _sort(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All candidate strings of a partition, sorted; the bytes that strings of smaller ids cover."""
         got = {c: [] for c in ("n", "place", "id", "key", "text")}
         for batch in batches:
             yield from _passed(batch, 3)
             for r, i, k in _entries(batch, 2):
-                for c, v in (("n", unplaned(r["hashes"], "<u2")), ("place", unplaned(r["places"], "<u4")), ("id", i), ("key", k), ("text", np.frombuffer(r["data"], np.uint8))):
+                for c, v in (("n", unplaned(r["hashes"], "<u4", 3)), ("place", unplaned(r["places"], "<u4")), ("id", i), ("key", k), ("text", np.frombuffer(zstandard.decompress(r["data"]), np.uint8))):
                     got[c].append(v)
         if not got["n"]:
             return
         n, place, ids, keys, text = (np.concatenate(got[c]) for c in ("n", "place", "id", "key", "text"))
         del got
-        n = n.astype(np.int64)
+        # Entries of equal anchors share a slot, and slots are sorted one after another, about SORTED strings at once.
+        n, slot = (n & 0xFFFF).astype(np.int64), n >> 16
         text = np.concatenate((text, np.zeros(16, np.uint8)))
         begin = np.cumsum(n + length - 1) - (n + length - 1)
-        entry = np.repeat(np.arange(len(n)), n)
-        nth = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-        starts = begin[entry] + nth
-        covered = np.zeros(len(starts), bool)
-        # Strings that begin alike are sorted together, about SORTED at once.
-        slots = len(starts) // SORTED + 1
-        slot = mix(np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))[starts]) % np.uint64(slots) if slots > 1 else np.zeros(len(starts), np.uint64)
-        for k in range(slots):
-            mine = np.flatnonzero(slot == k)
-            covered[mine] = settle(text, starts[mine], ids[entry[mine]], length)
-        entry, at = entry[covered], (place[entry] + nth)[covered]
-        r, spans = _spans(entry, at, length)
-        # Pairs of 32 bits travel as one number.
-        yield from _answer_batch(_by_document(ids[r], keys[r], spans.reshape(-1).view("<u8")))
+        sizes = np.bincount(slot, weights=n, minlength=256)
+        step, found = np.floor((np.cumsum(sizes) - sizes) / SORTED), []
+        for k in np.unique(step[sizes > 0]):
+            mine = np.flatnonzero(step[slot] == k)
+            entry = np.repeat(mine, n[mine])
+            nth = np.arange(len(entry)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+            covered = settle(text, begin[entry] + nth, ids[entry], length)
+            found.append(_spans(entry[covered], (place[entry] + nth)[covered], length))
+        r, spans = (np.concatenate([f[k] for f in found]) for k in range(2))
+        yield from _answers_of(3, parts, ids[r], keys[r], spans)
 
     return run
 
@@ -442,7 +461,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for k, spans in enumerate(batch.column("spans").to_pylist()):
             whole = data[offsets[k] : offsets[k + 1]]
-            gone = merged(np.frombuffer(b"".join(spans or ()), "<u4").astype(np.int64).reshape(-1, 2))
+            gone = merged(np.frombuffer(spans or b"", "<u4").astype(np.int64).reshape(-1, 2))
             kept, at = hashlib.sha256(), 0
             for a, b in gone.tolist():
                 kept.update(whole[at:a])
@@ -464,13 +483,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _spans_of(rows: DataFrame, length: int) -> DataFrame:
     parts = shuffle_width(rows.sparkSession, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART)
-    anchors = rows.mapInArrow(_anchors(parts, length), PACKED)
-    places = anchors.repartitionById(parts, "bucket").mapInArrow(_meet, ANSWER)
-    places = places.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list("data").alias("places"))  # a document's own
+    anchors = rows.mapInArrow(_anchors(parts, length), PACKED).repartitionById(parts, "bucket")
+    places = anchors.mapInArrow(_meet(parts), PACKED).repartitionById(parts, "bucket").mapInArrow(_gathered(1, "<u4"), ANSWER)
+    places = places.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("data").alias("places"))
     marked = rows.join(places, (F.col("id") == F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    packs = marked.select("id", "text_key", "text", "places").mapInArrow(_candidates(parts, length), PACKED)
-    spans = packs.repartitionById(parts, "bucket").mapInArrow(_sort(length), ANSWER)
-    return spans.groupBy(F.col("id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list("data").alias("spans"))
+    packs = marked.select("id", "text_key", "text", "places").mapInArrow(_candidates(parts, length), PACKED).repartitionById(parts, "bucket")
+    spans = packs.mapInArrow(_sort(parts, length), PACKED).repartitionById(parts, "bucket").mapInArrow(_gathered(3, "<u8"), ANSWER)
+    return spans.select(F.col("id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("data").alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -488,3 +507,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Texts as hexadecimal digits, two a byte.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM p),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+c AS (SELECT w.doc_id, i FROM w JOIN m ON w.s = m.s WHERE first < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS starts FROM c),
+r AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+k AS (SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d ON q.doc_id = d.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
