@@ -389,6 +389,72 @@ def test_pipeline(spark):
     assert len(risk) == 7 and all(x.user.startswith("emp_") and 0 <= x.avg_drift_score <= 10 for x in risk)
 
 
+def test_run_and_persist(spark, tmp_path):
+    rows = messages.prepare(synthetic.messages(spark, users=8))
+    log = audit.AuditLog(str(tmp_path / "audit.jsonl"))
+    for _ in range(2):
+        r = pipeline.run_and_persist(spark, rows, str(tmp_path / "out"), labels=synthetic.labels(spark, 8), settings=Settings(window=10, trees=20), log=log)
+    snapshots = messages.read_snapshots(spark, str(tmp_path / "out/snapshots"))
+    assert snapshots.count() == 2 and log.verify(spark) and r.risk.count() == 8
+    assert messages.read_audit(spark, str(tmp_path / "audit.jsonl"), 3).count() == 3
+    assert json.loads((tmp_path / "out/reports/bias_audit.json").read_text())["proxies"]
+    service = serve.Service(r.risk, r.scored, log)
+    assert service.newest_snapshot(snapshots)["moved"] == [] and service.audit_log_is_valid(spark)
+    sinks.write_ledger(privacy.default_ledger(r.risk), str(tmp_path / "ledger"))
+    stored = spark.read.schema(messages.CONSENT).option("header", True).csv(str(tmp_path / "ledger"))
+    service.revoke_consent(stored, str(tmp_path / "ledger"), r.risk.first().user, "admin")
+    assert spark.read.schema(messages.CONSENT).option("header", True).csv(str(tmp_path / "ledger")).filter("not consented").count() == 1
+
+
+def test_models_are_saved(spark, tmp_path):
+    rows = [(k, float(k % 7), float(k), k, k % 5, (k % 5) / 10, int(k > 30)) for k in range(40)]
+    df = spark.createDataFrame(rows, "user long, avg_drift_score double, max_drift_score double, n_messages long, n_flagged_messages long, flagged_message_rate double, label int")
+    assert supervised.stratified_split(df).filter("is_test").groupBy("label").count().count() == 2
+    model = supervised.fit(df, rounds=10)
+    supervised.save(model, str(tmp_path / "model"))
+    a, b = (x.orderBy("user").select("probability", "predicted").collect() for x in (supervised.predict(model, df), supervised.predict_saved(str(tmp_path / "model"), df)))
+    assert a == b
+    assert supervised.write_metrics(str(tmp_path), "forest", supervised.predict(model, df))["auc"] > 0.9
+    ranking = supervised.attribution(model, df)
+    sinks.write_attribution(ranking, str(tmp_path / "attribution.json"))
+    assert ranking.count() == 5
+
+
+def test_streams_of_contacts_and_days(spark, tmp_path):
+    from tidemark.streaming.baseline import daily_counts, stream_contacts
+
+    rows = [(int(k % 3 == 0), k, k, [(k * 7 + j) % 6 for j in range((k * 5) % 4)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "user long, date long, id long, recipients array<long>")
+    df.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run = stream_contacts(live, 7).writeStream.format("memory").queryName("contacts_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.id: (r.contact_degree, r.interaction_concentration) for r in spark.table("contacts_out").collect()}
+    assert all(got[r.id] == pytest.approx((r.contact_degree, r.interaction_concentration)) for r in network.with_network(df, 7).collect())
+    days = spark.createDataFrame([(f"2020-01-0{d} 10:00:00",) for d in (1, 1, 2, 9)], "d string").select(F.to_timestamp("d").alias("date"))
+    days.write.parquet(str(tmp_path / "days"))
+    run = daily_counts(spark.readStream.schema(days.schema).parquet(str(tmp_path / "days"))).writeStream.format("memory").queryName("days_out").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r.n for r in spark.table("days_out").collect()) == [1, 1, 2]
+
+
+def test_stream_of_files(spark, tmp_path):
+    synthetic.messages(spark, users=3).write.option("header", True).csv(str(tmp_path / "mail"))
+    run = messages.stream_messages(spark, str(tmp_path / "mail")).select("id").writeStream.format("memory").queryName("mail_out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert spark.table("mail_out").count() == synthetic.messages(spark, users=3).count()
+
+
+def test_answers(spark):
+    docs = spark.createDataFrame([("guide.md", "Escalations are reviewed by a human before anything happens.")], "source string, chunk string")
+    log = spark.createDataFrame([(1, "t", "consent_revoked", None, "admin", '{"a": 1}', "", "")], messages.AUDIT)
+    passages = retrieval.corpus(docs, log)
+    got = retrieval.answer("who reviews escalations", passages)
+    assert got["sources"][0]["source"] == "guide.md" and not got["generated"]
+    assert retrieval.answer("who reviews escalations", passages, generator=lambda q, p: "a human")["answer"] == "a human"
+    assert "Details: a=1." in passages.filter("source = 'audit_log'").first().text
+
+
 # --- registered queries
 
 

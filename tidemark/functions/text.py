@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,9 +151,14 @@ def recipients(*fields: Column) -> Column:
     return F.filter(F.transform(F.split(F.concat_ws(";", *fields), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def feature_columns(c: Column, tk: Column, urgency: tuple[str, ...] = URGENCY_PHRASES, lexicon: dict[str, tuple[str, ...]] = MANIPULATION_LEXICON) -> dict[str, Column]:
-    """All linguistic and stylometric features of a message; tk is a column that holds tokens(c)."""
-    polarity, subjectivity = sentiment(tk)
+Sentiment = Callable[[Column], tuple[Column, Column]]
+Tagger = Callable[[Column], dict[str, Column]]
+
+
+def feature_columns(c: Column, tk: Column, urgency: tuple[str, ...] = URGENCY_PHRASES, lexicon: dict[str, tuple[str, ...]] = MANIPULATION_LEXICON, scorer: Sentiment = sentiment, tagger: Tagger = pos_ratios) -> dict[str, Column]:
+    """All linguistic and stylometric features of a message; tk is a column that holds tokens(c). Other back ends for sentiment and
+    parts of speech take the tokens and give the same columns."""
+    polarity, subjectivity = scorer(tk)
     return {
         "sentiment_polarity": polarity,
         "sentiment_subjectivity": subjectivity,
@@ -168,5 +175,5 @@ def feature_columns(c: Column, tk: Column, urgency: tuple[str, ...] = URGENCY_PH
         "period_ratio": char_ratio(c, "."),
         "question_ratio": char_ratio(c, "?"),
         "ellipsis_count": ellipsis_count(c),
-        **pos_ratios(tk),
+        **tagger(tk),
     }

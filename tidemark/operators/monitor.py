@@ -44,6 +44,11 @@ def shifts(stats: DataFrame, order: str, settings: Settings | None = None) -> Da
     return out.withColumn("alert", F.coalesce(F.col("shift") >= s.shift_at, F.lit(False)))
 
 
+def stats_of_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Persisted snapshots as a row per snapshot and feature, ordered by their time."""
+    return snapshots.select("timestamp", F.explode("feature_distributions").alias("feature", "x")).select("timestamp", "feature", "x.mean", "x.std")
+
+
 def org_shift(stats: DataFrame, order: str, settings: Settings | None = None) -> bool:
     """Whether any feature's newest snapshot has moved."""
     newest = stats.agg(F.max(order).alias("x")).first()["x"]

@@ -5,13 +5,17 @@ from __future__ import annotations
 import hmac
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ROLE_PERMISSIONS, Settings
 from tidemark.operators.audit import AuditLog
 from tidemark.operators.drift import top_users
+from tidemark.operators.monitor import shifts, stats_of_snapshots
 from tidemark.operators.policy import recommend
+from tidemark.operators.privacy import revoke
+from tidemark.operators.retrieval import answer
+from tidemark.sources.sinks import write_ledger
 
 EXPOSED = ("date", "drift_score", "n_flagged", "flagged_features", "sentiment_polarity", "sentiment_subjectivity", "urgency_score", "social_engineering_score", "readability_flesch", "lexical_diversity", "contact_degree", "interaction_concentration")
 RECENT, RECENT_COLUMNS = 15, ("date", "drift_score", "n_flagged", "flagged_features", "sentiment_polarity", "urgency_score")
@@ -52,8 +56,6 @@ def allow_listed(df: DataFrame, allowed: tuple[str, ...] = EXPOSED) -> DataFrame
 
 def recent_messages(scored: DataFrame, user: str | None = None, n: int = RECENT, columns: tuple[str, ...] = RECENT_COLUMNS, order: tuple[str, ...] = ("date", "id")) -> DataFrame:
     """The newest rows of one user, or of each, in time order."""
-    from pyspark.sql import Window
-
     rows = scored if user is None else scored.filter(F.col("user") == user)
     w = Window.partitionBy("user").orderBy(*[F.desc(c) for c in order])
     rows = rows.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n)
@@ -117,14 +119,35 @@ class Service:
         advice = recommend(self.risk.filter(F.col("user") == user), flags, self.settings).first()
         sources = []
         if row["avg_drift_score"] >= self.settings.flag_at and self.passages is not None:
-            from tidemark.operators.retrieval import answer
-
             sources = answer("when is an escalation reviewed by a human", self.passages, 2)["sources"]
             steps.append("governance passages")
         steps.append("recommendation")
         self._log("investigation", user, {"action": advice["recommendation"]}, actor)
         return {"user": user, "risk": row, "recent_messages": recent, "repeat_flags": advice["repeat_flags"], "sources": sources, "recommendation": advice["recommendation"], "rationale": advice["rationale"], "steps": steps, "requires_human_review": True}
 
+    def audit_log_is_valid(self, spark: SparkSession) -> bool:
+        return self.log is None or self.log.verify(spark)
+
+    def newest_snapshot(self, snapshots: DataFrame, actor: str = "analyst") -> dict | None:
+        """The newest monitoring snapshot, and the features that moved since the one before."""
+        newest = snapshots.orderBy(F.desc("timestamp")).limit(1).collect()
+        if not newest:
+            return None
+        self._log("api_access", None, {"what": "snapshot"}, actor)
+        moved = shifts(stats_of_snapshots(snapshots), "timestamp", self.settings).filter((F.col("timestamp") == newest[0]["timestamp"]) & F.col("alert"))
+        return {"snapshot": newest[0].asDict(True), "moved": sorted(r["feature"] for r in moved.select("feature").collect())}  # a few features
+
+    def revoke_consent(self, ledger: DataFrame, path: str, user: str, actor: str) -> None:
+        write_ledger(revoke(ledger, user), path)
+        self._log("consent_revoked", None, {}, actor)
+
+    def ask(self, question: str, k: int = 4, actor: str = "analyst") -> dict:
+        """Passages, and an answer where a generator is given."""
+        if self.passages is None:
+            raise NotReady
+        self._log("rag_query", None, {"k": k}, actor)
+        return answer(question, self.passages, k, self.generator)
+
     def assistant(self, intent: str, parameters: dict | None = None) -> dict:
         """The intents of a conversational front end."""
         p = parameters or {}

@@ -46,6 +46,15 @@ def fit(df: DataFrame, kind: str = "forest", features: tuple[str, ...] = FEATURE
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model]).fit(weighted(df))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def predict_saved(path: str, df: DataFrame) -> DataFrame:
+    """Probabilities by a model that was saved."""
+    return predict(PipelineModel.load(path), df)
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """probability of label 1, and the prediction at one half."""
     drop = [c for c in ("features", "rawPrediction", "prediction") if c not in df.columns]

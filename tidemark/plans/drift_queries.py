@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.functions import text as T
-from tidemark.operators import audit, baseline, drift, fairness, monitor, network, policy, serve, trend
+from tidemark.operators import audit, baseline, drift, fairness, monitor, network, policy, retrieval, serve, trend
 from tidemark.plans.registry import Register
 from tidemark.plans.text_queries import CAPS, DIVERSITY, FUNCTION_RATIO, WORD_LENGTH
 from tidemark.sources import sinks
@@ -302,3 +302,14 @@ def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
     names = ("seq", "timestamp", "event_type", "user_pseudonym", "actor", "details", "prev_hash", "entry_hash")
     log = spark.createDataFrame([tuple(e[n] for n in names) for e in rows if e["seq"] != 15], "seq long, timestamp string, event_type string, user_pseudonym string, actor string, details string, prev_hash string, entry_hash string")
     return audit.links(log)
+
+
+@Q.add("""SELECT 'audit_log' AS source, 'Audit log entry at ' || strftime(ts, '%Y-%m-%d') || ': event ''' || event_type || ''' recorded by actor ''system'' for ' || CASE WHEN user_id % 5 = 0 THEN 'no user (system-level event)' ELSE 'emp_' || user_id END
+  || '. Details: ' || CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'score=' || event_id || ', why=test' END || '.' AS text FROM events""")
+def audit_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit entries as passages for retrieval."""
+    e = table(spark, sf, "events")
+    details = F.when(F.col("event_id") % 3 == 0, "{}").otherwise(F.format_string('{"score":%d,"why":"test"}', "event_id"))
+    user = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("emp_"), F.col("user_id").cast("string")))
+    log = e.select(F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), "event_type", F.lit("system").alias("actor"), user.alias("user_pseudonym"), details.alias("details"))
+    return retrieval.audit_sentences(log)

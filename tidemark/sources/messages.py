@@ -118,6 +118,19 @@ def read_audit(spark: SparkSession, path: str, last: int | None = None) -> DataF
     return log if last is None else log.orderBy(F.desc("seq")).limit(last).orderBy("seq")
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All monitoring snapshots that were appended to the path."""
+    stats = T.MapType(T.StringType(), T.StructType([T.StructField(n, T.DoubleType()) for n in ("mean", "std")]))
+    summary = T.StructType([T.StructField(n, T.DoubleType()) for n in ("mean_avg_drift", "share_users_flagged", "p90_avg_drift")])
+    schema = T.StructType([T.StructField("timestamp", T.StringType()), T.StructField("n_messages", T.LongType()), T.StructField("n_users", T.LongType()), T.StructField("feature_distributions", stats), T.StructField("risk_summary", summary)])
+    return spark.read.schema(schema).json(path)
+
+
+def stream_messages(spark: SparkSession, path: str, files: int = 1, schema: T.StructType = MESSAGE) -> DataFrame:
+    """Messages of a growing folder of CSV files, a bounded number of files at a time, repaired and parsed."""
+    return prepare(spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files).csv(path))
+
+
 def markdown_chunks(documents: DataFrame, source: str = "source", text: str = "text", least: int = 40) -> DataFrame:
     """Sections of Markdown texts, split before headings of up to three levels."""
     parts = documents.select(source, F.posexplode(F.split(F.col(text), "\\n(?=#{1,3} )")).alias("chunk_no", "chunk"))

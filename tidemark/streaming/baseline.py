@@ -51,7 +51,7 @@ def stream_contacts(messages: DataFrame, window: int) -> DataFrame:
         for r in pd.concat(list(chunks)).sort_values(["date", "id"]).itertuples(index=False):
             _, n = np.unique(past, return_counts=True) if past else (None, np.zeros(0))
             out.append((key[0], r.id, float(len(n)), float(((n / n.sum()) ** 2).sum()) if len(n) else 0.0))
-            past = [*past, *r.recipients][-window:]
+            past = [*past, *np.asarray(r.recipients).tolist()][-window:]
         state.update((past,))
         yield pd.DataFrame(out, columns=["user", "id", "contact_degree", "interaction_concentration"])
 
