@@ -240,10 +240,17 @@ def _links_of_block(least: float):
 
 
 def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links between the nodes of each key (key, node, label, n rows of the key) that differ in label. A key's nodes are cut into
-    blocks, and every two blocks meet in a group of their own: a group is bounded, and only links are emitted."""
-    rows = member.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    """Links between the nodes of each key (key, node, label) that differ in label. A key's nodes are cut into blocks, and the blocks of
+    nodes outside its largest component meet every block in a group of their own: a group is bounded, and only links are emitted."""
+    per = member.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("of_key"))
+    per = per.agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1")
+    # Blocks 0 .. few - 1 hold the nodes outside the key's largest component, the others those inside, which need not meet.
+    few = F.ceil((F.col("n") - F.col("main.n")) / block)
+    per = per.select("of_key", few.alias("few"), (few + F.ceil(F.col("main.n") / block)).alias("blocks"), F.col("main.label").alias("main"))
+    rows = member.join(per, F.col("key") == F.col("of_key")).withColumn("large", F.col("label") == F.col("main"))
+    at = F.xxhash64("node")
+    rows = rows.withColumn("own", F.when(F.col("large"), F.col("few") + F.pmod(at, F.col("blocks") - F.col("few"))).otherwise(F.pmod(at, "few")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("few")).otherwise(F.col("blocks")) - 1)))
     rows = rows.select("key", "node", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     rows = rows.join(texts.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node")).drop("of_node")
     found = rows.groupBy("key", "low", "high").applyInArrow(_links_of_block(least), "a long, b long")
@@ -311,8 +318,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = _relabelled(labels, links(rest, texts, least))
     # Buckets that still hold several components: their nodes are compared exactly, in blocks.
     member = cut(_with_label(met.select("key", "node"), labels, "node", "label"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select(F.col("key").alias("of_key"), "n")
-    member = member.join(mixed, F.col("key") == F.col("of_key")).drop("of_key")
     labels = _relabelled(labels, links_in_blocks(member, texts, least))
     classed = cut(_with_label(nodes.select("content", "node", "id", "void", "rows"), labels, "node", "label"))
     least_id = F.min(F.struct("void", "id", "node"))
