@@ -490,3 +490,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_nothing_else_imports_the_training_text_operators():
+    import re
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for f in (root / "tidemark").rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            assert not re.search(r"(?m)^\s*(from|import) .*\bllm\b", f.read_text()), f
