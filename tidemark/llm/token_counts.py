@@ -42,29 +42,44 @@ def tokenizer_digest(name: str) -> str:
 
 
 class WordCounts:
-    """Token counts of texts, by a bounded memory of words."""
+    """Token counts of texts, by a bounded memory of words. Words met for the first time are counted together, as most of them never
+    come again; at the second time a word is counted alone and remembered."""
 
     def __init__(self, name: str, most: int = WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(tokenizer_file(name)), {}, most
+        self.tokenizer, self.known, self.once, self.most = Tokenizer.from_file(tokenizer_file(name)), {}, set(), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
+    def _lengths(self, texts: list[bytes]) -> list[int]:
+        return [len(x) for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
     def count(self, text: bytes) -> int:
         words = text.split()  # of bytes: at ASCII white space alone
         try:
             return sum(map(self.known.__getitem__, words))
         except KeyError:
             pass
-        new, extra = list(dict.fromkeys(w for w in words if w not in self.known)), {}
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            # The words met first are the frequent ones: once the memory is full, it stays as it is.
-            (self.known if len(self.known) + len(part) <= self.most else extra).update(zip(part, map(len, found), strict=True))
-        return sum(self.known[w] if w in self.known else extra[w] for w in words)
+        total, first, again = 0, [], {}
+        for w in words:
+            n = self.known.get(w)
+            if n is not None:
+                total += n
+            elif w in self.once:
+                again[w] = again.get(w, 0) + 1
+            else:
+                first.append(w)
+                if len(self.once) < self.most:
+                    self.once.add(w)
+        total += sum(self._lengths([b" ".join(first[k : k + 4096]) for k in range(0, len(first), 4096)]))
+        for w, n in zip(again, self._lengths(list(again)), strict=True):
+            total += n * again[w]
+            if len(self.known) < self.most:  # the words met first are the frequent ones: once the memory is full, it stays as it is
+                self.known[w] = n
+                self.once.discard(w)
+        return total
 
 
 def _encoder(name: str):
