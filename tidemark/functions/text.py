@@ -32,8 +32,7 @@ def lexical_diversity(tk: Column) -> Column:
 
 
 def avg_word_length(tk: Column) -> Column:
-    total = F.aggregate(F.transform(tk, F.length), F.lit(0), lambda a, x: a + x)
-    return share(total, F.size(tk), 2)
+    return share(F.length(F.array_join(tk, "")), F.size(tk), 2)
 
 
 def caps_ratio(c: Column) -> Column:
@@ -113,7 +112,9 @@ def readability_flesch(c: Column, tk: Column) -> Column:
     """Flesch reading ease with vowel groups as syllables and [.!?] runs as sentence ends."""
     words = F.size(tk)
     sentences = F.greatest(F.regexp_count(text_of(c), F.lit("[.!?]+")), F.lit(1))
-    syllables = F.aggregate(F.transform(tk, lambda w: F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")), F.lit(1))), F.lit(0), lambda a, x: a + x)
+    # Vowel groups of all words at once, and one for each word without a vowel.
+    spaced = F.array_join(tk, " ")
+    syllables = F.regexp_count(spaced, F.lit("[aeiouy]+")) + F.regexp_count(spaced, F.lit("(?<![a-z'])[b-df-hj-np-tv-xz']+(?![a-z'])"))
     ease = F.lit(206.835) - F.lit(1.015) * (words.cast("double") / sentences) - F.lit(84.6) * (syllables.cast("double") / words)
     return F.when(words > 0, F.round(ease, 2)).otherwise(F.lit(0.0))
 

@@ -14,7 +14,7 @@ from tidemark.plans import drift_queries as D
 from tidemark.plans import pipeline
 from tidemark.plans.registry import Register
 from tidemark.sources import messages, synthetic
-from tidemark.sources.adapters import events, table
+from tidemark.sources.adapters import events, table, texts
 from tidemark.streaming.baseline import stream_baseline as stream_of
 
 Q = Register()
@@ -90,14 +90,14 @@ s AS (SELECT qw.q, w.k, sum(qw.w / qn.norm * w.w / nw.norm) AS score FROM qw JOI
 p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, k) AS place FROM s WHERE score > 0)
 SELECT q AS question_id, k AS chunk_id, CAST(place AS INTEGER) AS place, round(score, 6) AS score FROM p WHERE place <= 4""")
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    corpus = texts(spark, sf, "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     return retrieval.tfidf_top(corpus, asked).select("question_id", "chunk_id", "place", F.round("score", 6).alias("score"))
 
 
 @Q.add()
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    found = anomaly.isolation_forest(D.scored_documents(spark, sf), ("lexical_diversity", "function_word_ratio", "avg_word_length", "caps_ratio", "readability_flesch"), S)
+    found = anomaly.isolation_forest(anomaly.checkpointed(D.scored_documents(spark, sf)), ("lexical_diversity", "function_word_ratio", "avg_word_length", "caps_ratio", "readability_flesch"), S)
     return found.select("id", "anomaly_score", "is_anomaly")
 
 

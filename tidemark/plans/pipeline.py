@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions.text import feature_columns, recipients, tokens
 from tidemark.operators import fairness, monitor
-from tidemark.operators.anomaly import dbscan, isolation_forest
+from tidemark.operators.anomaly import checkpointed, dbscan, isolation_forest
 from tidemark.operators.audit import AuditLog
 from tidemark.operators.baseline import with_z
 from tidemark.operators.drift import flagged_rows, user_risk, with_drift
@@ -56,7 +56,7 @@ def run(messages: DataFrame, consented: DataFrame | None = None, settings: Setti
     scored = score(messages, consented, s)
     risk = user_risk(scored).join(trajectory(scored, s), "user", "left")
     if models:
-        scored, risk = isolation_forest(scored, settings=s), dbscan(risk, settings=s)
+        scored, risk = isolation_forest(checkpointed(scored), settings=s), dbscan(risk, settings=s)
     return Result(without_content(scored), suppress(risk, org_shift, s), warnings)
 
 
@@ -67,7 +67,7 @@ def run_and_persist(spark: SparkSession, messages: DataFrame, folder: str, conse
     warnings = validate(messages)
     found = score(messages, consented, s)
     if models:
-        found = isolation_forest(found, settings=s)
+        found = isolation_forest(checkpointed(found), settings=s)
     sinks.write_table(without_content(found), f"{folder}/scored_messages")
     scored = read_table(spark, f"{folder}/scored_messages")
     risk, shift = user_risk(scored).join(trajectory(scored, s), "user", "left"), False

@@ -11,7 +11,7 @@ from tidemark.functions.hashing import pads, pseudonym
 from tidemark.operators import privacy, profile
 from tidemark.plans.registry import Register
 from tidemark.sources import messages, synthetic
-from tidemark.sources.adapters import consent, documents, events, table
+from tidemark.sources.adapters import consent, events, table, texts
 
 Q = Register()
 
@@ -105,7 +105,7 @@ def label_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add(_TOKENS + f"""SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_tokens, {DIVERSITY} AS lexical_diversity, {WORD_LENGTH} AS avg_word_length FROM d""")
 def tokens_diversity(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tk"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("tk"))
     tk = F.col("tk")
     return d.select("doc_id", F.size(tk).cast("long").alias("n_tokens"), T.lexical_diversity(tk).alias("lexical_diversity"), T.avg_word_length(tk).alias("avg_word_length"))
 
@@ -113,20 +113,20 @@ def tokens_diversity(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add(f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS message_length, {CAPS} AS caps_ratio, {share_sql("((length(text) - length(replace(text, '!', ''))) * 100)", "length(text)")} AS exclamation_ratio FROM documents""")
 def surface_features(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.length(c).cast("long").alias("message_length"), T.caps_ratio(c).alias("caps_ratio"), T.exclamation_ratio(c).alias("exclamation_ratio"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", F.length(c).cast("long").alias("message_length"), T.caps_ratio(c).alias("caps_ratio"), T.exclamation_ratio(c).alias("exclamation_ratio"))
 
 
 @Q.add(f"WITH d AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, {_score_sql(PROSE)} AS prose_score, {_score_sql(URGENCY_PHRASES)} AS urgency_score FROM d")
 def phrase_score(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", T.phrase_score(c, PROSE).alias("prose_score"), T.phrase_score(c).alias("urgency_score"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", T.phrase_score(c, PROSE).alias("prose_score"), T.phrase_score(c).alias("urgency_score"))
 
 
 @Q.add(f"""WITH d AS (SELECT doc_id, lower(text) AS low FROM documents), p AS (SELECT doc_id, low, unnest({_list(PROSE)}) AS phrase FROM d),
 s AS (SELECT doc_id, low, phrase, unnest(range(1, length(low) - length(phrase) + 2)) AS i FROM p WHERE contains(low, phrase))
 SELECT doc_id, phrase, CAST(i + length(phrase) - 2 AS BIGINT) AS end_index FROM s WHERE substr(low, i, length(phrase)) = phrase""")
 def phrase_scan(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.explode(T.phrase_scan(F.col("text"), PROSE)).alias("x"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", F.explode(T.phrase_scan(F.col("text"), PROSE)).alias("x"))
     return d.select("doc_id", "x.phrase", F.col("x.end_index").cast("long").alias("end_index"))
 
 
@@ -137,19 +137,19 @@ _CATS = {**PROSE_LEXICON, **MANIPULATION_LEXICON}
 def category_scores(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("text")
     scores = {**T.category_scores(c, PROSE_LEXICON), **T.category_scores(c)}
-    return table(spark, sf, "documents").select("doc_id", *[x.alias(n) for n, x in scores.items()], T.manipulation_score(c, PROSE_LEXICON).alias("prose_mean"), T.manipulation_score(c).alias("social_engineering_score"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", *[x.alias(n) for n, x in scores.items()], T.manipulation_score(c, PROSE_LEXICON).alias("prose_mean"), T.manipulation_score(c).alias("social_engineering_score"))
 
 
 @Q.add(_TOKENS + r"""SELECT doc_id, CASE WHEN len(tk) > 0 THEN round(206.835::DOUBLE - 1.015::DOUBLE * (len(tk)::DOUBLE / greatest(len(regexp_extract_all(text, '[.!?]+')), 1))
   - 84.6::DOUBLE * (list_sum(list_transform(tk, lambda t: greatest(len(regexp_extract_all(t, '[aeiouy]+')), 1)))::DOUBLE / len(tk)), 2) ELSE 0 END AS readability_flesch FROM d""")
 def flesch_regex(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("tk"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", "text", T.tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", T.readability_flesch(F.col("text"), F.col("tk")).alias("readability_flesch"))
 
 
 @Q.add(_TOKENS + f"SELECT doc_id, {FUNCTION_RATIO} AS function_word_ratio FROM d")
 def function_words(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tk"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", T.function_word_ratio(F.col("tk")).alias("function_word_ratio"))
 
 
@@ -160,7 +160,7 @@ def _ratio_sql(char: str) -> str:
 @Q.add(f"SELECT doc_id, {_ratio_sql(',')} AS comma_ratio, {_ratio_sql('.')} AS period_ratio, {_ratio_sql('?')} AS question_ratio, CAST(len(regexp_extract_all(text, '\\.\\.\\.')) AS BIGINT) AS ellipsis_count FROM documents")
 def punctuation(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", *[T.char_ratio(c, x).alias(f"{n}_ratio") for n, x in (("comma", ","), ("period", "."), ("question", "?"))], T.ellipsis_count(c).cast("long").alias("ellipsis_count"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", *[T.char_ratio(c, x).alias(f"{n}_ratio") for n, x in (("comma", ","), ("period", "."), ("question", "?"))], T.ellipsis_count(c).cast("long").alias("ellipsis_count"))
 
 
 def _share_sql(words: tuple[str, ...]) -> str:
@@ -170,7 +170,7 @@ def _share_sql(words: tuple[str, ...]) -> str:
 @Q.add(_TOKENS + f""", s AS (SELECT doc_id, {_share_sql(POSITIVE_WORDS)} AS g, {_share_sql(NEGATIVE_WORDS)} AS b, len(tk) AS n FROM d)
 SELECT doc_id, {share_sql("(g - b)", "(g + b)")} AS sentiment_polarity, {share_sql("(g + b)", "n")} AS sentiment_subjectivity FROM s""")
 def sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tk"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("tk"))
     polarity, subjectivity = T.sentiment(F.col("tk"))
     return d.select("doc_id", polarity.alias("sentiment_polarity"), subjectivity.alias("sentiment_subjectivity"))
 
@@ -180,7 +180,7 @@ _KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{e}') THEN '{k}'" for k, e
 
 @Q.add(_TOKENS + f", s AS (SELECT doc_id, list_transform(tk, lambda t: {_KIND}) AS k FROM d) SELECT doc_id, " + ", ".join(share_sql(f"len(list_filter(k, lambda x: x = '{p}'))", "len(k)") + f" AS {p}_ratio" for p in ("noun", "verb", "adj", "adv")) + " FROM s")
 def pos_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tk"))
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", *[x.alias(n) for n, x in T.pos_ratios(F.col("tk")).items()])
 
 

@@ -6,16 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes up to which a table in few files is dealt out anew.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores is dealt out to all of them; others are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, of which every row takes some work."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").alias("date"), F.col("event_id").alias("id"), "value")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("user"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return texts(spark, sf_dir, "source", "doc_id", "text").select(F.col("source").alias("user"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
