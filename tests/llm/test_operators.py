@@ -527,6 +527,29 @@ def test_long_texts_come_in_pieces(monkeypatch, spark):
     assert suffix_rows(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == removed(rows)
 
 
+def test_kept_bytes(docs):
+    want = suffix_rows(suffix_dedup.remove_repeats(docs))
+    got = collections.Counter(hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffix_dedup.kept_bytes(docs).collect())
+    assert got == collections.Counter(k[4] for k in want.elements())
+
+
+def test_sequences_hold_the_ids(docs):
+    plain = library("byte_bpe_50k.json")
+    pieces = packing.pack(docs, with_ids=True)
+    got = {r.sequence_id: np.frombuffer(bytes(r.ids), "<u4") for r in packing.sequences(pieces).collect()}
+    assert all(len(x) == 1024 for k, x in got.items() if k < max(got))
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for p in pieces.limit(40).collect():
+        ids = [*plain.encode(text[p.doc_id], add_special_tokens=False).ids, 0]
+        assert got[p.sequence_id][p.offset : p.offset + p.length].tolist() == ids[p.start : p.start + p.length]
+
+
+def test_shards_are_written(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()} and got.groupBy("shard").count().count() == 16
+
+
 # --- pipeline
 
 

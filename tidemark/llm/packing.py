@@ -133,7 +133,7 @@ def layout(tokens: DataFrame, weights: dict[str | None, float] | None = None, wi
     return placed.select("tag", "window", "at")
 
 
-def _cut_up(length: int):
+def _cut_up(length: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
@@ -146,24 +146,33 @@ def _cut_up(length: int):
             sequence = first[row] + nth
             begin = np.maximum(at[row], sequence * length)
             end = np.minimum(at[row] + n[row], (sequence + 1) * length)
-            start, crc, last, ids = begin - at[row], np.zeros(len(row), np.int64), -1, b""
+            start, crc, last, ids, kept = begin - at[row], np.zeros(len(row), np.int64), -1, b"", []
             for k, (r, a, b) in enumerate(zip(row.tolist(), start.tolist(), (end - at[row]).tolist(), strict=True)):
                 if r != last:
                     last, own = r, raw[r].as_py()
                     ids = np.frombuffer(own, "<u2").astype("<u4").tobytes() if len(own) == 2 * n[r] else own
                 crc[k] = zlib.crc32(ids[4 * a : 4 * b])
+                if with_ids:
+                    kept.append(ids[4 * a : 4 * b])
             values = [batch.column("id").take(pa.array(row)), start, end - begin, crc, n[row], sequence, begin - sequence * length]
-            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for v in values], names=names)
+            columns = [v if isinstance(v, pa.Array) else pa.array(v, pa.int64()) for v in values]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, length: int = LENGTH, window: int = WINDOW, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+    """One row per piece of a document in a sequence, on request with its ids as little-endian unsigned 32-bit numbers."""
     tokens = tokenized(docs, id_col, text_col, source_col, tokenizer)
     places = layout(tokens, weights, window).select(F.col("tag").alias("of_tag"), "at")
     joined = tokens.join(places, F.col("tag") == F.col("of_tag")).select("id", "n", "ids", "at")
-    return joined.mapInArrow(_cut_up(length), PIECES)
+    return joined.mapInArrow(_cut_up(length, with_ids), PIECES + ", ids binary" * with_ids)
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id and its ids, of pieces with ids; a sequence has at most as many pieces as tokens."""
+    parts = pieces.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", F.aggregate("parts", F.unhex(F.lit("")), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

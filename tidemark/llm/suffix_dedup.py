@@ -499,6 +499,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.select("id", "text", "spans")
 
 
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = strings(batch.column("text"))
+        out = []
+        for k, spans in enumerate(batch.column("spans").to_pylist()):
+            whole, at = data[offsets[k] : offsets[k + 1]].tobytes(), 0
+            parts = []
+            for a, b in merged(np.frombuffer(spans or b"", "<u4").astype(np.int64).reshape(-1, 2)).tolist():
+                parts.append(whole[at:a])
+                at = b
+            out.append(b"".join([*parts, whole[at:]]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "kept"])
+
+
+def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Per row: id and the bytes that stay; a cut may split a character."""
+    return repeated_spans(docs, id_col, text_col, length).mapInArrow(_kept, "id long, kept binary").withColumn("id", F.nullif("id", F.lit(NO_ID)))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256."""
     found = repeated_spans(docs, id_col, text_col, length).mapInArrow(_removed, REMOVED)
