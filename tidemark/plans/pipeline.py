@@ -34,19 +34,21 @@ class Result:
 
 
 def featured(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
-    """Network features on raw addresses, consent, pseudonyms, text features. The gate and the windows share their key."""
+    """Network features on raw addresses, consent, text features. The gate and all windows share their key, the user."""
     s = settings or Settings()
     df = messages.withColumn("recipients", recipients(F.col("to"), F.col("cc"), F.col("bcc")))
     df = with_network(df, s.window)
     if consented is not None:
         df = consent_gate(df, consented, s.consent_required)
-    df = pseudonymize(df, s).withColumn("tk", tokens(F.col("content")))
+    df = df.withColumn("tk", tokens(F.col("content")))
     return df.withColumns(feature_columns(F.col("content"), F.col("tk"), s.urgency, s.lexicon)).drop("tk")
 
 
 def score(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
+    """Drift of every message, under pseudonyms. They are one to one with users and come last, so that the windows of networks and
+    baselines share one exchange."""
     s = settings or Settings()
-    return with_drift(with_z(featured(messages, consented, s), TRACKED, s.window), TRACKED, s)
+    return pseudonymize(with_drift(with_z(featured(messages, consented, s), TRACKED, s.window), TRACKED, s), s)
 
 
 def run(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None, org_shift: bool = False, models: bool = True) -> Result:
