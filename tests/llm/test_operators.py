@@ -261,6 +261,21 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert clean[3] == own(3) and 100 not in clean
 
 
+def test_lines_of_copies_and_of_large_hosts_go_on_request(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are all the same in a normal line
+    own = lambda i: " ".join(f"o{i}w{k}".translate(letters) for k in range(60))
+    menu = "\n".join(" ".join(f"menu{k}{j}".translate(letters) for j in range(5)) for k in range(14))
+    rows = [(i, own(0), "copied") for i in range(60)]
+    rows += [(100 + i, own(100 + i) + f"\n{menu}" * (i < 30), "large") for i in range(400)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.line_verdicts(t, most=25, copies=True).toPandas().set_index("id")
+    assert not got.kept[list(range(60))].any() and not got.kept[[100 + i for i in range(30)]].any()
+    assert got.kept[[130 + i for i in range(370)]].all()
+    assert set(r.doc_id for r in line_rules.cleaned_documents(t, most=25, copies=True).collect()) == {130 + i for i in range(370)}
+    found = line_rules.frequent_lines(line_rules.scan(t), most=25).collect()
+    assert [(r.of_host, r.docs) for r in found] == [("large", 30)] * 14  # by content, the copies are one document
+
+
 # --- chat
 
 

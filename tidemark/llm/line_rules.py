@@ -4,7 +4,8 @@ Lines are normalised (white space runs to one space, ASCII letters lower-cased,
 the distinct documents with a line are counted. A line of more documents than the limit (a share of the host's
 documents, and a least number) is removed, and a document that thereby loses more than half of its words is
 depleted and rejected. Documents are counted by content: the copies of one text are one document, so that copying a
-text does not turn its lines into boilerplate. Base statistics of the whole text stand beside the verdict.
+text does not turn its lines into boilerplate. With copies=True every document counts, and a line above `most` documents
+goes whatever its share of the host is. Base statistics of the whole text stand beside the verdict.
 
 One scan of the text yields the statistics and, for each distinct line of a row, a hash and the words it holds; all
 later steps shuffle only those, pre-aggregated, and join by (host, line) so that a line that is everywhere is split.
@@ -127,19 +128,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     return cut(rows.mapInArrow(_scan, SCANNED).withColumn("tag", F.monotonically_increasing_id()))
 
 
-def frequent_lines(scanned: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """Host, line and number of documents of the lines above the limit."""
-    lines = scanned.select("host", "content", F.explode("lines").alias("line")).distinct()
+def frequent_lines(scanned: DataFrame, share: float = SHARE, least: int = LEAST, most: int | None = None, copies: bool = False) -> DataFrame:
+    """Host, line and number of documents of the lines above the limit: share and least, or most alone."""
+    document = ["host", "content", *["id"] * copies]
+    lines = scanned.select(*document, F.explode("lines").alias("line")).distinct()
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs"))
-    hosts = scanned.select("host", "content").distinct().groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
-    found = counts.filter(F.col("docs") > least).join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
-    return found.filter(F.col("docs") > F.col("host_docs") * F.lit(float(share))).select(F.col("host").alias("of_host"), F.col("line").alias("of_line"), "docs")
+    hosts = scanned.select(*document).distinct().groupBy(F.col("host").alias("of_host")).agg(F.count("*").alias("host_docs"))
+    found = counts.filter(F.col("docs") > (least if most is None else min(least, most))).join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
+    above = (F.col("docs") > least) & (F.col("docs") > F.col("host_docs") * F.lit(float(share)))
+    return found.filter(above if most is None else above | (F.col("docs") > most)).select(F.col("host").alias("of_host"), F.col("line").alias("of_line"), "docs")
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST, most: int | None = None, copies: bool = False) -> DataFrame:
     """Per row: id, text_key, the base statistics, removed_words, removed (hashes of its removed lines), base_failed, kept."""
     rows = scan(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(rows, share, least)
+    frequent = frequent_lines(rows, share, least, most, copies)
     lines = rows.select("tag", "host", F.explode(F.arrays_zip("lines", "words")).alias("x")).select("tag", "host", "x.lines", "x.words")
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("lines") == F.col("of_line")))
     lost = hit.groupBy(F.col("tag").alias("of_tag")).agg(F.sum("words").alias("lost"), F.collect_list("lines").alias("removed"))
@@ -167,10 +170,10 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST, most: int | None = None, copies: bool = False) -> DataFrame:
     """The documents that are kept, with all their columns, and the text without its frequent lines."""
     of_id, of_key, gone, key = fresh(docs, "_of_id", "_of_key", "_gone", "_key")
-    found = line_verdicts(docs, id_col, text_col, host_col, share, least).filter("kept")
+    found = line_verdicts(docs, id_col, text_col, host_col, share, least, most, copies).filter("kept")
     found = found.groupBy(F.col("id").alias(of_id), F.col("text_key").alias(of_key)).agg(F.max("removed").alias(gone))
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = rows.join(found, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)))
