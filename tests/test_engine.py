@@ -463,6 +463,15 @@ def test_stream_equals_batch(spark, sf):
     assert a == b
 
 
+def test_daily_volume_counts_all_events_and_fills_gaps(spark, tmp_path):
+    days = (1, 1, 2, 5, 5, 5)
+    rows = [(k, k + 2, f"2020-01-0{d} 10:00:00") for k, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t string").select("event_id", "user_id", F.to_timestamp("t").alias("ts"), F.lit(1.0).alias("value"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["daily_volume"](spark, str(tmp_path)).orderBy("day").collect()
+    assert [(r.day[-2:], r.n) for r in got] == [("01", 2), ("02", 1), ("03", 0), ("04", 0), ("05", 3)]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, sf, name):
     import duckdb

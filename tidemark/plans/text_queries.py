@@ -245,6 +245,15 @@ def daily_volume_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
+@Q.add("""
+WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), r AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c)
+SELECT strftime(r.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM r LEFT JOIN c ON r.day = c.day
+""")
+def daily_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all events."""
+    return profile.daily_volume(events(spark, sf)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
 @Q.add()
 def synthetic_messages(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.messages(spark, seed=Settings().seed)
