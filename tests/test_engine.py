@@ -420,6 +420,19 @@ def test_models_are_saved(spark, tmp_path):
     assert ranking.count() == 5
 
 
+def test_model_queries_fit_the_whole_models(spark, sf, monkeypatch):
+    fits, fit = [], supervised.fit
+
+    def small(df, kind, settings=None, rounds=None):
+        fits.append((kind, rounds))
+        return fit(df, kind, settings=settings, rounds=2)
+
+    monkeypatch.setattr(supervised, "fit", small)
+    for name in ("random_forest", "gradient_boosting", "attribution"):
+        catalog.QUERIES[name](spark, sf)
+    assert fits == [("forest", None), ("boosting", None), ("forest", None)]
+
+
 def test_streams_of_contacts_and_days(spark, tmp_path):
     from tidemark.streaming.baseline import daily_counts, stream_contacts
 

@@ -108,26 +108,26 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return supervised.training_rows(risk, spread.withColumn("is_malicious_insider", F.coalesce("is_malicious_insider", F.lit(0)) * (F.col("user") % 2).cast("int")))
 
 
-def _fitted(spark: SparkSession, sf: str, kind: str, rounds: int) -> tuple:
+def _fitted(spark: SparkSession, sf: str, kind: str) -> tuple:
     rows = anomaly.checkpointed(supervised.stratified_split(_labelled(spark, sf)))
-    return supervised.fit(rows.filter(~F.col("is_test")), kind, settings=S, rounds=rounds), rows
+    return supervised.fit(rows.filter(~F.col("is_test")), kind, settings=S), rows
 
 
 @Q.add()
 def random_forest(spark: SparkSession, sf: str) -> DataFrame:
-    model, rows = _fitted(spark, sf, "forest", 40)
+    model, rows = _fitted(spark, sf, "forest")
     return supervised.predict(model, rows).select("user", "label", "is_test", "probability", "predicted")
 
 
 @Q.add()
 def gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
-    model, rows = _fitted(spark, sf, "boosting", 20)
+    model, rows = _fitted(spark, sf, "boosting")
     return supervised.predict(model, rows).select("user", "label", "is_test", "probability", "predicted")
 
 
 @Q.add()
 def attribution(spark: SparkSession, sf: str) -> DataFrame:
-    model, rows = _fitted(spark, sf, "forest", 20)
+    model, rows = _fitted(spark, sf, "forest")
     return supervised.attribution(model, rows, settings=S)
 
 
