@@ -466,6 +466,13 @@ def test_windows_hold_the_mixture(spark):
         packing.layout(t, {"a": 0})
 
 
+def test_sequences_hold_the_mixture(spark):
+    rows = [(i, "some words of text " * 6, f"s{i % 20:02}") for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    held = got.assign(source=got.doc_id % 20).groupby("sequence_id").source.nunique()
+    assert len(held) > 64 and held.iloc[:-1].min() == 20
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "é", "<|", "'s", "12"]), max_size=10).map("".join)))
 def test_encoder_equals_the_library(text):

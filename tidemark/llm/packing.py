@@ -5,7 +5,8 @@ share of the window; a document leaves its queue in the first window in which th
 left of the credit is carried on. That is deficit round-robin, and it has a closed form: with quantum q, a document
 whose tokens end at b in its queue leaves in window ceil(b / q). So deficits carry across windows and partitions without
 any task running through the queues: prefix sums per source give the windows, prefix sums over windows give each
-document's place in one stream of tokens, and the stream is cut into sequences. Only its last sequence is padded.
+document's place in one stream of tokens, and the stream is cut into sequences. Within a window documents follow each other
+as their credit covers them, by b / q, so that sequences carry the mixture too. Only the last sequence is padded.
 
 Prefix sums are taken in two steps (sums per bucket, then rows within a bucket), so no source is ordered in one task.
 Tokens are written once to the shared folder; the layout reads only their number.
@@ -126,10 +127,10 @@ def layout(tokens: DataFrame, weights: dict[str | None, float] | None = None, wi
     per = cut(per.select(F.col("source").alias("of"), "quantum"))
     queued = _before(rows.withColumn("b", F.floor(F.col("u") * buckets)), ["source"], "b", ["u", "tag"], "ahead").drop("b")
     queued = queued.join(per, F.col("source").eqNullSafe(F.col("of"))).withColumn("window", F.floor((F.col("ahead") + F.col("n") - 1) / F.col("quantum")))
-    queued = cut(queued.select("tag", "source", "n", "ahead", "window"))
+    queued = cut(queued.select("tag", "source", "n", "ahead", "window", ((F.col("ahead") + F.col("n")) / F.col("quantum")).alias("due")))
     last = queued.agg(F.max("window")).first()[0] or 0
     stretch = max(1, (last + 1) // buckets)
-    placed = _before(queued.withColumn("b", F.floor(F.col("window") / stretch)), [], "b", ["window", F.col("source").asc_nulls_last(), "ahead", "tag"], "at")
+    placed = _before(queued.withColumn("b", F.floor(F.col("window") / stretch)), [], "b", ["window", "due", F.col("source").asc_nulls_last(), "ahead", "tag"], "at")
     return placed.select("tag", "window", "at")
 
 
