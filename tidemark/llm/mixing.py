@@ -4,7 +4,8 @@ Every source gets a target of words by its weight, at most `most` times what it
 by weight among the others. A source's rate f = target / size gives each of its documents floor(f) certain whole copies.
 One more copy is drawn for a fixed-size sample with inclusion probability p = f - floor(f): each document has the
 Pareto rank [u / (1 - u)] / [p / (1 - p)] from a uniform u of its id, and those of the lowest ranks are drawn as long as
-they stay below what is left of the target. The rest that no whole document in turn fits is filled by the one open
+they stay below what is left of the target. As p is the same for all documents of a source, this is sampling with
+equal probabilities within it. The rest that no whole document in turn fits is filled by the one open
 document whose size is nearest to it, so that a long document at the end leaves no gap.
 
 Ranks are cut into buckets of bounded size, and only sums per bucket are accumulated over a source, so that
