@@ -293,6 +293,16 @@ def test_isolation_forest_flags_the_odd_share(spark):
     assert 15 <= got.is_anomaly.sum() <= 21 and got.is_anomaly[380:].sum() >= 15
 
 
+def test_isolation_forest_samples_rows_not_values(spark, monkeypatch):
+    rows = [(k, 0.0 if k % 2 else float(k)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, a double")
+    seen, grow = [], anomaly.grow_tree
+    monkeypatch.setattr(anomaly, "grow_tree", lambda x, rng: seen.append((x == 0).mean()) or grow(x, rng))
+    for seed in range(4):
+        anomaly.fit_forest(df, ("a",), Settings(seed=seed, trees=4, tree_rows=100))
+    assert len(seen) == 16 and 0.3 < min(seen) and max(seen) < 0.7  # half of the rows are copies
+
+
 def test_evaluation(spark):
     rows = [(1, 0.9), (1, 0.4), (0, 0.6), (0, 0.1), (0, 0.4)]
     df = spark.createDataFrame(rows, "label int, probability double").withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))

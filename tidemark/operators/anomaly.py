@@ -77,21 +77,21 @@ def forest_scores(x: np.ndarray, trees: list[tuple], rows: int) -> np.ndarray:
     return 2.0 ** -(total / len(trees) / max(float(_path_norm(rows)), 1e-9))
 
 
-def fit_forest(df: DataFrame, features: tuple[str, ...], settings: Settings) -> tuple[list[tuple], int]:
-    """Trees from a bounded sample: at most trees x rows of them reach the driver."""
+def fit_forest(df: DataFrame, features: tuple[str, ...], settings: Settings, id_col: str = "id") -> tuple[list[tuple], int]:
+    """Trees from a bounded sample, uniform over rows by a hash of the id: at most trees x rows of them reach the driver."""
     cap = settings.trees * settings.tree_rows
-    key = F.xxhash64(F.lit(settings.seed), *features)
-    x = df.na.fill(0.0, list(features)).select(*features, key.alias("_k")).orderBy("_k").limit(cap).drop("_k").toPandas().to_numpy(float)
+    key = F.xxhash64(F.lit(settings.seed), id_col)
+    x = df.na.fill(0.0, list(features)).select(*features, key.alias("_k")).orderBy("_k", *features).limit(cap).drop("_k").toPandas().to_numpy(float)
     rng = np.random.default_rng(settings.seed)
     rows = min(settings.tree_rows, len(x))
     return [grow_tree(x[rng.choice(len(x), rows, replace=False)], rng) for _ in range(settings.trees)] if len(x) else [], rows
 
 
-def isolation_forest(df: DataFrame, features: tuple[str, ...] = MESSAGE_FEATURES, settings: Settings | None = None) -> DataFrame:
+def isolation_forest(df: DataFrame, features: tuple[str, ...] = MESSAGE_FEATURES, settings: Settings | None = None, id_col: str = "id") -> DataFrame:
     """anomaly_score and is_anomaly, which holds for the given share of rows."""
     s = settings or Settings()
     features = tuple(f for f in features if f in df.columns)
-    trees, rows = fit_forest(df, features, s)
+    trees, rows = fit_forest(df, features, s, id_col)
     if not trees:
         return df.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)})
     model = df.sparkSession.sparkContext.broadcast((trees, rows))  # bounded by trees and their rows
