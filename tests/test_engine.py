@@ -399,6 +399,17 @@ def test_pipeline(spark):
     assert len(risk) == 7 and all(x.user.startswith("emp_") and 0 <= x.avg_drift_score <= 10 for x in risk)
 
 
+def test_message_pipeline_runs_over_the_given_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("trim(text) <> '' AND trim(source) <> ''")
+    got = catalog.QUERIES["message_pipeline"](spark, sf).collect()
+    assert sum(r.n_messages for r in got) == docs.count() > 0 and len(got) == docs.select("source").distinct().count()
+
+
+def test_pipeline_over_synthetic_messages_with_models(spark):
+    risk = pipeline.run(messages.prepare(synthetic.messages(spark, users=20)), None, Settings(window=10, trees=50)).risk.collect()
+    assert len(risk) == 20 and all(r.cluster >= -1 for r in risk)
+
+
 def test_run_and_persist(spark, tmp_path):
     rows = messages.prepare(synthetic.messages(spark, users=8))
     log = audit.AuditLog(str(tmp_path / "audit.jsonl"))

@@ -13,8 +13,8 @@ from tidemark.operators import anomaly, retrieval, supervised
 from tidemark.plans import drift_queries as D
 from tidemark.plans import pipeline
 from tidemark.plans.registry import Register
-from tidemark.sources import messages, synthetic
-from tidemark.sources.adapters import events, table, texts
+from tidemark.sources import messages
+from tidemark.sources.adapters import events, mails, table, texts
 from tidemark.streaming.baseline import stream_baseline as stream_of
 
 Q = Register()
@@ -148,8 +148,6 @@ def stream_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add()
 def message_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole batch pipeline over synthetic messages: user risk with trend, cluster and policy."""
-    rows = messages.prepare(synthetic.messages(spark))
-    settings = Settings(window=10, trees=50)
-    risk = pipeline.run(rows, None, settings).risk
+    """The whole batch pipeline over the documents as messages: user risk with trend, cluster and policy."""
+    risk = pipeline.run(messages.prepare(mails(spark, sf)), None, S).risk
     return risk.select("user", F.round("avg_drift_score", 6).alias("avg_drift_score"), "n_messages", "n_flagged_messages", "trend_slope", "cluster", "cohort_z_score", "escalation_recommended")

@@ -34,6 +34,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "source", "doc_id", "text").select(F.col("source").alias("user"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages: their source writes one a second, in the order of their ids, to the readers of their language."""
+    rows = texts(spark, sf_dir, "source", "doc_id", "text", "lang")
+    none = F.lit("")
+    return rows.select(
+        F.col("doc_id").alias("id"),
+        F.timestamp_seconds("doc_id").alias("date"),
+        F.col("source").alias("user"),
+        F.concat("lang", F.lit("@example.org")).alias("to"),
+        none.alias("cc"),
+        none.alias("bcc"),
+        F.concat("source", F.lit("@example.org")).alias("from"),
+        F.length("text").cast("string").alias("size"),
+        F.lit("0").alias("attachments"),
+        F.col("text").alias("content"),
+    )
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as senders and suppliers as recipients of their orders; orders without lines have none."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
