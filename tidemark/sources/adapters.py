@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes up to which a table in few files is dealt out anew.
-SMALL = 256 << 20
+def dealt(df: DataFrame) -> DataFrame:
+    """Files are read as they lie; a session that sets tidemark.deal (bench.py, over tables of one file with one row group) has their rows
+    dealt out to so many partitions first."""
+    n = df.sparkSession.conf.get("tidemark.deal", None)
+    return df.repartition(int(n)) if n else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table in fewer files than there are cores is dealt out to all of them; others are read as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL
-    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+spread = dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents, of which every row takes some work."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    """The documents' columns."""
+    return dealt(table(spark, sf_dir, "documents").select(*columns))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
