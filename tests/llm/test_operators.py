@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import chat, exact_dedup, line_rules, mixing, near_dedup, packing, registry, sharding, suffix_dedup, token_counts, toxicity
-from tidemark.llm.common import tokenizer_file
+from tidemark.llm.common import cut, mark, numbered, tokenizer_file, uniform_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{k % 977}x{k * k % 313}" for k in range(60_000))
@@ -196,7 +196,7 @@ def test_dart_signatures_estimate_weighted_similarity():
 
 def test_mixing(nasty, nothing, docs):
     for table in (nasty, docs):
-        got = mixing.mix_sources(table, bucket=8).toPandas()
+        got = mixing.mix_sources(table).toPandas()
         size = collections.Counter()
         for r in table.select("source", "text").collect():
             size[r[0]] += len(words(r[1]))
@@ -216,11 +216,50 @@ def test_mixing(nasty, nothing, docs):
             s = s if isinstance(s, str) else None
             assert np.allclose(g.target, target[s], rtol=1e-9)
             assert abs((g.copies * g["size"]).sum() - target[s]) <= max(g["size"].max(), 1)
-        again = mixing.mix_sources(table, bucket=1000).toPandas()
+        again = mixing.mix_sources(table, few=0).toPandas()  # joined with salt
         assert sorted(map(str, got[["id", "size", "copies"]].to_numpy())) == sorted(map(str, again[["id", "size", "copies"]].to_numpy()))
     mixed = mixing.mixed_documents(nasty)
-    assert mixed.columns == nasty.columns
-    assert mixing.mix_sources(nothing).count() == 0
+    assert mixed.columns == nasty.columns and mixed.count() == mixing.mix_sources(nasty).agg({"copies": "sum"}).first()[0]
+    assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    text = "ten words of text that are all the same here"
+    null = spark.createDataFrame([(None, text, f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string").repartition(5)
+    rows = [(i if i > 400 else 7, text if i <= 400 else text[: 6 + i % 38], "abc"[i % 3]) for i in range(3000)]
+    for t in (null, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)):
+        got = mixing.mix_sources(t).toPandas()
+        for _, g in got.groupby("source"):
+            assert abs((g.copies * g["size"]).sum() - g.target.iloc[0]) <= 10 and g.copies.max() - g.copies.min() <= 1
+        mixed = mixing.mixed_documents(t).groupBy("source").count().toPandas().set_index("source")["count"]
+        assert mixed.to_dict() == got.groupby("source").copies.sum().to_dict()
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    """Many sources of the same texts are many draws: each size class is drawn as often as its p says, and so is each document."""
+    texts = [" ".join(["w"] * n) for n in (1, 2, 3, 5, 9, 14, 20, 33, 47, 70, 120, 260)] * 6
+    docs = spark.createDataFrame([(i, t, f"{s:03}") for s in range(210) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).toPandas()
+    got["drawn"] = got.copies - np.floor(got.target / got.source_size)
+    got["rate"] = (got.target / got.source_size).round(6)
+    assert got.rate.nunique() == 3 and got[got.p < 1].groupby("rate").p.nunique().min() > 2  # unequal within a source
+    for _, g in got[got.p < 1].groupby(["rate", "size"]):
+        p, n = g.p.iloc[0], len(g)
+        assert g.p.nunique() == 1 and abs(g.drawn.mean() - p) <= 3 * np.sqrt(p * (1 - p) / n) + 0.02  # the cut in words has a bias of a document
+    for _, g in got[got.p < 1].groupby(["rate", "id"]):
+        p, n = g.p.iloc[0], len(g)
+        assert abs(g.drawn.mean() - p) <= 4.5 * np.sqrt(p * (1 - p) / n) + 0.02
+    assert (got[got.p >= 1].drawn == 1).all()
+    for _, g in got.groupby("source"):
+        assert abs((g.p * g["size"]).sum() + (np.floor(g.target / g.source_size) * g["size"]).sum() - g.target.iloc[0]) < 1e-6
+
+
+def test_rows_that_agree_are_numbered_apart(spark):
+    rows = cut(spark.createDataFrame([(None, "s")] * 5000 + [(1, "s"), (1, "t")], "id long, source string").repartition(7))
+    got = numbered(rows, ["id", "source"], "nth")
+    marked = got.withColumn("u", uniform_of(mark("x", *[got[c] for c in ("id", "source", "nth")]))).toPandas()
+    assert sorted(marked[marked.id.isna()].nth) == list(range(5000)) and marked.u.nunique() == 5002
+    assert np.bincount((marked.u * np.ceil(np.sqrt(5002))).astype(int)).max() < 3 * np.sqrt(5002)  # no bucket takes them all
 
 
 # --- line rules
@@ -359,17 +398,25 @@ def test_toxicity_reruns_agree(spark, sf):
 
 def test_sharding(nasty, nothing, docs):
     for table in (nasty, docs):
-        got = sharding.interleave(table, bucket=8).toPandas()
+        got = sharding.interleave(table).toPandas()
         counts = got.groupby("shard")["slot"]
         n = counts.count().reindex(range(16), fill_value=0)
         assert n.max() - n.min() <= 1
         assert all(sorted(g) == list(range(len(g))) for _, g in counts)
         raw = collections.Counter((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in table.select("doc_id", "text").collect())
         assert collections.Counter(zip(got["size"], got.checksum, strict=True)) == raw
-        again = sharding.interleave(table, bucket=1000).toPandas()
+        again = sharding.interleave(table, few=0).toPandas()
         key = lambda x: sorted(map(str, x[["id", "checksum", "shard", "slot"]].to_numpy().tolist()))
         assert key(got) == key(again)
     assert sharding.interleave(nothing).count() == 0
+    null = spark_rows(nasty.sparkSession, 3000)
+    got = sharding.interleave(null).toPandas()
+    assert sorted(got.groupby("shard").slot.count()) == [187] * 8 + [188] * 8 and not got.duplicated(["shard", "slot"]).any()
+
+
+def spark_rows(spark, n):
+    """Rows without ids, all with one text, of two sources."""
+    return spark.createDataFrame([(None, "same text", "ab"[i % 3 == 0]) for i in range(n)], "doc_id long, text string, source string").repartition(5)
 
 
 def test_every_shard_has_the_mixture(spark):
@@ -450,6 +497,8 @@ def test_packing(nasty, nothing, docs):
     for table in (docs, nasty):
         check_packed(table, packing.pack(table, window=4096).collect())
     assert packing.pack(nothing).count() == 0
+    null = spark_rows(nasty.sparkSession, 3000)
+    check_packed(null, packing.pack(null).collect())
 
 
 def test_windows_hold_the_mixture(spark):
@@ -566,10 +615,23 @@ def test_sequences_hold_the_ids(docs):
         assert got[p.sequence_id][p.offset : p.offset + p.length].tolist() == ids[p.start : p.start + p.length]
 
 
-def test_shards_are_written(spark, docs, tmp_path):
+def test_shards_are_written(spark, docs, nasty, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
     sharding.write_shards(docs, str(tmp_path / "shards"))
     got = spark.read.parquet(str(tmp_path / "shards"))
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()} and got.groupBy("shard").count().count() == 16
+    place = {(r.shard, r.slot): r.id for r in sharding.interleave(docs).collect()}
+    for k in range(16):  # read file by file, the rows come in the order of the slots
+        ids = [i for f in sorted(glob.glob(str(tmp_path / f"shards/shard={k}/*.parquet"))) for i in pq.ParquetFile(f).read(["doc_id"]).column(0).to_pylist()]
+        assert ids == [place[(k, j)] for j in range(len(ids))]
+    for n, t in enumerate((nasty, spark_rows(spark, 300))):
+        sharding.write_shards(t, str(tmp_path / f"more{n}"))
+        again = spark.read.parquet(str(tmp_path / f"more{n}"))
+        assert again.count() == t.count() and set(again.columns) == {*t.columns, "shard"}
+        assert sorted(map(str, again.select(*t.columns).collect())) == sorted(map(str, t.collect()))
 
 
 # --- pipeline

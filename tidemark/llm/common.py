@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,10 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.adapters import spread
+from tidemark.sources.adapters import dealt
 
 #: The white space of every word and text rule here: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -22,16 +23,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input; a small one in fewer files than there are cores is dealt out to all of them."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A table of the input."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is made only where none is set."""
+    """The folder that the driver and all executors share. One is made only where none is set and all is one machine: elsewhere
+    executors would each write to a disk of their own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        set_dir = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if found.isDefined():
+            set_dir = found.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            set_dir = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
@@ -59,6 +66,75 @@ def uniform(seed: str, *cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def mark(seed: str, *cols: Column) -> Column:
+    """32 hexadecimal digits that depend on the seed and the columns' values alone; DuckDB's md5 gives the same."""
+    return F.md5(F.concat_ws("/", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols]))
+
+
+def uniform_of(marked: Column) -> Column:
+    """A double in (0, 1) from the first 48 bits of a mark."""
+    return (F.conv(F.substring(marked, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def root_of(rows: Column) -> Column:
+    """How many buckets a group of so many rows is cut into: their square root, so that the rows of a bucket and the buckets
+    of a group, each ordered by one task, are as few as they can be together."""
+    return F.greatest(F.ceil(F.sqrt(rows)), F.lit(1)).cast("long")
+
+
+#: A table of a source or the like in a row each is broadcast up to this counted number of rows, beyond it joined with salt.
+FEW, SALTS = 100_000, 32
+
+
+def looked_up(rows: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "inner", few: int = FEW) -> DataFrame:
+    """rows with the other columns of a written table that has one row for each value of the keys. No key is joined by one task."""
+    other = small.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in small.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    if small.count() <= few:
+        return rows.join(F.broadcast(other), on, how).drop(*[f"_{k}" for k in keys])
+    other = other.withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return rows.join(other, on & (F.col("_salt") == F.col("_salt_")), how).drop("_salt", "_salt_", *[f"_{k}" for k in keys])
+
+
+def ahead(rows: DataFrame, group: list[str], bucket: str, order: list, name: str, each: str | None = None) -> DataFrame:
+    """The rows, or the sum of a column, before each row in its group (all rows if none), by the bucket and then the order: sums per
+    bucket first, then rows within their bucket, so that no task orders a whole group."""
+    keys, before = [*group, bucket], (Window.unboundedPreceding, -1)
+    inner, head, total, *own = fresh(rows, "_inner", "_head", "_sum", *[f"_{k}" for k in keys])
+    n = F.sum(each) if each else F.count("*")
+    sums = rows.groupBy(*keys).agg(n.alias(total))
+    over = Window.partitionBy(*(group or [F.lit(1)])).orderBy(bucket).rowsBetween(*before)
+    sums = sums.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.coalesce(F.sum(total).over(over), F.lit(0)).alias(head))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
+    numbers = rows.withColumn(inner, F.coalesce(n.over(within), F.lit(0)))
+    on = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    return numbers.join(sums, on).withColumn(name, F.col(head) + F.col(inner)).drop(head, inner, *own)
+
+
+def counted(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows with a number from 0 among those that agree in the keys. They are written and counted by the partition in which they
+    lie, so that any number of them may agree."""
+    _, part, nth = fresh(rows, name, "_part", "_nth")
+    rows = cut(rows).withColumn(part, F.spark_partition_id()).withColumn(nth, F.monotonically_increasing_id())
+    return ahead(rows, keys, part, [nth], name).drop(part, nth)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The same for rows of a written table of which few agree: only those that do are brought together."""
+    own = fresh(rows, *[f"_{k}" for k in keys])
+    again = stored(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]))
+    on = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    alone = rows.join(again, on, "left_anti").withColumn(name, F.lit(0).cast("long"))
+    return alone.unionByName(counted(rows.join(again, on, "left_semi"), keys, name))
+
+
 def names_free(df: DataFrame, *wanted: str) -> None:
     """Refuses a table that lacks a needed column."""
     lacks = [c for c in wanted if c not in df.columns]
@@ -199,4 +275,4 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

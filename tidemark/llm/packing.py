@@ -8,7 +8,9 @@ any task running through the queues: prefix sums per source give the windows, pr
 document's place in one stream of tokens, and the stream is cut into sequences. Within a window documents follow each other
 as their credit covers them, by b / q, so that sequences carry the mixture too. Only the last sequence is padded.
 
-Prefix sums are taken in two steps (sums per bucket, then rows within a bucket), so no source is ordered in one task.
+Prefix sums are taken in two steps (sums per bucket, then rows within a bucket); a source has as many buckets as the square root of its
+rows, so no source is ordered in one task. The order is by id, text and the number of the row among those that agree in these, so that
+rows with null ids and repeated rows are spread like all others.
 Tokens are written once to the shared folder; the layout reads only their number.
 
 Defined results: null and empty texts are one token, the separator; a null source is a queue of its own, the last;
@@ -28,15 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, names_free, parts, row_ranges, stored, strings, table, tokenizer_file, uniform
+from .common import FEW, ahead, cut, looked_up, mark, names_free, numbered, root_of, row_ranges, stored, strings, table, tokenizer_file, uniform_of
 
 TOKENIZER = "byte_bpe_50k"
 SEPARATOR = 0
 LENGTH = 1024
 #: Tokens of a window: the stretch over which the mixture holds.
 WINDOW = 64 * LENGTH
-SEED = "pack-1"
-BUCKET = 20_000
+SEED = "pack-2"
 CHUNK = 1 << 19
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,41 +81,27 @@ def _tokenized(name: str):
                 ids = [np.array([*encoder.ids(t or ""), SEPARATOR], "<u4") for t in text.slice(a, b - a).to_pylist()]
                 small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), batch.column("source").slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
-                    names=["id", "source", "n", "ids"],
+                    [*[batch.column(c).slice(a, b - a) for c in ("id", "source", "key")], pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
+                    names=["id", "source", "key", "n", "ids"],
                 )
 
     return run
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str = TOKENIZER) -> DataFrame:
-    """A written table: tag, id, source, n, and ids as little-endian integers of 2 bytes, or 4 if one needs them."""
+    """A written table: tag, id, source, key (a hash of the text), n, and ids as little-endian integers of 2 bytes, or 4 if one needs them."""
     names_free(docs, id_col, text_col, source_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_tokenized(tokenizer), "id long, source string, n long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(_tokenized(tokenizer), "id long, source string, key long, n long, ids binary")
     return stored(rows.withColumn("tag", F.monotonically_increasing_id()), compression="zstd")
 
 
-def _before(rows: DataFrame, group: list[str], bucket: str, order: list, name: str) -> DataFrame:
-    """The sum of n over the rows before each one in its group (all rows if none), by the bucket and then the order."""
-    keys = [*group, bucket]
-    ahead = Window.unboundedPreceding, -1
-    sums = rows.groupBy(*keys).agg(F.sum("n").alias("_sum"))
-    over = Window.partitionBy(*(group or [F.lit(1)])).orderBy(bucket).rowsBetween(*ahead)
-    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_head"))
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*ahead)), F.lit(0))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.withColumn("_inner", inner).join(sums, on).withColumn(name, F.col("_head") + F.col("_inner")).drop("_head", "_inner", *[f"_{k}" for k in keys])
-
-
-def layout(tokens: DataFrame, weights: dict[str | None, float] | None = None, window: int = WINDOW, seed: str = SEED, bucket: int = BUCKET) -> DataFrame:
+def layout(tokens: DataFrame, weights: dict[str | None, float] | None = None, window: int = WINDOW, seed: str = SEED, few: int = FEW) -> DataFrame:
     """Per row of tokens: tag, window, and at, its first token's place in the stream. Weights are by source; without them
     every window has the proportions of the whole."""
-    rows = cut(tokens.select("tag", "id", "source", "n").withColumn("u", uniform(seed, F.col("id"))))
-    buckets = parts(rows.count(), bucket)
-    per = rows.groupBy("source").agg(F.sum("n").alias("source_n"))
+    rows = numbered(cut(tokens.select("tag", "id", "key", "source", "n")), ["id", "key", "source"], "nth")
+    rows = rows.withColumn("mark", mark(seed, *[F.col(c) for c in ("id", "key", "source", "nth")])).withColumn("u", uniform_of(F.col("mark")))
+    per = rows.groupBy("source").agg(F.sum("n").alias("source_n"), F.count("*").alias("source_rows"))
     if weights is None:
         per = per.withColumn("weight", F.col("source_n").cast("double"))
     else:
@@ -124,13 +111,13 @@ def layout(tokens: DataFrame, weights: dict[str | None, float] | None = None, wi
         per = per.join(given, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         per = per.withColumn("weight", F.coalesce("weight", F.raise_error(F.lit("a source has no weight")).cast("double")))
     per = per.withColumn("quantum", F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1))) * window)
-    per = cut(per.select(F.col("source").alias("of"), "quantum"))
-    queued = _before(rows.withColumn("b", F.floor(F.col("u") * buckets)), ["source"], "b", ["u", "tag"], "ahead").drop("b")
-    queued = queued.join(per, F.col("source").eqNullSafe(F.col("of"))).withColumn("window", F.floor((F.col("ahead") + F.col("n") - 1) / F.col("quantum")))
+    per = cut(per.select("source", "source_rows", "quantum"))
+    queued = looked_up(rows, per, ["source"], F.col("mark"), few=few).withColumn("b", F.floor(F.col("u") * root_of(F.col("source_rows"))))
+    queued = ahead(queued, ["source"], "b", ["u", "mark"], "ahead", "n").withColumn("window", F.floor((F.col("ahead") + F.col("n") - 1) / F.col("quantum")))
     queued = cut(queued.select("tag", "source", "n", "ahead", "window", ((F.col("ahead") + F.col("n")) / F.col("quantum")).alias("due")))
-    last = queued.agg(F.max("window")).first()[0] or 0
-    stretch = max(1, (last + 1) // buckets)
-    placed = _before(queued.withColumn("b", F.floor(F.col("window") / stretch)), [], "b", ["window", "due", F.col("source").asc_nulls_last(), "ahead", "tag"], "at")
+    # Windows hold about as many rows each; so many of them make a bucket that there are about the square root of all rows.
+    stretch = queued.agg(F.greatest(F.lit(1), F.ceil((F.max("window") + 1) / root_of(F.count("*"))))).first()[0]
+    placed = ahead(queued.withColumn("b", F.floor(F.col("window") / (stretch or 1))), [], "b", ["window", "due", F.col("source").asc_nulls_last(), "ahead", "tag"], "at", "n")
     return placed.select("tag", "window", "at")
 
 
