@@ -588,6 +588,68 @@ def test_deep_shallow_orders_suffixes(texts, sizes):
     assert [a == b for a, b in itertools.pairwise(strings)] == [bool(a == b) for a, b in itertools.pairwise(group)]
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text("ab", min_size=40, max_size=60), max_size=5), st.lists(st.sampled_from(["a" * 17, "abcdefgh" * 2, "x"]), min_size=1, max_size=40), st.integers(0, 9), st.sampled_from([9, 16, 24, 33, 50]))
+def test_both_phases_sort(texts, heads, seed, length):
+    rng = np.random.default_rng(seed)
+    texts = texts + [h + "".join(rng.choice(list("ab"), 50)) for h in heads] + texts[:2]
+    data = np.concatenate((np.frombuffer("".join(texts).encode(), np.uint8), np.zeros(16, np.uint8)))
+    starts = (np.cumsum([0] + [len(t) for t in texts])[:-1]).astype(np.int64)
+    cut_at = lambda k, n: bytes(data[starts[k] : starts[k] + n]).ljust(n, b"\0")[:n]
+    # The quicksort, from one group of all, orders by its depth and marks every change of those bytes.
+    depth = -(-length // 8)
+    for symbols in range(1, depth + 1):
+        order, new = np.arange(len(starts)), np.zeros(len(starts), bool)
+        new[0] = True
+        suffix_dedup.multikey_quicksort(data, starts, order, new, symbols, length)
+        seen = [cut_at(k, min(8 * symbols, length)) for k in order]
+        assert seen == sorted(seen) and new.tolist() == [True] + [a != b for a, b in itertools.pairwise(seen)]
+    # Tries over groups that agree in a first symbol: leaves are distinct strings, ranks are in their order.
+    groups = collections.defaultdict(list)
+    for k in range(len(starts)):
+        groups[cut_at(k, 8)].append(k)
+    members = [k for g in groups.values() for k in g]
+    number = np.repeat(np.arange(len(groups)), [len(g) for g in groups.values()])
+    tries = suffix_dedup.BlindTries(data, starts[members], number, 1, length)
+    ranks = tries.ranks()
+    for g in range(len(groups)):
+        own = np.flatnonzero(number == g)
+        seen = [cut_at(members[k], length) for k in own]
+        assert [sorted(set(seen)).index(x) for x in seen] == ranks[own].tolist()
+    assert len(tries.position) < len(tries.leaf) == len({cut_at(k, length) for k in range(len(starts))})
+
+
+def test_a_passage_of_all_documents_is_sent_once_a_task():
+    import pyarrow as pa
+
+    passage = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(200))
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("abcdefghij"), 120)) + passage) for i in rng.permutation(4000).tolist()]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in part], pa.int64()), "text_key": pa.array([0] * len(part), pa.int64()), "text": [r[1] for r in part]}) for part in (rows[k : k + 20] for k in range(0, 4000, 20))]
+    hashes = collections.Counter()
+    for out in suffix_dedup._anchors(4, 50)(iter(batches)):
+        for r, _, _ in suffix_dedup._entries(out, 0):
+            hashes.update(suffix_dedup.unplaned(r["hashes"], "<u8", 5).tolist())
+    assert 1 <= max(hashes.values()) <= 25  # 4000 documents in 200 batches: the first two, and each lesser id that comes later
+    text = pa.array([r[1] for r in rows[:20]])
+    data, offsets = suffix_dedup.strings(text)
+    place = np.unique(suffix_dedup.minimizers(data, offsets)[1])
+    entries = 0
+    for batch in batches:
+        places = []
+        for t in batch.column("text").to_pylist():
+            p = np.unique(suffix_dedup.minimizers(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1])
+            places.append(p[p >= 100].astype("<u4").tobytes())
+        whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.binary())], names=[*batch.schema.names, "places"])
+        batches[entries] = whole
+        entries += 1
+    strings = 0
+    for out in suffix_dedup._candidates(4, 50)(iter(batches)):
+        for r, _, _ in suffix_dedup._entries(out, 2):
+            strings += int((suffix_dedup.unplaned(r["hashes"], "<u4", 3) & 0xFFFF).sum())
+    assert len(place) and strings < 4000 * 60  # of 151 strings of the passage in every document some 25 times are sent on
+
+
 def test_long_texts_come_in_pieces(monkeypatch, spark):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
     text = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(2000))

@@ -5,13 +5,14 @@ Each byte that a `LENGTH`-byte string covers is removed if that string also star
 Two strings of that length are equal only if their minimizers are: the k-byte anchor with the least hash among all in the string,
 the first of equals. One pass names the anchors of every text (one for some 15 bytes); their hashes are brought together and
 those of two documents or more are shared. Only strings at shared anchors are candidates. Their suffixes, cut at the string's
-length, are sorted: a multikey quicksort on 8-byte symbols to a shallow depth of 16 bytes, and then blind tries for
-the groups that still agree: each group skips the symbols in which its members agree and branches at the first in
-which they differ. Members that never differ are equal strings, and the least id among them stays.
-
-Whatever one batch can settle is settled before a shuffle: of the anchors and candidate strings that several documents of a
-batch share, only those of its least id are sent on. So a passage in a third of all documents is sent once a
-batch, not once a document. Shuffled rows are packs of arrays, dealt out by hash into as many partitions as the bytes of
+length, are sorted deep-shallow: buckets are sorted by a three-way multikey quicksort to a shallow depth of 16 bytes, and the groups that
+still agree by blind tries, whose nodes keep only the position of the symbol at which their strings branch. Equal strings share a leaf,
+and the least id among them stays.
+
+Whatever a task can settle is settled before a shuffle: of the anchors and candidate strings that several documents of a
+batch share, only those of its least id are sent on, and a task remembers (in bounded memory) what it found shared and what
+it has sent of that, so that later batches send only smaller ids. So a passage in a third of all documents is sent about once a
+task, not once a document or a batch. Shuffled rows are packs of arrays, dealt out by hash into as many partitions as the bytes of
 the text ask for, so that a task's arrays have a bounded size at every size of the input.
 
 Defined results: null text is empty; ids that are null count as larger than all others (as the largest 64-bit number), and documents with equal ids
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, names_free, powers, prefix_hash, row_ranges, shuffle_width, strings, table
+from .common import mix, names_free, powers, prefix_hash, row_ranges, shuffle_width, stored, strings, table
 
 LENGTH = 50
 #: Bytes of an anchor.
@@ -41,7 +42,10 @@ ANCHOR = 20
 PART, CHUNK, SETTLED = 128 << 20, 1 << 18, 2 << 20
 #: Strings that are sorted at once.
 SORTED = 1 << 20
+#: Symbols of 8 bytes to which quicksort goes.
 SHALLOW = 2
+#: Shared anchors and strings that a task remembers; what is not remembered is sent again, no more than that.
+HOT, CARRIED = 1 << 18, 1 << 15
 NO_ID = (1 << 63) - 1
 _SLOT = 24  # bits for a place in a run; longer documents are cut into runs that overlap
 
@@ -197,8 +201,32 @@ def _share(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return shared, least
 
 
+class Shared:
+    """Hashes that a task has found under several ids, with the least of the ids that it has sent."""
+
+    def __init__(self, most: int = HOT) -> None:
+        self.hashes, self.ids, self.most = np.zeros(0, np.uint64), np.zeros(0, np.int64), most
+
+    def least(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and the least id sent for each."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, self.ids[at]
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray) -> None:
+        known, _ = self.least(hashes)
+        room = np.flatnonzero(~known)[: max(0, self.most - len(self.hashes))]
+        known[room] = True
+        h, i = np.concatenate((self.hashes, hashes[known])), np.concatenate((self.ids, ids[known]))
+        order = np.lexsort((i, h))
+        order = order[heads(h[order])] if len(order) else order
+        self.hashes, self.ids = h[order], i[order]
+
+
 def _anchors(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Shared()
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             ids, keys = (batch.column(c).to_numpy() for c in ("id", "text_key"))
@@ -212,9 +240,13 @@ def _anchors(parts: int, length: int):
                 continue
             hashes, row, place = (np.concatenate([f[k] for f in found]) for k in range(3))
             shared, sent = _share(hashes, ids[row])
-            # Settled here: those that others of the batch share need no answer, those of the least id still answer others.
+            met, least = memory.least(hashes)
+            # Settled here: those that others of the task share need no answer, those of its least id still answer others.
+            shared |= met
+            sent &= ~met | (ids[row] < least)
             yield from _answers(1, parts, ids, keys, row[shared], place[shared].astype("<u4"))
             hashes, row, place, known = hashes[sent], row[sent], place[sent], shared[sent]
+            memory.add(hashes[known], ids[row[known]])
             order, new, buckets = _dealt(hashes, parts)
             out = {c: [] for c in ("hashes", "places", "data", "ids", "keys", "counts")}
             for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
@@ -265,74 +297,226 @@ def _meet(parts: int):
 # --- deep-shallow sorting ----------------------------------------------------------------------------------------
 
 
-def _symbol(text: np.ndarray, starts: np.ndarray, k: int, length: int) -> np.ndarray:
+def _symbols(text: np.ndarray, starts: np.ndarray, k: np.ndarray, length: int) -> np.ndarray:
     """The k-th 8-byte symbol of each suffix, as a number in the order of its bytes; cut at the length."""
     raw = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
     s = raw[starts + 8 * k].byteswap()
     over = 8 * (k + 1) - length
-    return s & np.uint64((0xFFFFFFFFFFFFFFFF << (8 * over)) & 0xFFFFFFFFFFFFFFFF) if over > 0 else s
-
-
-def _regrouped(group: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by group and then symbol, and the numbers of the groups that this makes."""
-    order = np.argsort(symbol)
-    s = symbol[order]
-    if group[0] == group[-1]:  # one group
-        return order, np.cumsum(np.concatenate(([False], s[1:] != s[:-1])))
-    # Few symbols differ: their ranks and the groups fit one number.
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([False], s[1:] != s[:-1])))
-    both = (group << 32) | rank
-    order = np.argsort(both)
-    b = both[order]
-    return order, np.cumsum(np.concatenate(([False], b[1:] != b[:-1])))
-
-
-def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in order, cut at the length, and for each a number that equal ones share. The text is padded by 8 bytes or more."""
-    symbols = -(-length // 8)
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    if not len(starts):
-        return order, group
-    # Shallow: a multikey quicksort, symbol by symbol, on what still agrees.
-    for k in range(min(SHALLOW, symbols)):
-        size = np.bincount(group)
-        active = np.flatnonzero(size[group] > 1)
-        order, group = _refined(text, starts, order, group, active, k, length)
-    # Deep: a group is a blind trie; it skips the symbols that its members agree in and branches at the next.
-    for k in range(SHALLOW, symbols):
-        active = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(active):
-            break
-        g = group[active]
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        symbol = _symbol(text, starts[order[active]], k, length)
-        differs = np.logical_or.reduceat(symbol != np.repeat(symbol[head], np.diff(np.append(head, len(g)))), head)
-        branching = active[np.repeat(differs, np.diff(np.append(head, len(g))))]
-        order, group = _refined(text, starts, order, group, branching, k, length)
-    return order, group
-
-
-def _refined(text: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, active: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the active members of their groups by one more symbol, in their places, and splits the groups."""
-    if not len(active):
-        return order, group
-    inner, fine = _regrouped(group[active], _symbol(text, starts[order[active]], k, length))
-    order = order.copy()
-    order[active] = order[active][inner]
-    sub = np.zeros(len(group), np.int64)
-    sub[active] = fine + 1
-    return order, np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (sub[1:] != sub[:-1]))))
-
-
-def settle(text: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    if np.any(over > 0):
+        bits = np.uint64(8) * np.maximum(over, 0).astype(np.uint64)
+        s = (s >> bits) << bits
+    return s
+
+
+def multikey_quicksort(text: np.ndarray, starts: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int, length: int) -> None:
+    """Sorts the suffixes of each group by their first `depth` symbols, in place: order holds the groups one after another, new says where
+    one begins. All groups are partitioned at once, each around the median of three of its symbols, into those below it, those equal
+    to it, which go on with their next symbol, and those above it."""
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    first, size = first[size > 1], size[size > 1]
+    level, symbol = np.zeros(len(first), np.int64), None
+    while len(first):
+        base = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(first)), size)
+        place = np.arange(len(group)) + (first - base)[group]
+        if symbol is None:
+            symbol = _symbols(text, starts[order[place]], level[group], length)
+        a, b, c = symbol[base], symbol[base + size // 2], symbol[base + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        part = 3 * group + (symbol >= pivot) + (symbol > pivot)
+        count = np.bincount(part, minlength=3 * len(first))
+        begin = np.cumsum(count) - count
+        to = np.empty(len(part), np.int64)
+        for side in range(3):
+            at = np.flatnonzero(part % 3 == side)
+            own = np.cumsum(count[side::3]) - count[side::3]
+            to[at] = np.arange(len(at)) + (begin[side::3] - own)[group[at]]
+        moved, sorted_symbol = np.empty(len(part), order.dtype), np.empty(len(part), symbol.dtype)
+        moved[to], sorted_symbol[to] = order[place], symbol
+        order[place] = moved
+        begin = np.repeat(first - base, 3) + begin
+        new[begin[count > 0]] = True
+        level = np.repeat(level, 3)
+        level[1::3] += 1
+        goes = (count > 1) & (level < depth)
+        stays = np.repeat(goes, count)
+        deeper = np.repeat(np.arange(len(count)) % 3 == 1, count)[stays]
+        symbol, first, size, level = sorted_symbol[stays], begin[goes], count[goes], level[goes]
+        if deeper.any():
+            group = np.repeat(np.arange(len(first)), size)
+            at = np.flatnonzero(deeper)
+            place = at + (first - (np.cumsum(size) - size))[group[at]]
+            symbol[at] = _symbols(text, starts[order[place]], level[group[at]], length)
+
+
+class BlindTries:
+    """A blind trie for each of many groups of suffixes. An inner node keeps only the position of the symbol by which its suffixes differ,
+    an edge that symbol; a suffix is searched blindly by those, compared once with the leaf that it reaches, and inserted at the
+    first symbol in which the two differ. All groups are searched at once, and of the suffixes that want the same new leaf
+    one is inserted and the others are searched again, so copies cost one search and one comparison each."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int, length: int) -> None:
+        self.text, self.starts, self.group, self.length = text, starts, group, length
+        self.depth, self.end = depth, -(-length // 8)
+        head = heads(group)
+        #: A reference to node v is v, to leaf x is -1 - x. The root of a group is its first suffix as a leaf.
+        self.root, self.leaf = -1 - np.arange(len(head)), head
+        self.at = np.full(len(starts), -1)
+        self.at[head] = np.arange(len(head))
+        self.position = np.zeros(0, np.int64)
+        self.edge_node, self.edge_symbol, self.edge_child = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._index()
+        todo, rounds = np.flatnonzero(self.at < 0), 0
+        while len(todo):
+            todo, rounds = self._insert(todo), rounds + 1
+            if rounds > 10 * self.end + 50:
+                raise ValueError("two edges of a trie agree in 64 bits")
+
+    def _symbol(self, members: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return _symbols(self.text, self.starts[members], k, self.length)
+
+    def _name(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return mix(symbol + mix(node.astype(np.uint64) + np.uint64(1)))
+
+    def _index(self) -> None:
+        name = self._name(self.edge_node, self.edge_symbol)
+        self.by_name = np.argsort(name)
+        self.names = name[self.by_name]
+        self.any_child = np.zeros(len(self.position), np.int64)
+        self.any_child[self.edge_node] = self.edge_child
+
+    def _edge(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The edge of each node by the symbol, -1 where it has none."""
+        at = np.searchsorted(self.names, self._name(node, symbol))
+        at[at == len(self.names)] = 0
+        edge = self.by_name[at]
+        return np.where((self.edge_node[edge] == node) & (self.edge_symbol[edge] == symbol), edge, -1)
+
+    def _search(self, members: np.ndarray) -> np.ndarray:
+        """The leaf that a blind search reaches: where no edge fits, it goes on by any."""
+        here = self.root[self.group[members]]
+        inner = np.flatnonzero(here >= 0)
+        while len(inner):
+            node = here[inner]
+            edge = self._edge(node, self._symbol(members[inner], self.position[node]))
+            here[inner] = np.where(edge >= 0, self.edge_child[edge], self.any_child[node])
+            inner = inner[here[inner] >= 0]
+        return -1 - here
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first symbol from the depth on in which two suffixes differ, the end if they are equal."""
+        differ, left = np.full(len(a), self.end), np.arange(len(a))
+        for k in range(self.depth, self.end):
+            other = self._symbol(a[left], k) != self._symbol(b[left], k)
+            differ[left[other]] = k
+            left = left[~other]
+        return differ
+
+    def _insert(self, todo: np.ndarray) -> np.ndarray:
+        leaf = self._search(todo)
+        differ = self._common(todo, self.leaf[leaf])
+        same = differ == self.end
+        self.at[todo[same]] = leaf[same]
+        todo, leaf, differ = todo[~same], leaf[~same], differ[~same]
+        if not len(todo):
+            return todo
+        # Down to the first node that branches at the differing symbol or behind it, or the leaf.
+        here, by = self.root[self.group[todo]], np.full(len(todo), -1)
+        while True:
+            above = np.flatnonzero(here >= 0)
+            above = above[self.position[here[above]] < differ[above]]
+            if not len(above):
+                break
+            by[above] = self._edge(here[above], self._symbol(todo[above], self.position[here[above]]))
+            here[above] = self.edge_child[by[above]]
+        node = here.copy()
+        # Where none branches at that symbol a node goes into the edge, one for each edge at a time, the highest first.
+        branches = self.position[np.maximum(here, 0)] if len(self.position) else np.full(len(here), -1)
+        inside = np.flatnonzero((here < 0) | (branches != differ))
+        inside = inside[np.lexsort((differ[inside], here[inside]))]
+        lead = inside[heads(here[inside])] if len(inside) else inside
+        made = len(self.position) + np.arange(len(lead))
+        self.position = np.concatenate((self.position, differ[lead]))
+        top = by[lead] < 0
+        self.root[self.group[todo[lead[top]]]] = made[top]
+        self.edge_child[by[lead[~top]]] = made[~top]
+        if len(inside):
+            of = np.cumsum(np.append(False, here[inside][1:] != here[inside][:-1]))
+            fits = differ[inside] == differ[lead][of]
+            node[inside] = np.where(fits, made[of], -1)
+        old = self._symbol(self.leaf[leaf[lead]], differ[lead])
+        # A leaf for each new symbol at a node.
+        wants = np.flatnonzero(node >= 0)
+        symbol = self._symbol(todo[wants], differ[wants])
+        sort = np.lexsort((symbol, node[wants]))
+        first = sort[heads(node[wants][sort], symbol[sort])]
+        leaves = len(self.leaf) + np.arange(len(first))
+        self.leaf = np.concatenate((self.leaf, todo[wants[first]]))
+        self.at[todo[wants[first]]] = leaves
+        self.edge_node = np.concatenate((self.edge_node, made, node[wants[first]]))
+        self.edge_symbol = np.concatenate((self.edge_symbol, old, symbol[first]))
+        self.edge_child = np.concatenate((self.edge_child, here[lead], -1 - leaves))
+        self._index()
+        return todo[self.at[todo] < 0]
+
+    def ranks(self) -> np.ndarray:
+        """The rank of each suffix's leaf within its trie, in the order of the strings."""
+        leaves, nodes = np.ones(len(self.leaf), np.int64), np.zeros(len(self.position), np.int64)
+        position = self.position[self.edge_node]
+        get = lambda child, of_nodes, of_leaves: np.where(child >= 0, of_nodes[np.maximum(child, 0)] if len(of_nodes) else 0, of_leaves[np.maximum(-1 - child, 0)])
+        for k in range(self.end - 1, self.depth - 1, -1):
+            e = np.flatnonzero(position == k)
+            np.add.at(nodes, self.edge_node[e], get(self.edge_child[e], nodes, leaves))
+        node_rank, leaf_rank = np.zeros(len(nodes), np.int64), np.zeros(len(leaves), np.int64)
+        for k in range(self.depth, self.end):
+            e = np.flatnonzero(position == k)
+            if not len(e):
+                continue
+            e = e[np.lexsort((self.edge_symbol[e], self.edge_node[e]))]
+            child, node = self.edge_child[e], self.edge_node[e]
+            n = get(child, nodes, leaves)
+            before = np.cumsum(n) - n
+            new = heads(node)
+            before = before - np.repeat(before[new], np.diff(np.append(new, len(e)))) + node_rank[node]
+            inner = child >= 0
+            node_rank[child[inner]], leaf_rank[-1 - child[~inner]] = before[inner], before[~inner]
+        return leaf_rank[self.at]
+
+
+def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, cut at the length, and for each a number that equal ones share. The text is padded by 8 bytes or more.
+    They are bucketed by their first two bytes, or by given numbers that equal suffixes share and whose order then comes first; buckets are
+    sorted to a shallow depth by a multikey quicksort, and groups that still agree by blind tries."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if bucket is None:
+        bucket = (text[starts].astype(np.uint16) << 8) | (text[starts + 1] if length > 1 else 0)
+    order = np.argsort(bucket, kind="stable" if bucket.dtype == np.uint16 else None)
+    new = np.zeros(n, bool)
+    new[heads(bucket[order])] = True
+    shallow, end = min(SHALLOW, -(-length // 8)), -(-length // 8)
+    multikey_quicksort(text, starts, order, new, shallow, length)
+    if shallow < end:
+        group = np.cumsum(new) - 1
+        deep = np.flatnonzero(np.bincount(group)[group] > 1)
+        if len(deep):
+            g = group[deep]
+            rank = BlindTries(text, starts[order[deep]], np.cumsum(np.append(False, g[1:] != g[:-1])), shallow, length).ranks()
+            inner = np.argsort((g << 32) | rank, kind="stable")
+            order[deep] = order[deep][inner]
+            rank = rank[inner]
+            new[deep[1:]] |= rank[1:] != rank[:-1]
+    return order, np.cumsum(new) - 1
+
+
+def settle(ids: np.ndarray, order: np.ndarray, group: np.ndarray) -> np.ndarray:
     """At each string: whether one under a smaller id is equal to it."""
-    order, group = deep_shallow(text, starts, length)
-    covered = np.zeros(len(starts), bool)
-    if not len(starts):
-        return covered
-    own, new = ids[order], heads(group)
-    covered[order] = own > np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(order))))
+    covered = np.zeros(len(order), bool)
+    if len(order):
+        own, new = ids[order], heads(group)
+        covered[order] = own > np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(order))))
     return covered
 
 
@@ -378,15 +562,41 @@ def _wanted(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ..
         yield joined()
 
 
+class Carried:
+    """Strings that several documents of a task share, each with the least id that it was sent under, for the next sort of the task."""
+
+    def __init__(self, length: int, most: int = CARRIED) -> None:
+        self.most, self.width = most, 8 * -(-length // 8)
+        self.text, self.ids, self.bucket = np.zeros((0, self.width), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def keep(self, text: np.ndarray, starts: np.ndarray, ids: np.ndarray, bucket: np.ndarray, order: np.ndarray, group: np.ndarray) -> None:
+        new = heads(group)
+        size = np.diff(np.append(new, len(order)))
+        often = np.flatnonzero(size > 2)
+        often = often[np.argsort(-size[often], kind="stable")[: self.most]]
+        sort = np.lexsort((ids[order], group))
+        least = order[sort[new[often]]]
+        self.text = text[starts[least][:, None] + np.arange(self.width)]
+        self.ids, self.bucket = ids[least], bucket[least]
+
+
 def _candidates(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = Carried(length)
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("id", "text_key"))
             squeeze = zstandard.ZstdCompressor(3).compress  # the shuffle's own codec does half as well on such text
             for text, start, row, place, anchor, hashes in _wanted(batch, length):
                 if not len(start):
                     continue
-                covered = settle(text, start, ids[row], length)
+                # Equal strings have equal anchors at equal places: those are the buckets.
+                bucket = mix(hashes + (anchor - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                all_text = np.concatenate((text, carried.text.ravel(), np.zeros(16, np.uint8)))
+                all_start = np.concatenate((start, len(text) + carried.width * np.arange(len(carried.ids))))
+                all_ids, all_bucket = np.concatenate((ids[row], carried.ids)), np.concatenate((bucket, carried.bucket))
+                order, group = deep_shallow(all_text, all_start, length, all_bucket)
+                covered = settle(all_ids, order, group)[: len(start)]
+                carried.keep(all_text, all_start, all_ids, all_bucket, order, group)
                 r, spans = _spans(row[covered], place[covered], length)
                 yield from _answers(3, parts, ids, keys, r, spans)
                 # Those of the least id among their equals go on, as runs of strings at one anchor that follow each other.
@@ -432,7 +642,7 @@ def _sort(parts: int, length: int):
             mine = np.flatnonzero(step[slot] == k)
             entry = np.repeat(mine, n[mine])
             nth = np.arange(len(entry)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-            covered = settle(text, begin[entry] + nth, ids[entry], length)
+            covered = settle(ids[entry], *deep_shallow(text, begin[entry] + nth, length))
             found.append(_spans(entry[covered], (place[entry] + nth)[covered], length))
         r, spans = (np.concatenate([f[k] for f in found]) for k in range(2))
         yield from _answers_of(3, parts, ids[r], keys[r], spans)
@@ -473,12 +683,13 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, text. The key tells rows of equal ids apart, where there are any."""
+    """id, text_key, text. The key tells rows of equal ids apart: a hash of the text for these, 0 for all others, which packs well."""
     names_free(docs, id_col, text_col)
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    repeated = docs.groupBy(number.alias("id")).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    repeated = stored(docs.groupBy(number.alias("again")).agg(F.count("*").alias("n")).filter("n > 1").select("again"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(number.alias("id"), (F.xxhash64(text) if repeated else F.lit(0).cast("long")).alias("text_key"), text.alias("text"))
+    rows = docs.select(number.alias("id"), text.alias("text")).join(repeated, F.col("id") == F.col("again"), "left")
+    return rows.select("id", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_key"), "text")
 
 
 def _spans_of(rows: DataFrame, length: int) -> DataFrame:
