@@ -167,6 +167,41 @@ def test_near_dedup_of_a_loose_group(spark):
     assert sorted(sorted(map(str, g.id)) for _, g in got.groupby("class_id")) == near_truth(rows)
 
 
+    small = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), block=8, most=2000).toPandas()  # many blocks
+    assert sorted(sorted(map(str, g.id)) for _, g in small.groupby("class_id")) == near_truth(rows)
+
+
+def test_near_dedup_of_repeated_rows(spark, monkeypatch):
+    """A thousand equal rows are one node with one text, wherever texts are joined or compared."""
+    base = " ".join(f"w{k}" for k in range(200))
+    rows = [(None, base)] * 1000 + [(1, base.replace("w100 ", "other ")), (2, "something else altogether of six words")]
+    seen, plain = [], near_dedup.links
+
+    def spy(pairs, texts, least):
+        seen.append((texts.count(), texts.select("node").distinct().count()))
+        return plain(pairs, texts, least)
+
+    monkeypatch.setattr(near_dedup, "links", spy)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    assert len(got) == 1002 and got.kept.sum() == 2 and sorted(got.class_size.unique()) == [1, 1001]
+    assert seen and all(x == (2, 2) for x in seen)
+
+
+def test_near_dedup_of_very_long_texts(spark):
+    """Near copies of megabytes each are compared in blocks of a bounded number of shingles."""
+    rng = np.random.default_rng(2)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 200_000)]
+    rows = []
+    for i in range(6):
+        w = list(base)
+        for at in rng.choice(len(w), 2000 + 1500 * i, replace=False):
+            w[at] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_classes(t, most=1 << 16).toPandas()
+    assert sorted(sorted(map(str, g.id)) for _, g in got.groupby("class_id")) == near_truth(rows)
+
+
 def test_blocks_emit_what_joins_the_same_components():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 40, 60), rng.integers(0, 40, 60)

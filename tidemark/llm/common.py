@@ -266,13 +266,29 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that later steps read only the columns they need.
-    The files go when the driver ends."""
+    The files go when the driver ends, or with discard_since."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def discard_since(mark: int, keep: int = 0) -> None:
+    """Deletes the tables that have been stored since then, but for the last `keep`: what follows must not read them any more."""
+    gone = _WRITTEN[mark : len(_WRITTEN) - keep]
+    for spark, path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[mark : len(_WRITTEN) - keep]

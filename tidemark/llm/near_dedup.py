@@ -7,10 +7,12 @@ a place, a rank and a coordinate, all hashes of element and cell. A dart within
 coordinate of the signature keeps its earliest dart; if a coordinate stays empty the range of ranks is doubled. Bands
 of coordinates are joined, and candidates are checked exactly.
 
-Texts with equal words are one node before anything is joined, so groups of copies never meet in a band. Within a bucket
+Texts with equal words are one node with one text before anything is joined, so groups of copies never meet in a band. Within a bucket
 of a band every node is first compared with one leader (the node's most frequent one, then its other ones), links are
 merged to components, and only buckets whose nodes still differ in component are compared throughout, exactly and in
 blocks that emit nothing but links: no bucket emits its pairs, and no candidate between different texts is left untested.
+Blocks hold hashed shingles, packed once, and are bounded in rows and in shingles; a bucket of several blocks sends each of
+them to those it has to meet.
 
 Defined results: null text has no words; all texts without words are one class; a class's id is its smallest doc_id, null
 ids last; repeated rows share their class, and one of them is kept; an empty table gives no rows; further
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, mix, names_free, prefix_hash, row_ranges, span_hash, stored, strings, table, words_in
+from .common import ahead, cut, discard_since, fresh, mix, names_free, prefix_hash, root_of, row_ranges, span_hash, stored, strings, table, words_in, written_so_far
 from .exact_dedup import one_of_repeated
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,8 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND = 20, 5
 COORDINATES = BANDS * BAND
 CHUNK = 1 << 20
-#: Nodes of a bucket that are compared at once with as many others, and columns of the matrices for it.
-BLOCK, COLUMNS = 256, 4096
+#: A block of a bucket has at most so many nodes and, but for its last one, so many shingles; columns of the matrices that compare blocks.
+BLOCK, SHINGLES, COLUMNS = 512, 1 << 19, 4096
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -142,9 +144,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(row, element, weight, b - a))[some]
             content = [hashlib.blake2b(b" ".join(whole[offsets[i] : offsets[i + 1]].split()), digest_size=16).digest() for i in range(a, b)]
             ends = pa.array(np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0)))).astype(np.int32))
+            size = np.bincount(row, weights=weight, minlength=b - a).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(a, b - a), batch.column("text_key").slice(a, b - a), pa.array(content, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))],
-                names=["id", "text_key", "content", "bands"],
+                [*[batch.column(c).slice(a, b - a) for c in ("id", "text_key", "text")], pa.array(content, pa.binary()), pa.array(size), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))],
+                names=["id", "text_key", "text", "content", "size", "bands"],
             )
 
 
@@ -163,7 +166,7 @@ def similarities(left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[n
     return np.where(total > 0, common / np.maximum(total, 1), 1.0)
 
 
-def _linked(least: float):
+def _linked(least: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (da, oa), (db, ob) = strings(batch.column("text_a")), strings(batch.column("text_b"))
@@ -173,16 +176,16 @@ def _linked(least: float):
                 right = shingles(db[ob[a] : ob[b]], ob[a : b + 1] - ob[a])
                 good.append(similarities(left, right, b - a) >= least - 1e-12)
             mask = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in names], names=names)
 
     return run
 
 
 def links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough."""
+    """The rows of pairs, with nodes a and b and other longs, whose texts are similar enough."""
     one, two = (texts.select(F.col("node").alias(f"node_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
-    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(least), "a long, b long"))
+    return cut(both.select(*pairs.columns, "text_a", "text_b").mapInArrow(_linked(least, pairs.columns), ", ".join(f"{c} long" for c in pairs.columns)))
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,56 +208,124 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(keep)
 
 
-def _links_of_block(least: float):
+def bag(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the occurrences of shingles: the n-th of equal ones in a row has a hash of its own, so that multisets are sets."""
+    row, h, weight = shingles(text, offsets)
+    nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    row, h = np.repeat(row, weight), mix(np.repeat(h, weight) + nth.astype(np.uint64) * _B)
+    order = np.argsort(row, kind="stable")
+    return row[order], h[order]
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = strings(batch.column("text"))
+        for a, b in row_ranges(offsets, CHUNK):
+            row, h = bag(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            ends = np.searchsorted(row, np.arange(b - a + 1))
+            packed = [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(packed, pa.binary())], names=["node", "bag"])
+
+
+def linked_labels(label: np.ndarray, bags: list[bytes], least: float, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that similar rows join, a spanning set of them; with `first`, only rows before it meet those from it on. Intersections of
+    all pairs come at once, as a product of 0/1 matrices whose columns are the occurrences of shingles that several rows have."""
+    n = len(label)
+    size = np.array([len(x) // 8 for x in bags])
+    row, h = np.repeat(np.arange(n), size), np.frombuffer(b"".join(bags), np.uint64)
+    _, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    many = count > 1
+    place, keep = np.cumsum(many) - 1, many[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common, total = np.zeros((n, n), np.float32), int(many.sum())
+    for begin in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, total - begin)), np.float32)
+        part[row[a:b], column[a:b] - begin] = 1
+        common += part @ part.T
+    both = size[:, None] + size[None, :] - common
+    good = (common >= (least - 1e-9) * both) & (label[:, None] < label[None, :])
+    if first is not None:
+        good[:first, :first] = good[first:, first:] = False
+    x, y = np.nonzero(good)
+    keep = spanning(*np.unique(label, return_inverse=True)[1][[x, y]])
+    return label[x[keep]], label[y[keep]]
+
+
+_PACKED = "a long, b long, key long, own long, data binary, labels binary, sizes binary"
+
+
+def _packed(least: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links within a block, as pairs of labels; and the block itself if its key has others."""
+        label, bags = rows.column("label").to_numpy(), rows.column("bag").to_pylist()
+        large = rows.column("large")[0].as_py()
+        a, b = (np.zeros(0, np.int64),) * 2 if large else linked_labels(label, bags, least)  # those of one component need not meet
+        more = rows.column("blocks")[0].as_py() > 1
+        none = [None] * len(a)
+        block = {
+            "key": rows.column("key")[0].as_py(),
+            "own": rows.column("own")[0].as_py(),
+            "data": b"".join(bags),
+            "labels": label.astype("<i8").tobytes(),
+            "sizes": np.array([len(x) for x in bags], "<i8").tobytes(),
+        }
+        kinds = {"key": pa.int64(), "own": pa.int64()}
+        columns = {"a": pa.array([*a.tolist(), *[None] * more], pa.int64()), "b": pa.array([*b.tolist(), *[None] * more], pa.int64())}
+        return pa.table(columns | {c: pa.array([*none, *[v] * more], kinds.get(c, pa.binary())) for c, v in block.items()})
+
+    return run
+
+
+def _met(least: float):
     def run(rows: pa.Table) -> pa.Table:
-        """Links of a cell of blocks that join all its components that any of its similar pairs joins. Intersections of all
-        pairs come at once, as a product of 0/1 matrices whose columns are the occurrences of shingles that several rows have."""
-        node, label, own = (rows.column(c).to_numpy() for c in ("node", "label", "own"))
-        one_block = rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
-        n = len(node)
-        row, h, weight = shingles(*strings(rows.column("text")))
-        size = np.bincount(row, weights=weight, minlength=n)
-        nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-        row, h = np.repeat(row, weight), mix(np.repeat(h, weight) + nth.astype(np.uint64) * _B)
-        _, column, count = np.unique(h, return_inverse=True, return_counts=True)
-        many = count > 1
-        place, keep = np.cumsum(many) - 1, many[column]
-        row, column = row[keep], place[column[keep]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        common, total = np.zeros((n, n), np.float32), int(many.sum())
-        for begin in range(0, total, COLUMNS):
-            a, b = np.searchsorted(column, [begin, begin + COLUMNS])
-            part = np.zeros((n, min(COLUMNS, total - begin)), np.float32)
-            part[row[a:b], column[a:b] - begin] = 1
-            common += part @ part.T
-        both = size[:, None] + size[None, :] - common
-        good = (common >= (least - 1e-9) * both) & (label[:, None] != label[None, :]) & (node[:, None] < node[None, :])
-        if not one_block:
-            good &= own[:, None] != own[None, :]
-        x, y = np.nonzero(good)
-        keep = spanning(*np.unique(label, return_inverse=True)[1][[x, y]])
-        return pa.table({"a": pa.array(node[x[keep]], pa.int64()), "b": pa.array(node[y[keep]], pa.int64())})
+        """Links between two blocks of a key."""
+        label, bags, first = [], [], None
+        for r in rows.to_pylist():
+            at = np.concatenate(([0], np.cumsum(np.frombuffer(r["sizes"], "<i8"))))
+            bags += [r["data"][x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+            label.append(np.frombuffer(r["labels"], "<i8"))
+            first = first or len(bags)
+        a, b = linked_labels(np.concatenate(label), bags, least, first)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Links between the nodes of each key (key, node, label) that differ in label. A key's nodes are cut into blocks, and the blocks of
-    nodes outside its largest component meet every block in a group of their own: a group is bounded, and only links are emitted."""
+def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
+    """Pairs (a, b) of labels that similar nodes of one key join, for rows (key, node, size, label). The nodes of a key are cut into blocks;
+    those outside its largest component meet all blocks, each two in a group of their own: a group is bounded in rows and
+    shingles, packed blocks travel rather than texts, and only links are emitted."""
     per = member.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("of_key"))
-    per = per.agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1")
-    # Blocks 0 .. few - 1 hold the nodes outside the key's largest component, the others those inside, which need not meet.
-    few = F.ceil((F.col("n") - F.col("main.n")) / block)
-    per = per.select("of_key", few.alias("few"), (few + F.ceil(F.col("main.n") / block)).alias("blocks"), F.col("main.label").alias("main"))
-    rows = member.join(per, F.col("key") == F.col("of_key")).withColumn("large", F.col("label") == F.col("main"))
-    at = F.xxhash64("node")
-    rows = rows.withColumn("own", F.when(F.col("large"), F.col("few") + F.pmod(at, F.col("blocks") - F.col("few"))).otherwise(F.pmod(at, "few")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("large"), F.col("few")).otherwise(F.col("blocks")) - 1)))
-    rows = rows.select("key", "node", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.join(texts.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node")).drop("of_node")
-    found = rows.groupBy("key", "low", "high").applyInArrow(_links_of_block(least), "a long, b long")
-    return cut(found.distinct())
+    per = per.agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).filter("labels > 1")
+    rows = member.join(per.select("of_key", "n", F.col("main.label").alias("main")), F.col("key") == F.col("of_key"))
+    # A node costs its shingles, or its share of a block's rows.
+    cost = F.greatest(F.col("size"), F.ceil(F.lit(most) / F.lit(block))).cast("long")
+    rows = cut(rows.select("key", "node", "label", (F.col("label") == F.col("main")).alias("large"), cost.alias("cost"), F.pmod(F.xxhash64("node"), root_of(F.col("n"))).alias("at")))
+    rows = ahead(rows, ["key", "large"], "at", ["node"], "before", "cost").withColumn("nth", F.floor(F.col("before") / most))
+    # Blocks 0 .. few - 1 hold the nodes outside the key's largest component, the others those inside.
+    blocks = F.coalesce(F.max(F.when(F.col("large"), F.col("nth"))), F.lit(-1)) + 1
+    few = F.coalesce(F.max(F.when(~F.col("large"), F.col("nth"))), F.lit(-1)) + 1
+    rows = cut(rows.select("key", "node", "label", "large", "nth"))
+    count = cut(rows.groupBy(F.col("key").alias("of_key")).agg(few.alias("few"), blocks.alias("many")))
+    wanted = rows.select("node").distinct()
+    bags = stored(texts.join(wanted, "node").select("node", "text").mapInArrow(_bags, "node long, bag binary"))
+    rows = rows.join(count, F.col("key") == F.col("of_key")).withColumn("own", F.col("nth") + F.when(F.col("large"), F.col("few")).otherwise(F.lit(0)))
+    # Two blocks, one of either kind, that fit one go as one: nearly all keys are small.
+    one = (F.col("few") == 1) & (F.col("many") == 1)
+    rows = rows.withColumn("own", F.when(one, F.lit(0)).otherwise(F.col("own"))).withColumn("large", F.col("large") & ~one)
+    rows = rows.withColumn("blocks", F.when(one, F.lit(1)).otherwise(F.col("few") + F.col("many")))
+    rows = rows.join(bags.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"))
+    packed = stored(rows.select("key", "own", "label", "large", "blocks", "bag").groupBy("key", "own").applyInArrow(_packed(least), _PACKED))
+    found = packed.filter("a is not null").select("a", "b")
+    whole = packed.filter("a is null").join(count, F.col("key") == F.col("of_key")).drop("a", "b")
+    others = F.when(F.col("own") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few"))
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1))).filter("own <> other")
+    whole = whole.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "data", "labels", "sizes")
+    met = whole.groupBy("key", "low", "high").applyInArrow(_met(least), "a long, b long")
+    return cut(found.unionByName(met).distinct())
 
 
 # --- components --------------------------------------------------------------------------------------------------
@@ -275,11 +346,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Labels after further links between nodes."""
-    if labels is None:
-        return components(found)
-    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found.select("a", "b")))
+def roots(parents: DataFrame) -> DataFrame:
+    """node and label, the root of its tree, for rows (a, b) that give each node b one smaller node a: labels of labels, until nothing changes."""
+    labels = parents.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    while True:
+        up = labels.select(F.col("node").alias("of"), F.col("label").alias("up"))
+        found = cut(labels.join(up, F.col("label") == F.col("of"), "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")))
+        labels = found.select("node", "label")
+        if not found.filter("moved").limit(1).count():
+            return labels
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of all nodes that are not their own, after further edges between labels."""
+    new = components(edges).filter("node <> label")
+    up = new.select(F.col("node").alias("of"), F.col("label").alias("up"))
+    moved = labels.join(up, F.col("label") == F.col("of"), "left").select("node", F.coalesce("up", "label").alias("label"))
+    return cut(moved.unionByName(new))
 
 
 def _with_label(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -294,32 +377,35 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
     """Per row: id, text_key, class_id, class_size, kept (one row of each class)."""
     names_free(docs, id_col, text_col)
+    begun = written_so_far()
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = plain.mapInArrow(_sign, "id long, text_key long, content binary, bands array<long>")
-    rows = stored(signed.withColumn("tag", F.monotonically_increasing_id()))
+    signed = plain.mapInArrow(_sign, "id long, text_key long, text string, content binary, size long, bands array<long>")
+    rows = stored(signed.withColumn("tag", F.monotonically_increasing_id()), compression="zstd")
     # Nodes: the first row (smallest id) of each word sequence.
-    first = F.min(F.struct(F.col("id").isNull().cast("int").alias("void"), "id", "tag", "text_key"))
-    groups = rows.groupBy("content").agg(first.alias("first"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
-    nodes = stored(groups.select("content", F.col("first.tag").alias("node"), F.col("first.id").alias("id"), F.col("first.void").alias("void"), F.col("first.text_key").alias("text_key"), "rows", "bands"))
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    first = F.min(F.struct(F.col("id").isNull().cast("int").alias("void"), "id", "tag"))
+    groups = rows.groupBy("content").agg(first.alias("first"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = stored(groups.select("content", F.col("first.tag").alias("node"), F.col("first.id").alias("id"), F.col("first.void").alias("void"), "rows", "size", "bands"))
+    banded = nodes.select("node", "size", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("of_key"), "leader")
-    met = stored(banded.join(shared, F.col("key") == F.col("of_key")).select("key", "node", "leader"))
+    met = stored(banded.join(shared, F.col("key") == F.col("of_key")).select("key", "node", "size", "leader"))
     star = cut(met.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n")))
-    wanted = met.select("node").distinct().join(nodes.select("node", "id", "text_key"), "node").select("node", F.col("id").alias("of_id"), F.col("text_key").alias("of_key"))
-    texts = stored(plain.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).select("node", "text"), compression="zstd")
+    wanted = met.select("node").distinct()
+    texts = stored(rows.select("tag", "text").join(wanted, F.col("tag") == F.col("node")).select("node", "text"), compression="zstd")
     best = star.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "leader")).alias("x")).select(F.col("node").alias("b"), F.col("x.leader").alias("a"))
-    labels = _relabelled(None, links(best, texts, least))
+    labels = roots(links(best.select("a", "b"), texts, least))
     # The node's other leaders, where the components still differ.
-    rest = _with_label(_with_label(star.select(F.col("leader").alias("a"), F.col("node").alias("b")), labels, "a", "la"), labels, "b", "lb").filter("la <> lb")
-    rest = cut(rest.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    labels = _relabelled(labels, links(rest, texts, least))
+    rest = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).join(best, ["a", "b"], "left_anti")
+    rest = cut(_with_label(_with_label(rest, labels, "a", "la"), labels, "b", "lb").filter("la <> lb"))
+    edges = links(rest.select("a", "b", "la", "lb"), texts, least)
+    labels = joined(labels, edges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     # Buckets that still hold several components: their nodes are compared exactly, in blocks.
-    member = cut(_with_label(met.select("key", "node"), labels, "node", "label"))
-    labels = _relabelled(labels, links_in_blocks(member, texts, least))
+    member = cut(_with_label(met.select("key", "node", "size"), labels, "node", "label"))
+    labels = joined(labels, links_in_blocks(member, texts, least, block, most))
     classed = cut(_with_label(nodes.select("content", "node", "id", "void", "rows"), labels, "node", "label"))
+    discard_since(begun + 1)
     least_id = F.min(F.struct("void", "id", "node"))
     classes = classed.groupBy("label").agg(least_id.alias("c"), F.sum("rows").alias("class_size")).select(F.col("label").alias("of_label"), F.col("c.id").alias("class_id"), F.col("c.node").alias("kept_tag"), "class_size")
     found = classed.join(classes, F.col("label") == F.col("of_label")).select("content", "class_id", "kept_tag", "class_size")
