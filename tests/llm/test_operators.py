@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, exact_dedup, line_rules, mixing, near_dedup, packing, registry, sharding, suffix_dedup, token_counts, toxicity
 from tidemark.llm.common import cut, mark, numbered, tokenizer_file, uniform_of
@@ -485,11 +486,55 @@ def test_token_counts(spark, nasty, nothing, docs, tmp_path):
     assert token_counts.count_tokens(nothing, str(tmp_path / "none")).count() == 0
 
 
-@settings(deadline=None, max_examples=200)
-@given(st.text(max_size=60))
-def test_word_counts_add_up(text):
+def test_token_cache_with_repeated_entries_and_two_writers(spark, nasty, tmp_path):
+    cache, plain = str(tmp_path / "cache"), library(token_counts.TOKENIZER)
+    for _ in range(2):  # two writers that began with an empty cache
+        token_counts.count_tokens(nasty, str(tmp_path / "other")).count()
+        spark.read.parquet(str(tmp_path / "other")).write.mode("append").parquet(cache)
+    kept = spark.read.parquet(cache)
+    before = kept.count()
+    assert before == 2 * kept.select("content").distinct().count()
+    more = nasty.unionByName(nasty.limit(1).withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit("one text more")))
+    got = token_counts.count_tokens(more, cache).collect()
+    assert len(got) == len(nasty_rows()) + 1 and [r.n_tokens for r in got if r.id == 77] == [len(plain.encode("one text more").ids)]
+    assert spark.read.parquet(cache).count() == before + 1  # only what was missing is appended
+
+
+def test_repeated_rows_are_encoded_once(spark, tmp_path):
+    rows = [(None, "a text of null ids")] * 300 + [(5, "repeated rows")] * 200 + [(i, f"copies of one content {i // 50}".replace(" ", " \t"[i % 2])) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    known = token_counts.known_counts(spark, str(tmp_path / "none"), "x")
+    made = token_counts.encoded(docs, token_counts.digests(docs, "doc_id", "text"), known, token_counts.TOKENIZER, "doc_id", "text")
+    assert made.count() == made.select("content").distinct().count() == 4
+
+
+TEXTS = st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["[UNK]", "<unk>", "[CLS]", "[MASK]", "<s>", "</s>", "<|endoftext|>", "[PAD]", " ", "\n", "a", "é", "word", "\u00a0", "\u2003", "12"]), max_size=10).map("".join))
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(TEXTS, min_size=1, max_size=5))
+def test_word_counts_add_up(texts):
+    import pyarrow as pa
+
     counts, plain = _counts()
-    assert counts.count(text.encode("utf-8", "replace")) == len(plain.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids)
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    assert counts.counts(pa.array(texts)).tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_ids_equal_the_libraries_on_many_texts(spark):
+    """All documents of a larger table, and random Unicode with special strings, through both tokenizers."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    odd = ["<|endoftext|>", "[UNK]", "<s>", " ", "\n", "\t", "'s", "1234", "\u00a0", "ß", "日本", "\U0001f600", "e\u0301", "_", "https://a.b/c?d=1"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.4 else chr(rng.choice([rng.randint(32, 126), rng.randint(160, 0x2FFF), rng.randint(0x1F300, 0x1F6FF)])) for _ in range(rng.randint(0, 60))) for _ in range(6000)]
+    texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words, plain = token_counts.WordCounts(token_counts.TOKENIZER), library(token_counts.TOKENIZER)
+    assert words.counts(pa.array(texts)).tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    fast, whole = packing.Encoder(), library("byte_bpe_50k.json")
+    assert all(fast.ids(t) == whole.encode(t, add_special_tokens=False).ids for t in texts)
 
 
 _KEPT = []

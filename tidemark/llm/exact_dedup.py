@@ -191,9 +191,9 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
     return rows.join(winners, "digest").select("id", "tag", "digest", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"), "origin")
 
 
-def first_arrival() -> Column:
+def first_arrival(id_col: str = "id") -> Column:
     """The rows that the query treats as history: half of them, by a hash of the id. The rest arrives second."""
-    return F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 2 == 0
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
