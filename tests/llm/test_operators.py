@@ -413,6 +413,71 @@ def test_toxicity_on_held_out_rows(spark):
     assert docs.count() > 0
 
 
+def plain_grams(text, sizes=(4, 6, 8)):
+    t = f" {text.lower()} "
+    return {t[k : k + n] for n in sizes for k in range(len(t) - n + 1)}
+
+
+def named(grams):
+    """32-bit hashes of n-grams, one at a time in plain integers."""
+    out = {}
+    for g in grams:
+        h = len(g)
+        for c in g:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+        h ^= h >> 29
+        out[g] = (h * 0xBF58476D1CE4E5B9 % 2**64) >> 32
+    return out
+
+
+def test_toxicity_equals_a_plain_model(spark):
+    """N-grams, log-count ratios and scores by plain sets, counts and sums."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdeé"), 5))
+    texts = [" ".join(word() for _ in range(rng.integers(0, 25))) + (" vile Insult" if i % 3 == 0 else " kind words") for i in range(90)]
+    y = np.array([i % 3 == 0 for i in range(90)], float)
+    features = []
+    for t in texts:
+        points, offsets = toxicity._points([t])
+        got = np.unique(np.concatenate([h[inside] for h, inside in toxicity.grams(points, offsets)]))
+        assert set(got.tolist()) == set(named(plain_grams(t)).values())
+        features.append(got)
+    names, df, df1, ratio = toxicity.log_count_ratios(y, features, 3)
+    with_gram = collections.Counter(h for t in texts for h in set(named(plain_grams(t)).values()))
+    with_toxic = collections.Counter(h for t, one in zip(texts, y, strict=True) if one for h in set(named(plain_grams(t)).values()))
+    assert names.tolist() == sorted(h for h, n in with_gram.items() if n >= 3)
+    for h, n, n1, r in zip(names.tolist(), df, df1, ratio, strict=True):
+        assert (n, n1) == (with_gram[h], with_toxic[h])
+        assert r == pytest.approx(np.log(((n1 + 1) / 32) / ((n - n1 + 1) / 62)))
+    model = names, weights, bias = toxicity.fit(y, features, most=300)
+    strong = named({"vile", "insult"[:4]})
+    assert all(weights[np.searchsorted(names, h)] > 0 for h in strong.values() if h in names)
+    # Every weight is a coefficient times its ratio, so its sign is the ratio's wherever the fit agrees with the counts.
+    own = dict(zip(*log_ratio_of(toxicity.log_count_ratios(y, features, 3)), strict=True))
+    assert np.mean([np.sign(w) == np.sign(own[h]) for h, w in zip(names.tolist(), weights, strict=True) if abs(w) > 1e-3]) > 0.8
+    more = [*texts, "", None, "VILE insult", "x" * 100]
+    docs = spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.with_score(docs, model).collect()}
+    for i, t in enumerate(more):
+        present = set(named(plain_grams(t or "")).values())
+        z = bias + sum(w for h, w in zip(names.tolist(), weights, strict=True) if h in present)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def log_ratio_of(found):
+    return found[0].tolist(), found[3].tolist()
+
+
+def test_toxicity_fit_is_bounded_by_features(spark):
+    """A text of megabytes among the labelled ones is left out of a fit that it would not fit in, and scored all the same."""
+    rows = [(i, ("vile insult " if i % 2 else "kind words ") * 5) for i in range(60)] + [(60, "long " + "".join(f"{k:x} " for k in range(400_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(60, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, entries=100_000)
+    got = {r.doc_id: r.score for r in toxicity.with_score(docs, model).collect()}
+    assert len(got) == 61 and all((got[i] > 0.5) == bool(i % 2) for i in range(60))
+
+
 def test_toxicity_edges(spark, nasty, nothing):
     labels = spark.createDataFrame([(9, 1, 1, "x"), (10, 0, 0, "x"), (11, None, 0, "x"), (12, 1, None, "x"), (None, 1, 1, "x"), (14, 0, 1, "x"), (999, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
     model = toxicity.train(nasty, labels)

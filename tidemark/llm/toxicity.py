@@ -6,7 +6,7 @@ it / share of label 0 rows with it), smoothed by one row; logistic regression is
 The strongest features are kept and fitted again, so that a text of any length is scored by a scan for few n-grams.
 
 The fit uses a bounded sample of labelled rows (`POSITIVES`, `NEGATIVES`, the first in the order of a hash of
-the id); every row is scored over its whole text. Labels, language, source and id are not inputs of a score.
+the id, as long as their features together stay below `ENTRIES`, so that very long texts don't exceed a task's memory); every row is scored over its whole text. Labels, language, source and id are not inputs of a score.
 
 Defined results: null and empty texts score by the bias alone; repeated rows score alike; labels that are null, or of
 rows that are missing, are not used; labels that contradict for an id count as 1; without a row of either label every
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -28,6 +28,8 @@ from .common import fresh, names_free, row_ranges, strings, table, uniform
 SIZES = (4, 6, 8)
 #: Most labelled rows of each label that the fit uses.
 POSITIVES, NEGATIVES = 1500, 2500
+#: Most features (distinct n-grams, summed over the rows) of each label that the fit takes in; rows are taken in the order of their hash until then.
+ENTRIES = 32 << 20
 #: Features of the final model, at most, and documents of the sample that a feature needs.
 FEATURES, LEAST = 5_000, 3
 FOLDS = 5
@@ -85,7 +87,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 points, offsets = _points([t])
                 own = [h[inside] for h, inside in grams(points, offsets)]
                 found.append(np.unique(np.concatenate(own)).astype("<u4").tobytes() if own else b"")
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("label", "u", "id")], pa.array(found, pa.binary())], names=["label", "u", "id", "features"])
 
 
 # --- fit ---------------------------------------------------------------------------------------------------------
@@ -142,12 +144,9 @@ def promising(documents: Callable[[], Iterable[tuple[int, np.ndarray]]], most: i
         yield one, f[kept[f >> shift]]
 
 
-def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, least: int = LEAST, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted feature hashes, their weights and the bias."""
-    y = np.asarray(labels, np.float64)
-    none = (np.zeros(0, np.uint32), np.zeros(0))
-    if not len(y) or y.min() == y.max():
-        return *none, float(np.clip(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)), -20, 20)) if len(y) else 0.0
+def log_count_ratios(y: np.ndarray, features: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the features in at least so many rows, the rows and the label 1 rows with each, and the log of its share of label 1
+    rows over its share of label 0 rows, one row more with and one without it in either."""
     n1, n0 = y.sum(), len(y) - y.sum()
     names, df = np.unique(np.concatenate(features), return_counts=True)
     names, df = names[df >= least], df[df >= least]
@@ -155,7 +154,17 @@ def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, le
     there = np.isin(found, names)
     df1 = np.zeros(len(names))
     df1[np.searchsorted(names, found[there])] = n[there]
-    ratio = np.log(((df1 + 1) / (n1 + 2)) / ((df - df1 + 1) / (n0 + 2)))
+    return names, df, df1, np.log(((df1 + 1) / (n1 + 2)) / ((df - df1 + 1) / (n0 + 2)))
+
+
+def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, least: int = LEAST, l2: float = 1e-3, steps: int = 80) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted feature hashes, their weights and the bias."""
+    y = np.asarray(labels, np.float64)
+    none = (np.zeros(0, np.uint32), np.zeros(0))
+    if not len(y) or y.min() == y.max():
+        return *none, float(np.clip(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)), -20, 20)) if len(y) else 0.0
+    n1, n0 = y.sum(), len(y) - y.sum()
+    names, df, df1, ratio = log_count_ratios(y, features, least)
     # Those that tell the labels apart most, by ratio and by how often they occur in either; after a fit, by weight.
     strength, weights, bias = np.abs(ratio) * np.sqrt(df1 / n1 + (df - df1) / n0), np.zeros(0), 0.0
     for keep in (most * 4, most):
@@ -172,17 +181,20 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, posi
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     rows = rows.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")).withColumn("u", uniform("toxicity-1", F.col("id")))
     ones, zeros = (rows.filter(F.col("label") == k).orderBy("u", "id").limit(n) for k, n in ((1, positives), (0, negatives)))
-    return ones.unionByName(zeros).select("id", "label")
+    return ones.unionByName(zeros).select(F.col("id").cast("string").alias("id"), "label", "u")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, entries: int = ENTRIES) -> tuple[np.ndarray, np.ndarray, float]:
     names_free(docs, id_col, text_col)
     names_free(labels, id_col, label_col)
     # The sample has at most positives + negatives rows, whatever the input: it may be broadcast.
     chosen = sample(docs, labels, id_col, label_col, positives, negatives)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
     # The sample's features are fitted by one task: they are bounded, and the driver gets the model alone.
-    kept = rows.select("text", "label").mapInArrow(_featured, "label int, features binary").withColumn("all", F.lit(0))
+    kept = rows.select("text", "label", "u", "id").mapInArrow(_featured, "label int, u double, id string, features binary")
+    so_far = Window.partitionBy("label").orderBy("u", "id", F.octet_length("features"), F.xxhash64("features")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumn("n", F.sum(F.floor(F.octet_length("features") / 4)).over(so_far)).filter(F.col("n") <= entries)
+    kept = kept.select("label", "features").withColumn("all", F.lit(0))
     found = kept.groupBy("all").applyInArrow(_fitted, "names binary, weights binary, bias double").first()
     if found is None:
         return np.zeros(0, np.uint32), np.zeros(0), 0.0
