@@ -300,7 +300,7 @@ def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: in
     shingles, packed blocks travel rather than texts, and only links are emitted."""
     per = member.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("of_key"))
     per = per.agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).filter("labels > 1")
-    rows = member.join(per.select("of_key", "n", F.col("main.label").alias("main")), F.col("key") == F.col("of_key"))
+    rows = member.join(cut(per.select("of_key", "n", F.col("main.label").alias("main"))), F.col("key") == F.col("of_key"))
     # A node costs its shingles, or its share of a block's rows.
     cost = F.greatest(F.col("size"), F.ceil(F.lit(most) / F.lit(block))).cast("long")
     rows = cut(rows.select("key", "node", "label", (F.col("label") == F.col("main")).alias("large"), cost.alias("cost"), F.pmod(F.xxhash64("node"), root_of(F.col("n"))).alias("at")))
@@ -317,10 +317,10 @@ def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: in
     one = (F.col("few") == 1) & (F.col("many") == 1)
     rows = rows.withColumn("own", F.when(one, F.lit(0)).otherwise(F.col("own"))).withColumn("large", F.col("large") & ~one)
     rows = rows.withColumn("blocks", F.when(one, F.lit(1)).otherwise(F.col("few") + F.col("many")))
-    rows = rows.join(bags.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"))
+    rows = rows.join(bags.withColumnRenamed("node", "of_node").hint("merge"), F.col("node") == F.col("of_node"))
     packed = stored(rows.select("key", "own", "label", "large", "blocks", "bag").groupBy("key", "own").applyInArrow(_packed(least), _PACKED))
     found = packed.filter("a is not null").select("a", "b")
-    whole = packed.filter("a is null").join(count, F.col("key") == F.col("of_key")).drop("a", "b")
+    whole = packed.filter("a is null").join(count.hint("merge"), F.col("key") == F.col("of_key")).drop("a", "b")
     others = F.when(F.col("own") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few"))
     whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1))).filter("own <> other")
     whole = whole.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "data", "labels", "sizes")
@@ -357,9 +357,8 @@ def roots(parents: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels of all nodes that are not their own, after further edges between labels."""
-    new = components(edges).filter("node <> label")
+def composed(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels of all nodes that are not their own, after further labels of labels."""
     up = new.select(F.col("node").alias("of"), F.col("label").alias("up"))
     moved = labels.join(up, F.col("label") == F.col("of"), "left").select("node", F.coalesce("up", "label").alias("label"))
     return cut(moved.unionByName(new))
@@ -389,28 +388,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = rows.groupBy("content").agg(first.alias("first"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stored(groups.select("content", F.col("first.tag").alias("node"), F.col("first.id").alias("id"), F.col("first.void").alias("void"), "rows", "size", "bands"))
     banded = nodes.select("node", "size", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("of_key"), "leader")
-    met = stored(banded.join(shared, F.col("key") == F.col("of_key")).select("key", "node", "size", "leader"))
+    shared = cut(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("of_key"), "leader"))
+    # Merge joins throughout: both sides grow with the input, and a hot key between two shuffles is split by adaptive execution.
+    met = stored(banded.join(shared.hint("merge"), F.col("key") == F.col("of_key")).select("key", "node", "size", "leader"))
     star = cut(met.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n")))
     wanted = met.select("node").distinct()
-    texts = stored(rows.select("tag", "text").join(wanted, F.col("tag") == F.col("node")).select("node", "text"), compression="zstd")
+    texts = stored(rows.select("tag", "text").join(wanted.hint("merge"), F.col("tag") == F.col("node")).select("node", "text"), compression="zstd").hint("merge")
     best = star.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "leader")).alias("x")).select(F.col("node").alias("b"), F.col("x.leader").alias("a"))
     labels = roots(links(best.select("a", "b"), texts, least))
     # The node's other leaders, where the components still differ.
     rest = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).join(best, ["a", "b"], "left_anti")
     rest = cut(_with_label(_with_label(rest, labels, "a", "la"), labels, "b", "lb").filter("la <> lb"))
     edges = links(rest.select("a", "b", "la", "lb"), texts, least)
-    labels = joined(labels, edges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    edges = cut(edges.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    hooked = roots(edges.groupBy("b").agg(F.min("a").alias("a")))
+    labels = composed(labels, hooked)
+    left = _with_label(_with_label(edges, hooked, "a", "la"), hooked, "b", "lb").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     # Buckets that still hold several components: their nodes are compared exactly, in blocks.
     member = cut(_with_label(met.select("key", "node", "size"), labels, "node", "label"))
-    labels = joined(labels, links_in_blocks(member, texts, least, block, most))
+    left = left.unionByName(links_in_blocks(member, texts, least, block, most))
+    labels = composed(labels, components(left).filter("node <> label"))
     classed = cut(_with_label(nodes.select("content", "node", "id", "void", "rows"), labels, "node", "label"))
     discard_since(begun + 1)
     least_id = F.min(F.struct("void", "id", "node"))
     classes = classed.groupBy("label").agg(least_id.alias("c"), F.sum("rows").alias("class_size")).select(F.col("label").alias("of_label"), F.col("c.id").alias("class_id"), F.col("c.node").alias("kept_tag"), "class_size")
     found = classed.join(classes, F.col("label") == F.col("of_label")).select("content", "class_id", "kept_tag", "class_size")
     # One content may be a third of all rows: an inner sort-merge join, which adaptive execution splits.
-    return rows.select("id", "text_key", "content", "tag").join(found, "content").select("id", "text_key", "class_id", "class_size", (F.col("tag") == F.col("kept_tag")).alias("kept"))
+    return rows.select("id", "text_key", "content", "tag").join(found.hint("merge"), "content").select("id", "text_key", "class_id", "class_size", (F.col("tag") == F.col("kept_tag")).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
