@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.sources.files import checkpointed
 
 MESSAGE_FEATURES = ("sentiment_polarity", "sentiment_subjectivity", "urgency_score", "social_engineering_score", "readability_flesch", "lexical_diversity", "avg_word_length", "caps_ratio", "exclamation_ratio", "function_word_ratio")
 USER_FEATURES = ("avg_drift_score", "max_drift_score", "flagged_message_rate")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut through the shared checkpoint folder, or a folder of our own where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint(eager=True)
-
-
 def standardized(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """s_<feature>: null as 0, mean 0 and population deviation 1; constant features become 0."""
     df = df.na.fill(0.0, list(features))
@@ -106,54 +99,145 @@ def isolation_forest(df: DataFrame, features: tuple[str, ...] = MESSAGE_FEATURES
     scorer = pandas_udf(score, "double")
     scorer.func.__annotations__ = {}
     scored = df.withColumn("_raw", scorer(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
-    cut_at = scored.agg(F.percentile_approx("_raw", 1 - s.contamination, 1_000_000).alias("_at"))
+    cut_at = scored.agg(F.percentile_approx("_raw", 1 - s.contamination, 10_000).alias("_at"))
     out = scored.join(F.broadcast(cut_at))  # one row
     return out.withColumns({"anomaly_score": F.col("_raw") - F.col("_at"), "is_anomaly": F.col("_raw") > F.col("_at")}).drop("_raw", "_at")
 
 
 # --- density clusters --------------------------------------------------------------------------------------------
+# Points lie in cells so small that all points of a cell are neighbours, so a cell with enough points is all core points and one cluster.
+# Only the few points of the other cells look around themselves, and clusters are joined cell by cell: no pairs of points are written.
+
+#: Core points of a cell that are compared with as many of another at once.
+POINTS = 2000
+
+
+def _side(dims: tuple[str, ...], eps: float) -> float:
+    return eps / math.sqrt(len(dims)) * (1 - 1e-9)
+
+
+def _cells(n: int) -> list[str]:
+    return [f"c{k}" for k in range(n)]
+
+
+def _located(users: DataFrame, dims: tuple[str, ...], eps: float) -> DataFrame:
+    """user, standardised coordinates x0, x1, ... and cell c0, c1, ..."""
+    points = standardized(users, dims).select("user", *[F.col(f"s_{d}").alias(f"x{k}") for k, d in enumerate(dims)])
+    return checkpointed(points.withColumns({f"c{k}": F.floor(F.col(f"x{k}") / _side(dims, eps)) for k in range(len(dims))}))
+
 
+def _around(rows: DataFrame, n: int, half: bool = False) -> DataFrame:
+    """Each row in each cell that may hold points within eps of its own, d0, d1, ...; half of them if pairs of cells are wanted once, without the own."""
+    reach = range(-math.ceil(math.sqrt(n)), math.ceil(math.sqrt(n)) + 1)
+    steps = [o for o in itertools.product(reach, repeat=n) if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= n and (not half or o > (0,) * n)]
+    rows = rows.withColumn("_o", F.explode(F.array(*[F.array(*map(F.lit, o)) for o in steps])))
+    return rows.withColumns({f"d{k}": F.col(f"c{k}") + F.col("_o")[k] for k in range(n)}).drop("_o")
 
-def neighbours(points: DataFrame, key: str, dims: tuple[str, ...], eps: float) -> DataFrame:
-    """Pairs (a, b) of keys within eps, themselves included: an equi-join of grid cells with the cells around them."""
-    cell = {f"c{k}": F.floor(F.col(d) / eps) for k, d in enumerate(dims)}
-    left = points.select(F.col(key).alias("a"), *[F.col(d).alias(f"a{k}") for k, d in enumerate(dims)], *[c.alias(n) for n, c in cell.items()])
-    right = points.select(F.col(key).alias("b"), *[F.col(d).alias(f"b{k}") for k, d in enumerate(dims)], *[c.alias(n) for n, c in cell.items()])
-    for k in range(len(dims)):
-        left = left.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + F.lit(x) for x in (-1, 0, 1)])))
-    near = sum((F.pow(F.col(f"a{k}") - F.col(f"b{k}"), F.lit(2)) for k in range(1, len(dims))), F.pow(F.col("a0") - F.col("b0"), F.lit(2)))
-    return left.join(right, list(cell)).filter(F.sqrt(near) <= eps).select("a", "b")
+
+def _distance(a: str, b: str, n: int) -> Column:
+    square = lambda k: F.pow(F.col(f"{a}{k}") - F.col(f"{b}{k}"), F.lit(2))
+    return F.sqrt(sum((square(k) for k in range(1, n)), square(0)))
+
+
+def _in_cells(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
+    """Rows of left with the rows of right in the cell d0, d1, ...; right's columns get a leading r."""
+    other = right.select(*[F.col(c).alias(f"r{c}") for c in right.columns])
+    on = F.lit(True)
+    for k in range(n):
+        on = on & (F.col(f"d{k}") == F.col(f"rc{k}"))
+    return left.join(other, on)
+
+
+def core_points(points: DataFrame, n: int, eps: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """The core points (with enough neighbours, themselves included), and the others, which all lie in cells of few points."""
+    sizes = checkpointed(points.groupBy(*_cells(n)).agg(F.count("*").alias("n")))
+    placed = checkpointed(points.join(sizes, _cells(n)))
+    few = placed.filter(F.col("n") < least)
+    near = _in_cells(_around(few, n), points, n).filter(_distance("x", "rx", n) <= eps)
+    enough = checkpointed(near.groupBy(F.col("user").alias("_u")).agg(F.count("*").alias("_near")).filter(F.col("_near") >= least).select("_u"))
+    some = few.join(enough, F.col("user") == F.col("_u"), "left_semi")
+    return checkpointed(placed.filter(F.col("n") >= least).unionByName(some).drop("n")), checkpointed(few.join(enough, F.col("user") == F.col("_u"), "left_anti").drop("n"))
 
 
 def dbscan_noise(users: DataFrame, dims: tuple[str, ...] = USER_FEATURES, settings: Settings | None = None) -> DataFrame:
-    """is_noise: no core point (one with enough neighbours, itself included) within eps."""
-    s = settings or Settings()
-    pairs = neighbours(standardized(users, dims), "user", tuple(f"s_{d}" for d in dims), s.dbscan_eps)
-    core = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") >= s.dbscan_least).select("b")
-    near = pairs.join(core, "b", "left_semi").select(F.col("a").alias("user")).distinct().withColumn("_near", F.lit(True))
+    """is_noise: no core point within eps."""
+    s, n = settings or Settings(), len(dims)
+    core, others = core_points(_located(users, dims, s.dbscan_eps), n, s.dbscan_eps, s.dbscan_least)
+    border = _in_cells(_around(others, n), core, n).filter(_distance("x", "rx", n) <= s.dbscan_eps)
+    near = core.select("user").unionByName(border.select("user").distinct()).withColumn("_near", F.lit(True))
     return users.join(near, "user", "left").withColumn("is_noise", F.col("_near").isNull()).drop("_near")
 
 
-def dbscan(users: DataFrame, dims: tuple[str, ...] = USER_FEATURES, settings: Settings | None = None) -> DataFrame:
-    """cluster (-1 for noise) and is_outlier_cluster. Components of core points by least labels and their labels' labels; a border
-    point joins the least cluster near it; clusters are numbered by their first core point."""
-    s = settings or Settings()
-    pairs = checkpointed(neighbours(standardized(users, dims), "user", tuple(f"s_{d}" for d in dims), s.dbscan_eps))
-    core = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") >= s.dbscan_least).select(F.col("b").alias("core"))
-    links = checkpointed(pairs.join(core, F.col("b") == F.col("core"), "left_semi"))  # b is a core point
-    edges = links.join(core, F.col("a") == F.col("core"), "left_semi")
-    labels = checkpointed(edges.groupBy("a").agg(F.min("b").alias("label")))
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and label, the least node of its component: least labels of neighbours, then the label's own label, until nothing changes."""
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = nodes.select("node", F.col("node").alias("label"))
     while True:
-        near = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
-        up = labels.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        fresh = checkpointed(near.join(up, "label").select("a", F.least("label", "up").alias("fresh")).join(labels, "a"))
-        done = fresh.filter(F.col("fresh") != F.col("label")).limit(1).count() == 0
-        labels = fresh.select("a", F.col("fresh").alias("label"))
-        if done:
-            break
-    root = links.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy(F.col("a").alias("user")).agg(F.min("label").alias("root"))
-    from pyspark.sql import Window
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        up = labels.select(F.col("node").alias("of"), F.col("label").alias("up"))
+        found = checkpointed(lower.join(up, F.col("label") == F.col("of")).select("node", "was", F.least("label", "up").alias("label")))
+        labels = found.select("node", "label")
+        if not found.filter(F.col("was") != F.col("label")).limit(1).count():
+            return labels
+
+
+def _touching(n: int, eps: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The pair of cells, if any of the points of one is within eps of any of the other's."""
+        x = rows[[f"x{k}" for k in range(n)]].to_numpy()
+        a, b = x[rows["first"].to_numpy()], x[~rows["first"].to_numpy()]
+        for k in range(0, len(a), 256):  # ends with the first that is near
+            square = (a[k : k + 256, None, 0] - b[None, :, 0]) ** 2
+            for d in range(1, n):
+                square = square + (a[k : k + 256, None, d] - b[None, :, d]) ** 2
+            if (np.sqrt(square) <= eps).any():
+                return rows[["a", "b"]].head(1)
+        return rows[["a", "b"]].head(0)
+
+    return run
+
+
+def cell_links(pairs: DataFrame, members: DataFrame, n: int, eps: float, block: int | None = None) -> DataFrame:
+    """The pairs (a, b) of cells in which a core point of one lies within eps of one of the other. Only points within eps of the other cell's
+    box are compared, in blocks of a bounded number of them."""
+    block = block or POINTS
+    outside = lambda k, side: F.greatest(F.col(f"lo_{side}{k}") - F.col(f"x{k}"), F.col(f"x{k}") - F.col(f"hi_{side}{k}"), F.lit(0.0))
+    sides = []
+    for own, other in (("a", "b"), ("b", "a")):
+        gap = F.sqrt(sum((F.pow(outside(k, other), F.lit(2)) for k in range(1, n)), F.pow(outside(0, other), F.lit(2))))
+        rows = pairs.join(members, F.col(own) == F.col("cell")).filter(gap <= eps * (1 + 1e-9))
+        rows = rows.withColumn(f"block_{own}", F.pmod(F.xxhash64("user"), F.ceil(F.col(f"n_{own}") / block)))
+        rows = rows.withColumn(f"block_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"n_{other}") / block) - 1)))
+        sides.append(rows.select("a", "b", "block_a", "block_b", F.lit(own == "a").alias("first"), *[f"x{k}" for k in range(n)]))
+    both = sides[0].unionByName(sides[1])
+    schema = pairs.select("a", "b").schema
+    return both.groupBy("a", "b", "block_a", "block_b").applyInPandas(_touching(n, eps), schema).distinct()
 
+
+def dbscan(users: DataFrame, dims: tuple[str, ...] = USER_FEATURES, settings: Settings | None = None) -> DataFrame:
+    """cluster (-1 for noise) and is_outlier_cluster. A cell of core points is in one cluster; cells are joined where their first core points
+    are near, and the clusters that this makes are joined where any core points of neighbouring cells are. A border point joins the
+    least cluster near it; clusters are numbered by their first core point."""
+    s, n, eps = settings or Settings(), len(dims), (settings or Settings()).dbscan_eps
+    core, others = core_points(_located(users, dims, eps), n, eps, s.dbscan_least)
+    xs = [f"x{k}" for k in range(n)]
+    ends = [f(x).alias(f"{name}_{k}") for k, x in enumerate(xs) for name, f in (("lo", F.min), ("hi", F.max))]
+    cells = core.groupBy(*_cells(n)).agg(F.min(F.struct("user", *xs)).alias("first"), F.count("*").alias("n"), *ends)
+    cells = checkpointed(cells.select(*_cells(n), "first.*", "n", *[f"{e}_{k}" for k in range(n) for e in ("lo", "hi")]).withColumnRenamed("user", "cell"))
+    pairs = _in_cells(_around(cells, n, half=True), cells, n)
+    boxes = [F.col(f"{r}{e}_{k}").alias(f"{e}_{x}{k}") for k in range(n) for e in ("lo", "hi") for r, x in (("", "a"), ("r", "b"))]
+    pairs = checkpointed(pairs.select(F.col("cell").alias("a"), F.col("rcell").alias("b"), (_distance("x", "rx", n) <= eps).alias("sure"), F.col("n").alias("n_a"), F.col("rn").alias("n_b"), *boxes))
+    nodes, sure = cells.select(F.col("cell").alias("node")), pairs.filter("sure").select("a", "b")
+    labels = components(nodes, sure)
+    members = core.join(cells.select(*_cells(n), "cell"), _cells(n))
+    la, lb = (labels.select(F.col("node").alias(f"of_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    unsure = pairs.filter(~F.col("sure")).join(la, F.col("a") == F.col("of_a")).join(lb, F.col("b") == F.col("of_b")).filter("label_a <> label_b")
+    more = checkpointed(cell_links(unsure.drop("label_a", "label_b", "of_a", "of_b"), members.select("user", "cell", *xs), n, eps))
+    labels = components(nodes, sure.unionByName(more))
+    rooted = checkpointed(members.join(labels, F.col("cell") == F.col("node")).select("user", *xs, *_cells(n), F.col("label").alias("root")))
+    border = _in_cells(_around(others, n), rooted, n).filter(_distance("x", "rx", n) <= eps).groupBy("user").agg(F.min("rroot").alias("root"))
+    root = rooted.select("user", "root").unionByName(border)
     number = labels.select("label").distinct().select(F.col("label").alias("root"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("label")) - 1).alias("cluster"))
     out = users.join(root.join(number, "root").drop("root"), "user", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     return out.withColumn("is_outlier_cluster", F.col("cluster") == -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.operators.ranks import exact_quantiles
 
 MONITORED = ("sentiment_polarity", "urgency_score", "lexical_diversity", "readability_flesch", "drift_score")
 
@@ -28,11 +29,8 @@ def snapshot(scored: DataFrame, risk: DataFrame, features: tuple[str, ...] = MON
 
 
 def risk_summary(risk: DataFrame) -> DataFrame:
-    return risk.agg(
-        F.avg("avg_drift_score").alias("mean_avg_drift"),
-        F.avg((F.col("n_flagged_messages") > 0).cast("double")).alias("share_users_flagged"),
-        F.percentile("avg_drift_score", F.lit(0.9)).alias("p90_avg_drift"),
-    )
+    means = risk.agg(F.avg("avg_drift_score").alias("mean_avg_drift"), F.avg((F.col("n_flagged_messages") > 0).cast("double")).alias("share_users_flagged"))
+    return means.join(F.broadcast(exact_quantiles(risk, "avg_drift_score", (0.9,)).withColumnRenamed("q0", "p90_avg_drift")))  # one row each
 
 
 def shifts(stats: DataFrame, order: str, settings: Settings | None = None) -> DataFrame:

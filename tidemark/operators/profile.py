@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import exact_quantiles
+
 
 def validation_profile(df: DataFrame, content: str = "content") -> DataFrame:
     """One pass: rows, null contents, users, first and last date."""
@@ -40,11 +42,12 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     return rows.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def daily_volume(df: DataFrame, date: str = "date") -> DataFrame:
-    """Messages of every day from the first to the last, with zeros for days without any."""
-    counts = df.groupBy(F.to_date(date).alias("day")).agg(F.count("*").alias("n"))
-    days = counts.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+def daily_volume(df: DataFrame, date: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
+    """Messages of every day from the first to the last, with zeros for days without any; on request of each user or the like."""
+    counts = df.groupBy(*by, F.to_date(date).alias("day")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("day").alias("_lo"), F.max("day").alias("_hi"))
+    days = (counts.select(*by).distinct().join(F.broadcast(ends)) if by else ends).select(*by, F.explode(F.sequence("_lo", "_hi")).alias("day"))  # one row
+    return days.join(counts, [*by, "day"], "left").select(*by, "day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -52,6 +55,6 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return out.select("n", "mean", "std", "min", *[F.col("q")[k].alias(f"q{p}") for k, p in enumerate((25, 50, 75))], "max")
+    out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    out = out.join(F.broadcast(exact_quantiles(df, column, (0.25, 0.5, 0.75))))  # one row each
+    return out.select("n", "mean", "std", "min", *[F.col(f"q{k}").alias(f"q{p}") for k, p in enumerate((25, 50, 75))], "max")

@@ -4,40 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TERM = "(?U)\\b\\w\\w+\\b"
-ASCII_TERM = "([a-z0-9_]{2,})"
+from tidemark.config import FUNCTION_WORDS
+from tidemark.sources.files import checkpointed
 
+#: Two word characters or more, in any script.
+TERM = "([\\p{L}\\p{N}_]{2,})"
+#: Words that say nothing about a passage's subject.
+STOP_WORDS = tuple(sorted(w for w in FUNCTION_WORDS if len(w) > 1))
 
-def terms(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), pattern: str = ASCII_TERM) -> DataFrame:
+
+def terms(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), pattern: str = TERM) -> DataFrame:
     rows = df.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))).alias("term"))
     return rows.filter(~F.col("term").isin(*stop)) if stop else rows
 
 
-def english_stop_words(spark) -> tuple[str, ...]:
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
-def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """L2-normalised tf * idf of each key and term."""
-    rows = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = rows.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
 def tfidf_top(corpus: DataFrame, questions: DataFrame, k: int = 4, key: str = "chunk_id", text: str = "text", question_key: str = "question_id", stop: tuple[str, ...] = ()) -> DataFrame:
-    """The k best passages of each question: question, passage, score and place. idf = ln((1 + n) / (1 + df)) + 1."""
-    counts = terms(corpus, key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf"))
+    """The k best passages of each question: question, passage, score and place. idf = ln((1 + n) / (1 + df)) + 1, cosine of tf * idf. The
+    corpus is cut into terms once, and counted once; of the weights only the questions' terms are joined to them. Give a list of
+    stop words: a term that most passages have brings most passages to a question."""
+    counts = checkpointed(terms(corpus, key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf")))
     total = corpus.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row
+    idf = checkpointed(df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))  # one row
     asked = terms(questions, question_key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf"))
-    q = weights(asked, idf).select(F.col("key").alias(question_key), "term", F.col("w").alias("qw"))
-    wanted = weights(counts, idf).join(q, "term")
-    scores = wanted.groupBy(question_key, F.col("key").alias(key)).agg(F.sum(F.col("w") * F.col("qw")).alias("score")).filter("score > 0")
+    asked = asked.join(idf, "term").select(F.col("key").alias(question_key), "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    norm = lambda w: F.sqrt(F.sum(w * w))
+    asked = asked.join(asked.groupBy(F.col(question_key).alias("_q")).agg(norm(F.col("qw")).alias("qn")), F.col(question_key) == F.col("_q"))
+    asked = checkpointed(asked.select(question_key, "term", (F.col("qw") / F.col("qn")).alias("qw")))
+    weighed = counts.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weighed.groupBy("key").agg(norm(F.col("w")).alias("norm"))
+    hit = weighed.join(asked, "term").groupBy(question_key, "key").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scores = hit.join(norms, "key").select(question_key, F.col("key").alias(key), (F.col("dot") / F.col("norm")).alias("score")).filter("score > 0")
     w = Window.partitionBy(question_key).orderBy(F.desc(F.round("score", 9)), key)
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 

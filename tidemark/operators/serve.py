@@ -12,9 +12,10 @@ from tidemark.config import ROLE_PERMISSIONS, Settings
 from tidemark.operators.audit import AuditLog
 from tidemark.operators.drift import top_users
 from tidemark.operators.monitor import shifts, stats_of_snapshots
-from tidemark.operators.policy import recommend
+from tidemark.operators.policy import prior_flags, recommend
 from tidemark.operators.privacy import revoke
-from tidemark.operators.retrieval import answer
+from tidemark.operators.retrieval import STOP_WORDS, answer
+from tidemark.sources.messages import read_audit
 from tidemark.sources.sinks import write_ledger
 
 EXPOSED = ("date", "drift_score", "n_flagged", "flagged_features", "sentiment_polarity", "sentiment_subjectivity", "urgency_score", "social_engineering_score", "readability_flesch", "lexical_diversity", "contact_degree", "interaction_concentration")
@@ -64,10 +65,15 @@ def recent_messages(scored: DataFrame, user: str | None = None, n: int = RECENT,
 
 
 class Service:
-    """Reads over the two persisted tables, each logged."""
+    """Reads over the two persisted tables, each checked against the actor's role and logged. A front end that acts for people who are not
+    known by name (the assistant) may do what an analyst may, and shows its secret where one is set."""
 
-    def __init__(self, risk: DataFrame | None, scored: DataFrame | None, log: AuditLog | None = None, settings: Settings | None = None, generator: Callable[[str, list[dict]], str | None] | None = None, passages: DataFrame | None = None) -> None:
+    def __init__(self, risk: DataFrame | None, scored: DataFrame | None, log: AuditLog | None = None, settings: Settings | None = None, generator: Callable[[str, list[dict]], str | None] | None = None, passages: DataFrame | None = None, secret: str | None = None) -> None:
         self.risk, self.scored, self.log, self.settings, self.generator, self.passages = risk, scored, log, settings or Settings(), generator, passages
+        self.secret = secret
+
+    def _allow(self, actor: str, permission: str) -> None:
+        check_permission({"assistant": "analyst"}.get(actor, actor), permission)
 
     def _log(self, event: str, user: str | None, details: dict, actor: str) -> None:
         if self.log is not None:
@@ -82,22 +88,28 @@ class Service:
         return row.asDict()
 
     def riskiest(self, k: int | None = None, actor: str = "analyst") -> list[dict]:
+        self._allow(actor, "view_users")
+        if k is not None and k <= 0:
+            raise ValueError("k must be positive")
         if self.risk is None:
             raise NotReady
         self._log("api_access", None, {"what": "riskiest"}, actor)
-        return [r.asDict() for r in top_users(self.risk, k or self.settings.top_k).select("user", "avg_drift_score").collect()]  # k rows
+        return [r.asDict() for r in top_users(self.risk, self.settings.top_k if k is None else k).select("user", "avg_drift_score").collect()]  # k rows
 
     def user(self, user: str, actor: str = "analyst") -> dict:
+        self._allow(actor, "view_users")
         self._log("api_access", user, {"what": "user"}, actor)
         return self._row(user)
 
     def messages(self, user: str, actor: str = "analyst") -> DataFrame:
+        self._allow(actor, "view_drift")
         if self.scored is None:
             raise NotReady
         self._log("api_access", user, {"what": "messages"}, actor)
         return allow_listed(self.scored.filter(F.col("user") == user))
 
     def explain(self, user: str, actor: str = "analyst") -> dict:
+        self._allow(actor, "view_drift")
         row = self._row(user)
         if row["avg_drift_score"] < self.settings.flag_at:
             return {"user": user, "explanation": None, "reason": "the score is below the threshold for explanations"}
@@ -107,29 +119,41 @@ class Service:
         self._log("explanation_generated", user, {"given": text is not None}, actor)
         return {"user": user, "explanation": text, "reason": None if text else "the text generator gave nothing"}
 
+    def prior_flags(self) -> DataFrame | None:
+        """How often the newest entries of the own log flag each user."""
+        if self.log is None or not self.log.path.exists():
+            return None
+        return prior_flags(read_audit(self.risk.sparkSession, str(self.log.path)))
+
     def investigate(self, user: str, flags: DataFrame | None = None, actor: str = "analyst") -> dict:
-        """Risk, newest messages, prior flags, passages where the score calls for them, and a recommendation for a human."""
+        """Risk, newest messages, prior flags (of the own log, unless given), passages where the score calls for them, and a
+        recommendation for a human."""
+        self._allow(actor, "run_investigation")
         try:
             row = self._row(user)
         except NotFound:
             return {"user": user, "error": f"no data for {user}", "requires_human_review": True}
         steps = ["risk summary"]
         recent = [r.asDict() for r in recent_messages(self.scored, user).collect()] if self.scored is not None else []  # a few rows
-        steps += ["recent messages", "prior flags"]
+        steps.append("recent messages")
+        flags = self.prior_flags() if flags is None else flags
+        steps += ["prior flags"] if flags is not None else []
         advice = recommend(self.risk.filter(F.col("user") == user), flags, self.settings).first()
         sources = []
         if row["avg_drift_score"] >= self.settings.flag_at and self.passages is not None:
-            sources = answer("when is an escalation reviewed by a human", self.passages, 2)["sources"]
+            sources = answer("when is an escalation reviewed by a human", self.passages, 2, stop=STOP_WORDS)["sources"]
             steps.append("governance passages")
         steps.append("recommendation")
         self._log("investigation", user, {"action": advice["recommendation"]}, actor)
         return {"user": user, "risk": row, "recent_messages": recent, "repeat_flags": advice["repeat_flags"], "sources": sources, "recommendation": advice["recommendation"], "rationale": advice["rationale"], "steps": steps, "requires_human_review": True}
 
-    def audit_log_is_valid(self, spark: SparkSession) -> bool:
+    def audit_log_is_valid(self, spark: SparkSession, actor: str) -> bool:
+        self._allow(actor, "view_audit_log")
         return self.log is None or self.log.verify(spark)
 
     def newest_snapshot(self, snapshots: DataFrame, actor: str = "analyst") -> dict | None:
         """The newest monitoring snapshot, and the features that moved since the one before."""
+        self._allow(actor, "view_dashboard")
         newest = snapshots.orderBy(F.desc("timestamp")).limit(1).collect()
         if not newest:
             return None
@@ -138,18 +162,22 @@ class Service:
         return {"snapshot": newest[0].asDict(True), "moved": sorted(r["feature"] for r in moved.select("feature").collect())}  # a few features
 
     def revoke_consent(self, ledger: DataFrame, path: str, user: str, actor: str) -> None:
+        self._allow(actor, "revoke_consent")
         write_ledger(revoke(ledger, user), path)
         self._log("consent_revoked", None, {}, actor)
 
     def ask(self, question: str, k: int = 4, actor: str = "analyst") -> dict:
         """Passages, and an answer where a generator is given."""
+        self._allow(actor, "ask_assistant")
         if self.passages is None:
             raise NotReady
         self._log("rag_query", None, {"k": k}, actor)
-        return answer(question, self.passages, k, self.generator)
+        return answer(question, self.passages, k, self.generator, STOP_WORDS)
 
-    def assistant(self, intent: str, parameters: dict | None = None) -> dict:
+    def assistant(self, intent: str, parameters: dict | None = None, secret: str | None = None) -> dict:
         """The intents of a conversational front end."""
+        if self.secret is not None:
+            verify_secret(secret, self.secret)
         p = parameters or {}
         if self.risk is None:
             return {"text": "The pipeline has not been run yet."}

@@ -9,10 +9,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.operators.ranks import ahead, fresh, in_ranges, root_of, uniform
+from tidemark.sources.files import checkpointed
 
 FEATURES = ("avg_drift_score", "max_drift_score", "n_messages", "n_flagged_messages", "flagged_message_rate")
 
@@ -22,10 +24,13 @@ def training_rows(risk: DataFrame, labels: DataFrame, label: str = "is_malicious
 
 
 def stratified_split(df: DataFrame, key: str = "user", label: str = "label", test: float = 0.25) -> DataFrame:
-    """is_test for the first rows of each label by a hash of the key: reruns agree."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    nth, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("is_test", nth <= F.floor(n * test))
+    """is_test for the first rows of each label by a hash of the key: reruns agree. Labels are ranked in two steps."""
+    mark, n, bucket, of, nth = fresh(df, "_mark", "_n", "_bucket", "_of", "_nth")
+    rows = checkpointed(df.withColumn(mark, F.md5(F.col(key).cast("string"))))
+    sizes = rows.groupBy(F.col(label).alias(of)).agg(F.count("*").alias(n))  # a row per label
+    rows = rows.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col(of))).withColumn(bucket, F.floor(uniform(F.col(mark)) * root_of(F.col(n))))
+    ranked = ahead(rows, [label], bucket, [mark, key], nth)
+    return ranked.withColumn("is_test", F.col(nth) < F.floor(F.col(n) * test)).drop(mark, n, bucket, of, nth)
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
@@ -73,10 +78,11 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted")
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
-    """Area under the ROC curve by average ranks, null with a single class. Rows are first summed per distinct score."""
-    per = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = per.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    """Area under the ROC curve by average ranks, null with a single class. Rows are first summed per distinct score; scores are dealt out by
+    ranges, so that none of the tasks orders them all."""
+    per = in_ranges(df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")), score)
+    below = ahead(per, [], "_part", [score], "below", "n")
+    sums = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return sums.select((F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"), "n_pos", "n_neg")
 
 
@@ -86,10 +92,12 @@ def attribution(model: PipelineModel, df: DataFrame, features: tuple[str, ...] =
     base = roc_auc(predict(model, df)).first()["auc"]
     own = model.stages[-1].featureImportances.toArray()
     rows = []
+    rows_n = df.count()
+    place = lambda frame, seed: ahead(frame.withColumn("_u", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("user").cast("string")))).withColumn("_b", F.floor(uniform(F.col("_u")) * root_of(F.lit(rows_n)))), [], "_b", ["_u", "user"], "_i").drop("_u", "_b")
+    seat = checkpointed(place(df, s.seed))
     for k, f in enumerate(features):
-        key = lambda seed: F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), "user"), "user"))  # noqa: E731, B023
-        other = df.select(F.col(f).alias("_v"), key(s.seed + 1 + k).alias("_i"))
-        shuffled = df.withColumn("_i", key(s.seed)).join(other, "_i").withColumn(f, F.col("_v")).drop("_v", "_i")
+        other = place(df.select("user", F.col(f).alias("_v")), s.seed + 1 + k).drop("user")
+        shuffled = seat.join(other, "_i").withColumn(f, F.col("_v")).drop("_v", "_i")
         auc = roc_auc(predict(model, shuffled)).first()["auc"]
         rows.append((f, round(float((base or 0) - (auc or 0)), 5), round(float(own[k]), 5)))
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[1], -r[2], r[0])), "feature string, auc_drop double, importance double")

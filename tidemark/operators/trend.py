@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 
 
+def _extremes(name: str, part: Column) -> list[Column]:
+    """Least, largest and first value of a part of the rows."""
+    y = F.when(part, F.col("y"))
+    return [F.min(y).alias(f"{name}_lo"), F.max(y).alias(f"{name}_hi"), F.min_by(y, F.when(part, F.col("x"))).alias(f"{name}_y0")]
+
+
+def _flat(name: str) -> Column:
+    """Whether all values of the part are as near to its first as rounding allows: noise of that size has no slope."""
+    lo, hi, y0 = (F.col(f"{name}_{k}") for k in ("lo", "hi", "y0"))
+    near = F.lit(1e-8) + F.lit(1e-5) * F.abs(y0)
+    return F.coalesce((hi - y0 <= near) & (y0 - lo <= near), F.lit(True))
+
+
 def trajectory(scored: DataFrame, settings: Settings | None = None, order: tuple[str, ...] = ("date", "id"), last_n: int | None = None) -> DataFrame:
     """Slope, acceleration (slope of the second half less that of the first) and whether the rise gets steeper."""
     s = settings or Settings()
@@ -23,13 +36,11 @@ def trajectory(scored: DataFrame, settings: Settings | None = None, order: tuple
         F.regr_slope(y, x).alias("whole"),
         F.regr_slope(F.when(first, y), F.when(first, x)).alias("early"),
         F.regr_slope(F.when(second, y), F.when(second, x)).alias("late"),
-        F.min("y").alias("lo"),
-        F.max("y").alias("hi"),
-        F.min_by("y", "x").alias("y0"),
+        *[x for name, part in (("whole", F.lit(True)), ("early", first), ("late", second)) for x in _extremes(name, part)],
     )
-    near = F.lit(1e-8) + F.lit(1e-5) * F.abs("y0")
-    flat = (F.col("n_points") < s.least_points) | ((F.col("hi") - F.col("y0") <= near) & (F.col("y0") - F.col("lo") <= near))
+    flat = (F.col("n_points") < s.least_points) | _flat("whole")
     slope = F.when(flat, 0.0).otherwise(F.coalesce("whole", F.lit(0.0)))
-    rise = F.when(flat, 0.0).otherwise(F.coalesce("late", F.lit(0.0)) - F.coalesce("early", F.lit(0.0)))
+    half_slope = lambda name: F.when(_flat(name), 0.0).otherwise(F.coalesce(name, F.lit(0.0)))
+    rise = F.when(flat, 0.0).otherwise(half_slope("late") - half_slope("early"))
     out = sums.withColumns({"slope": slope, "rise": rise})
     return out.select("user", F.round("slope", 5).alias("trend_slope"), F.round("rise", 5).alias("acceleration"), ((F.col("slope") >= s.slope_at) & (F.col("rise") > 0)).alias("accelerating"), "n_points")

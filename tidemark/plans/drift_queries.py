@@ -171,9 +171,9 @@ def top_contacts(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add(_EV + """
 , x AS (SELECT "user", drift_score AS y, row_number() OVER (PARTITION BY "user" ORDER BY date, id) - 1 AS x, count(*) OVER (PARTITION BY "user") AS n FROM ed),
-s AS (SELECT "user", count(*) AS n_points, regr_slope(y, x) AS whole, regr_slope(y, x) FILTER (x < n // 2) AS early, regr_slope(y, x) FILTER (x >= n // 2) AS late, min(y) AS lo, max(y) AS hi, arg_min(y, x) AS y0 FROM x GROUP BY "user"),
-f AS (SELECT *, n_points < 5 OR (hi - y0 <= 1e-8 + 1e-5 * abs(y0) AND y0 - lo <= 1e-8 + 1e-5 * abs(y0)) AS flat FROM s),
-g AS (SELECT "user", n_points, CASE WHEN flat THEN 0 ELSE coalesce(whole, 0) END AS slope, CASE WHEN flat THEN 0 ELSE coalesce(late, 0) - coalesce(early, 0) END AS rise FROM f)
+s AS (SELECT "user", count(*) AS n_points, regr_slope(y, x) AS whole, min(y) AS whole_lo, max(y) AS whole_hi, arg_min(y, x) AS whole_y0, regr_slope(y, x) FILTER (x < n // 2) AS early, min(y) FILTER (x < n // 2) AS early_lo, max(y) FILTER (x < n // 2) AS early_hi, arg_min(y, x) FILTER (x < n // 2) AS early_y0, regr_slope(y, x) FILTER (x >= n // 2) AS late, min(y) FILTER (x >= n // 2) AS late_lo, max(y) FILTER (x >= n // 2) AS late_hi, arg_min(y, x) FILTER (x >= n // 2) AS late_y0 FROM x GROUP BY "user"),
+f AS (SELECT *, n_points < 5 OR (whole_hi - whole_y0 <= 1e-8 + 1e-5 * abs(whole_y0) AND whole_y0 - whole_lo <= 1e-8 + 1e-5 * abs(whole_y0)) AS flat, CASE WHEN (early_hi - early_y0 <= 1e-8 + 1e-5 * abs(early_y0) AND early_y0 - early_lo <= 1e-8 + 1e-5 * abs(early_y0)) THEN 0 ELSE coalesce(early, 0) END AS first, CASE WHEN (late_hi - late_y0 <= 1e-8 + 1e-5 * abs(late_y0) AND late_y0 - late_lo <= 1e-8 + 1e-5 * abs(late_y0)) THEN 0 ELSE coalesce(late, 0) END AS last FROM s),
+g AS (SELECT "user", n_points, CASE WHEN flat THEN 0 ELSE coalesce(whole, 0) END AS slope, CASE WHEN flat THEN 0 ELSE last - first END AS rise FROM f)
 SELECT "user", round(slope, 5) AS trend_slope, round(rise, 5) AS acceleration, slope >= 0.02 AND rise > 0 AS accelerating, n_points FROM g""")
 def trajectory(spark: SparkSession, sf: str) -> DataFrame:
     return trend.trajectory(scored_events(spark, sf), S)

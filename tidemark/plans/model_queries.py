@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +12,10 @@ from tidemark.operators import anomaly, retrieval, supervised
 from tidemark.plans import drift_queries as D
 from tidemark.plans import pipeline
 from tidemark.plans.registry import Register
-from tidemark.sources import messages
+from tidemark.plans.text_queries import _list
+from tidemark.sources import files, messages
 from tidemark.sources.adapters import events, mails, table, texts
+from tidemark.sources.files import checkpointed
 from tidemark.streaming.baseline import stream_baseline as stream_of
 
 Q = Register()
@@ -79,12 +80,15 @@ def auc_rank(spark: SparkSession, sf: str) -> DataFrame:
     return supervised.roc_auc(_scored_labels(spark, sf))
 
 
-@Q.add("""
-WITH t AS (SELECT doc_id AS k, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents),
+_TERMS = r"""SELECT * FROM (SELECT {key} AS k, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM {table}) WHERE NOT list_contains({stop}, term)"""
+
+
+@Q.add(f"""
+WITH t AS ({_TERMS.format(key="doc_id", table="documents", stop=_list(retrieval.STOP_WORDS))}),
 tf AS (SELECT k, term, count(*)::DOUBLE AS tf FROM t GROUP BY k, term), n AS (SELECT count(*) AS n FROM documents),
 i AS (SELECT term, ln((1.0::DOUBLE + max(n)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM tf, n GROUP BY term),
 w AS (SELECT k, tf.term, tf * idf AS w FROM tf JOIN i ON tf.term = i.term), nw AS (SELECT k, sqrt(sum(w * w)) AS norm FROM w GROUP BY k),
-qt AS (SELECT item_id AS q, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM benchmark), qf AS (SELECT q, term, count(*)::DOUBLE AS tf FROM qt GROUP BY q, term),
+qt AS ({_TERMS.format(key="item_id", table="benchmark", stop=_list(retrieval.STOP_WORDS))}), qf AS (SELECT k AS q, term, count(*)::DOUBLE AS tf FROM qt GROUP BY k, term),
 qw AS (SELECT q, qf.term, tf * idf AS w FROM qf JOIN i ON qf.term = i.term), qn AS (SELECT q, sqrt(sum(w * w)) AS norm FROM qw GROUP BY q),
 s AS (SELECT qw.q, w.k, sum(qw.w / qn.norm * w.w / nw.norm) AS score FROM qw JOIN w ON qw.term = w.term JOIN qn ON qw.q = qn.q JOIN nw ON w.k = nw.k GROUP BY qw.q, w.k),
 p AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, k) AS place FROM s WHERE score > 0)
@@ -92,12 +96,12 @@ SELECT q AS question_id, k AS chunk_id, CAST(place AS INTEGER) AS place, round(s
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     corpus = texts(spark, sf, "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    return retrieval.tfidf_top(corpus, asked).select("question_id", "chunk_id", "place", F.round("score", 6).alias("score"))
+    return retrieval.tfidf_top(corpus, asked, stop=retrieval.STOP_WORDS).select("question_id", "chunk_id", "place", F.round("score", 6).alias("score"))
 
 
 @Q.add()
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    found = anomaly.isolation_forest(anomaly.checkpointed(D.scored_documents(spark, sf)), ("lexical_diversity", "function_word_ratio", "avg_word_length", "caps_ratio", "readability_flesch"), S)
+    found = anomaly.isolation_forest(checkpointed(D.scored_documents(spark, sf)), ("lexical_diversity", "function_word_ratio", "avg_word_length", "caps_ratio", "readability_flesch"), S)
     return found.select("id", "anomaly_score", "is_anomaly")
 
 
@@ -109,7 +113,7 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str, kind: str) -> tuple:
-    rows = anomaly.checkpointed(supervised.stratified_split(_labelled(spark, sf)))
+    rows = checkpointed(supervised.stratified_split(_labelled(spark, sf)))
     return supervised.fit(rows.filter(~F.col("is_test")), kind, settings=S), rows
 
 
@@ -137,10 +141,9 @@ def stream_baseline(spark: SparkSession, sf: str) -> DataFrame:
     name = f"stream_{uuid.uuid4().hex}"
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
-    shape = spark.readStream.schema(schema).parquet(path if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(spark._jvm.org.apache.hadoop.fs.Path(path)) else sf + "/[e]vents.parquet")
+    shape = spark.readStream.schema(schema).parquet(path if files.is_folder(spark, path) else sf + "/[e]vents.parquet")
     rows = shape.select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("date"), F.col("event_id").alias("id"), "value")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    out = f"{base}/{name}"
+    out = f"{files.shared_folder(spark)}/{name}"
     run = stream_of(rows, D.W, S).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("id", "user", F.round("z", 6).alias("z"), "drift_score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions.text import feature_columns, recipients, tokens
 from tidemark.operators import fairness, monitor
-from tidemark.operators.anomaly import checkpointed, dbscan, isolation_forest
+from tidemark.operators.anomaly import dbscan, isolation_forest
 from tidemark.operators.audit import AuditLog
 from tidemark.operators.baseline import with_z
 from tidemark.operators.drift import flagged_rows, user_risk, with_drift
@@ -21,6 +21,7 @@ from tidemark.operators.privacy import consent_gate, pseudonymize, without_conte
 from tidemark.operators.profile import validate
 from tidemark.operators.trend import trajectory
 from tidemark.sources import sinks
+from tidemark.sources.files import checkpointed
 from tidemark.sources.messages import read_snapshots, read_table
 
 TRACKED = ("urgency_score", "social_engineering_score", "sentiment_polarity", "sentiment_subjectivity", "function_word_ratio", "lexical_diversity", "readability_flesch", "noun_ratio", "verb_ratio", "contact_degree", "interaction_concentration")

@@ -236,13 +236,14 @@ def describe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @Q.add("""
-WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events WHERE user_id % 50 = 1 GROUP BY 1), r AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c)
-SELECT strftime(r.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM r LEFT JOIN c ON r.day = c.day
+WITH c AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM c),
+u AS (SELECT DISTINCT user_id FROM c)
+SELECT u.user_id AS "user", strftime(r.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM u CROSS JOIN r LEFT JOIN c ON r.day = c.day AND u.user_id = c.user_id
 """)
 def daily_volume_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
-    """Of a few users, so that there are days without events."""
-    out = profile.daily_volume(events(spark, sf).filter(F.col("user") % 50 == 1))
-    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+    """Of every user, who has days without events."""
+    out = profile.daily_volume(events(spark, sf), by=("user",))
+    return out.select("user", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
 @Q.add("""
@@ -254,6 +255,22 @@ def daily_volume(spark: SparkSession, sf: str) -> DataFrame:
     return profile.daily_volume(events(spark, sf)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-@Q.add()
+def _roll(name: str, sides: int | str, of: str = "n || '/' || k") -> str:
+    """The SQL of sources.synthetic.dice."""
+    return f"(('0x' || substr(md5('{Settings().seed}/{name}/' || {of}), 1, 12))::BIGINT % {sides})"
+
+
+def _pick(values: tuple[str, ...], name: str) -> str:
+    return f"{_list(values)}[{_roll(name, len(values))} + 1]"
+
+
+@Q.add(f"""
+WITH u AS (SELECT n, 60 + {_roll("total", 81, "n")} AS total FROM range(60) t(n)),
+r AS (SELECT n, total, unnest(range(total)) AS k FROM u),
+m AS (SELECT *, printf('user%03d', n + 1) AS name, n >= 57 AND k > total * 0.66 AND {_roll("risk", 100)} < 35 AS late FROM r)
+SELECT printf('m%05d-%05d', n, k) AS id, strftime(to_timestamp(1262304000 + k * 14400 + {_roll("t", 7200)}) AT TIME ZONE 'UTC', '%m/%d/%Y %H:%M:%S') AS date, name AS "user", printf('PC-%04d', n) AS pc,
+  printf('user%03d@example.org', {_roll("to", 60)} + 1) AS "to", '' AS cc, '' AS bcc, name || '@example.org' AS "from", 'send' AS activity, CAST({_roll("size", 50000)} + 500 AS VARCHAR) AS size, '0' AS attachments,
+  replace(CASE WHEN late THEN {_pick(synthetic.RISKY, "risky")} ELSE {_pick(synthetic.CALM, "calm")} END, '{{doc}}', {_pick(synthetic.THINGS, "doc")}) AS content
+FROM m""")
 def synthetic_messages(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.messages(spark, seed=Settings().seed)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.config import DATE_FORMAT, REQUIRED_COLUMNS, STORED_NAMES
+from tidemark.config import DATE_FORMAT, REQUIRED_COLUMNS, STORED_NAMES, Settings
+from tidemark.sources import files
 
 MESSAGE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "date", "user", "pc", "to", "cc", "bcc", "from", "activity", "size", "attachments", "content")]
@@ -20,7 +20,8 @@ AUDIT = "seq long, timestamp string, event_type string, user_pseudonym string, a
 
 
 def load_messages(spark: SparkSession, kind: str, **options: str) -> DataFrame:
-    """Messages from a jdbc, csv, parquet or synthetic source, with repaired columns and parsed dates, ordered by nothing."""
+    """Messages from a jdbc, csv, parquet or synthetic source, with repaired columns and parsed dates, ordered by nothing. Of a database
+    table (jdbc, dbtable) a uniform sample of `cap` rows at most, drawn there; of files a sample is drawn with `sample`."""
     if kind == "synthetic":
         from tidemark.sources.synthetic import messages
 
@@ -29,11 +30,20 @@ def load_messages(spark: SparkSession, kind: str, **options: str) -> DataFrame:
         return prepare(spark.read.schema(MESSAGE).option("header", True).csv(options["path"]))
     if kind == "parquet":
         return prepare(spark.read.parquet(options["path"]))
-    if kind == "jdbc":  # limits and columns are pushed to the database
-        return prepare(spark.read.format("jdbc").options(**options).load())
+    if kind == "jdbc":
+        return prepare(spark.read.format("jdbc").options(**database_sample(options)).load())
     raise ValueError(f"unknown source: {kind}")
 
 
+def database_sample(options: dict[str, str]) -> dict[str, str]:
+    """Options of a read that has the database draw a random sample of `cap` rows (the setting's number by default; 0 reads all) of dbtable."""
+    given = dict(options)
+    cap = int(given.pop("cap", Settings().ingest_cap))
+    if cap and "dbtable" in given:
+        given["query"] = f"SELECT * FROM {given.pop('dbtable')} ORDER BY RANDOM() LIMIT {cap}"
+    return given
+
+
 def first_available(spark: SparkSession, sources: Iterable[tuple[str, dict]]) -> DataFrame:
     """The first source that can be read."""
     errors = []
@@ -47,12 +57,13 @@ def first_available(spark: SparkSession, sources: Iterable[tuple[str, dict]]) ->
 
 def discover_csv(spark: SparkSession, folder: str, names: tuple[str, ...] = ("email.csv", "emails.csv", "r4.2_email.csv", "email_sample.csv")) -> str | None:
     """A message file in the folder by its name, else by its header."""
+    found = {p.rsplit("/", 1)[-1]: p for p in files.listed(spark, folder, ".csv")}
     for name in names:
-        if (p := Path(folder, name)).exists():
-            return str(p)
-    for p in sorted(Path(folder).glob("*.csv")):
-        if set(REQUIRED_COLUMNS) <= set(spark.read.option("header", True).csv(str(p)).columns):
-            return str(p)
+        if name in found:
+            return found[name]
+    for p in found.values():
+        if set(REQUIRED_COLUMNS) <= set(spark.read.option("header", True).csv(p).columns):
+            return p
     return None
 
 
@@ -96,19 +107,21 @@ def sample(df: DataFrame, cap: int, id_col: str = "id") -> DataFrame:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A persisted table, None where it has not been written."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.parquet(path) if found else None
+    return spark.read.parquet(path) if files.exists(spark, path) else None
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.schema(LABELS).option("header", True).csv(path) if Path(path).exists() else None
+    return spark.read.schema(LABELS).option("header", True).csv(path) if files.exists(spark, path) else None
 
 
-def read_consent(spark: SparkSession, path: str) -> DataFrame:
-    """Users that agreed; nobody where there is no ledger."""
-    if not Path(path).exists():
+def read_consent(spark: SparkSession, path: str | None) -> DataFrame:
+    """Users that agreed; nobody where no ledger is named. A ledger that is named and cannot be found is an error: taken for an empty one
+    it would shut out everybody without a word."""
+    if path is None:
         return spark.createDataFrame([], "user string")
+    files.recover(spark, path)
+    if not files.exists(spark, path):
+        raise FileNotFoundError(f"there is no consent ledger at {path}")
     return spark.read.schema(CONSENT).option("header", True).csv(path).filter("consented").select("user")
 
 

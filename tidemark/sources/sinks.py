@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import pseudonym
+from tidemark.sources import files
 
 VENDOR, PRODUCT, VERSION = "Tidemark", "DriftEngine", "1.0"
 
@@ -29,14 +30,9 @@ def pseudonymized_labels(labels: DataFrame, salt: str) -> DataFrame:
 
 
 def write_ledger(ledger: DataFrame, path: str) -> None:
-    """Written beside the old ledger and swapped in, so that it can be derived from the old one."""
-    spark = ledger.sparkSession
+    """Written beside the old ledger and put in its place, so that it can be derived from the old one, and one of them is always there."""
     ledger.write.mode("overwrite").option("header", True).csv(f"{path}.new")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    files.replace(ledger.sparkSession, f"{path}.new", path)
 
 
 def severity(avg_drift: Column) -> Column:
