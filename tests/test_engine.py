@@ -616,6 +616,51 @@ def test_streams_of_contacts_and_days(spark, tmp_path):
     assert sorted(r.n for r in spark.table("days_out").collect()) == [1, 1, 2]
 
 
+def test_streams_of_several_features_equal_the_batch(spark, tmp_path):
+    """Two features with gaps, users that are texts: the stream's z are those of the batch form."""
+    from tidemark.streaming.baseline import stream_baseline
+
+    rows = [(f"u{k % 3}", k, float((k * 7) % 11) if k % 17 else None, float(k % 5 > 1)) for k in range(120)]
+    df = spark.createDataFrame(rows, "user string, id long, urgency_score double, noun_ratio double").withColumn("date", F.timestamp_seconds(F.col("id") * 60))
+    both = ("urgency_score", "noun_ratio")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run = stream_baseline(live, 6, S, both).writeStream.format("memory").queryName("z_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.id: r for r in spark.table("z_out").collect()}
+    want = {r.id: r for r in drift.with_drift(baseline.with_z(df, both, 6), both, S).collect() if r.z_urgency_score is not None or r.z_noun_ratio is not None}
+    assert got.keys() == want.keys() and len(got) > 90
+    for k, w in want.items():
+        for f in both:
+            a, b = got[k][f"z_{f}"], w[f"z_{f}"]
+            assert (b is None and (a is None or math.isnan(a))) or a == pytest.approx(b, abs=1e-9)
+        assert got[k].drift_score == pytest.approx(w.drift_score, abs=1e-4)
+
+
+def test_idle_state_goes_with_the_watermark(spark, tmp_path):
+    """A user who comes back after the idle time starts anew; without an idle time the old window still counts."""
+    from tidemark.streaming.baseline import stream_baseline
+
+    day = 86_400
+    parts = [[("a", d * 60, k) for k, d in enumerate(range(5))], [("b", 10 * day, 10)], [("b", 20 * day, 11)], [("b", 21 * day, 12)], [("a", 22 * day, 13)]]
+    folder = tmp_path / "in"
+    for k, rows in enumerate(parts):
+        part = spark.createDataFrame([(u, i, float(i % 3)) for u, _, i in rows], "user string, id long, value double")
+        at = {i: t for _, t, i in rows}
+        times = spark.createDataFrame(list(at.items()), "id long, t long")
+        part.join(times, "id").withColumn("date", F.timestamp_seconds("t")).select("user", "id", "value", "date").coalesce(1).write.mode("append").parquet(str(folder))
+        import time
+
+        time.sleep(1.1)  # files are read in the order of their times
+    schema = spark.read.parquet(str(folder)).schema
+    for idle, back in ((3 * day, set()), (None, {13})):
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        name = f"idle_{idle is None}"
+        run = stream_baseline(live, 5, S, idle_seconds=idle).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert {r.id for r in spark.table(name).collect()} == back
+
+
 def test_stream_of_files(spark, tmp_path):
     synthetic.messages(spark, users=3).write.option("header", True).csv(str(tmp_path / "mail"))
     run = messages.stream_messages(spark, str(tmp_path / "mail")).select("id").writeStream.format("memory").queryName("mail_out").trigger(availableNow=True).start()

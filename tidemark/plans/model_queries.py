@@ -146,7 +146,7 @@ def stream_baseline(spark: SparkSession, sf: str) -> DataFrame:
     out = f"{files.shared_folder(spark)}/{name}"
     run = stream_of(rows, D.W, S).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("id", "user", F.round("z", 6).alias("z"), "drift_score")
+    return spark.read.parquet(f"{out}/rows").select("id", "user", F.round("z_value", 6).alias("z"), "drift_score")
 
 
 @Q.add()

@@ -13,9 +13,6 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
-spread = dealt
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,34 +12,55 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 
-OUT = "user long, date timestamp, id long, z double, drift_score double"
-
-
-def z_of(x: float, past: list[float], window: int) -> float | None:
-    if len(past) < window:
-        return None
-    a = np.asarray(past)
-    return 0.0 if a.min() == a.max() else float((x - a.mean()) / a.std())
-
-
-def stream_baseline(events: DataFrame, window: int, settings: Settings | None = None, idle: str = "NoTimeout") -> DataFrame:
-    """z and drift of each event of a stream (user, date, id, value) against the user's last values before it. Rows of a batch come in
-    chunks and are put in order first; rows that come later than their successors are scored when they come."""
-    s = settings or Settings()
+def rolling_z(values: np.ndarray, past: np.ndarray, window: int) -> np.ndarray:
+    """z of each row of values (rows by features) against the `window` rows before it, of past and values; NaN where they are fewer or one
+    of them has no value, 0 where they are all the same."""
+    rows = np.concatenate((past, values))
+    out = np.full(values.shape, np.nan)
+    first = max(window - len(past), 0)  # the first row that has a whole window before it
+    if first >= len(values):
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(rows[len(past) + first - window : -1], window, axis=0)
+    x = values[first:]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = (x - windows.mean(axis=2)) / windows.std(axis=2)
+    constant = (windows.min(axis=2) == windows.max(axis=2)) & ~np.isnan(x)
+    out[first:] = np.where(constant, 0.0, z)
+    return out
+
+
+def stream_baseline(events: DataFrame, window: int, settings: Settings | None = None, features: tuple[str, ...] = ("value",), late: str = "1 day", idle_seconds: int | None = None) -> DataFrame:
+    """user, date, id, z_<feature> and drift_score of each event of a stream (user, date, id and the features) against the user's last values
+    before it; rows without any z are left out. The state of a user is a window of values. With idle_seconds it goes when the
+    watermark has passed the user's last event by so much, and rows later than the watermark are dropped; without, it stays for ever. Rows
+    of a batch come in chunks and are put in order first; rows that come later than their successors are scored when they come."""
+    s, kinds = settings or Settings(), dict(events.dtypes)
+    weights = np.array([s.weights.get(f, 1.0) for f in features])
+    names = ["user", "date", "id", *[f"z_{f}" for f in features], "drift_score"]
+    schema = ", ".join([f"user {kinds['user']}", "date timestamp", f"id {kinds['id']}", *[f"z_{f} double" for f in features], "drift_score double"])
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(chunks)).sort_values(["date", "id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            z = z_of(r.value, past, window)
-            if z is not None:
-                out.append((key[0], r.date, r.id, z, round(min(abs(z), s.clip_at), 4)))
-            past = [*past, r.value][-window:]
-        state.update((past,))
-        yield pd.DataFrame(out, columns=["user", "date", "id", "z", "drift_score"])
-
-    return events.groupBy("user").applyInPandasWithState(step, OUT, "past array<double>", "append", idle)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        past = np.asarray(state.get[0], float).reshape(-1, len(features)) if state.exists else np.zeros((0, len(features)))
+        rows = pd.concat(list(chunks)).sort_values(["date", "id"], ignore_index=True)
+        values = rows[list(features)].to_numpy(float)
+        z = rolling_z(values, past, window)
+        there = ~np.isnan(z)
+        total = (there * weights).sum(axis=1)
+        score = np.where(total > 0, (np.minimum(np.abs(np.where(there, z, 0.0)), s.clip_at) * weights).sum(axis=1) / np.maximum(total, 1e-300), 0.0)
+        state.update((np.concatenate((past, values))[-window:].ravel().tolist(),))
+        if idle_seconds is not None:
+            last = int(rows["date"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
+        kept = np.flatnonzero(there.any(axis=1))
+        out = rows.loc[kept, ["user", "date", "id"]]
+        yield pd.DataFrame({**out.to_dict("series"), **{f"z_{f}": z[kept, k] for k, f in enumerate(features)}, "drift_score": np.round(score[kept], 4)})[names]
+
+    live = events.select("user", "date", "id", *features)
+    live = live.withWatermark("date", late) if idle_seconds is not None else live
+    return live.groupBy("user").applyInPandasWithState(step, schema, "past array<double>", "append", "NoTimeout" if idle_seconds is None else "EventTimeTimeout")
 
 
 def stream_contacts(messages: DataFrame, window: int) -> DataFrame:
