@@ -383,6 +383,20 @@ def test_chat_round_trip(role, text):
     assert [x[:2] for x in read] == [(role, text), ("user", "next")]
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), PIECES), max_size=6), st.integers(0, 2**20))
+def test_a_conversation_is_read_from_pieces_that_end_anywhere(turns, seed):
+    import random
+
+    stream, rng, reader = "".join(chat.render(r, t) for r, t in turns), random.Random(seed), chat._Reader(1)
+    while stream:
+        n = rng.randint(1, 9)
+        reader.feed(stream[:n])
+        stream = stream[n:]
+    loss = "".join(t for r, t in turns if r == "assistant")
+    assert reader.row()[1:5] == (len(turns), digest_of(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_chat_escapes_only_conflicts():
     assert chat.render("user", "plain < [ text") == "[INST]user[/INST]plain < [ text</s>"
 

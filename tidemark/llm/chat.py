@@ -10,7 +10,7 @@ them as a stream: a conversation of any length needs no memory beyond a turn. Di
 sequential by nature, so one conversation is read by one task.
 
 Defined results: null text and null role are empty; null turn numbers come first; turns that agree in number are
-ordered by role and text, repeated rows stay; a null conv_id is a conversation of its own; without an assistant
+ordered by role and a digest of the text, repeated rows stay; a null conv_id is a conversation of its own; without an assistant
 turn the masked text is empty; an empty table gives no rows; further columns are ignored.
 """
 
@@ -50,22 +50,34 @@ def unescape(text: str) -> str:
 LEVELS = (lambda t: t, _plain, lambda t: _once(_ALL, t))
 
 
-def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
-    """Role, text, and start and end of the text of each turn; None if it isn't in the grammar."""
-    turns, at = [], len(BOS) if rendered.startswith(BOS) else 0
-    while at < len(rendered):
-        if not rendered.startswith(HEAD, at):
-            return None
-        neck = rendered.find(NECK, at + len(HEAD))
-        tail = rendered.find(TAIL, neck + len(NECK)) if neck >= 0 else -1
+def read_turns(stream: str) -> tuple[list[tuple[str, str, int, int]], int] | None:
+    """The whole turns at the start of a stream, each with role, text, and start and end of the text in it, and where what follows begins: a
+    turn that has not ended yet. None if the stream isn't in the grammar."""
+    turns, at = [], 0
+    while at < len(stream):
+        if not stream.startswith(HEAD, at):
+            return (turns, at) if HEAD.startswith(stream[at:]) else None
+        tail = stream.find(TAIL, at + len(HEAD))
         if tail < 0:
+            break
+        neck = stream.find(NECK, at + len(HEAD), tail)
+        if neck < 0:
             return None
-        head, body = rendered[at + len(HEAD) : neck], rendered[neck + len(NECK) : tail]
+        head, body = stream[at + len(HEAD) : neck], stream[neck + len(NECK) : tail]
         if any(c in head or c in body for c in (BOS, HEAD, NECK)):
             return None
         turns.append((unescape(head), unescape(body), neck + len(NECK), tail))
         at = tail + len(TAIL)
-    return turns
+    return turns, at
+
+
+def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
+    """The turns of a text, with or without the start of a conversation; None if it isn't in the grammar."""
+    skip = len(BOS) if rendered.startswith(BOS) else 0
+    read = read_turns(rendered[skip:])
+    if read is None or read[1] < len(rendered) - skip:
+        return None
+    return [(role, text, a + skip, b + skip) for role, text, a, b in read[0]]
 
 
 def render(role: str, text: str) -> str:
@@ -93,19 +105,26 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 
 class _Reader:
-    """Reads one conversation's output, turn by turn."""
+    """Reads one conversation's output as a stream, in pieces that may end anywhere: turns are told apart by the grammar, and what a piece
+    leaves unfinished is held until the next."""
 
     def __init__(self, conv: int | None) -> None:
-        self.conv, self.turns, self.loss, self.size = conv, 0, 0, len(BOS)
-        self.all, self.masked, self.held = hashlib.sha256(), hashlib.sha256(), BOS
+        self.conv, self.turns, self.loss, self.size, self.begun = conv, 0, 0, 0, False
+        self.all, self.masked, self.held = hashlib.sha256(), hashlib.sha256(), ""
+        self.feed(BOS)
 
     def feed(self, piece: str) -> None:
         self.size += len(piece)
-        read = parse(self.held + piece)
+        self.held += piece
+        if not self.begun:
+            if not self.held.startswith(BOS):
+                return
+            self.begun, self.held = True, self.held[len(BOS) :]
+        read = read_turns(self.held)
         if read is None:
             raise ValueError("the output is not in the grammar")
-        self.held = ""
-        for role, text, _, _ in read:
+        self.held = self.held[read[1] :]
+        for role, text, _, _ in read[0]:
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if role == TRAINED:
@@ -113,6 +132,8 @@ class _Reader:
                 self.masked.update(text.encode("utf-8", "surrogatepass"))
 
     def row(self) -> tuple:
+        if self.held:
+            raise ValueError("the output ends within a turn")
         return self.conv, self.turns, self.all.hexdigest(), self.loss, self.masked.hexdigest(), self.size
 
 
@@ -138,8 +159,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def in_order(conversations: DataFrame) -> DataFrame:
     """Rendered turns, each conversation within one partition and in order: BOS and these make the formatted text."""
-    rows = rendered_turns(conversations)
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "rendered")
+    rows = rendered_turns(conversations).withColumn("tie", F.md5(F.encode("text", "UTF-8"))).drop("text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie").select("conv_id", "turn", "rendered")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
@@ -169,8 +190,8 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
-         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text)) AS all_text,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, md5(text)), '') AS loss,
          3 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*/?INST\]'))) AS size
   FROM c GROUP BY conv_id
 )

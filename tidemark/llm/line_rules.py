@@ -153,20 +153,23 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
-    """The texts without those of their lines whose normalised hash is listed."""
-    out = []
-    for t, gone in zip(text, removed, strict=True):
-        lines = (t or "").split("\n")
-        if gone is None or not len(gone):
-            out.append(t or "")
-            continue
-        gone, left = set(int(x) for x in gone), []
-        for x in lines:
-            raw = x.encode()
-            _, _, line, _ = measure(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            if not len(line) or int(line.view(np.int64)[0]) not in gone:
-                left.append(x)
-        out.append("\n".join(left))
+    """The texts without those of their lines whose normalised hash is listed; all lines of a batch are hashed at once."""
+    out, gone = [t or "" for t in text], [g is not None and len(g) > 0 for g in removed]
+    lines = {i: out[i].split("\n") for i, g in enumerate(gone) if g}
+    raw = [x.encode() for parts in lines.values() for x in parts]
+    if not raw:
+        return pd.Series(out)
+    owner = np.repeat(list(lines), [len(parts) for parts in lines.values()])
+    _, row, line, _ = measure(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+    listed = [np.asarray(removed.iloc[i], np.int64).view(np.uint64) for i in lines]
+    name = lambda text, h: mix(h ^ mix(text.astype(np.uint64) + np.uint64(1)))
+    frequent = name(np.repeat(list(lines), [len(x) for x in listed]), np.concatenate(listed))
+    kept = np.ones(len(raw), bool)
+    kept[row] = ~np.isin(name(owner[row], line), frequent)  # a line without words has no row, and stays
+    begin = 0
+    for i, parts in lines.items():
+        out[i] = "\n".join(x for x, k in zip(parts, kept[begin : begin + len(parts)], strict=True) if k)
+        begin += len(parts)
     return pd.Series(out)
 
 
