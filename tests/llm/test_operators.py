@@ -560,11 +560,23 @@ def test_token_counts(spark, nasty, nothing, docs, tmp_path):
     kept = spark.read.parquet(cache)
     assert kept.count() == kept.select("content").distinct().count()
     before = kept.count()
+    one, two = (token_counts.count_tokens(t, cache) for t in (docs, docs.withColumn("text", F.concat("text", F.lit(" more")))))
+    assert one.unionByName(two).count() == 2 * docs.count()  # results of several batches in one plan
+    before = spark.read.parquet(cache).count()
     token_counts.count_tokens(docs, cache).count()
     assert spark.read.parquet(cache).count() == before  # hits add nothing
     assert token_counts.count_tokens(nothing, str(tmp_path / "none")).count() == 0
 
 
+def test_token_query_counts_every_row(spark, sf, docs):
+    """Both batches of the query, against the library: the second one's rows are there although the first has read the cache before it grew."""
+    plain = library(token_counts.TOKENIZER)
+    want = {r.doc_id: (len((r.text or "").encode()), len(plain.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()}
+    got = token_counts.query(spark, sf).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want
+    assert all(r.over_limit == (r.n_tokens > 2048) for r in got)
+
+
 def test_token_cache_with_repeated_entries_and_two_writers(spark, nasty, tmp_path):
     cache, plain = str(tmp_path / "cache"), library(token_counts.TOKENIZER)
     for _ in range(2):  # two writers that began with an empty cache

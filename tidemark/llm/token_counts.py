@@ -169,7 +169,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER, i
     found = stored(found.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
     missing = found.join(known_counts(spark, cache_path, version), "content", "left_anti")
     missing.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    return rows.join(known_counts(spark, cache_path, version), "content").select("id", "n_bytes", "n_tokens")
+    # Written, as the cache may have grown when the result is used: Spark takes two reads of one path for the same table, whatever lies there.
+    return stored(rows.join(known_counts(spark, cache_path, version), "content").select("id", "n_bytes", "n_tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
