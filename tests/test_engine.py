@@ -554,6 +554,14 @@ def test_pipeline_over_synthetic_messages_with_models(spark):
     assert len(risk) == 20 and all(r.cluster >= -1 for r in risk)
 
 
+def test_other_back_ends_and_warnings(spark):
+    rows = messages.prepare(synthetic.messages(spark, users=3))
+    own = Settings(window=5, salt="secret", scorer=lambda tk: (F.lit(0.25), F.lit(0.5)), tagger=lambda tk: {f"{k}_ratio": F.lit(0.1) for k in ("noun", "verb", "adj", "adv")})
+    got = pipeline.featured(rows, None, own).select("sentiment_polarity", "sentiment_subjectivity", "noun_ratio").distinct().collect()
+    assert [tuple(r) for r in got] == [(0.25, 0.5, 0.1)]
+    assert not pipeline.unsafe(own) and pipeline.unsafe(Settings(salt="dev-salt-change-me"))
+
+
 def test_run_and_persist(spark, tmp_path):
     rows = messages.prepare(synthetic.messages(spark, users=8))
     log = audit.AuditLog(str(tmp_path / "audit.jsonl"))

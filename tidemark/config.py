@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # Results depend on these phrases, words, weights and names.
@@ -85,11 +86,15 @@ POSITIVE_WORDS = ("good", "great", "thanks", "thank", "happy", "glad", "excellen
 NEGATIVE_WORDS = ("bad", "angry", "hate", "terrible", "sad", "worst", "problem", "fail", "failed", "sorry", "upset", "wrong", "unfair", "fear", "loss")
 
 
+#: The salt of an unconfigured deployment: published, so its pseudonyms hide nobody. Runs warn of it.
+DEVELOPMENT_SALT = "dev-salt-change-me"
+
+
 @dataclass(frozen=True)
 class Settings:
     """Thresholds and windows; environment variables give the defaults that a deployment changes."""
 
-    salt: str = field(default_factory=lambda: os.getenv("TIDEMARK_SALT", "dev-salt-change-me"))
+    salt: str = field(default_factory=lambda: os.getenv("TIDEMARK_SALT", DEVELOPMENT_SALT))
     consent_required: bool = True
     window: int = 30
     flag_at: float = 2.5
@@ -114,3 +119,5 @@ class Settings:
     weights: dict = field(default_factory=lambda: dict(FEATURE_WEIGHTS))
     urgency: tuple = URGENCY_PHRASES
     lexicon: dict = field(default_factory=lambda: dict(MANIPULATION_LEXICON))
+    scorer: Callable | None = None  # other back ends of functions.text.feature_columns for sentiment and parts of speech
+    tagger: Callable | None = None

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Settings
+from tidemark.config import NEGATIVE_WORDS, POSITIVE_WORDS, Settings
 from tidemark.operators import anomaly, retrieval, supervised
 from tidemark.plans import drift_queries as D
 from tidemark.plans import pipeline
 from tidemark.plans.registry import Register
-from tidemark.plans.text_queries import _list
+from tidemark.plans.text_queries import DIVERSITY, FLESCH, FUNCTION_RATIO, KIND, PROSE, PROSE_LEXICON, _list, _score_sql, _share_sql, share_sql
 from tidemark.sources import files, messages
 from tidemark.sources.adapters import events, mails, table, texts
 from tidemark.sources.files import checkpointed
@@ -154,3 +154,36 @@ def message_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole batch pipeline over the documents as messages: user risk with trend, cluster and policy."""
     risk = pipeline.run(messages.prepare(mails(spark, sf)), None, S).risk
     return risk.select("user", F.round("avg_drift_score", 6).alias("avg_drift_score"), "n_messages", "n_flagged_messages", "trend_slope", "cluster", "cohort_z_score", "escalation_recommended")
+
+
+#: Phrases that the tables have, so that every feature moves.
+_SPOKEN = Settings(urgency=PROSE, lexicon=PROSE_LEXICON)
+_TERMS_OF = {
+    "urgency_score": _score_sql(PROSE),
+    "social_engineering_score": "round((" + " + ".join(_score_sql(p) for p in PROSE_LEXICON.values()) + f") / {len(PROSE_LEXICON)}, 4)",
+    "sentiment_polarity": share_sql(f"({_share_sql(POSITIVE_WORDS)} - {_share_sql(NEGATIVE_WORDS)})", f"({_share_sql(POSITIVE_WORDS)} + {_share_sql(NEGATIVE_WORDS)})"),
+    "sentiment_subjectivity": share_sql(f"({_share_sql(POSITIVE_WORDS)} + {_share_sql(NEGATIVE_WORDS)})", "len(tk)"),
+    "function_word_ratio": FUNCTION_RATIO,
+    "lexical_diversity": DIVERSITY,
+    "readability_flesch": FLESCH,
+    "noun_ratio": share_sql("len(list_filter(kinds, lambda x: x = 'noun'))", "len(kinds)"),
+    "verb_ratio": share_sql("len(list_filter(kinds, lambda x: x = 'verb'))", "len(kinds)"),
+    "contact_degree": "CAST(len(list_distinct(h)) AS DOUBLE)",
+    "interaction_concentration": "CASE WHEN len(h) > 0 THEN list_sum(list_transform(list_distinct(h), lambda x: pow(len(list_filter(h, lambda y: y = x))::DOUBLE / len(h), 2))) ELSE 0::DOUBLE END",
+}
+_OVER = " + ".join(f"CASE WHEN z_{f} IS NOT NULL THEN {S.weights[f]}::DOUBLE * least(abs(z_{f}), 10::DOUBLE) ELSE 0 END" for f in pipeline.TRACKED)
+_UNDER = " + ".join(f"CASE WHEN z_{f} IS NOT NULL THEN {S.weights[f]}::DOUBLE ELSE 0 END" for f in pipeline.TRACKED)
+
+
+@Q.add(f"""
+WITH d AS (SELECT source AS "user", doc_id AS id, text, lower(text) AS low, lang || '@example.org' AS contact, regexp_extract_all(lower(text), '[a-z'']+') AS tk FROM documents),
+c AS (SELECT *, list_transform(tk, lambda t: {KIND}) AS kinds,
+  list_filter(coalesce(list(contact) OVER (PARTITION BY "user" ORDER BY id ROWS BETWEEN {S.window} PRECEDING AND 1 PRECEDING), []), lambda x: x IS NOT NULL) AS h FROM d WHERE "user" IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''),
+f AS (SELECT "user", id, {", ".join(f"{sql} AS {name}" for name, sql in _TERMS_OF.items())} FROM c),
+z AS (SELECT *, {", ".join(D._Z.format(f=f, n=S.window) + f" AS z_{f}" for f in pipeline.TRACKED)} FROM f WINDOW w AS (PARTITION BY "user" ORDER BY id ROWS BETWEEN {S.window} PRECEDING AND 1 PRECEDING))
+SELECT id, CASE WHEN {_UNDER} > 0 THEN round(({_OVER}) / ({_UNDER}), 4) ELSE 0 END AS drift_score,
+  CAST({" + ".join(f"CAST(coalesce(abs(z_{f}) >= 2.5, false) AS INTEGER)" for f in pipeline.TRACKED)} AS BIGINT) AS n_flagged FROM z""")
+def message_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """The drift of every document as a message, by all eleven features with their weights."""
+    scored = pipeline.score(messages.prepare(mails(spark, sf)), None, _SPOKEN)
+    return scored.select("id", "drift_score", F.col("n_flagged").cast("long").alias("n_flagged"))

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import Settings
-from tidemark.functions.text import feature_columns, recipients, tokens
+from tidemark.config import DEVELOPMENT_SALT, Settings
+from tidemark.functions.text import feature_columns, pos_ratios, recipients, sentiment, tokens
 from tidemark.operators import fairness, monitor
 from tidemark.operators.anomaly import dbscan, isolation_forest
 from tidemark.operators.audit import AuditLog
@@ -34,6 +34,10 @@ class Result:
     warnings: list[str]
 
 
+def unsafe(settings: Settings) -> list[str]:
+    return ["TIDEMARK_SALT is not set: pseudonyms can be recomputed by anyone"] if settings.salt == DEVELOPMENT_SALT else []
+
+
 def featured(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
     """Network features on raw addresses, consent, text features. The gate and all windows share their key, the user."""
     s = settings or Settings()
@@ -42,7 +46,7 @@ def featured(messages: DataFrame, consented: DataFrame | None = None, settings:
     if consented is not None:
         df = consent_gate(df, consented, s.consent_required)
     df = df.withColumn("tk", tokens(F.col("content")))
-    return df.withColumns(feature_columns(F.col("content"), F.col("tk"), s.urgency, s.lexicon)).drop("tk")
+    return df.withColumns(feature_columns(F.col("content"), F.col("tk"), s.urgency, s.lexicon, s.scorer or sentiment, s.tagger or pos_ratios)).drop("tk")
 
 
 def score(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
@@ -55,7 +59,7 @@ def score(messages: DataFrame, consented: DataFrame | None = None, settings: Set
 def run(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None, org_shift: bool = False, models: bool = True) -> Result:
     """Scored messages without content, and user risk with trend, cluster and policy."""
     s = settings or Settings()
-    warnings = validate(messages)
+    warnings = validate(messages) + unsafe(s)
     scored = score(messages, consented, s)
     risk = user_risk(scored).join(trajectory(scored, s), "user", "left")
     if models:
@@ -67,7 +71,7 @@ def run_and_persist(spark: SparkSession, messages: DataFrame, folder: str, conse
     """The whole batch: scores and risk, a snapshot and its comparison, policy, tables, labels, audit events and the bias report.
     Monitoring and reports are guarded: their failure does not fail the run."""
     s = settings or Settings()
-    warnings = validate(messages)
+    warnings = validate(messages) + unsafe(s)
     found = score(messages, consented, s)
     if models:
         found = isolation_forest(checkpointed(found), settings=s)

@@ -140,8 +140,11 @@ def category_scores(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf, "doc_id", "text").select("doc_id", *[x.alias(n) for n, x in scores.items()], T.manipulation_score(c, PROSE_LEXICON).alias("prose_mean"), T.manipulation_score(c).alias("social_engineering_score"))
 
 
-@Q.add(_TOKENS + r"""SELECT doc_id, CASE WHEN len(tk) > 0 THEN round(206.835::DOUBLE - 1.015::DOUBLE * (len(tk)::DOUBLE / greatest(len(regexp_extract_all(text, '[.!?]+')), 1))
-  - 84.6::DOUBLE * (list_sum(list_transform(tk, lambda t: greatest(len(regexp_extract_all(t, '[aeiouy]+')), 1)))::DOUBLE / len(tk)), 2) ELSE 0 END AS readability_flesch FROM d""")
+FLESCH = r"""CASE WHEN len(tk) > 0 THEN round(206.835::DOUBLE - 1.015::DOUBLE * (len(tk)::DOUBLE / greatest(len(regexp_extract_all(text, '[.!?]+')), 1))
+  - 84.6::DOUBLE * (list_sum(list_transform(tk, lambda t: greatest(len(regexp_extract_all(t, '[aeiouy]+')), 1)))::DOUBLE / len(tk)), 2) ELSE 0 END"""
+
+
+@Q.add(_TOKENS + f"SELECT doc_id, {FLESCH} AS readability_flesch FROM d")
 def flesch_regex(spark: SparkSession, sf: str) -> DataFrame:
     d = texts(spark, sf, "doc_id", "text").select("doc_id", "text", T.tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", T.readability_flesch(F.col("text"), F.col("tk")).alias("readability_flesch"))
@@ -175,10 +178,10 @@ def sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", polarity.alias("sentiment_polarity"), subjectivity.alias("sentiment_subjectivity"))
 
 
-_KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{e}') THEN '{k}'" for k, e in T.POS_ENDINGS.items()) + " ELSE 'other' END"
+KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{e}') THEN '{k}'" for k, e in T.POS_ENDINGS.items()) + " ELSE 'other' END"
 
 
-@Q.add(_TOKENS + f", s AS (SELECT doc_id, list_transform(tk, lambda t: {_KIND}) AS k FROM d) SELECT doc_id, " + ", ".join(share_sql(f"len(list_filter(k, lambda x: x = '{p}'))", "len(k)") + f" AS {p}_ratio" for p in ("noun", "verb", "adj", "adv")) + " FROM s")
+@Q.add(_TOKENS + f", s AS (SELECT doc_id, list_transform(tk, lambda t: {KIND}) AS k FROM d) SELECT doc_id, " + ", ".join(share_sql(f"len(list_filter(k, lambda x: x = '{p}'))", "len(k)") + f" AS {p}_ratio" for p in ("noun", "verb", "adj", "adv")) + " FROM s")
 def pos_ratios(spark: SparkSession, sf: str) -> DataFrame:
     d = texts(spark, sf, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("tk"))
     return d.select("doc_id", *[x.alias(n) for n, x in T.pos_ratios(F.col("tk")).items()])
