@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB forms, by name."""
 
-from . import chat, decontamination, exact_dedup, importance, line_rules, mixing, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
+from . import chat, decontamination, exact_dedup, importance, line_rules, mixing, near_dedup, packing, sharding, spelling, suffix_dedup, token_counts, toxicity
 
 _MODULES = {
     "op1_exact_dedup": exact_dedup,
@@ -15,6 +15,7 @@ _MODULES = {
     "op10_suffix_dedup": suffix_dedup,
     "op11_decontamination": decontamination,
     "op12_importance": importance,
+    "op13_spelling": spelling,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
