@@ -86,6 +86,7 @@ def _lengths(rows: DataFrame) -> list[int]:
 
 def _met(rows: DataFrame, prints: DataFrame, length: int, most: int) -> DataFrame:
     """id, text_key, at and window of the windows whose fingerprint an item has."""
+    wanted = ("id", "text_key", "at")
     every = opened(rows, length)
     if prints.count() <= most:
         every = every.join(F.broadcast(prints.withColumnRenamed("fp", "_fp")), F.col("fp") == F.col("_fp"), "left_semi")
@@ -97,8 +98,10 @@ def _met(rows: DataFrame, prints: DataFrame, length: int, most: int) -> DataFram
         some = stored(some.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("fp").alias("_fp")))
         same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
         again = rows.join(some.select("_id", "_key").distinct().hint("merge"), same, "left_semi")
-        every = opened(again, length).join(some.hint("merge"), same & (F.col("fp") == F.col("_fp")), "left_semi")
-    return every.select("id", "text_key", "at", window_at(length).alias("window"))
+        # The windows themselves are shuffled, never a row with all words of its text.
+        every = opened(again, length).select(*wanted, "fp", window_at(length).alias("window"))
+        return every.join(some.hint("merge"), same & (F.col("fp") == F.col("_fp")), "left_semi").select(*wanted, "window")
+    return every.select(*wanted, window_at(length).alias("window"))
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_FINGERPRINTS) -> DataFrame:
