@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ESCALATE, MANIPULATION_LEXICON, MONITOR, NO_ACTION, URGENCY_PHRASES, Settings
 from tidemark.functions import text as T
 from tidemark.functions.hashing import hmac_sha256, pseudonym
-from tidemark.operators import anomaly, audit, baseline, drift, fairness, monitor, network, policy, privacy, profile, ranks, retrieval, serve, supervised, trend
+from tidemark.operators import anomaly, audit, baseline, drift, fairness, graph, monitor, network, policy, privacy, profile, ranks, retrieval, serve, supervised, trend
 from tidemark.plans import catalog, pipeline
 from tidemark.sources import files, messages, sinks, synthetic
 
@@ -305,6 +305,67 @@ def test_dbscan_equals_a_plain_one(spark, monkeypatch):
     assert anomaly.dbscan(as_users(spark, blobs).limit(0), settings=S).count() == 0
 
 
+def test_dbscan_of_users_by_name(spark):
+    pts = np.concatenate([np.random.default_rng(k).normal(6 * k, 0.3, (9, 3)) for k in range(3)])
+    users = as_users(spark, pts).withColumn("user", F.concat(F.lit("u"), F.format_string("%03d", "user")))
+    assert {int(r.user[1:]): r.cluster for r in anomaly.dbscan(users, settings=S).collect()} == plain_clusters(pts)
+
+
+def test_components_of_a_long_path_take_few_rounds(spark):
+    n, rounds = 10_000, []
+    path = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("a")).withColumn("b", F.col("a") + 1)
+    links = path.repartition(6).unionByName(spark.createDataFrame([(20_000, 20_000), (None, 3), (30_001, 30_000), (30_000, 30_001)], "a long, b long"))
+    got = graph.components(links, block=7, rounds=rounds)
+    assert len(rounds) < 30 and max(rounds) <= n + 1
+    stats = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert stats < 64  # sizes of written tables, not products of estimates
+    want = plain_components([tuple(r) for r in links.filter("a <> b").collect()])
+    assert {r.node: r.label for r in got.collect()} == want
+
+
+def plain_components(links):
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x] = up.setdefault(up[x], up[x])
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_of_random_graphs(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = [tuple(map(int, x)) for x in rng.integers(0, 400, (150 + 60 * seed, 2))] + [(9, int(x)) for x in range(300, 400) if seed % 2]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = {r.node: r.label for r in graph.components(df, block=3).collect()}
+    assert got == plain_components([x for x in links if x[0] != x[1]])
+
+
+def test_tables_of_one_piece_of_work_go_with_it(spark):
+    import threading
+
+    found, barrier = {}, threading.Barrier(2)
+
+    def work(k):
+        with files.scratch() as mine:
+            first, second = files.stored(spark.range(10 + k)), files.checkpointed(spark.range(5 + k))
+            kept = mine.keep(files.stored(first.union(second)))
+            paths = [p for _, p in mine.tables]
+            barrier.wait()
+        found[k] = (paths, kept.count())
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(2)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert {k: n for k, (_, n) in found.items()} == {0: 15, 1: 17}
+    assert len({p for paths, _ in found.values() for p in paths}) == 4
+    assert not any(files.exists(spark, p) for paths, _ in found.values() for p in paths)
+
+
 def test_neighbouring_cells_meet_in_blocks(spark):
     rng = np.random.default_rng(8)
     a, b = rng.uniform(0, 1, (50, 3)), rng.uniform(0, 1, (60, 3)) + [1.4, 0, 0]

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
-from tidemark.sources.files import checkpointed
+from tidemark.operators.graph import components
+from tidemark.sources.files import scratch, stored
 
 MESSAGE_FEATURES = ("sentiment_polarity", "sentiment_subjectivity", "urgency_score", "social_engineering_score", "readability_flesch", "lexical_diversity", "avg_word_length", "caps_ratio", "exclamation_ratio", "function_word_ratio")
 USER_FEATURES = ("avg_drift_score", "max_drift_score", "flagged_message_rate")
@@ -123,7 +124,7 @@ def _cells(n: int) -> list[str]:
 def _located(users: DataFrame, dims: tuple[str, ...], eps: float) -> DataFrame:
     """user, standardised coordinates x0, x1, ... and cell c0, c1, ..."""
     points = standardized(users, dims).select("user", *[F.col(f"s_{d}").alias(f"x{k}") for k, d in enumerate(dims)])
-    return checkpointed(points.withColumns({f"c{k}": F.floor(F.col(f"x{k}") / _side(dims, eps)) for k in range(len(dims))}))
+    return stored(points.withColumns({f"c{k}": F.floor(F.col(f"x{k}") / _side(dims, eps)) for k in range(len(dims))}))
 
 
 def _around(rows: DataFrame, n: int, half: bool = False) -> DataFrame:
@@ -150,13 +151,13 @@ def _in_cells(left: DataFrame, right: DataFrame, n: int) -> DataFrame:
 
 def core_points(points: DataFrame, n: int, eps: float, least: int) -> tuple[DataFrame, DataFrame]:
     """The core points (with enough neighbours, themselves included), and the others, which all lie in cells of few points."""
-    sizes = checkpointed(points.groupBy(*_cells(n)).agg(F.count("*").alias("n")))
-    placed = checkpointed(points.join(sizes, _cells(n)))
+    sizes = points.groupBy(*_cells(n)).agg(F.count("*").alias("n"))
+    placed = stored(points.join(sizes, _cells(n)))
     few = placed.filter(F.col("n") < least)
     near = _in_cells(_around(few, n), points, n).filter(_distance("x", "rx", n) <= eps)
-    enough = checkpointed(near.groupBy(F.col("user").alias("_u")).agg(F.count("*").alias("_near")).filter(F.col("_near") >= least).select("_u"))
+    enough = stored(near.groupBy(F.col("user").alias("_u")).agg(F.count("*").alias("_near")).filter(F.col("_near") >= least).select("_u"))
     some = few.join(enough, F.col("user") == F.col("_u"), "left_semi")
-    return checkpointed(placed.filter(F.col("n") >= least).unionByName(some).drop("n")), checkpointed(few.join(enough, F.col("user") == F.col("_u"), "left_anti").drop("n"))
+    return stored(placed.filter(F.col("n") >= least).unionByName(some).drop("n")), stored(few.join(enough, F.col("user") == F.col("_u"), "left_anti").drop("n"))
 
 
 def dbscan_noise(users: DataFrame, dims: tuple[str, ...] = USER_FEATURES, settings: Settings | None = None) -> DataFrame:
@@ -168,18 +169,10 @@ def dbscan_noise(users: DataFrame, dims: tuple[str, ...] = USER_FEATURES, settin
     return users.join(near, "user", "left").withColumn("is_noise", F.col("_near").isNull()).drop("_near")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and label, the least node of its component: least labels of neighbours, then the label's own label, until nothing changes."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        up = labels.select(F.col("node").alias("of"), F.col("label").alias("up"))
-        found = checkpointed(lower.join(up, F.col("label") == F.col("of")).select("node", "was", F.least("label", "up").alias("label")))
-        labels = found.select("node", "label")
-        if not found.filter(F.col("was") != F.col("label")).limit(1).count():
-            return labels
+def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and label, the least node of its component, for all nodes."""
+    found = components(edges).withColumnRenamed("node", "of")
+    return nodes.join(found, F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def _touching(n: int, eps: float):
@@ -219,25 +212,39 @@ def dbscan(users: DataFrame, dims: tuple[str, ...] = USER_FEATURES, settings: Se
     """cluster (-1 for noise) and is_outlier_cluster. A cell of core points is in one cluster; cells are joined where their first core points
     are near, and the clusters that this makes are joined where any core points of neighbouring cells are. A border point joins the
     least cluster near it; clusters are numbered by their first core point."""
-    s, n, eps = settings or Settings(), len(dims), (settings or Settings()).dbscan_eps
-    core, others = core_points(_located(users, dims, eps), n, eps, s.dbscan_least)
+    s = settings or Settings()
+    with scratch() as work:
+        root = work.keep(_rooted(users, dims, s.dbscan_eps, s.dbscan_least))
+    number = root.select("root").distinct().select(F.col("root"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("root")) - 1).alias("cluster"))  # a row a cluster
+    out = users.join(root.join(number, "root").drop("root"), "user", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    return out.withColumn("is_outlier_cluster", F.col("cluster") == -1)
+
+
+def _rooted(users: DataFrame, dims: tuple[str, ...], eps: float, least: int) -> DataFrame:
+    """user and root, the first core point of the cluster, for all users in one; a written table."""
+    n = len(dims)
+    core, others = core_points(_located(users, dims, eps), n, eps, least)
     xs = [f"x{k}" for k in range(n)]
     ends = [f(x).alias(f"{name}_{k}") for k, x in enumerate(xs) for name, f in (("lo", F.min), ("hi", F.max))]
     cells = core.groupBy(*_cells(n)).agg(F.min(F.struct("user", *xs)).alias("first"), F.count("*").alias("n"), *ends)
-    cells = checkpointed(cells.select(*_cells(n), "first.*", "n", *[f"{e}_{k}" for k in range(n) for e in ("lo", "hi")]).withColumnRenamed("user", "cell"))
+    cells = stored(cells.select(*_cells(n), "first.*", "n", *[f"{e}_{k}" for k in range(n) for e in ("lo", "hi")]).withColumn("cell", F.monotonically_increasing_id()))
     pairs = _in_cells(_around(cells, n, half=True), cells, n)
     boxes = [F.col(f"{r}{e}_{k}").alias(f"{e}_{x}{k}") for k in range(n) for e in ("lo", "hi") for r, x in (("", "a"), ("r", "b"))]
-    pairs = checkpointed(pairs.select(F.col("cell").alias("a"), F.col("rcell").alias("b"), (_distance("x", "rx", n) <= eps).alias("sure"), F.col("n").alias("n_a"), F.col("rn").alias("n_b"), *boxes))
+    pairs = stored(pairs.select(F.col("cell").alias("a"), F.col("rcell").alias("b"), (_distance("x", "rx", n) <= eps).alias("sure"), F.col("n").alias("n_a"), F.col("rn").alias("n_b"), *boxes))
     nodes, sure = cells.select(F.col("cell").alias("node")), pairs.filter("sure").select("a", "b")
-    labels = components(nodes, sure)
+    labels = labelled(nodes, sure)
     members = core.join(cells.select(*_cells(n), "cell"), _cells(n))
     la, lb = (labels.select(F.col("node").alias(f"of_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    unsure = pairs.filter(~F.col("sure")).join(la, F.col("a") == F.col("of_a")).join(lb, F.col("b") == F.col("of_b")).filter("label_a <> label_b")
-    more = checkpointed(cell_links(unsure.drop("label_a", "label_b", "of_a", "of_b"), members.select("user", "cell", *xs), n, eps))
-    labels = components(nodes, sure.unionByName(more))
-    rooted = checkpointed(members.join(labels, F.col("cell") == F.col("node")).select("user", *xs, *_cells(n), F.col("label").alias("root")))
+    unsure = stored(pairs.filter(~F.col("sure")).join(la, F.col("a") == F.col("of_a")).join(lb, F.col("b") == F.col("of_b")).filter("label_a <> label_b").drop("of_a", "of_b"))
+    near = cell_links(unsure.drop("label_a", "label_b"), members.select("user", "cell", *xs), n, eps).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    # The second time clusters are linked, not cells.
+    found = unsure.join(near, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    again = labelled(labels.select(F.col("label").alias("node")).distinct(), found)
+    up = again.select(F.col("node").alias("of"), F.col("label").alias("root"))
+    labels = labels.join(up, F.col("label") == F.col("of")).select(F.col("node").alias("of_cell"), F.col("root").alias("of_root"))
+    # Clusters go by their least user, of whatever type users are.
+    named = labels.join(cells.select("cell", "user"), F.col("of_cell") == F.col("cell")).groupBy(F.col("of_root").alias("of")).agg(F.min("user").alias("root"))
+    labels = labels.join(named, F.col("of_root") == F.col("of")).select("of_cell", "root")
+    rooted = stored(members.join(labels, F.col("cell") == F.col("of_cell")).select("user", *xs, *_cells(n), "root"))
     border = _in_cells(_around(others, n), rooted, n).filter(_distance("x", "rx", n) <= eps).groupBy("user").agg(F.min("rroot").alias("root"))
-    root = rooted.select("user", "root").unionByName(border)
-    number = labels.select("label").distinct().select(F.col("label").alias("root"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("label")) - 1).alias("cluster"))
-    out = users.join(root.join(number, "root").drop("root"), "user", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-    return out.withColumn("is_outlier_cluster", F.col("cluster") == -1)
+    return stored(rooted.select("user", "root").unionByName(border))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,7 +73,71 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+class Scratch:
+    """The tables that one piece of work has written, and no other's: they go when its block ends, but for those that it keeps. Work in another
+    thread has a scratch of its own."""
+
+    def __init__(self, outer: Scratch | None = None) -> None:
+        self.outer, self.tables = outer, []
+
+    def add(self, df: DataFrame, path: str) -> DataFrame:
+        fs, where = _at(df.sparkSession, path)
+        fs.deleteOnExit(where)
+        self.tables.append((df, path))
+        return df
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves a table to the work around this one."""
+        mine = [x for x in self.tables if x[0] is df]
+        self.tables = [x for x in self.tables if x[0] is not df]
+        (self.outer or _LASTING).tables.extend(mine)
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that is not read any more; one that this work has not written is left alone."""
+        for _, path in [x for x in self.tables if x[0] is df]:
+            fs, where = _at(df.sparkSession, path)
+            fs.delete(where, True)
+        self.tables = [x for x in self.tables if x[0] is not df]
+
+    def close(self) -> None:
+        for df, _ in list(self.tables):
+            self.drop(df)
+
+
+#: What is written outside of any block goes with the driver.
+_LASTING = Scratch()
+_SCRATCH: contextvars.ContextVar[Scratch] = contextvars.ContextVar("scratch", default=_LASTING)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Tables that are stored or checkpointed in the block go at its end, so nothing that is left to be computed may read them."""
+    own = Scratch(_SCRATCH.get())
+    token = _SCRATCH.set(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.reset(token)
+        own.close()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a stored table of this work before its end."""
+    _SCRATCH.get().drop(df)
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: later steps read only the columns that they need, and know its true size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return _SCRATCH.get().add(spark.read.schema(df.schema).parquet(path), path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as it is, written to the shared folder: no later loss of an executor recomputes it."""
+    """df as it is, partitions and their order included, written to the shared folder: no later loss of an executor recomputes it."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return _SCRATCH.get().add(out, file.get()) if file.isDefined() else out
