@@ -328,7 +328,7 @@ def plain_components(links):
 
     def top(x):
         while up.setdefault(x, x) != x:
-            x = up[x] = up.setdefault(up[x], up[x])
+            x = up[x]
         return x
 
     for a, b in links:
