@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from tidemark.llm.common import discard_since, stored, table, written_so_far
+from tidemark.llm.common import forget, scratch, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each result written as Parquet and read again as the next one's input; what a stage has written and read itself goes then."""
-    docs, begun = table(spark, sf_dir, "documents"), written_so_far()
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-            discard_since(begun, keep=1)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        before = docs
+        with scratch() as work:
+            docs = work.keep(stored(stage(spark, before, sf_dir)))
+        forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

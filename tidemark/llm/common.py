@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.adapters import dealt
+from tidemark.sources.files import checkpointed as cut
+from tidemark.sources.files import forget, scratch, stored
+from tidemark.sources.files import shared_folder as shared_dir
+
+__all__ = ["cut", "forget", "scratch", "shared_dir", "stored"]
 
 #: The white space of every word and text rule here: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -27,29 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One is made only where none is set and all is one machine: elsewhere
-    executors would each write to a disk of their own."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            set_dir = found.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            set_dir = tempfile.mkdtemp(prefix="tidemark-")
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there, so no later loss of an executor recomputes it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def parts(rows: int, each: int) -> int:
     """How many buckets of about `each` rows the given number of rows needs."""
     return max(1, math.ceil(rows / each))
@@ -264,31 +243,3 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again, so that later steps read only the columns they need.
-    The files go when the driver ends, or with discard_since."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_so_far() -> int:
-    return len(_WRITTEN)
-
-
-def discard_since(mark: int, keep: int = 0) -> None:
-    """Deletes the tables that have been stored since then, but for the last `keep`: what follows must not read them any more."""
-    gone = _WRITTEN[mark : len(_WRITTEN) - keep]
-    for spark, path in gone:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _WRITTEN[mark : len(_WRITTEN) - keep]

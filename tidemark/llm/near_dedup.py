@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ahead, cut, discard_since, fresh, mix, names_free, prefix_hash, root_of, row_ranges, span_hash, stored, strings, table, words_in, written_so_far
+from tidemark.operators.graph import components, roots
+
+from .common import ahead, cut, fresh, mix, names_free, prefix_hash, root_of, row_ranges, scratch, span_hash, stored, strings, table, words_in
 from .exact_dedup import one_of_repeated
 
 WORDS, SIMILARITY = 5, 0.8
@@ -328,40 +330,14 @@ def links_in_blocks(member: DataFrame, texts: DataFrame, least: float, block: in
     return cut(found.unionByName(met).distinct())
 
 
-# --- components --------------------------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component, for every node with an edge: least labels of neighbours,
-    then the label's own label, until nothing changes."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("node").alias("of"), F.col("label").alias("up"))
-        found = cut(lower.join(up, F.col("label") == F.col("of"), "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
-        labels = found.select("node", "label")
-        if not found.filter("was <> label").limit(1).count():
-            return labels
-
-
-def roots(parents: DataFrame) -> DataFrame:
-    """node and label, the root of its tree, for rows (a, b) that give each node b one smaller node a: labels of labels, until nothing changes."""
-    labels = parents.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    while True:
-        up = labels.select(F.col("node").alias("of"), F.col("label").alias("up"))
-        found = cut(labels.join(up, F.col("label") == F.col("of"), "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")))
-        labels = found.select("node", "label")
-        if not found.filter("moved").limit(1).count():
-            return labels
+# --- labels ------------------------------------------------------------------------------------------------------
 
 
 def composed(labels: DataFrame, new: DataFrame) -> DataFrame:
     """Labels of all nodes that are not their own, after further labels of labels."""
     up = new.select(F.col("node").alias("of"), F.col("label").alias("up"))
     moved = labels.join(up, F.col("label") == F.col("of"), "left").select("node", F.coalesce("up", "label").alias("label"))
-    return cut(moved.unionByName(new))
+    return stored(moved.unionByName(new))
 
 
 def _with_label(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -379,10 +355,20 @@ def text_key(text: Column) -> Column:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
     """Per row: id, text_key, class_id, class_size, kept (one row of each class)."""
     names_free(docs, id_col, text_col)
-    begun = written_so_far()
     plain = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = plain.mapInArrow(_sign, "id long, text_key long, text string, content binary, size long, bands array<long>")
     rows = stored(signed.withColumn("tag", F.monotonically_increasing_id()), compression="zstd")
+    with scratch() as work:
+        classed = work.keep(_classed(rows, least, block, most))
+    least_id = F.min(F.struct("void", "id", "node"))
+    classes = classed.groupBy("label").agg(least_id.alias("c"), F.sum("rows").alias("class_size")).select(F.col("label").alias("of_label"), F.col("c.id").alias("class_id"), F.col("c.node").alias("kept_tag"), "class_size")
+    found = classed.join(classes, F.col("label") == F.col("of_label")).select("content", "class_id", "kept_tag", "class_size")
+    # One content may be a third of all rows: an inner sort-merge join, which adaptive execution splits.
+    return rows.select("id", "text_key", "content", "tag").join(found.hint("merge"), "content").select("id", "text_key", "class_id", "class_size", (F.col("tag") == F.col("kept_tag")).alias("kept"))
+
+
+def _classed(rows: DataFrame, least: float, block: int, most: int) -> DataFrame:
+    """content, node, id, void, rows and label of each node of the signed rows; a written table."""
     # Nodes: the first row (smallest id) of each word sequence.
     first = F.min(F.struct(F.col("id").isNull().cast("int").alias("void"), "id", "tag"))
     groups = rows.groupBy("content").agg(first.alias("first"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -408,13 +394,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = cut(_with_label(met.select("key", "node", "size"), labels, "node", "label"))
     left = left.unionByName(links_in_blocks(member, texts, least, block, most))
     labels = composed(labels, components(left).filter("node <> label"))
-    classed = cut(_with_label(nodes.select("content", "node", "id", "void", "rows"), labels, "node", "label"))
-    discard_since(begun + 1)
-    least_id = F.min(F.struct("void", "id", "node"))
-    classes = classed.groupBy("label").agg(least_id.alias("c"), F.sum("rows").alias("class_size")).select(F.col("label").alias("of_label"), F.col("c.id").alias("class_id"), F.col("c.node").alias("kept_tag"), "class_size")
-    found = classed.join(classes, F.col("label") == F.col("of_label")).select("content", "class_id", "kept_tag", "class_size")
-    # One content may be a third of all rows: an inner sort-merge join, which adaptive execution splits.
-    return rows.select("id", "text_key", "content", "tag").join(found.hint("merge"), "content").select("id", "text_key", "class_id", "class_size", (F.col("tag") == F.col("kept_tag")).alias("kept"))
+    return stored(_with_label(nodes.select("content", "node", "id", "void", "rows"), labels, "node", "label"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
