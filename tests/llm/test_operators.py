@@ -482,14 +482,24 @@ def log_ratio_of(found):
     return found[0].tolist(), found[3].tolist()
 
 
-def test_toxicity_fit_is_bounded_by_features(spark):
-    """A text of megabytes among the labelled ones is left out of a fit that it would not fit in, and scored all the same."""
-    rows = [(i, ("vile insult " if i % 2 else "kind words ") * 5) for i in range(60)] + [(60, "long " + "".join(f"{k:x} " for k in range(400_000)))]
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_long_text_takes_no_other_text_out_of_the_fit(spark, label):
+    """A text of megabytes that comes first in the order of the sample, in either label."""
+    first = min((k for k in range(60, 400) if zlib.crc32(str(k).encode()) % 5), key=lambda k: int(hashlib.md5(f"toxicity-1/{k}".encode()).hexdigest()[:12], 16))
+    rows = [(i, ("vile insult " if i % 2 else "kind words ") * 5) for i in range(60)] + [(first, "long " + "".join(f"{k:x} " for k in range(400_000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(60, 0)], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels, entries=100_000)
-    got = {r.doc_id: r.score for r in toxicity.with_score(docs, model).collect()}
-    assert len(got) == 61 and all((got[i] > 0.5) == bool(i % 2) for i in range(60))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(first, label)], "doc_id long, toxic int")
+    for most in (toxicity.TEXT_FEATURES, 40):
+        model = toxicity.train(docs, labels, text_features=most)
+        got = {r.doc_id: r.score for r in toxicity.with_score(docs, model).collect()}
+        assert len(got) == 61 and all((got[i] > 0.5) == bool(i % 2) for i in range(60))
+
+
+def test_a_fit_without_features_calls_nothing_toxic(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
+    for rows in ([(i, 1) for i in range(40)], [(i, 0) for i in range(40)], [(1, 1), (2, 0), (3, 1)], []):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert toxicity.clean_documents(docs, labels).count() == 40
 
 
 def test_toxicity_edges(spark, nasty, nothing):
@@ -500,7 +510,7 @@ def test_toxicity_edges(spark, nasty, nothing):
     assert toxicity.clean_documents(nasty, labels).columns == nasty.columns
     empty = toxicity.train(nothing, labels)
     assert toxicity.with_score(nothing, empty).count() == 0
-    assert toxicity.with_score(nasty, toxicity.train(nasty, labels.limit(0))).filter("score <> 0.5").count() == 0
+    assert toxicity.with_score(nasty, toxicity.train(nasty, labels.limit(0))).filter("score >= 0.5").count() == 0
 
 
 def test_toxicity_reruns_agree(spark, sf):
@@ -895,8 +905,18 @@ def test_pipeline_edges(spark, nasty, nothing, tmp_path):
     labels = spark.createDataFrame([(9, 0, 1), (10, 0, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for table in (nasty, nothing):
-        docs = table
+        docs, rows = table, {}
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == table.columns or name == "packing"
-        docs.collect()
+            rows[name] = [r.asDict() for r in docs.collect()]
+        whole = [r.asDict() for r in table.collect()]
+        # Two labelled rows tell nothing apart: none is toxic.
+        assert len(rows["toxicity"]) == len(whole)
+        plain = lambda r: re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")
+        assert sorted(map(plain, rows["exact dedup"])) == sorted({plain(r) for r in whole})
+        near = {str(r["doc_id"]) for r in rows["near dedup"]}
+        assert near <= {str(r["doc_id"]) for r in rows["exact dedup"]} and len(near) == len(rows["near dedup"]) and (len(near) > 8) == bool(whole)
+        mixed = {str(r["doc_id"]) for r in rows["mixing"]}
+        assert mixed <= near and bool(mixed) == bool(whole)
+        assert {str(r["doc_id"]) for r in rows["packing"]} == mixed

@@ -6,11 +6,13 @@ it / share of label 0 rows with it), smoothed by one row; logistic regression is
 The strongest features are kept and fitted again, so that a text of any length is scored by a scan for few n-grams.
 
 The fit uses a bounded sample of labelled rows (`POSITIVES`, `NEGATIVES`, the first in the order of a hash of
-the id, as long as their features together stay below `ENTRIES`, so that very long texts don't exceed a task's memory); every row is scored over its whole text. Labels, language, source and id are not inputs of a score.
+the id), and of each of them at most `TEXT_FEATURES` features, those of the lowest hashes over its whole text: a very long text
+takes part with as many as any other, and takes no other text's place. Every row is scored over its whole text. Labels, language, source and
+id are not inputs of a score.
 
 Defined results: null and empty texts score by the bias alone; repeated rows score alike; labels that are null, or of
-rows that are missing, are not used; labels that contradict for an id count as 1; without a row of either label every
-score is the share of label 1 (1/2 without any label); an empty table gives no rows.
+rows that are missing, are not used; labels that contradict for an id count as 1; a fit without features (no row of one of the labels, or no n-gram in enough
+rows) tells no texts apart and calls none toxic: every score is the share of label 1, 0.49 at most; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -28,8 +30,10 @@ from .common import fresh, names_free, row_ranges, strings, table, uniform
 SIZES = (4, 6, 8)
 #: Most labelled rows of each label that the fit uses.
 POSITIVES, NEGATIVES = 1500, 2500
-#: Most features (distinct n-grams, summed over the rows) of each label that the fit takes in; rows are taken in the order of their hash until then.
-ENTRIES = 32 << 20
+#: Most features (distinct n-grams) of one text that the fit takes in: some 5,000 characters have as many.
+TEXT_FEATURES = 1 << 14
+#: The highest score of a fit without features.
+UNSURE = 0.49
 #: Features of the final model, at most, and documents of the sample that a feature needs.
 FEATURES, LEAST = 5_000, 3
 FOLDS = 5
@@ -79,15 +83,19 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[st
         yield a, b, [x or "" for x in column.slice(a, b - a).to_pylist()]
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for _, _, texts in _texts(batch, "text"):
-            for t in texts:
-                points, offsets = _points([t])
-                own = [h[inside] for h, inside in grams(points, offsets)]
-                found.append(np.unique(np.concatenate(own)).astype("<u4").tobytes() if own else b"")
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("label", "u", "id")], pa.array(found, pa.binary())], names=["label", "u", "id", "features"])
+def _featured(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for _, _, texts in _texts(batch, "text"):
+                for t in texts:
+                    points, offsets = _points([t])
+                    own = [h[inside] for h, inside in grams(points, offsets)]
+                    # Hashes are uniform, so the lowest are as good a sample of the whole text's n-grams as any, and texts share it.
+                    found.append(np.unique(np.concatenate(own))[:most].astype("<u4").tobytes() if own else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "features"])
+
+    return run
 
 
 # --- fit ---------------------------------------------------------------------------------------------------------
@@ -162,7 +170,7 @@ def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, le
     y = np.asarray(labels, np.float64)
     none = (np.zeros(0, np.uint32), np.zeros(0))
     if not len(y) or y.min() == y.max():
-        return *none, float(np.clip(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9)), -20, 20)) if len(y) else 0.0
+        return *none, unsure(y)
     n1, n0 = y.sum(), len(y) - y.sum()
     names, df, df1, ratio = log_count_ratios(y, features, least)
     # Those that tell the labels apart most, by ratio and by how often they occur in either; after a fit, by weight.
@@ -173,7 +181,13 @@ def fit(labels: np.ndarray, features: list[np.ndarray], most: int = FEATURES, le
         names, df, ratio = names[chosen], df[chosen], ratio[chosen]
         weights, bias = _descend(*_entries(features, names), ratio, y, len(names), l2, steps)
         strength = np.abs(weights) * np.sqrt(df)
-    return names, weights, float(bias)
+    return (names, weights, float(bias)) if len(names) else (*none, unsure(y))
+
+
+def unsure(y: np.ndarray) -> float:
+    """The bias of a fit without features."""
+    share = min(float(y.mean()) if len(y) else 0.0, UNSURE)
+    return float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -20, 20))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, positives: int, negatives: int) -> DataFrame:
@@ -184,20 +198,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, posi
     return ones.unionByName(zeros).select(F.col("id").cast("string").alias("id"), "label", "u")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, entries: int = ENTRIES) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, text_features: int = TEXT_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     names_free(docs, id_col, text_col)
     names_free(labels, id_col, label_col)
     # The sample has at most positives + negatives rows, whatever the input: it may be broadcast.
     chosen = sample(docs, labels, id_col, label_col, positives, negatives)
     rows = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
     # The sample's features are fitted by one task: they are bounded, and the driver gets the model alone.
-    kept = rows.select("text", "label", "u", "id").mapInArrow(_featured, "label int, u double, id string, features binary")
-    so_far = Window.partitionBy("label").orderBy("u", "id", F.octet_length("features"), F.xxhash64("features")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("n", F.sum(F.floor(F.octet_length("features") / 4)).over(so_far)).filter(F.col("n") <= entries)
-    kept = kept.select("label", "features").withColumn("all", F.lit(0))
+    kept = rows.select("text", "label").mapInArrow(_featured(text_features), "label int, features binary").withColumn("all", F.lit(0))
     found = kept.groupBy("all").applyInArrow(_fitted, "names binary, weights binary, bias double").first()
     if found is None:
-        return np.zeros(0, np.uint32), np.zeros(0), 0.0
+        return np.zeros(0, np.uint32), np.zeros(0), unsure(np.zeros(0))
     return np.frombuffer(bytes(found["names"]), "<u4"), np.frombuffer(bytes(found["weights"]), "<f8"), found["bias"]
 
 
