@@ -27,7 +27,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import SPACE, cut, names_free, row_ranges, shared_dir, stored, strings, table, tokenizer_file
 from .exact_dedup import first_arrival
@@ -41,11 +40,6 @@ CHUNK = 8 << 20
 CACHE = "content binary, tokenizer string, n_tokens long"
 
 
-_NORMAL = bytes.maketrans(SPACE.encode(), b" " * len(SPACE))
-
-
-def digest(text: bytes) -> bytes:
-    return hashlib.sha256(text.translate(_NORMAL)).digest()
 
 
 def tokenizer_digest(name: str) -> str:
@@ -103,14 +97,6 @@ class WordCounts:
         return found
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = strings(batch.column("text"))
-        whole = data.tobytes()
-        content = [digest(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(np.diff(offsets)), pa.array(content, pa.binary())], names=["id", "key", "n_bytes", "content"])
-
-
 def _encoder(name: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, last = WordCounts(name), None
@@ -140,9 +126,9 @@ def known_counts(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, key (a hash of the text), n_bytes, content (digest of the normalised text)."""
-    kind = StructType([StructField("id", docs.schema[id_col].dataType), StructField("key", LongType()), StructField("n_bytes", LongType()), StructField("content", BinaryType())])
-    return _keyed(docs, id_col, text_col).mapInArrow(_digested, kind)
+    """Per row: id, key (a hash of the text), n_bytes, content (digest of the normalised text); no text leaves the JVM."""
+    normal = F.translate("text", SPACE, " " * len(SPACE)).cast("binary")
+    return _keyed(docs, id_col, text_col).select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(normal, 256)).alias("content"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
