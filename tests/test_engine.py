@@ -6,9 +6,12 @@ import statistics
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.config import ESCALATE, MANIPULATION_LEXICON, MONITOR, NO_ACTION, URGENCY_PHRASES, Settings
+from tidemark.functions import automaton
 from tidemark.functions import text as T
 from tidemark.functions.hashing import hmac_sha256, pseudonym
 from tidemark.operators import anomaly, audit, baseline, drift, fairness, graph, monitor, network, policy, privacy, profile, ranks, retrieval, serve, supervised, trend
@@ -94,6 +97,48 @@ def test_categories(spark):
     assert [p.phrase for p in found["test_category"]] == ["special phrase"]
 
 
+@given(st.lists(st.text("abé ", min_size=1, max_size=4), min_size=1, max_size=9), st.lists(st.one_of(st.none(), st.text("abé ", max_size=25)), min_size=1, max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_one_scan_finds_what_searches_find(phrases, texts):
+    """Nested, overlapping and repeated phrases, in rows that lie next to each other in one buffer, and in a slice of them."""
+    import pyarrow as pa
+
+    phrases = automaton.distinct_phrases(tuple(phrases))
+    for column, own in ((pa.array(texts, pa.string()), texts), (pa.array(["ab", *texts], pa.string()).slice(1), texts)):
+        row, phrase, end = automaton.matches(column, phrases)
+        got = sorted(zip(row.tolist(), [phrases[k] for k in phrase], end.tolist()))
+        assert got == sorted((i, p, k + len(p) - 1) for i, t in enumerate(own) for p in phrases for k in range(len(t or "")) if (t or "").startswith(p, k))
+
+
+def test_a_scan_takes_as_long_for_many_phrases(spark):
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), 7))
+    column = pa.array([" ".join(word() for _ in range(400)) for _ in range(300)])
+    took = {}
+    for n in (20, 2000):
+        phrases = automaton.distinct_phrases(tuple(f"{word()} {word()}" for _ in range(n)))
+        automaton.matches(column, phrases)
+        took[n] = min(_timed(time, automaton.matches, column, phrases) for _ in range(5))
+    assert took[2000] < 4 * took[20]  # a search for each would take a hundred times as long
+
+
+def _timed(time, f, *args):
+    began = time.perf_counter()
+    f(*args)
+    return time.perf_counter() - began
+
+
+def test_a_large_lexicon_is_scored_as_a_small_one(spark):
+    c, many = F.col("t"), tuple(f"phrase number {k}" for k in range(200)) + URGENCY_PHRASES
+    r = one(spark, "Phrase Number 17, urgent: gift card, gift card", T.phrase_hits(c, many).alias("n"), T.category_scan(c, {"a": many, "b": ("number", "gift card"), "c": ()}).alias("x"))
+    # "phrase number 1" stands in "phrase number 17".
+    assert r.n == 4 and [m.phrase for m in r.x["a"]] == ["phrase number 1", "phrase number 17", "urgent", "gift card", "gift card"] and len(r.x["b"]) == 3 and r.x["c"] == []
+
+
 def test_surface_features(spark):
     c, tk = F.col("t"), T.tokens(F.col("t"))
     r = one(spark, "Don't SHOUT, été... ok?!", tk.alias("tk"), T.caps_ratio(c).alias("caps"), T.exclamation_ratio(c).alias("ex"), T.ellipsis_count(c).alias("el"), T.char_ratio(c, ",").alias("co"), T.function_word_ratio(tk).alias("fw"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import FUNCTION_WORDS, MANIPULATION_LEXICON, NEGATIVE_WORDS, POSITIVE_WORDS, URGENCY_PHRASES
+from tidemark.functions import automaton
 
 
 def text_of(c: Column) -> Column:
@@ -16,7 +17,13 @@ def text_of(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of ASCII letters and apostrophes of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(text_of(c)), F.lit("([a-z']+)"), F.lit(1))
+    # Split at the rest: Spark's extraction of all matches copies the whole text for each of them.
+    return F.array_remove(F.split(F.lower(text_of(c)), "[^a-z']+"), "")
+
+
+def count_of(c: Column, pattern: str) -> Column:
+    """How often a pattern that matches no empty text does so; for the same reason by a split."""
+    return F.size(F.split(c, pattern)) - 1
 
 
 def share(part: Column, whole: Column, digits: int) -> Column:
@@ -54,14 +61,16 @@ def char_ratio(c: Column, char: str) -> Column:
 
 
 def ellipsis_count(c: Column) -> Column:
-    return F.regexp_count(text_of(c), F.lit("\\.\\.\\."))
+    return count_of(text_of(c), "\\.\\.\\.")
 
 
 def phrase_hits(c: Column, phrases: tuple[str, ...]) -> Column:
     """How many different phrases stand in the text, anywhere and in any case."""
-    low = F.lower(text_of(c))
+    low, phrases = F.lower(text_of(c)), automaton.distinct_phrases(phrases)
+    if len(phrases) > automaton.FEW:
+        return automaton.hits(low, phrases)
     out = F.lit(0)
-    for p in dict.fromkeys(x.lower() for x in phrases):
+    for p in phrases:
         out = out + F.contains(low, F.lit(p)).cast("int")
     return out
 
@@ -70,24 +79,9 @@ def phrase_score(c: Column, phrases: tuple[str, ...] = URGENCY_PHRASES) -> Colum
     return F.least(share(phrase_hits(c, phrases) * 5, F.lit(len(phrases)), 4), F.lit(1.0)) if phrases else F.lit(0.0)
 
 
-def _ends(low: Column, phrase: str) -> Column:
-    """0-based places of the last characters: the text is split where the phrase begins, and the lengths are added up."""
-    literal = "".join(f"\\{x}" if not (x.isalnum() or x == " ") else x for x in phrase)
-    parts = F.split(low, f"(?={literal})", -1)
-    first = F.when(F.startswith(low, F.lit(phrase)), F.array(F.lit(len(phrase) - 1))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.length(parts[0]).alias("at"), first.alias("ends"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + (len(phrase) - 1))).alias("ends"))
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda acc: acc["ends"])
-
-
 def phrase_scan(c: Column, phrases: tuple[str, ...]) -> Column:
-    """Every (phrase, 0-based place of its last character) in the text, overlaps and nested phrases included."""
-    low = F.lower(text_of(c))
-
-    def found(phrase: str) -> Column:
-        return F.transform(_ends(low, phrase), lambda i: F.struct(F.lit(phrase).alias("phrase"), i.alias("end_index")))
-
-    return F.concat(*[found(p) for p in dict.fromkeys(x.lower() for x in phrases)])
+    """Every (phrase, 0-based place of its last character) in the text, overlaps and nested phrases included: by place, longer ones first."""
+    return automaton.scan(F.lower(text_of(c)), automaton.distinct_phrases(phrases))
 
 
 def category_scores(c: Column, lexicon: dict[str, tuple[str, ...]] = MANIPULATION_LEXICON) -> dict[str, Column]:
@@ -95,7 +89,14 @@ def category_scores(c: Column, lexicon: dict[str, tuple[str, ...]] = MANIPULATIO
 
 
 def category_scan(c: Column, lexicon: dict[str, tuple[str, ...]] = MANIPULATION_LEXICON) -> Column:
-    return F.create_map(*[x for name, phrases in lexicon.items() for x in (F.lit(name), phrase_scan(c, phrases))])
+    """A map of each category to the matches of its phrases; one scan for all categories."""
+    own = {name: automaton.distinct_phrases(phrases) for name, phrases in lexicon.items()}
+    found = phrase_scan(c, tuple(p for phrases in own.values() for p in phrases))
+
+    def of(phrases: tuple[str, ...]) -> Column:
+        return F.filter(found, lambda m: m["phrase"].isin(*phrases))
+
+    return F.create_map(*[x for name, phrases in own.items() for x in (F.lit(name), of(phrases))])
 
 
 def manipulation_score(c: Column, lexicon: dict[str, tuple[str, ...]] = MANIPULATION_LEXICON) -> Column:
@@ -111,10 +112,10 @@ def manipulation_score(c: Column, lexicon: dict[str, tuple[str, ...]] = MANIPULA
 def readability_flesch(c: Column, tk: Column) -> Column:
     """Flesch reading ease with vowel groups as syllables and [.!?] runs as sentence ends."""
     words = F.size(tk)
-    sentences = F.greatest(F.regexp_count(text_of(c), F.lit("[.!?]+")), F.lit(1))
+    sentences = F.greatest(count_of(text_of(c), "[.!?]+"), F.lit(1))
     # Vowel groups of all words at once, and one for each word without a vowel.
     spaced = F.array_join(tk, " ")
-    syllables = F.regexp_count(spaced, F.lit("[aeiouy]+")) + F.regexp_count(spaced, F.lit("(?<![a-z'])[b-df-hj-np-tv-xz']+(?![a-z'])"))
+    syllables = count_of(spaced, "[aeiouy]+") + count_of(spaced, "(?<![a-z'])[b-df-hj-np-tv-xz']+(?![a-z'])")
     ease = F.lit(206.835) - F.lit(1.015) * (words.cast("double") / sentences) - F.lit(84.6) * (syllables.cast("double") / words)
     return F.when(words > 0, F.round(ease, 2)).otherwise(F.lit(0.0))
 

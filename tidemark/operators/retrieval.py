@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tidemark.config import FUNCTION_WORDS
 from tidemark.sources.files import checkpointed
 
-#: Two word characters or more, in any script.
-TERM = "([\\p{L}\\p{N}_]{2,})"
+#: What stands between terms, which are two word characters or more, in any script.
+GAP = "[^\\p{L}\\p{N}_]+"
 #: Words that say nothing about a passage's subject.
 STOP_WORDS = tuple(sorted(w for w in FUNCTION_WORDS if len(w) > 1))
 
 
-def terms(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), pattern: str = TERM) -> DataFrame:
-    rows = df.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))).alias("term"))
+def terms(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = (), gap: str = GAP) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.explode(F.split(F.lower(text), gap)).alias("term")).filter(F.length("term") > 1)
     return rows.filter(~F.col("term").isin(*stop)) if stop else rows
 
 

@@ -130,6 +130,18 @@ def phrase_scan(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", "x.phrase", F.col("x.end_index").cast("long").alias("end_index"))
 
 
+_SCANNED = " UNION ALL ".join(f"SELECT '{name}' AS category, unnest({_list(phrases)}) AS phrase" for name, phrases in {**PROSE_LEXICON, **MANIPULATION_LEXICON}.items())
+
+
+@Q.add(f"""WITH l AS ({_SCANNED}), p AS (SELECT doc_id, lower(text) AS low, category, phrase FROM documents, l WHERE contains(lower(text), phrase)),
+s AS (SELECT *, unnest(range(1, length(low) - length(phrase) + 2)) AS i FROM p)
+SELECT doc_id, category, phrase, CAST(i + length(phrase) - 2 AS BIGINT) AS end_index FROM s WHERE substr(low, i, length(phrase)) = phrase""")
+def category_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every match of every category's phrases, found by one scan of a text for all of them."""
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", F.explode(T.category_scan(F.col("text"), {**PROSE_LEXICON, **MANIPULATION_LEXICON})).alias("category", "found"))
+    return d.select("doc_id", "category", F.explode("found").alias("x")).select("doc_id", "category", "x.phrase", F.col("x.end_index").cast("long").alias("end_index"))
+
+
 _CATS = {**PROSE_LEXICON, **MANIPULATION_LEXICON}
 
 
