@@ -14,7 +14,7 @@ from tidemark.config import ESCALATE, MANIPULATION_LEXICON, MONITOR, NO_ACTION,
 from tidemark.functions import automaton
 from tidemark.functions import text as T
 from tidemark.functions.hashing import hmac_sha256, pseudonym
-from tidemark.operators import anomaly, audit, baseline, drift, fairness, graph, monitor, network, policy, privacy, profile, ranks, retrieval, serve, supervised, trend
+from tidemark.operators import anomaly, audit, baseline, drift, fairness, graph, monitor, network, policy, privacy, profile, ranks, retrieval, serve, shapley, supervised, trend
 from tidemark.plans import catalog, pipeline
 from tidemark.sources import files, messages, sinks, synthetic
 
@@ -844,3 +844,65 @@ def test_nothing_else_imports_the_training_text_operators():
     for f in (root / "tidemark").rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"(?m)^\s*(from|import) .*\bllm\b", f.read_text()), f
+
+
+# --- Shapley values
+
+
+def _by_enumeration(trees, x, n_features):
+    """Shapley values by all subsets of features; trees are nested (feature, cut, left weight, right weight, left, right) or numbers."""
+    from itertools import combinations
+
+    def value(t, known):
+        if not isinstance(t, tuple):
+            return t
+        f, cut, wl, wr, a, b = t
+        if f in known:
+            return value(a if x[f] <= cut else b, known)
+        return (wl * value(a, known) + wr * value(b, known)) / (wl + wr)
+
+    out = []
+    for i in range(n_features):
+        rest, total = [f for f in range(n_features) if f != i], 0.0
+        for k in range(n_features):
+            for s in combinations(rest, k):
+                w = math.factorial(k) * math.factorial(n_features - 1 - k) / math.factorial(n_features)
+                total += w * sum(value(t, {*s, i}) - value(t, set(s)) for t in trees)
+        out.append(total)
+    return out
+
+
+def _nested(nodes, tree, at, by_class):
+    own = {n["id"]: n for n in nodes if n["tree"] == tree}
+
+    def of(k):
+        n = own[k]
+        if n["left"] < 0:
+            return n["stats"][1] / sum(n["stats"]) if by_class else n["prediction"]
+        w = [sum(own[c]["stats"]) if by_class else own[c]["stats"][0] for c in (n["left"], n["right"])]
+        return (n["feature"], n["cut"][0], *w, of(n["left"]), of(n["right"]))
+
+    return of(at)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosting"])
+def test_shapley_values_equal_all_subsets_and_add_up(spark, kind):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(150, 5)), 1)
+    y = ((x[:, 0] * x[:, 1] > 0) | (x[:, 3] > 1)).astype(int)
+    names = ("a", "b", "c", "d", "e")
+    df = spark.createDataFrame([(i, *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y))], "user long, a double, b double, c double, d double, e double, label int")
+    model = supervised.fit(df, kind, names, rounds=6)
+    rows = shapley.shapley_values(model, df, names).toPandas().sort_values("user")
+    nodes, weights = shapley.saved_nodes(model), list(model.stages[-1].treeWeights)
+    if kind == "forest":
+        weights = [w / sum(weights) for w in weights]
+    scale = lambda t, w: t * w if not isinstance(t, tuple) else (*t[:4], scale(t[4], w), scale(t[5], w))
+    trees = [scale(_nested(nodes, k, 0, kind == "forest"), w) for k, w in enumerate(weights)]
+    for i in range(0, 150, 15):
+        assert np.allclose(rows.iloc[i][[f"phi_{f}" for f in names]].to_numpy(float), _by_enumeration(trees, x[i], 5), atol=1e-9)
+    p = supervised.predict(model, df).toPandas().sort_values("user").probability.to_numpy()
+    said = rows.phi_sum.to_numpy()
+    assert np.allclose(said if kind == "forest" else 1 / (1 + np.exp(-2 * said)), p, atol=1e-9)
+    order = shapley.ranked(shapley.shapley_values(model, df, names), names).orderBy("place").collect()
+    assert {r.feature for r in order[:3]} == {"a", "b", "d"} and len(order) == 5

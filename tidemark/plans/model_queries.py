@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import NEGATIVE_WORDS, POSITIVE_WORDS, Settings
-from tidemark.operators import anomaly, retrieval, supervised
+from tidemark.operators import anomaly, retrieval, shapley, supervised
 from tidemark.plans import drift_queries as D
 from tidemark.plans import pipeline
 from tidemark.plans.registry import Register
@@ -135,6 +135,20 @@ def attribution(spark: SparkSession, sf: str) -> DataFrame:
     return supervised.attribution(model, rows, settings=S)
 
 
+@Q.add()
+def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What moves each user's probability, feature by feature, in the forest of random_forest."""
+    model, rows = _fitted(spark, sf, "forest")
+    return shapley.shapley_values(model, rows).select("user", "phi_base", "phi_sum", *[f"phi_{f}" for f in supervised.FEATURES])
+
+
+@Q.add()
+def shapley_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Features by their mean absolute Shapley value, in the trees of gradient_boosting."""
+    model, rows = _fitted(spark, sf, "boosting")
+    return shapley.ranked(shapley.shapley_values(model, rows))
+
+
 @Q.add(D._EV + "SELECT id, \"user\", round(z, 6) AS z, drift_score FROM ed WHERE z IS NOT NULL")
 def stream_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream, to its end: the same rows as the batch form."""
