@@ -906,3 +906,79 @@ def test_shapley_values_equal_all_subsets_and_add_up(spark, kind):
     assert np.allclose(said if kind == "forest" else 1 / (1 + np.exp(-2 * said)), p, atol=1e-9)
     order = shapley.ranked(shapley.shapley_values(model, df, names), names).orderBy("place").collect()
     assert {r.feature for r in order[:3]} == {"a", "b", "d"} and len(order) == 5
+
+
+# --- bounded streams
+
+
+def _run_stream(df, name, folder, mode="append"):
+    run = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder / f"check_{name}")).trigger(availableNow=True).start()
+    run.awaitTermination()
+
+
+def _plain_lru(rows, window, capacity):
+    """z by a plain cache of windows: (user, id, value) in order."""
+    from collections import OrderedDict
+
+    cache, out = OrderedDict(), {}
+    for user, i, value in rows:
+        past = cache.pop(user, [])
+        if len(past) == window:
+            sd = statistics.pstdev(past)
+            out[i] = (value - statistics.fmean(past)) / sd if min(past) < max(past) else 0.0
+        cache[user] = [*past, value][-window:]
+        if len(cache) > capacity:
+            cache.popitem(last=False)
+    return out
+
+
+@pytest.mark.parametrize("capacity", [2, 50])
+def test_state_of_the_least_recently_seen_user_goes(spark, tmp_path, capacity):
+    from tidemark.streaming.bounded import bounded_baseline
+
+    rng = np.random.default_rng(2)
+    users = [str(rng.choice(list("abc" if k % 40 < 30 else "abcdef"))) for k in range(160)]
+    rows = [(u, k, float((k * 7) % 11)) for k, u in enumerate(users)]
+    for k in range(4):
+        part = spark.createDataFrame(rows[40 * k : 40 * k + 40], "user string, id long, value double").withColumn("date", F.timestamp_seconds("id"))
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+        import time
+
+        time.sleep(1.1)  # files are read in the order of their times
+    schema = spark.read.parquet(str(tmp_path / "in" / "p0")).schema
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    _run_stream(bounded_baseline(live, 3, S, capacity=capacity, shards=1), f"lru_{capacity}", tmp_path)
+    got = {r.id: r.z_value for r in spark.table(f"lru_{capacity}").collect()}
+    want = _plain_lru(rows, 3, capacity)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_a_stream_goes_on_where_a_batch_has_ended(spark, tmp_path):
+    from tidemark.streaming.bounded import bounded_baseline, last_values
+
+    both = ("urgency_score", "noun_ratio")
+    rows = [(f"u{k % 4}", k, float((k * 7) % 11) if k % 17 else None, float(k % 5 > 1)) for k in range(160)]
+    df = spark.createDataFrame(rows, "user string, id long, urgency_score double, noun_ratio double").withColumn("date", F.timestamp_seconds(F.col("id") * 60))
+    df.filter("id >= 80").repartition(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    _run_stream(bounded_baseline(live, 6, S, both, shards=3, start=last_values(df.filter("id < 80"), 6, both)), "went_on", tmp_path)
+    got = {r.id: r for r in spark.table("went_on").collect()}
+    want = {r.id: r for r in drift.with_drift(baseline.with_z(df, both, 6), both, S).filter("id >= 80").collect() if r.z_urgency_score is not None or r.z_noun_ratio is not None}
+    assert got.keys() == want.keys() and len(got) > 60
+    assert all(got[k].drift_score == pytest.approx(w.drift_score, abs=1e-4) and (w.z_noun_ratio is None or got[k].z_noun_ratio == pytest.approx(w.z_noun_ratio, abs=1e-9)) for k, w in want.items())
+
+
+def test_stream_of_contacts_by_name(spark, sf, tmp_path):
+    """Users and recipients that are texts, over the orders as messages; expiry."""
+    from tidemark.sources.adapters import purchases
+    from tidemark.streaming.baseline import stream_contacts
+
+    df = purchases(spark, sf).withColumn("user", F.concat(F.lit("c"), "user")).withColumn("recipients", F.transform("recipients", lambda x: F.concat(F.lit("s"), x))).withColumn("date", F.col("date").cast("timestamp"))
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    _run_stream(stream_contacts(live, 5), "named_contacts", tmp_path)
+    got = {r.id: (r.contact_degree, r.interaction_concentration) for r in spark.table("named_contacts").collect()}
+    want = {r.id: (r.contact_degree, r.interaction_concentration) for r in network.with_network(df, 5).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    _run_stream(stream_contacts(live, 5, idle_seconds=3600), "contacts_idle", tmp_path)
+    assert spark.table("contacts_idle").count() == len(want)

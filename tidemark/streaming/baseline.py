@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 
+
 def rolling_z(values: np.ndarray, past: np.ndarray, window: int) -> np.ndarray:
     """z of each row of values (rows by features) against the `window` rows before it, of past and values; NaN where they are fewer or one
     of them has no value, 0 where they are all the same."""
@@ -29,6 +31,13 @@ def rolling_z(values: np.ndarray, past: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def drift_scores(z: np.ndarray, weights: np.ndarray, clip: float) -> np.ndarray:
+    """The weighted mean of clipped absolute z in each row, over those that are there; 0 without any."""
+    there = ~np.isnan(z)
+    total = (there * weights).sum(axis=1)
+    return np.round(np.where(total > 0, (np.minimum(np.abs(np.where(there, z, 0.0)), clip) * weights).sum(axis=1) / np.maximum(total, 1e-300), 0.0), 4)
+
+
 def stream_baseline(events: DataFrame, window: int, settings: Settings | None = None, features: tuple[str, ...] = ("value",), late: str = "1 day", idle_seconds: int | None = None) -> DataFrame:
     """user, date, id, z_<feature> and drift_score of each event of a stream (user, date, id and the features) against the user's last values
     before it; rows without any z are left out. The state of a user is a window of values. With idle_seconds it goes when the
@@ -47,36 +56,70 @@ def stream_baseline(events: DataFrame, window: int, settings: Settings | None =
         rows = pd.concat(list(chunks)).sort_values(["date", "id"], ignore_index=True)
         values = rows[list(features)].to_numpy(float)
         z = rolling_z(values, past, window)
-        there = ~np.isnan(z)
-        total = (there * weights).sum(axis=1)
-        score = np.where(total > 0, (np.minimum(np.abs(np.where(there, z, 0.0)), s.clip_at) * weights).sum(axis=1) / np.maximum(total, 1e-300), 0.0)
         state.update((np.concatenate((past, values))[-window:].ravel().tolist(),))
         if idle_seconds is not None:
             last = int(rows["date"].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
-        kept = np.flatnonzero(there.any(axis=1))
+        kept = np.flatnonzero((~np.isnan(z)).any(axis=1))
         out = rows.loc[kept, ["user", "date", "id"]]
-        yield pd.DataFrame({**out.to_dict("series"), **{f"z_{f}": z[kept, k] for k, f in enumerate(features)}, "drift_score": np.round(score[kept], 4)})[names]
+        yield pd.DataFrame({**out.to_dict("series"), **{f"z_{f}": z[kept, k] for k, f in enumerate(features)}, "drift_score": drift_scores(z[kept], weights, s.clip_at)})[names]
 
     live = events.select("user", "date", "id", *features)
     live = live.withWatermark("date", late) if idle_seconds is not None else live
     return live.groupBy("user").applyInPandasWithState(step, schema, "past array<double>", "append", "NoTimeout" if idle_seconds is None else "EventTimeTimeout")
 
 
-def stream_contacts(messages: DataFrame, window: int) -> DataFrame:
-    """contact_degree and interaction_concentration of each message (user, date, id, recipients) of a stream; the state is the last contacts."""
+class Contacts:
+    """The last entries of a user, how often each contact is among them, and the sum of the squares of those counts, kept up to date entry by entry."""
+
+    def __init__(self, past: list, window: int) -> None:
+        self.window, self.entries, self.counts, self.squares = window, deque(), Counter(), 0
+        self.add(past)
+
+    def add(self, contacts: list) -> None:
+        for c in contacts:
+            self.entries.append(c)
+            self.squares += 2 * self.counts[c] + 1
+            self.counts[c] += 1
+            if len(self.entries) > self.window:
+                old = self.entries.popleft()
+                self.squares -= 2 * self.counts[old] - 1
+                self.counts[old] -= 1
+                if not self.counts[old]:
+                    del self.counts[old]
+
+    def features(self) -> tuple[float, float]:
+        n = len(self.entries)
+        return float(len(self.counts)), self.squares / (n * n) if n else 0.0
+
+
+def stream_contacts(messages: DataFrame, window: int, late: str = "1 day", idle_seconds: int | None = None) -> DataFrame:
+    """contact_degree and interaction_concentration of each message (user, date, id, recipients; users and recipients of any type) of a stream; the
+    state is the user's last contacts. With idle_seconds it goes when the watermark has passed the user's last message by so much; `date` must
+    then be a timestamp."""
+    kinds = dict(messages.dtypes)
+    contact = kinds["recipients"].removeprefix("array<").removesuffix(">")
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        past = list(state.get[0]) if state.exists else []
-        out = []
-        for r in pd.concat(list(chunks)).sort_values(["date", "id"]).itertuples(index=False):
-            _, n = np.unique(past, return_counts=True) if past else (None, np.zeros(0))
-            out.append((key[0], r.id, float(len(n)), float(((n / n.sum()) ** 2).sum()) if len(n) else 0.0))
-            past = [*past, *np.asarray(r.recipients).tolist()][-window:]
-        state.update((past,))
-        yield pd.DataFrame(out, columns=["user", "id", "contact_degree", "interaction_concentration"])
-
-    return messages.groupBy("user").applyInPandasWithState(step, "user long, id long, contact_degree double, interaction_concentration double", "past array<long>", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(chunks)).sort_values(["date", "id"], ignore_index=True)
+        held = Contacts(list(state.get[0]) if state.exists else [], window)
+        degree, concentration = np.zeros(len(rows)), np.zeros(len(rows))
+        for k, to in enumerate(rows["recipients"]):
+            degree[k], concentration[k] = held.features()
+            held.add([] if to is None else np.asarray(to).tolist())
+        state.update((list(held.entries),))
+        if idle_seconds is not None:
+            last = int(rows["date"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_seconds * 1000)
+        yield pd.DataFrame({"user": rows["user"], "id": rows["id"], "contact_degree": degree, "interaction_concentration": concentration})
+
+    live = messages.select("user", "date", "id", "recipients")
+    live = live.withWatermark("date", late) if idle_seconds is not None else live
+    schema = f"user {kinds['user']}, id {kinds['id']}, contact_degree double, interaction_concentration double"
+    return live.groupBy("user").applyInPandasWithState(step, schema, f"past array<{contact}>", "append", "NoTimeout" if idle_seconds is None else "EventTimeTimeout")
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
