@@ -298,20 +298,81 @@ def test_quartile_bins_equal_pandas(spark):
 
 
 def test_audit_chain(spark, tmp_path):
-    log = audit.AuditLog(str(tmp_path / "audit.jsonl"))
+    log = audit.AuditLog(str(tmp_path / "audit"))
     assert log.verify(spark)
     for k in range(6):
         log.append("drift_flagged", f"emp_{k}", {"score": k, "name": "é"})
+    log.append_all([("a", None, {}), ("b", "emp_1", {"x": 1})])
+    assert log.verify(spark)
+    segments = sorted((tmp_path / "audit").glob("*.jsonl"))
+    whole = [p.read_text() for p in segments]
+    assert len(segments) == 7 and len(whole[6].splitlines()) == 2
+    segments[2].unlink()
+    assert not log.verify(spark)  # an entry is missing
+    segments[2].write_text(json.dumps(json.loads(whole[2]) | {"actor": "other"}) + "\n")
+    assert not log.verify(spark)  # an entry was changed
+    segments[2].write_text(whole[2])
     assert log.verify(spark)
-    path = tmp_path / "audit.jsonl"
-    lines = path.read_text().splitlines()
-    path.write_text("\n".join(lines[:2] + lines[3:]) + "\n")
-    assert not log.verify(spark)
-    changed = json.loads(lines[2]) | {"actor": "other"}
-    path.write_text("\n".join([*lines[:2], json.dumps(changed), *lines[3:]]) + "\n")
-    assert not log.verify(spark)
-    path.write_text("\n".join(lines[:-1]) + "\n")
+    segments[6].unlink()
     assert not log.verify(spark)  # a cut tail shows against the stored head
+    segments[6].write_text(whole[6])
+    (tmp_path / "audit" / audit.HEAD).write_text(json.dumps({"seq": 6, "entry_hash": json.loads(whole[5])["entry_hash"]}))
+    assert log.verify(spark)  # a break between segment and head leaves the head behind
+    audit.AuditLog(str(tmp_path / "audit")).append("again", None, {})
+    assert log.verify(spark)
+
+
+_WRITER = """
+import sys
+sys.path.insert(0, {root!r})
+from tidemark.operators.audit import AuditLog
+log = AuditLog({path!r})
+for k in range({n}):
+    log.append("written", "emp_1", {{"k": k}}, actor={actor!r})
+"""
+
+
+def test_several_writers_keep_one_chain(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    path, n = (tmp_path / "audit").as_uri(), 400
+    jobs = [subprocess.Popen([sys.executable, "-c", _WRITER.format(root=str(Path(__file__).resolve().parents[1]), path=path, n=n, actor=a)]) for a in ("one", "two")]
+    assert [j.wait(120) for j in jobs] == [0, 0]
+    rows = messages.read_audit(spark, path).collect()
+    assert sorted(r.seq for r in rows) == list(range(1, 2 * n + 1))
+    for a in ("one", "two"):
+        assert [json.loads(r.details)["k"] for r in sorted(rows, key=lambda r: r.seq) if r.actor == a] == list(range(n))
+    assert audit.AuditLog(path).verify(spark)
+    broken = messages.read_audit(spark, path).withColumn("actor", F.when(F.col("seq").isin(1, 300, 800), "x").otherwise(F.col("actor")))
+    found = audit.verify_chain(broken.repartition(5)).first()
+    assert (found.n_entries, found.n_broken, found.valid, found.last_seq) == (800, 3, False, 800)
+
+
+def test_reports_go_to_any_uri(spark, tmp_path):
+    from decimal import Decimal
+
+    rows = spark.createDataFrame([("p", Decimal("1.25"), True)], "proxy string, disparity_ratio decimal(10,2), flagged boolean")
+    bins = spark.createDataFrame([("p", 1, 0.5)], "proxy string, bin int, rate double")
+    sinks.write_bias_report(rows, bins, (tmp_path / "a b" / "rep").as_uri())
+    assert json.loads((tmp_path / "a b" / "rep" / "bias_audit.json").read_text())["proxies"][0]["disparity_ratio"] == 1.25
+    sinks.write_attribution(rows, (tmp_path / "x" / "ranking.json").as_uri())
+    assert json.loads((tmp_path / "x" / "ranking.json").read_text())[0]["proxy"] == "p"
+    for k in range(2):
+        sinks.write_table(spark.range(3 + k), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and {p.name for p in tmp_path.iterdir()} == {"a b", "x", "t"}
+
+
+def test_folders_of_other_file_systems(spark, tmp_path, monkeypatch):
+    """The way through Hadoop's file systems, here the local one."""
+    folder = files.Folder((tmp_path / "f").as_uri())
+    monkeypatch.setattr(folder, "local", None)
+    assert folder.names() == [] and folder.read("a.txt") is None
+    assert folder.create("a.txt", "é one") and not folder.create("a.txt", "two") and folder.read("a.txt") == "é one"
+    folder.write("a.txt", "three")
+    folder.write("b.jsonl", "four")
+    assert folder.read("a.txt") == "three" and folder.names(".jsonl") == ["b.jsonl"] and folder.names() == ["a.txt", "b.jsonl"]
 
 
 # --- models
@@ -464,14 +525,26 @@ def test_isolation_forest_flags_the_odd_share(spark):
     assert 15 <= got.is_anomaly.sum() <= 21 and got.is_anomaly[380:].sum() >= 15
 
 
-def test_isolation_forest_samples_rows_not_values(spark, monkeypatch):
-    rows = [(k, 0.0 if k % 2 else float(k)) for k in range(4000)]
-    df = spark.createDataFrame(rows, "id long, a double")
-    seen, grow = [], anomaly.grow_tree
-    monkeypatch.setattr(anomaly, "grow_tree", lambda x, rng: seen.append((x == 0).mean()) or grow(x, rng))
-    for seed in range(4):
-        anomaly.fit_forest(df, ("a",), Settings(seed=seed, trees=4, tree_rows=100))
-    assert len(seen) == 16 and 0.3 < min(seen) and max(seen) < 0.7  # half of the rows are copies
+def test_isolation_forest_samples_rows_not_values(spark, tmp_path):
+    """Half of the rows are copies: a tree whose rows mirror that has its first cut between 0 and the largest value, and a leaf of some half of its rows."""
+    df = spark.createDataFrame([(k, 0.0 if k % 2 else float(k)) for k in range(4000)], "id long, a double")
+    for seed in range(3):
+        nodes = anomaly.fit_forest(df, ("a",), Settings(seed=seed, trees=4, tree_rows=100))
+        assert {r.tree: r.rows for r in nodes.select("tree", "rows").distinct().collect()} == dict.fromkeys(range(4), 100)
+        # 50 of 100 equal rows still take their mean path where the tree ends: about 4.5 + 2.2 levels more than a leaf of one row.
+        ends = nodes.filter("feature < 0").groupBy("tree").agg(F.max("depth").alias("deepest")).collect()
+        assert all(r.deepest > 7.5 for r in ends)
+
+
+def test_a_saved_isolation_forest_scores_alike(spark, tmp_path):
+    df = spark.createDataFrame([(k, float(k * k % 91), float(k % 7)) for k in range(300)], "id long, a double, b double")
+    small = Settings(trees=20, tree_rows=64)
+    nodes = anomaly.fit_forest(df, ("a", "b"), small)
+    anomaly.save_forest(nodes, str(tmp_path / "forest"))
+    loaded = anomaly.load_forest(spark, str(tmp_path / "forest"))
+    runs = [{r.id: r.anomaly_score for r in anomaly.isolation_forest(df, ("a", "b"), small, model=m).collect()} for m in (None, nodes, loaded)]
+    assert runs[0] == runs[1] == runs[2] and len(set(runs[0].values())) > 30
+    assert anomaly.isolation_forest(df.limit(0), ("a", "b"), small).count() == 0
 
 
 def test_evaluation(spark):
@@ -627,10 +700,26 @@ def test_the_shared_folder_is_never_a_guess_on_a_cluster():
         files.shared_folder(Session())
 
 
-def test_database_samples_are_drawn_by_the_database():
-    given = messages.database_sample({"url": "jdbc:x", "dbtable": "mail"})
-    assert given == {"url": "jdbc:x", "query": f"SELECT * FROM mail ORDER BY RANDOM() LIMIT {S.ingest_cap}"}
-    assert messages.database_sample({"dbtable": "mail", "cap": "0"}) == {"dbtable": "mail"}
+def test_database_samples_are_uniform_over_partitions(spark):
+    """Partitions of very different sizes, as connections of a database give them: every row is as likely to be drawn as any other."""
+    asked, found = [], np.zeros(200)
+    table = spark.createDataFrame([(k,) for k in range(200)], "id long").repartition(1).filter("id < 10").union(spark.createDataFrame([(k,) for k in range(10, 200)], "id long").repartition(3))
+
+    def read(options):
+        asked.append(options)
+        return table
+
+    options = {"url": "jdbc:x", "dbtable": "mail", "partitionColumn": "id", "lowerBound": "0", "upperBound": "200", "numPartitions": "4", "cap": "40"}
+    for seed in range(60):
+        rows = [r.id for r in messages.database_sample(spark, {**options, "seed": str(seed)}, read).collect()]
+        assert len(set(rows)) == 40
+        found[rows] += 1
+    assert all("query" not in o and "cap" not in o and o["numPartitions"] == "4" for o in asked)
+    # 60 draws of one row in five: 12 expected; the first ten rows lie in a partition of their own.
+    assert 12 - 4 < found[:10].mean() < 12 + 4 and 1 <= found.min() and found.max() <= 26
+    assert messages.database_sample(spark, {"dbtable": "mail", "cap": "0"}, read).count() == 200
+    plan = messages.database_sample(spark, options, read)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" in plan and "Exchange" not in plan.split("TakeOrdered")[0]
 
 
 def test_validate(spark):

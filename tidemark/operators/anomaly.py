@@ -8,14 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators.graph import components
 from tidemark.sources.files import scratch, stored
 
-MESSAGE_FEATURES = ("sentiment_polarity", "sentiment_subjectivity", "urgency_score", "social_engineering_score", "readability_flesch", "lexical_diversity", "avg_word_length", "caps_ratio", "exclamation_ratio", "function_word_ratio")
+# What messages and users are compared by.
+MESSAGE_FEATURES = ("sentiment_polarity", "sentiment_subjectivity", "urgency_score", "readability_flesch", "lexical_diversity", "function_word_ratio", "noun_ratio", "verb_ratio", "caps_ratio", "exclamation_ratio")
 USER_FEATURES = ("avg_drift_score", "max_drift_score", "flagged_message_rate")
 
 
@@ -71,27 +72,64 @@ def forest_scores(x: np.ndarray, trees: list[tuple], rows: int) -> np.ndarray:
     return 2.0 ** -(total / len(trees) / max(float(_path_norm(rows)), 1e-9))
 
 
-def fit_forest(df: DataFrame, features: tuple[str, ...], settings: Settings, id_col: str = "id") -> tuple[list[tuple], int]:
-    """Trees from a bounded sample, uniform over rows by a hash of the id: at most trees x rows of them reach the driver."""
+#: A model is a table: the nodes of all trees.
+NODES = "tree long, node int, feature int, cut double, child int, depth double, rows long"
+
+
+def fit_forest(df: DataFrame, features: tuple[str, ...], settings: Settings, id_col: str = "id") -> DataFrame:
+    """The nodes of the trees, each of which is grown by a task of its own from its rows of a sample that is uniform over rows, in the order of a hash of the
+    id: tree t has the rows from t times `tree_rows` on, beginning anew at the end. A written table."""
     cap = settings.trees * settings.tree_rows
-    key = F.xxhash64(F.lit(settings.seed), id_col)
-    x = df.na.fill(0.0, list(features)).select(*features, key.alias("_k")).orderBy("_k", *features).limit(cap).drop("_k").toPandas().to_numpy(float)
-    rng = np.random.default_rng(settings.seed)
-    rows = min(settings.tree_rows, len(x))
-    return [grow_tree(x[rng.choice(len(x), rows, replace=False)], rng) for _ in range(settings.trees)] if len(x) else [], rows
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{k}") for k, f in enumerate(features)]
+    xs = [f"x{k}" for k in range(len(features))]
+    with scratch() as work:
+        sample = stored(df.select(F.xxhash64(F.lit(settings.seed), id_col).alias("k"), *values).orderBy("k", *xs).limit(cap))
+        n = sample.count()
+        if not n:
+            return work.keep(stored(sample.sparkSession.createDataFrame([], NODES)))
+        # At most trees x tree_rows rows, whatever the table is.
+        numbered = sample.withColumn("j", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", *xs)) - 1).drop("k")
+        rows = min(settings.tree_rows, n)
+        places = sample.sparkSession.range(settings.trees * rows).select(F.floor(F.col("id") / rows).alias("tree"), (F.col("id") % n).alias("of"))
+        dealt = places.join(numbered, F.col("of") == F.col("j")).select("tree", "j", *xs)
+        return work.keep(stored(dealt.groupBy("tree").applyInPandas(_grown(xs, settings.seed), NODES)))
+
+
+def _grown(xs: list[str], seed: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("j")
+        tree = int(rows["tree"].iloc[0])
+        feature, cut, child, depth = grow_tree(rows[xs].to_numpy(float), np.random.default_rng((seed, tree)))
+        return pd.DataFrame({"tree": tree, "node": np.arange(len(feature)), "feature": feature, "cut": cut, "child": child, "depth": depth, "rows": len(rows)})
+
+    return run
+
+
+def save_forest(nodes: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(path)
+
+
+def load_forest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NODES).parquet(path)
+
+
+def _trees(nodes: DataFrame) -> tuple[list[tuple], int]:
+    """The model in arrays: twice as many nodes at most as trees have rows."""
+    rows = nodes.orderBy("tree", "node").toPandas()
+    return [tuple(t[c].to_numpy() for c in ("feature", "cut", "child", "depth")) for _, t in rows.groupby("tree")], int(rows["rows"].max()) if len(rows) else 0
 
 
-def isolation_forest(df: DataFrame, features: tuple[str, ...] = MESSAGE_FEATURES, settings: Settings | None = None, id_col: str = "id") -> DataFrame:
-    """anomaly_score and is_anomaly, which holds for the given share of rows."""
+def isolation_forest(df: DataFrame, features: tuple[str, ...] = MESSAGE_FEATURES, settings: Settings | None = None, id_col: str = "id", model: DataFrame | None = None) -> DataFrame:
+    """anomaly_score and is_anomaly, which holds for the given share of rows; by a model that was saved, if one is given."""
     s = settings or Settings()
     features = tuple(f for f in features if f in df.columns)
-    trees, rows = fit_forest(df, features, s, id_col)
+    trees, rows = _trees(fit_forest(df, features, s, id_col) if model is None else model)
     if not trees:
         return df.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)})
-    model = df.sparkSession.sparkContext.broadcast((trees, rows))  # bounded by trees and their rows
+    shared = df.sparkSession.sparkContext.broadcast((trees, rows))  # bounded by trees and their rows
 
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees, rows = model.value
+        trees, rows = shared.value
         for columns in parts:
             yield pd.Series(forest_scores(np.column_stack([c.to_numpy(float) for c in columns]), trees, rows))
 

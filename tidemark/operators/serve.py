@@ -121,9 +121,9 @@ class Service:
 
     def prior_flags(self) -> DataFrame | None:
         """How often the newest entries of the own log flag each user."""
-        if self.log is None or not self.log.path.exists():
+        if self.log is None or not self.log.folder.names(".jsonl"):
             return None
-        return prior_flags(read_audit(self.risk.sparkSession, str(self.log.path)))
+        return prior_flags(read_audit(self.risk.sparkSession, self.log.path))
 
     def investigate(self, user: str, flags: DataFrame | None = None, actor: str = "analyst") -> dict:
         """Risk, newest messages, prior flags (of the own log, unless given), passages where the score calls for them, and a
@@ -189,7 +189,7 @@ class Service:
             return {"text": found.get("error") or f"{found['recommendation']}: {found['rationale']}. A human decides.", "data": found}
         if intent == "user_summary":
             try:
-                r = self._row(p.get("user_pseudonym", ""))
+                r = self.user(p.get("user_pseudonym", ""), "assistant")  # checked and logged as every other look-up
             except NotFound:
                 return {"text": "No data for this user."}
             return {"text": f"{r['user']}: average drift {r['avg_drift_score']:.2f}, {r['n_flagged_messages']} of {r['n_messages']} messages flagged.", "data": r}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators.ranks import ahead, fresh, in_ranges, root_of, uniform
-from tidemark.sources.files import checkpointed
+from tidemark.sources.files import Folder, checkpointed
 
 FEATURES = ("avg_drift_score", "max_drift_score", "n_messages", "n_flagged_messages", "flagged_message_rate")
 
@@ -106,7 +105,7 @@ def attribution(model: PipelineModel, df: DataFrame, features: tuple[str, ...] =
 def write_metrics(folder: str, name: str, scored: DataFrame) -> dict:
     """JSON and Markdown of the evaluation, a few numbers."""
     found = {**confusion(scored).first().asDict(), **roc_auc(scored).first().asDict()}
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, f"{name}_metrics.json").write_text(json.dumps(found, indent=2))
-    Path(folder, f"{name}_metrics.md").write_text("\n".join([f"# {name}", "", "| metric | value |", "|-|-|", *[f"| {k} | {v} |" for k, v in found.items()]]) + "\n")
+    out = Folder(folder)
+    out.write(f"{name}_metrics.json", json.dumps(found, indent=2, default=float))
+    out.write(f"{name}_metrics.md", "\n".join([f"# {name}", "", "| metric | value |", "|-|-|", *[f"| {k} | {v} |" for k, v in found.items()]]) + "\n")
     return found

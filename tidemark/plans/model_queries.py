@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import NEGATIVE_WORDS, POSITIVE_WORDS, Settings
-from tidemark.operators import anomaly, retrieval, shapley, supervised
+from tidemark.functions import text as T
+from tidemark.operators import anomaly, baseline, drift, retrieval, shapley, supervised
 from tidemark.plans import drift_queries as D
 from tidemark.plans import pipeline
 from tidemark.plans.registry import Register
 from tidemark.plans.text_queries import DIVERSITY, FLESCH, FUNCTION_RATIO, KIND, PROSE, PROSE_LEXICON, _list, _score_sql, _share_sql, share_sql
 from tidemark.sources import files, messages
-from tidemark.sources.adapters import events, mails, table, texts
-from tidemark.sources.files import checkpointed
+from tidemark.sources.adapters import documents, events, mails, purchases, table, texts
+from tidemark.sources.files import checkpointed, stored
 from tidemark.streaming.baseline import stream_baseline as stream_of
+from tidemark.streaming.baseline import stream_contacts
+from tidemark.streaming.bounded import bounded_baseline, last_values
 
 Q = Register()
 S = Settings()
@@ -101,8 +104,11 @@ def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add()
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    found = anomaly.isolation_forest(checkpointed(D.scored_documents(spark, sf)), ("lexical_diversity", "function_word_ratio", "avg_word_length", "caps_ratio", "readability_flesch"), S)
-    return found.select("id", "anomaly_score", "is_anomaly")
+    """Odd documents by all ten features of a message."""
+    d = documents(spark, sf).withColumn("tk", T.tokens(F.col("content")))
+    found = T.feature_columns(F.col("content"), F.col("tk"))
+    rows = stored(d.select("id", *[found[f].alias(f) for f in anomaly.MESSAGE_FEATURES]))
+    return anomaly.isolation_forest(rows, settings=S).select("id", "anomaly_score", "is_anomaly")
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,6 +169,33 @@ def stream_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("id", "user", F.round("z_value", 6).alias("z"), "drift_score")
 
 
+@Q.add(D._EV + "SELECT id, \"user\", round(z, 6) AS z, drift_score FROM ed WHERE z IS NOT NULL")
+def stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half of the events' time as a batch, the second as a stream that begins with the batch's last windows: the same rows as one batch of all."""
+    rows = events(spark, sf).withColumn("date", F.col("date").cast("timestamp"))
+    middle = rows.agg(F.timestamp_seconds(((F.min("date").cast("double") + F.max("date").cast("double")) / 2).cast("long")).alias("at")).first()["at"]
+    first = rows.filter(F.col("date") < F.lit(middle))
+    early = drift.with_drift(baseline.with_z(first, ("value",), D.W), ("value",), S).filter("z_value is not null").select("id", "user", "z_value", "drift_score")
+    start = last_values(first, D.W)
+    out = f"{files.shared_folder(spark)}/after_{uuid.uuid4().hex}"
+    rows.filter(F.col("date") >= F.lit(middle)).write.parquet(f"{out}/second")
+    live = spark.readStream.schema(spark.read.parquet(f"{out}/second").schema).parquet(f"{out}/second")
+    late = bounded_baseline(live, D.W, S, capacity=1_000_000, shards=int(spark.conf.get("spark.sql.shuffle.partitions")), start=start)
+    late.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    both = early.unionByName(spark.read.parquet(f"{out}/rows").select("id", "user", "z_value", "drift_score"))
+    return both.select("id", "user", F.round("z_value", 6).alias("z"), "drift_score")
+
+
+@Q.add(D.Q.oracles["network_window"])
+def stream_network(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders as a stream of messages, to its end: the same rows as network_window."""
+    out = f"{files.shared_folder(spark)}/network_{uuid.uuid4().hex}"
+    purchases(spark, sf).write.parquet(f"{out}/orders")
+    live = spark.readStream.schema(spark.read.parquet(f"{out}/orders").schema).parquet(f"{out}/orders")
+    stream_contacts(live, D.NET_W).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("id", "user", "contact_degree", F.round("interaction_concentration", 6).alias("interaction_concentration"))
+
+
 @Q.add()
 def message_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole batch pipeline over the documents as messages: user risk with trend, cluster and policy."""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,84 @@ def recover(spark: SparkSession, path: str) -> None:
         fs.rename(aside, place)
 
 
+class Folder:
+    """Small text files of one folder, local or in any file system that Spark reaches. A new file is there whole or not at all, and of two writers of
+    one name only one succeeds."""
+
+    def __init__(self, path: str) -> None:
+        scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):", path)
+        self.local = Path(unquote(urlparse(path).path) if scheme else path) if scheme is None or scheme[1] == "file" else None
+        self.path = path.rstrip("/")
+
+    def _fs(self, name: str = ""):
+        return _at(SparkSession.active(), f"{self.path}/{name}" if name else self.path)
+
+    def names(self, ending: str = "") -> list[str]:
+        if self.local is not None:
+            found = [p.name for p in self.local.iterdir()] if self.local.is_dir() else []
+        else:
+            fs, where = self._fs()
+            found = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(n for n in found if n.endswith(ending) and not n.startswith("."))
+
+    def read(self, name: str) -> str | None:
+        """The text; none where there is no such file."""
+        if self.local is not None:
+            try:
+                return (self.local / name).read_text(encoding="utf-8")
+            except FileNotFoundError:
+                return None
+        fs, where = self._fs(name)
+        if not fs.exists(where):
+            return None
+        stream = fs.open(where)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
+    def _aside(self, text: str) -> str:
+        name = f".{uuid.uuid4().hex}.new"
+        if self.local is not None:
+            self.local.mkdir(parents=True, exist_ok=True)
+            (self.local / name).write_text(text, encoding="utf-8")
+        else:
+            fs, where = self._fs(name)
+            stream = fs.create(where, True)
+            stream.write(bytearray(text.encode("utf-8")))
+            stream.close()
+        return name
+
+    def create(self, name: str, text: str) -> bool:
+        """Whether the file has been made; false where there is one already."""
+        aside = self._aside(text)
+        if self.local is not None:
+            try:
+                os.link(self.local / aside, self.local / name)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                (self.local / aside).unlink()
+        fs, where = self._fs(aside)
+        target = self._fs(name)[1]
+        made = not fs.exists(target) and fs.rename(where, target)  # a rename to a name that is taken is refused
+        if not made:
+            fs.delete(where, False)
+        return made
+
+    def write(self, name: str, text: str) -> None:
+        """The file with this text, in the place of one that is there."""
+        aside = self._aside(text)
+        if self.local is not None:
+            os.replace(self.local / aside, self.local / name)
+            return
+        fs, where = self._fs(aside)
+        target = self._fs(name)[1]
+        fs.delete(target, False)
+        fs.rename(where, target)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the checkpoint folder that is set; a folder of our own only where all is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)

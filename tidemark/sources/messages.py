@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +31,24 @@ def load_messages(spark: SparkSession, kind: str, **options: str) -> DataFrame:
     if kind == "parquet":
         return prepare(spark.read.parquet(options["path"]))
     if kind == "jdbc":
-        return prepare(spark.read.format("jdbc").options(**database_sample(options)).load())
+        return prepare(database_sample(spark, options))
     raise ValueError(f"unknown source: {kind}")
 
 
-def database_sample(options: dict[str, str]) -> dict[str, str]:
-    """Options of a read that has the database draw a random sample of `cap` rows (the setting's number by default; 0 reads all) of dbtable."""
+def database_sample(spark: SparkSession, options: dict[str, str], read: Callable[[dict[str, str]], DataFrame] | None = None) -> DataFrame:
+    """A uniform random sample of `cap` rows (the setting's number by default; 0 reads all) of dbtable, or of a query whole. Every partition of the read
+    (Spark's partitionColumn, lowerBound, upperBound, numPartitions: as many connections) keeps the rows of the least random keys in a heap of
+    `cap` rows, and the heaps are merged: any row is as likely to be in the sample as any other, however the table is cut, and the database
+    sorts nothing. `seed` changes the sample; it is the same again where the database gives the rows of a partition in the same order."""
     given = dict(options)
-    cap = int(given.pop("cap", Settings().ingest_cap))
-    if cap and "dbtable" in given:
-        given["query"] = f"SELECT * FROM {given.pop('dbtable')} ORDER BY RANDOM() LIMIT {cap}"
-    return given
+    cap, seed = int(given.pop("cap", Settings().ingest_cap)), int(given.pop("seed", Settings().seed))
+    rows = (read or (lambda o: spark.read.format("jdbc").options(**o).load()))(given)
+    return least_keyed(rows, cap, seed) if cap and "dbtable" in given else rows
+
+
+def least_keyed(rows: DataFrame, cap: int, seed: int) -> DataFrame:
+    """The `cap` rows of the least random keys: a heap in each task, and one of their heaps."""
+    return rows.withColumn("_key", F.rand(seed)).orderBy("_key").limit(cap).drop("_key")
 
 
 def first_available(spark: SparkSession, sources: Iterable[tuple[str, dict]]) -> DataFrame:

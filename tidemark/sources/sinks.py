@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +14,15 @@ from tidemark.sources import files
 VENDOR, PRODUCT, VERSION = "Tidemark", "DriftEngine", "1.0"
 
 
+def _plain(value: object) -> float | str:
+    """Decimals as numbers, dates and the like as text."""
+    return float(value) if isinstance(value, Decimal) else str(value)
+
+
 def write_table(df: DataFrame, path: str, jdbc: dict | None = None) -> None:
-    """Parquet, replaced as a whole; optionally a database table too."""
-    df.write.mode("overwrite").parquet(path)
+    """Parquet, written beside the old table and put in its place: a break leaves one of them whole. Optionally a database table too."""
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    files.replace(df.sparkSession, f"{path}.new", path)
     if jdbc:
         df.write.format("jdbc").mode("overwrite").options(**jdbc).save()
 
@@ -58,11 +64,12 @@ def send_syslog(lines: DataFrame, host: str, port: int = 514) -> None:
 def write_bias_report(audit: DataFrame, bins: DataFrame, folder: str) -> None:
     """JSON and Markdown; a row per proxy and at most four bins for each."""
     rows, parts = [r.asDict() for r in audit.collect()], [r.asDict() for r in bins.orderBy("proxy", "bin").collect()]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "bias_audit.json").write_text(json.dumps({"proxies": rows, "bins": parts}, indent=2))
+    out = files.Folder(folder)
+    out.write("bias_audit.json", json.dumps({"proxies": rows, "bins": parts}, indent=2, default=_plain))
     lines = ["# Bias audit", "", "| proxy | ratio | flagged |", "|-|-|-|", *[f"| {r['proxy']} | {r['disparity_ratio']} | {r['flagged']} |" for r in rows]]
-    Path(folder, "bias_audit.md").write_text("\n".join(lines) + "\n")
+    out.write("bias_audit.md", "\n".join(lines) + "\n")
 
 
 def write_attribution(ranking: DataFrame, path: str) -> None:
-    Path(path).write_text(json.dumps([r.asDict() for r in ranking.collect()], indent=2))  # a row per feature
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    files.Folder(folder).write(name, json.dumps([r.asDict() for r in ranking.collect()], indent=2, default=_plain))  # a row per feature
