@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.sources.files import stored
 
 PROXIES = ("avg_word_length", "lexical_diversity", "readability_flesch")
 
 
 def quartile_bins(values: DataFrame, proxy: str = "proxy", value: str = "value") -> DataFrame:
-    """The bin of each value among the distinct quartile edges of its proxy, right-closed, the lowest value included."""
+    """The bin of each value among the distinct quartile edges of its proxy, right-closed, the lowest value included. Edges are exact, from a count for
+    each distinct value: proxies are rounded to two or four digits, which bounds those."""
     edges = values.groupBy(F.col(proxy).alias("_p")).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))).alias("edges"), F.count("*").alias("valid_rows"))
     out = values.join(edges, F.col(proxy) == F.col("_p")).drop("_p")  # a row per proxy
     return out.withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col(value)))))
@@ -26,7 +28,8 @@ def proxy_values(scored: DataFrame, proxies: tuple[str, ...] = PROXIES) -> DataF
 
 def bias_bins(scored: DataFrame, proxies: tuple[str, ...] = PROXIES, settings: Settings | None = None) -> DataFrame:
     s = settings or Settings()
-    binned = quartile_bins(proxy_values(scored, proxies)).filter((F.col("valid_rows") >= s.least_bin_rows) & (F.size("edges") > 2))
+    # Edges and bins both need the values, whose text features are worked out once.
+    binned = quartile_bins(stored(proxy_values(scored, proxies))).filter((F.col("valid_rows") >= s.least_bin_rows) & (F.size("edges") > 2))
     return binned.groupBy("proxy", "bin").agg(F.count("*").alias("n"), F.avg("drift_score").alias("mean_drift"), F.avg((F.col("n_flagged") > 0).cast("double")).alias("flag_rate"))
 
 

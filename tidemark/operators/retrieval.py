@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import FUNCTION_WORDS
-from tidemark.sources.files import checkpointed
+from tidemark.sources.files import stored
 
 #: What stands between terms, which are two word characters or more, in any script.
 GAP = "[^\\p{L}\\p{N}_]+"
@@ -25,15 +25,16 @@ def tfidf_top(corpus: DataFrame, questions: DataFrame, k: int = 4, key: str = "c
     """The k best passages of each question: question, passage, score and place. idf = ln((1 + n) / (1 + df)) + 1, cosine of tf * idf. The
     corpus is cut into terms once, and counted once; of the weights only the questions' terms are joined to them. Give a list of
     stop words: a term that most passages have brings most passages to a question."""
-    counts = checkpointed(terms(corpus, key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf")))
+    counts = stored(terms(corpus, key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf")))
     total = corpus.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = checkpointed(df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))  # one row
+    idf = df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row
     asked = terms(questions, question_key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf"))
     asked = asked.join(idf, "term").select(F.col("key").alias(question_key), "term", (F.col("tf") * F.col("idf")).alias("qw"))
     norm = lambda w: F.sqrt(F.sum(w * w))
     asked = asked.join(asked.groupBy(F.col(question_key).alias("_q")).agg(norm(F.col("qw")).alias("qn")), F.col(question_key) == F.col("_q"))
-    asked = checkpointed(asked.select(question_key, "term", (F.col("qw") / F.col("qn")).alias("qw")))
+    # Written, so that Spark knows how large the questions are: a few are broadcast, many are shuffled.
+    asked = stored(asked.select(question_key, "term", (F.col("qw") / F.col("qn")).alias("qw")))
     weighed = counts.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighed.groupBy("key").agg(norm(F.col("w")).alias("norm"))
     hit = weighed.join(asked, "term").groupBy(question_key, "key").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
