@@ -364,6 +364,30 @@ def test_reports_go_to_any_uri(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and {p.name for p in tmp_path.iterdir()} == {"a b", "x", "t"}
 
 
+def _files_read(df):
+    """What the scan of a table has read, by its own count."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().get("numFiles").get().value()
+
+
+def test_a_look_up_reads_one_file_of_all(spark, tmp_path):
+    rows = spark.range(6000).select(F.concat(F.lit("u"), F.col("id") % 700).alias("user"), "id").unionByName(spark.range(3000).select(F.lit("hot").alias("user"), "id"))
+    sinks.write_table(rows, str(tmp_path / "t"), by_user=True)
+    table = spark.read.parquet(str(tmp_path / "t"))
+    total = sum(1 for _ in (tmp_path / "t").rglob("*.parquet"))
+    assert total >= 60 and table.count() == 9000
+    for user, n in (("u17", 9), ("hot", 3000), ("nobody", 0)):
+        found = sinks.of_user(table, user)
+        assert found.count() == n and _files_read(sinks.of_user(table, user)) <= 1
+    assert sinks.of_user(rows, "u17").count() == 9
+    whole = spark.createDataFrame([(k % 5, k) for k in range(50)], "user long, id long")
+    sinks.write_table(whole, str(tmp_path / "n"), by_user=True)
+    assert sinks.of_user(spark.read.parquet(str(tmp_path / "n")), "3").count() == 10
+
+
 def test_folders_of_other_file_systems(spark, tmp_path, monkeypatch):
     """The way through Hadoop's file systems, here the local one."""
     folder = files.Folder((tmp_path / "f").as_uri())

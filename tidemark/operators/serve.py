@@ -16,7 +16,7 @@ from tidemark.operators.policy import prior_flags, recommend
 from tidemark.operators.privacy import revoke
 from tidemark.operators.retrieval import STOP_WORDS, answer
 from tidemark.sources.messages import read_audit
-from tidemark.sources.sinks import write_ledger
+from tidemark.sources.sinks import BUCKET, of_user, write_ledger
 
 EXPOSED = ("date", "drift_score", "n_flagged", "flagged_features", "sentiment_polarity", "sentiment_subjectivity", "urgency_score", "social_engineering_score", "readability_flesch", "lexical_diversity", "contact_degree", "interaction_concentration")
 RECENT, RECENT_COLUMNS = 15, ("date", "drift_score", "n_flagged", "flagged_features", "sentiment_polarity", "urgency_score")
@@ -57,7 +57,7 @@ def allow_listed(df: DataFrame, allowed: tuple[str, ...] = EXPOSED) -> DataFrame
 
 def recent_messages(scored: DataFrame, user: str | None = None, n: int = RECENT, columns: tuple[str, ...] = RECENT_COLUMNS, order: tuple[str, ...] = ("date", "id")) -> DataFrame:
     """The newest rows of one user, or of each, in time order."""
-    rows = scored if user is None else scored.filter(F.col("user") == user)
+    rows = scored if user is None else of_user(scored, user)
     w = Window.partitionBy("user").orderBy(*[F.desc(c) for c in order])
     rows = rows.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= n)
     keep = dict.fromkeys(c for c in ("user", "id", *columns) if c in rows.columns)
@@ -82,7 +82,7 @@ class Service:
     def _row(self, user: str) -> dict:
         if self.risk is None:
             raise NotReady
-        row = self.risk.filter(F.col("user") == user).first()
+        row = of_user(self.risk, user).drop(BUCKET).first()
         if row is None:
             raise NotFound(user)
         return row.asDict()
@@ -106,7 +106,7 @@ class Service:
         if self.scored is None:
             raise NotReady
         self._log("api_access", user, {"what": "messages"}, actor)
-        return allow_listed(self.scored.filter(F.col("user") == user))
+        return allow_listed(of_user(self.scored, user))
 
     def explain(self, user: str, actor: str = "analyst") -> dict:
         self._allow(actor, "view_drift")
@@ -138,7 +138,7 @@ class Service:
         steps.append("recent messages")
         flags = self.prior_flags() if flags is None else flags
         steps += ["prior flags"] if flags is not None else []
-        advice = recommend(self.risk.filter(F.col("user") == user), flags, self.settings).first()
+        advice = recommend(of_user(self.risk, user), flags, self.settings).first()
         sources = []
         if row["avg_drift_score"] >= self.settings.flag_at and self.passages is not None:
             sources = answer("when is an escalation reviewed by a human", self.passages, 2, stop=STOP_WORDS)["sources"]

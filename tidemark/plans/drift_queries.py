@@ -304,6 +304,28 @@ def audit_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
     return audit.links(log)
 
 
+_ENTRY = "sha256('actor=system' || chr(10) || 'details=' || {details} || chr(10) || 'event_type=' || event_type || chr(10) || 'prev_hash=' || {prev} || chr(10) || 'seq=' || seq || chr(10) || 'timestamp=' || date || chr(10) || 'user_pseudonym=emp_' || user_id)"
+
+
+@Q.add(f"""
+WITH e AS (SELECT event_id + 1 AS seq, event_type, user_id, strftime(ts, '%Y-%m-%d') AS date, CAST(value AS VARCHAR) AS value FROM events),
+o AS (SELECT seq + 1 AS of, {_ENTRY.format(details="'{}'", prev="repeat('0', 64)")} AS own FROM e WHERE seq % 2 = 1),
+l AS (SELECT e.*, coalesce(own, repeat('0', 64)) AS prev_hash, CASE WHEN seq % 97 = 0 THEN '{{"changed":1}}' ELSE '{{}}' END AS details FROM e LEFT JOIN o ON seq = of),
+h AS (SELECT *, {_ENTRY.format(details="'{}'", prev="prev_hash")} AS entry_hash, {_ENTRY.format(details="details", prev="prev_hash")} AS computed FROM l)
+SELECT seq, entry_hash, computed = entry_hash AS hash_ok, prev_hash = lag(entry_hash, 1, repeat('0', 64)) OVER (ORDER BY seq) AS link_ok FROM h
+""")
+def audit_links(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as a log in which every other entry begins a chain anew, so that links are broken there, and some entries were changed."""
+    e = table(spark, sf, "events")
+    rows = e.select((F.col("event_id") + 1).alias("seq"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), "event_type", F.concat(F.lit("emp_"), F.col("user_id").cast("string")).alias("user_pseudonym"), F.lit("system").alias("actor"), F.lit("{}").alias("details"))
+    first = rows.filter(F.col("seq") % 2 == 1).withColumn("prev_hash", F.lit(audit.START)).withColumn("entry_hash", audit.hash_of())
+    before = first.select((F.col("seq") + 1).alias("of"), F.col("entry_hash").alias("prev_hash"))
+    second = rows.filter(F.col("seq") % 2 == 0).join(before, F.col("seq") == F.col("of"), "left").drop("of")
+    second = second.withColumn("prev_hash", F.coalesce("prev_hash", F.lit(audit.START))).withColumn("entry_hash", audit.hash_of())
+    log = first.unionByName(second).withColumn("details", F.when(F.col("seq") % 97 == 0, F.lit('{"changed":1}')).otherwise(F.col("details")))
+    return audit.links(log)
+
+
 @Q.add("""SELECT 'audit_log' AS source, 'Audit log entry at ' || strftime(ts, '%Y-%m-%d') || ': event ''' || event_type || ''' recorded by actor ''system'' for ' || CASE WHEN user_id % 5 = 0 THEN 'no user (system-level event)' ELSE 'emp_' || user_id END
   || '. Details: ' || CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'score=' || event_id || ', why=test' END || '.' AS text FROM events""")
 def audit_sentences(spark: SparkSession, sf: str) -> DataFrame:

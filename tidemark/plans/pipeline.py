@@ -75,7 +75,7 @@ def run_and_persist(spark: SparkSession, messages: DataFrame, folder: str, conse
     found = score(messages, consented, s)
     if models:
         found = isolation_forest(checkpointed(found), settings=s)
-    sinks.write_table(without_content(found), f"{folder}/scored_messages")
+    sinks.write_table(without_content(found), f"{folder}/scored_messages", by_user=True)
     scored = read_table(spark, f"{folder}/scored_messages")
     risk, shift = user_risk(scored).join(trajectory(scored, s), "user", "left"), False
     if models:
@@ -86,7 +86,7 @@ def run_and_persist(spark: SparkSession, messages: DataFrame, folder: str, conse
         shift = monitor.org_shift(stats, "timestamp", s)
     except Exception:
         logging.getLogger(__name__).exception("the monitoring snapshot failed")
-    sinks.write_table(suppress(risk, shift, s), f"{folder}/user_risk")
+    sinks.write_table(suppress(risk, shift, s), f"{folder}/user_risk", by_user=True)
     if labels is not None:
         sinks.pseudonymized_labels(labels, s.salt).write.mode("overwrite").option("header", True).csv(f"{folder}/labels")
     if log is not None:

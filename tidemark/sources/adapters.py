@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Files are read as they lie; a session that sets tidemark.deal (bench.py, over tables of one file with one row group) has their rows
+    """Files are read as they lie; a session that sets spark.tidemark.deal (bench.py, over tables of one file with one row group) has their rows
     dealt out to so many partitions first."""
-    n = df.sparkSession.conf.get("tidemark.deal", None)
+    n = df.sparkSession.conf.get("spark.tidemark.deal", None)
     return df.repartition(int(n)) if n else df
 
 

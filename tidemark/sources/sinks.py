@@ -19,9 +19,29 @@ def _plain(value: object) -> float | str:
     return float(value) if isinstance(value, Decimal) else str(value)
 
 
-def write_table(df: DataFrame, path: str, jdbc: dict | None = None) -> None:
-    """Parquet, written beside the old table and put in its place: a break leaves one of them whole. Optionally a database table too."""
-    df.write.mode("overwrite").parquet(f"{path}.new")
+#: Folders of a table that is laid out by user.
+BUCKETS, BUCKET = 64, "user_bucket"
+
+
+def bucket_of(user: Column) -> Column:
+    return F.pmod(F.xxhash64(user), F.lit(BUCKETS)).cast("int")
+
+
+def of_user(df: DataFrame, user: object) -> DataFrame:
+    """A user's rows; of a table that is laid out by user only the user's folder is read, and of its files the row groups that may have it."""
+    value = F.lit(user).cast(df.schema["user"].dataType)
+    rows = df.filter(F.col("user") == value)
+    return rows.filter(F.col(BUCKET) == bucket_of(value)) if BUCKET in df.columns else rows
+
+
+def write_table(df: DataFrame, path: str, jdbc: dict | None = None, by_user: bool = False) -> None:
+    """Parquet, written beside the old table and put in its place: a break leaves one of them whole. By user, rows lie in a folder for each bucket of users
+    (a hot one in several files), in the order of users and with a Bloom filter. Optionally a database table too."""
+    out = df.write
+    if by_user:
+        laid = df.drop(BUCKET).withColumn(BUCKET, bucket_of(F.col("user"))).hint("rebalance", F.col(BUCKET))
+        out = laid.sortWithinPartitions(BUCKET, "user").write.partitionBy(BUCKET).option("parquet.bloom.filter.enabled#user", "true")
+    out.mode("overwrite").parquet(f"{path}.new")
     files.replace(df.sparkSession, f"{path}.new", path)
     if jdbc:
         df.write.format("jdbc").mode("overwrite").options(**jdbc).save()
