@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.config import ESCALATE, MANIPULATION_LEXICON, MONITOR, NO_ACTION, URGENCY_PHRASES, Settings
-from tidemark.functions import automaton
+from tidemark.functions import automaton, tagging
 from tidemark.functions import text as T
 from tidemark.functions.hashing import hmac_sha256, pseudonym
 from tidemark.operators import anomaly, audit, baseline, drift, fairness, graph, monitor, network, policy, privacy, profile, ranks, retrieval, serve, shapley, supervised, trend
@@ -1095,3 +1095,42 @@ def test_stream_of_contacts_by_name(spark, sf, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     _run_stream(stream_contacts(live, 5, idle_seconds=3600), "contacts_idle", tmp_path)
     assert spark.table("contacts_idle").count() == len(want)
+
+
+# --- words in their order
+
+
+def _plain_tags(words):
+    """The best of all sequences of tags, by trying each; the first of equals from the last word back."""
+    import itertools as it
+
+    n = len(tagging.TAGS)
+    score = lambda seq: sum(tagging.emission(w)[t] for w, t in zip(words, seq)) + tagging.FIRST[seq[0]] + sum(tagging.FOLLOWS[a][b] for a, b in zip(seq, seq[1:]))
+    return max(score(s) for s in it.product(range(n), repeat=len(words))), score
+
+
+def test_the_decoder_finds_a_best_sequence():
+    rng = np.random.default_rng(1)
+    vocabulary = ["the", "dog", "is", "quickly", "running", "beautiful", "nation", "walks", "not", "a", "red", "to", "x"]
+    texts = [[str(w) for w in rng.choice(vocabulary, n)] for n in (1, 2, 3, 4, 5, 5, 5, 0, 6)]
+    names = sorted({w for t in texts for w in t})
+    scores = np.array([tagging.emission(w) for w in names])
+    flat = np.array([names.index(w) for t in texts for w in t])
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = tagging.decoded(flat, offsets, scores)
+    for k, t in enumerate(texts):
+        if t:
+            best, score = _plain_tags(t)
+            assert score(got[offsets[k] : offsets[k + 1]].tolist()) == best
+
+
+def test_tags_and_sentiment_in_context(spark):
+    tk = F.col("t")
+    rows = spark.createDataFrame([(0, "the dog is running quickly".split()), (1, []), (2, None), (3, "not good".split()), (4, "i don't think that was very bad".split()), (5, "slightly sad but really happy".split())], "id int, t array<string>")
+    polarity, subjectivity = tagging.sentiment_in_context(F.coalesce(tk, F.array().cast("array<string>")))
+    kinds = tagging.viterbi_ratios(F.coalesce(tk, F.array().cast("array<string>")))
+    got = {r.id: r for r in rows.select("id", polarity.alias("p"), subjectivity.alias("s"), *[c.alias(n) for n, c in kinds.items()]).collect()}
+    assert (got[0].noun_ratio, got[0].verb_ratio, got[0].adv_ratio) == (0.2, 0.4, 0.2)
+    assert (got[1].noun_ratio, got[1].p, got[2].p) == (0, 0, 0)
+    assert (got[3].p, got[5].p) == (-1.0, 0.5)
+    assert got[4].p == -1.0 and got[4].s == round(1 / 7, 4)  # the negation is four words away

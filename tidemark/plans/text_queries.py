@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import FUNCTION_WORDS, MANIPULATION_LEXICON, NEGATIVE_WORDS, POSITIVE_WORDS, URGENCY_PHRASES, Settings
+from tidemark.functions import tagging
 from tidemark.functions import text as T
 from tidemark.functions.hashing import pads, pseudonym
 from tidemark.operators import privacy, profile
@@ -289,3 +290,32 @@ SELECT printf('m%05d-%05d', n, k) AS id, strftime(to_timestamp(1262304000 + k *
 FROM m""")
 def synthetic_messages(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic.messages(spark, seed=Settings().seed)
+
+
+REMARKS = ("this is good", "not good, and never a very nice win", "really bad", "I don't think that it is bad", "somewhat happy but so sad", "nothing went wrong", "")
+_SAID = f"{_list(REMARKS)}[doc_id % {len(REMARKS)} + 1]"
+_BEFORE = "list_contains({words}, CASE WHEN i > {k} THEN tk[i - {k}] ELSE '' END)"
+_VALUE = (
+    "CASE WHEN " + _BEFORE.format(words=_list(tagging.INTENSIFIERS), k=1) + " THEN 3 WHEN " + _BEFORE.format(words=_list(tagging.DAMPERS), k=1) + " THEN 1 ELSE 2 END"
+    + f" * CASE WHEN list_contains({_list(POSITIVE_WORDS)}, tk[i]) THEN 1 ELSE -1 END * CASE WHEN "
+    + " OR ".join(_BEFORE.format(words=_list(tagging.NEGATORS), k=k) for k in (1, 2, 3)) + " THEN -1 ELSE 1 END"
+)
+
+
+@Q.add(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text || ' ' || {_SAID}), '[a-z'']+') AS tk FROM documents),
+v AS (SELECT doc_id, tk, list_transform(list_filter(range(1, len(tk) + 1), lambda i: list_contains({_list(POSITIVE_WORDS + NEGATIVE_WORDS)}, tk[i])), lambda i: {_VALUE}) AS x FROM d),
+s AS (SELECT doc_id, len(tk) AS n, len(x) AS polar, coalesce(list_sum(x), 0)::BIGINT AS total, coalesce(list_sum(list_transform(x, lambda y: abs(y))), 0)::BIGINT AS whole FROM v)
+SELECT doc_id, {share_sql("total", "whole")} AS polarity, {share_sql("polar", "n")} AS subjectivity FROM s""")
+def sentiment_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentiment with negation and intensity. The documents' prose has hardly a polar word, so each is followed by a remark that depends on its id."""
+    d = texts(spark, sf, "doc_id", "text").withColumn("said", F.element_at(F.array(*[F.lit(x) for x in REMARKS]), (F.pmod("doc_id", F.lit(len(REMARKS))) + 1).cast("int")))
+    d = d.select("doc_id", T.tokens(F.concat_ws(" ", "text", "said")).alias("tk"))
+    polarity, subjectivity = tagging.sentiment_in_context(F.col("tk"))
+    return d.select("doc_id", polarity.alias("polarity"), subjectivity.alias("subjectivity"))
+
+
+@Q.add()
+def pos_viterbi(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of parts of speech by the decoder."""
+    d = texts(spark, sf, "doc_id", "text").select("doc_id", T.tokens(F.col("text")).alias("tk"))
+    return d.select("doc_id", *[c.alias(n) for n, c in tagging.viterbi_ratios(F.col("tk")).items()])
