@@ -47,9 +47,9 @@ def uniform(marked: Column) -> Column:
     return F.conv(F.substring(marked, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def in_ranges(df: DataFrame, value: str) -> DataFrame:
-    """df dealt out by ranges of a value, and _part, the number of the range: ranges of a lower number hold lower values, equal values share one."""
-    return checkpointed(df.repartitionByRange(value)).withColumn("_part", F.spark_partition_id())
+def in_ranges(df: DataFrame, *values: str) -> DataFrame:
+    """df dealt out by ranges of a value (or several), and _part, the number of the range: ranges of a lower number hold lower values, equal values share one."""
+    return checkpointed(df.repartitionByRange(*values)).withColumn("_part", F.spark_partition_id())
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:

@@ -76,29 +76,33 @@ def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted")
     return out.withColumn("accuracy", part(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "probability") -> DataFrame:
-    """Area under the ROC curve by average ranks, null with a single class. Rows are first summed per distinct score; scores are dealt out by
-    ranges, so that none of the tasks orders them all."""
-    per = in_ranges(df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")), score)
-    below = ahead(per, [], "_part", [score], "below", "n")
-    sums = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    return sums.select((F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"), "n_pos", "n_neg")
+def roc_auc(df: DataFrame, label: str = "label", score: str = "probability", by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the ROC curve by average ranks, of all rows or of each group, null with a single class. Rows are first summed per distinct score; scores
+    are dealt out by ranges, so that none of the tasks orders them all."""
+    per = in_ranges(df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")), *by, score)
+    below = ahead(per, list(by), "_part", [score], "below", "n")
+    sums = below.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    return sums.select(*by, (F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))).alias("auc"), "n_pos", "n_neg")
 
 
 def attribution(model: PipelineModel, df: DataFrame, features: tuple[str, ...] = FEATURES, settings: Settings | None = None) -> DataFrame:
-    """Features ranked by the loss of AUC when their values are shuffled, with the model's own importances."""
-    s = settings or Settings()
-    base = roc_auc(predict(model, df)).first()["auc"]
+    """Features ranked by the loss of AUC when their values are shuffled, with the model's own importances. All copies of the rows, one with each
+    feature shuffled, are made, scored and ranked in one pass: rows take the values of the rows that have their number in another random order."""
+    s, n = settings or Settings(), df.count()
     own = model.stages[-1].featureImportances.toArray()
-    rows = []
-    rows_n = df.count()
-    place = lambda frame, seed: ahead(frame.withColumn("_u", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("user").cast("string")))).withColumn("_b", F.floor(uniform(F.col("_u")) * root_of(F.lit(rows_n)))), [], "_b", ["_u", "user"], "_i").drop("_u", "_b")
-    seat = checkpointed(place(df, s.seed))
-    for k, f in enumerate(features):
-        other = place(df.select("user", F.col(f).alias("_v")), s.seed + 1 + k).drop("user")
-        shuffled = seat.join(other, "_i").withColumn(f, F.col("_v")).drop("_v", "_i")
-        auc = roc_auc(predict(model, shuffled)).first()["auc"]
-        rows.append((f, round(float((base or 0) - (auc or 0)), 5), round(float(own[k]), 5)))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        order = F.md5(F.concat_ws("/", (F.lit(s.seed) + F.col("_k")).cast("string"), F.col("user").cast("string")))
+        rows = rows.withColumn("_u", order)
+        return ahead(rows.withColumn("_b", F.floor(uniform(F.col("_u")) * root_of(F.lit(n)))), ["_k"], "_b", ["_u", "user"], "_i").drop("_u", "_b")
+
+    values = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("_k"), F.col(f).cast("double").alias("_v")) for k, f in enumerate(features)])).alias("x")
+    other = placed(df.select("user", values).select("user", "x.*")).select(F.col("_k").alias("_of"), F.col("_i").alias("_at"), "_v")
+    copies = placed(df.withColumn("_k", F.lit(0))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
+    both = copies.join(other, (F.col("_k") == F.col("_of")) & (F.col("_i") == F.col("_at")), "left")
+    both = both.withColumns({f: F.when(F.col("_k") == k + 1, F.col("_v")).otherwise(F.col(f)) for k, f in enumerate(features)}).drop("_v", "_of", "_at", "_i")
+    auc = {r["_k"]: r["auc"] or 0.0 for r in roc_auc(predict(model, both), by=("_k",)).collect()}  # a row a feature
+    rows = [(f, round(float(auc.get(0, 0.0) - auc.get(k + 1, 0.0)), 5), round(float(own[k]), 5)) for k, f in enumerate(features)]
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[1], -r[2], r[0])), "feature string, auc_drop double, importance double")
 
 
