@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 import statistics
 
 import numpy as np
@@ -15,7 +16,7 @@ from tidemark.functions import automaton, tagging
 from tidemark.functions import text as T
 from tidemark.functions.hashing import hmac_sha256, pseudonym
 from tidemark.operators import anomaly, audit, baseline, drift, fairness, graph, monitor, network, policy, privacy, profile, ranks, retrieval, serve, shapley, supervised, trend
-from tidemark.plans import catalog, pipeline
+from tidemark.plans import catalog, drift_queries, pipeline
 from tidemark.sources import files, messages, sinks, synthetic
 
 S = Settings()
@@ -1134,3 +1135,9 @@ def test_tags_and_sentiment_in_context(spark):
     assert (got[1].noun_ratio, got[1].p, got[2].p) == (0, 0, 0)
     assert (got[3].p, got[5].p) == (-1.0, 0.5)
     assert got[4].p == -1.0 and got[4].s == round(1 / 7, 4)  # the negation is four words away
+
+
+def test_security_lines_have_exact_digits(spark):
+    df = spark.createDataFrame([(1, 0.47435, 0.03125, 64), (2, 0.09375, 0.0, 1)], "user int, avg_drift_score double, flagged_message_rate double, n_messages long")
+    lines = {r.user: r.line for r in sinks.cef_lines(df).collect()}
+    assert "cs1=0.4743 " in lines[1] and "cs2=0.0312 " in lines[1] and "cs1=0.0938 " in lines[2] and "cs2=0.0000 " in lines[2]

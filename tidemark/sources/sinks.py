@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,16 @@ def write_ledger(ledger: DataFrame, path: str) -> None:
     files.replace(ledger.sparkSession, f"{path}.new", path)
 
 
+def four_digits(number: Column) -> Column:
+    """A number by its exact binary value, half to even, as C's printf has it; Spark's format_string rounds the shortest decimal form half up."""
+
+    @F.arrow_udf("string")
+    def written(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.4f}" for v in values.to_pylist()], pa.string())
+
+    return written(number)
+
+
 def severity(avg_drift: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(10), F.bround(avg_drift * 2).cast("int")))
 
@@ -68,7 +79,7 @@ def severity(avg_drift: Column) -> Column:
 def cef_lines(risk: DataFrame, with_time: bool = False, vendor: str = VENDOR, product: str = PRODUCT) -> DataFrame:
     """One line per user in the common event format."""
     head = F.concat(F.lit(f"CEF:0|{vendor}|{product}|{VERSION}|LINGUISTIC_DRIFT|Insider-risk linguistic drift flagged|"), severity(F.col("avg_drift_score")), F.lit("|"))
-    body = F.concat(F.lit("suser="), F.col("user").cast("string"), F.lit(" cs1Label=avgDriftScore cs1="), F.format_string("%.4f", "avg_drift_score"), F.lit(" cs2Label=flaggedMessageRate cs2="), F.format_string("%.4f", "flagged_message_rate"), F.lit(" cnt="), F.col("n_messages").cast("string"))
+    body = F.concat(F.lit("suser="), F.col("user").cast("string"), F.lit(" cs1Label=avgDriftScore cs1="), four_digits(F.col("avg_drift_score")), F.lit(" cs2Label=flaggedMessageRate cs2="), four_digits(F.col("flagged_message_rate")), F.lit(" cnt="), F.col("n_messages").cast("string"))
     time = F.concat(F.lit(" rt="), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")) if with_time else F.lit("")
     return risk.select("user", F.concat(head, body, time).alias("line"))
 
