@@ -1141,3 +1141,11 @@ def test_security_lines_have_exact_digits(spark):
     df = spark.createDataFrame([(1, 0.47435, 0.03125, 64), (2, 0.09375, 0.0, 1)], "user int, avg_drift_score double, flagged_message_rate double, n_messages long")
     lines = {r.user: r.line for r in sinks.cef_lines(df).collect()}
     assert "cs1=0.4743 " in lines[1] and "cs2=0.0312 " in lines[1] and "cs1=0.0938 " in lines[2] and "cs2=0.0000 " in lines[2]
+
+
+def test_doubles_are_rounded_as_the_sql_rounds_them(spark):
+    import duckdb
+
+    values = [58.005, -58.005, 1.005, 2.675, 0.125, -0.125, 57.994999]
+    got = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(T.rounded(F.col("v"), 2).alias("x")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 2)", [v]).fetchone()[0] for v in values] and got[0] == 58.01

@@ -34,6 +34,11 @@ def share(part: Column, whole: Column, digits: int) -> Column:
     return F.when(whole > 0, found).otherwise(F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero after it was scaled, as DuckDB rounds; Spark's round goes by the shortest decimal form, which differs at ties."""
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def lexical_diversity(tk: Column) -> Column:
     return share(F.size(F.array_distinct(tk)), F.size(tk), 4)
 
@@ -106,7 +111,7 @@ def manipulation_score(c: Column, lexicon: dict[str, tuple[str, ...]] = MANIPULA
     total = scores[0]
     for s in scores[1:]:
         total = total + s
-    return F.round(total / len(scores), 4)
+    return rounded(total / len(scores), 4)
 
 
 def readability_flesch(c: Column, tk: Column) -> Column:
@@ -117,7 +122,7 @@ def readability_flesch(c: Column, tk: Column) -> Column:
     spaced = F.array_join(tk, " ")
     syllables = count_of(spaced, "[aeiouy]+") + count_of(spaced, "(?<![a-z'])[b-df-hj-np-tv-xz']+(?![a-z'])")
     ease = F.lit(206.835) - F.lit(1.015) * (words.cast("double") / sentences) - F.lit(84.6) * (syllables.cast("double") / words)
-    return F.when(words > 0, F.round(ease, 2)).otherwise(F.lit(0.0))
+    return F.when(words > 0, rounded(ease, 2)).otherwise(F.lit(0.0))
 
 
 def _members(tk: Column, words: tuple[str, ...]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.functions.text import rounded
 
 
 def drift_score(features: tuple[str, ...], settings: Settings) -> Column:
@@ -17,7 +18,7 @@ def drift_score(features: tuple[str, ...], settings: Settings) -> Column:
     # least() would skip a null
     top = add([F.when(F.col(f"z_{f}").isNotNull(), F.lit(weight[f]) * F.least(F.abs(f"z_{f}"), F.lit(settings.clip_at))).otherwise(F.lit(0.0)) for f in features])
     below = add([F.when(F.col(f"z_{f}").isNotNull(), F.lit(weight[f])).otherwise(F.lit(0.0)) for f in features])
-    return F.when(below > 0, F.round(top / below, 4)).otherwise(F.lit(0.0))
+    return F.when(below > 0, rounded(top / below, 4)).otherwise(F.lit(0.0))
 
 
 def flagged_features(features: tuple[str, ...], settings: Settings) -> Column:
@@ -42,7 +43,7 @@ def user_risk(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("n_flagged") > 0).alias("n_flagged_messages"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("flagged_features")))).alias("features"),
     )
-    return out.withColumn("flagged_message_rate", F.round(F.col("n_flagged_messages") / F.col("n_messages"), 4))
+    return out.withColumn("flagged_message_rate", rounded(F.col("n_flagged_messages") / F.col("n_messages"), 4))
 
 
 def top_users(risk: DataFrame, k: int) -> DataFrame:

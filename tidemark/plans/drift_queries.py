@@ -61,12 +61,12 @@ dd AS (SELECT *, CASE WHEN {_DEN} > 0 THEN round(({_NUM}) / ({_DEN}), 4) ELSE 0
 @Q.add(f"""SELECT event_id AS id, round(avg(value) OVER w, 6) AS rolling_mean, round(stddev_pop(value) OVER w, 6) AS rolling_std, count(value) OVER w AS rolling_n
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW)""")
 def rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return baseline.rolling_stats(events(spark, sf), "value", W).select("id", F.round("rolling_mean", 6).alias("rolling_mean"), F.round("rolling_std", 6).alias("rolling_std"), "rolling_n")
+    return baseline.rolling_stats(events(spark, sf), "value", W).select("id", T.rounded(F.col("rolling_mean"), 6).alias("rolling_mean"), T.rounded(F.col("rolling_std"), 6).alias("rolling_std"), "rolling_n")
 
 
 @Q.add(_EV + 'SELECT id, "user", round(z, 6) AS z FROM ez WHERE z IS NOT NULL')
 def baseline_z(spark: SparkSession, sf: str) -> DataFrame:
-    return baseline.with_z(events(spark, sf), ("value",), W).filter("z_value is not null").select("id", "user", F.round("z_value", 6).alias("z"))
+    return baseline.with_z(events(spark, sf), ("value",), W).filter("z_value is not null").select("id", "user", T.rounded(F.col("z_value"), 6).alias("z"))
 
 
 @Q.add(f"""WITH r AS (SELECT user_id AS "user", value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events)
@@ -87,7 +87,7 @@ def flagged_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @Q.add(_EV + 'SELECT "user", round(avg_drift_score, 6) AS avg_drift_score, max_drift_score, n_messages, n_flagged_messages, flagged_message_rate FROM ur')
 def user_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return risk_of_events(spark, sf).select("user", F.round("avg_drift_score", 6).alias("avg_drift_score"), "max_drift_score", "n_messages", "n_flagged_messages", "flagged_message_rate")
+    return risk_of_events(spark, sf).select("user", T.rounded(F.col("avg_drift_score"), 6).alias("avg_drift_score"), "max_drift_score", "n_messages", "n_flagged_messages", "flagged_message_rate")
 
 
 @Q.add(_DOC + """SELECT "user", round(avg(drift_score), 6) AS avg_drift_score, count(*) FILTER (len(flagged) > 0) AS n_flagged_messages,
@@ -95,17 +95,17 @@ def user_risk(spark: SparkSession, sf: str) -> DataFrame:
 def user_risk_features(spark: SparkSession, sf: str) -> DataFrame:
     """The rollup with the features that were flagged."""
     r = drift.user_risk(scored_documents(spark, sf))
-    return r.select("user", F.round("avg_drift_score", 6).alias("avg_drift_score"), "n_flagged_messages", F.array_join("features", ",").alias("features"))
+    return r.select("user", T.rounded(F.col("avg_drift_score"), 6).alias("avg_drift_score"), "n_flagged_messages", F.array_join("features", ",").alias("features"))
 
 
 @Q.add(_EV + 'SELECT "user", round(avg_drift_score, 6) AS avg_drift_score FROM ur ORDER BY ur.avg_drift_score DESC, "user" LIMIT 10')
 def topk_users(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.top_users(risk_of_events(spark, sf), 10).select("user", F.round("avg_drift_score", 6).alias("avg_drift_score"))
+    return drift.top_users(risk_of_events(spark, sf), 10).select("user", T.rounded(F.col("avg_drift_score"), 6).alias("avg_drift_score"))
 
 
 @Q.add(_EV + 'SELECT arg_max("user", avg_drift_score) AS "user", round(max(avg_drift_score), 6) AS avg_drift_score FROM ur')
 def argmax_user(spark: SparkSession, sf: str) -> DataFrame:
-    return risk_of_events(spark, sf).agg(F.max_by("user", "avg_drift_score").alias("user"), F.round(F.max("avg_drift_score"), 6).alias("avg_drift_score"))
+    return risk_of_events(spark, sf).agg(F.max_by("user", "avg_drift_score").alias("user"), T.rounded(F.max("avg_drift_score"), 6).alias("avg_drift_score"))
 
 
 @Q.add(_EV + 'SELECT id, "user", drift_score FROM ed ORDER BY drift_score DESC, "user", id LIMIT 10')
@@ -144,7 +144,7 @@ e AS (SELECT "user", date, id, unnest(r) AS contact, unnest(range(0, len(r))) AS
   CASE WHEN len(h) > 0 THEN round(list_sum(list_transform(list_distinct(h), lambda x: pow(len(list_filter(h, lambda y: y = x))::DOUBLE / len(h), 2))), 6) ELSE 0 END AS interaction_concentration FROM h""")
 def network_window(spark: SparkSession, sf: str) -> DataFrame:
     n = network.with_network(purchases(spark, sf), NET_W)
-    return n.select("id", "user", "contact_degree", F.round("interaction_concentration", 6).alias("interaction_concentration"))
+    return n.select("id", "user", "contact_degree", T.rounded(F.col("interaction_concentration"), 6).alias("interaction_concentration"))
 
 
 @Q.add('SELECT o_custkey AS "user", count(DISTINCT l_suppkey) AS contacts, count(*) AS entries FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey')
@@ -223,7 +223,7 @@ def rule_recommendation(spark: SparkSession, sf: str) -> DataFrame:
 @Q.add(_EV + """SELECT round(avg(avg_drift_score), 6) AS mean_avg_drift, round(avg(CAST(n_flagged_messages > 0 AS DOUBLE)), 6) AS share_users_flagged, round(quantile_cont(avg_drift_score, 0.9), 6) AS p90_avg_drift FROM ur""")
 def monitor_summary(spark: SparkSession, sf: str) -> DataFrame:
     r = monitor.risk_summary(risk_of_events(spark, sf))
-    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+    return r.select(*[T.rounded(F.col(c), 6).alias(c) for c in r.columns])
 
 
 _STATS = ("lexical_diversity", "readability_flesch", "drift_score")
@@ -232,7 +232,7 @@ _STATS = ("lexical_diversity", "readability_flesch", "drift_score")
 @Q.add(_DOC + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(stddev_samp({f}), 6) AS std FROM dd" for f in _STATS))
 def monitor_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     s = monitor.feature_stats(scored_documents(spark, sf), _STATS)
-    return s.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return s.select("feature", T.rounded(F.col("mean"), 6).alias("mean"), T.rounded(F.col("std"), 6).alias("std"))
 
 
 @Q.add(_EV + """
@@ -243,7 +243,7 @@ FROM l WHERE before IS NOT NULL AND (std IS NULL OR std <> 0)""")
 def org_shift(spark: SparkSession, sf: str) -> DataFrame:
     weekly = scored_events(spark, sf).withColumn("week", F.date_trunc("week", "date"))
     s = monitor.shifts(monitor.feature_stats(weekly, ("value", "drift_score"), ("week",)), "week", S)
-    return s.select("feature", F.date_format("week", "yyyy-MM-dd").alias("week"), F.round("shift", 6).alias("shift"), "alert")
+    return s.select("feature", F.date_format("week", "yyyy-MM-dd").alias("week"), T.rounded(F.col("shift"), 6).alias("shift"), "alert")
 
 
 @Q.add("""
@@ -265,7 +265,7 @@ r AS (SELECT proxy, bin, count(*) AS n, avg(drift_score) AS mean_drift, avg(CAST
 @Q.add(_BIAS + "SELECT proxy, CAST(bin AS INTEGER) AS bin, n, round(mean_drift, 6) AS mean_drift, round(flag_rate, 6) AS flag_rate FROM r")
 def bias_bins(spark: SparkSession, sf: str) -> DataFrame:
     b = fairness.bias_bins(scored_documents(spark, sf), settings=S)
-    return b.select("proxy", "bin", "n", F.round("mean_drift", 6).alias("mean_drift"), F.round("flag_rate", 6).alias("flag_rate"))
+    return b.select("proxy", "bin", "n", T.rounded(F.col("mean_drift"), 6).alias("mean_drift"), T.rounded(F.col("flag_rate"), 6).alias("flag_rate"))
 
 
 @Q.add(_BIAS + """, a AS (SELECT proxy, count(*) AS bins, max(flag_rate) AS hi, min(flag_rate) AS lo FROM r GROUP BY proxy)

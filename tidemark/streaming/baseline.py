@@ -35,7 +35,8 @@ def drift_scores(z: np.ndarray, weights: np.ndarray, clip: float) -> np.ndarray:
     """The weighted mean of clipped absolute z in each row, over those that are there; 0 without any."""
     there = ~np.isnan(z)
     total = (there * weights).sum(axis=1)
-    return np.round(np.where(total > 0, (np.minimum(np.abs(np.where(there, z, 0.0)), clip) * weights).sum(axis=1) / np.maximum(total, 1e-300), 0.0), 4)
+    scaled = 1e4 * np.where(total > 0, (np.minimum(np.abs(np.where(there, z, 0.0)), clip) * weights).sum(axis=1) / np.maximum(total, 1e-300), 0.0)
+    return (np.floor(scaled) + (scaled - np.floor(scaled) >= 0.5)) / 1e4  # half away from zero, as the batch form rounds
 
 
 def stream_baseline(events: DataFrame, window: int, settings: Settings | None = None, features: tuple[str, ...] = ("value",), late: str = "1 day", idle_seconds: int | None = None) -> DataFrame:
