@@ -1163,3 +1163,16 @@ def test_short_windows_agree_with_the_sql_to_the_last_bit(spark):
     z = drift_queries._Z.format(f="x", n=5)
     want = con.execute(f'SELECT "user", id, {z} FROM (SELECT "user", id, CASE WHEN isnan(x) THEN NULL ELSE x END AS x FROM t) WINDOW w AS (PARTITION BY "user" ORDER BY id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)').fetchall()
     assert len(want) == len(got) and all(got[u, i] == z for u, i, z in want) and sum(z is not None for *_, z in want) > 1000
+
+
+def test_endings_are_counted_as_patterns_find_them(spark):
+    words = [*"ly fly only nation nations ing king er or her word it ity city ness less lessness ship ic al all y e a' o'er quickly' 'ing ious ful wonderful ise rise ify modify ish ist ism ance ence ment ed".split()]
+    rows = [(0, words), (1, []), (2, ["y"]), (3, ["l"]), (4, ["y", "ly"]), (5, None), (6, words[::-1])]
+    df = spark.createDataFrame(rows, "id int, tk array<string>").coalesce(1)
+    got = {r.id: r for r in df.select("id", *[x.alias(k) for k, x in T.pos_ratios(F.col("tk")).items()]).collect()}
+    for k, tk in rows:
+        kinds = [next((name for name, e in T.POS_ENDINGS.items() if re.search(e, w)), "other") for w in tk or []]
+        for name in T.POS_ENDINGS:
+            assert got[k][f"{name}_ratio"] == pytest.approx(kinds.count(name) / max(len(kinds), 1), abs=5.1e-5), (k, name)
+    plan = df.select(*T.pos_ratios(F.col("tk")).values())._jdf.queryExecution().optimizedPlan().toString()
+    assert "rlike" not in plan.lower()  # no expression for each word and ending

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import FUNCTION_WORDS, MANIPULATION_LEXICON, NEGATIVE_WORDS, POSITIVE_WORDS, URGENCY_PHRASES
-from tidemark.functions import automaton
+from tidemark.functions import automaton, endings
 
 
 def text_of(c: Column) -> Column:
@@ -144,13 +144,9 @@ POS_ENDINGS = {"adv": "ly$", "verb": "(ing|ed|ize|ise|ify)$", "adj": "(ous|ful|a
 
 
 def pos_ratios(tk: Column) -> dict[str, Column]:
-    kind = lambda w: F.coalesce(*[F.when(w.rlike(e), F.lit(k)) for k, e in POS_ENDINGS.items()], F.lit("other"))
-    kinds = F.transform(tk, kind)
-
-    def count(name: str) -> Column:
-        return F.size(F.filter(kinds, lambda x: x == name))
-
-    return {f"{k}_ratio": share(count(k), F.size(tk), 4) for k in ("noun", "verb", "adj", "adv")}
+    names = tuple(POS_ENDINGS)
+    found = endings.counted(tk, tuple(tuple(e.removesuffix("$").strip("()").split("|")) for e in POS_ENDINGS.values()))
+    return {f"{k}_ratio": share(F.get(found, F.lit(names.index(k))), F.size(tk), 4) for k in ("noun", "verb", "adj", "adv")}
 
 
 def recipients(*fields: Column) -> Column:
