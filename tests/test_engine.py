@@ -1176,3 +1176,9 @@ def test_endings_are_counted_as_patterns_find_them(spark):
             assert got[k][f"{name}_ratio"] == pytest.approx(kinds.count(name) / max(len(kinds), 1), abs=5.1e-5), (k, name)
     plan = df.select(*T.pos_ratios(F.col("tk")).values())._jdf.queryExecution().optimizedPlan().toString()
     assert "rlike" not in plan.lower()  # no expression for each word and ending
+
+
+def test_texts_are_worked_on_before_they_are_brought_together_by_user(spark):
+    rows = messages.prepare(synthetic.messages(spark, users=3))
+    plan = pipeline.featured(rows, None, Settings(window=5)).select("id", "noun_ratio", "contact_degree")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.rindex("Window") < plan.index("[^a-z']+")  # from the top down: windows, below them the texts

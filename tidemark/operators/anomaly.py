@@ -137,7 +137,8 @@ def isolation_forest(df: DataFrame, features: tuple[str, ...] = MESSAGE_FEATURES
 
     scorer = pandas_udf(score, "double")
     scorer.func.__annotations__ = {}
-    scored = df.withColumn("_raw", scorer(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
+    # Written: the cut and the rows read one pass over the trees.
+    scored = stored(df.withColumn("_raw", scorer(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])))
     cut_at = scored.agg(F.percentile_approx("_raw", 1 - s.contamination, 10_000).alias("_at"))
     out = scored.join(F.broadcast(cut_at))  # one row
     return out.withColumns({"anomaly_score": F.col("_raw") - F.col("_at"), "is_anomaly": F.col("_raw") > F.col("_at")}).drop("_raw", "_at")

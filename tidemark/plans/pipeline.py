@@ -1,4 +1,4 @@
-"""The batch pipeline: messages to scored messages and user risk, one lazy plan per output table."""
+"""The batch pipeline: messages to scored messages and user risk, each computed once."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from tidemark.operators.privacy import consent_gate, pseudonymize, without_conte
 from tidemark.operators.profile import validate
 from tidemark.operators.trend import trajectory
 from tidemark.sources import sinks
-from tidemark.sources.files import checkpointed
+from tidemark.sources.files import stored
 from tidemark.sources.messages import read_snapshots, read_table
 
 TRACKED = ("urgency_score", "social_engineering_score", "sentiment_polarity", "sentiment_subjectivity", "function_word_ratio", "lexical_diversity", "readability_flesch", "noun_ratio", "verb_ratio", "contact_degree", "interaction_concentration")
@@ -39,14 +39,13 @@ def unsafe(settings: Settings) -> list[str]:
 
 
 def featured(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
-    """Network features on raw addresses, consent, text features. The gate and all windows share their key, the user."""
+    """Consent, text features, network features on raw addresses. Texts are worked on where they lie: of what the windows bring together by the user, which
+    may be a few hot ones, only numbers are needed. The gate and all windows share their key, the user, so their order makes no difference."""
     s = settings or Settings()
-    df = messages.withColumn("recipients", recipients(F.col("to"), F.col("cc"), F.col("bcc")))
-    df = with_network(df, s.window)
-    if consented is not None:
-        df = consent_gate(df, consented, s.consent_required)
-    df = df.withColumn("tk", tokens(F.col("content")))
-    return df.withColumns(feature_columns(F.col("content"), F.col("tk"), s.urgency, s.lexicon, s.scorer or sentiment, s.tagger or pos_ratios)).drop("tk")
+    df = messages if consented is None else consent_gate(messages, consented, s.consent_required)
+    df = df.withColumn("recipients", recipients(F.col("to"), F.col("cc"), F.col("bcc"))).withColumn("tk", tokens(F.col("content")))
+    df = df.withColumns(feature_columns(F.col("content"), F.col("tk"), s.urgency, s.lexicon, s.scorer or sentiment, s.tagger or pos_ratios)).drop("tk")
+    return with_network(df, s.window)
 
 
 def score(messages: DataFrame, consented: DataFrame | None = None, settings: Settings | None = None) -> DataFrame:
@@ -60,11 +59,11 @@ def run(messages: DataFrame, consented: DataFrame | None = None, settings: Setti
     """Scored messages without content, and user risk with trend, cluster and policy."""
     s = settings or Settings()
     warnings = validate(messages) + unsafe(s)
-    scored = score(messages, consented, s)
-    risk = user_risk(scored).join(trajectory(scored, s), "user", "left")
+    scored = stored(without_content(score(messages, consented, s)))  # risk, trend and models read numbers, and texts are worked on once
+    risk = stored(user_risk(scored).join(trajectory(scored, s), "user", "left"))
     if models:
-        scored, risk = isolation_forest(checkpointed(scored), settings=s), dbscan(risk, settings=s)
-    return Result(without_content(scored), suppress(risk, org_shift, s), warnings)
+        scored, risk = isolation_forest(scored, settings=s), dbscan(risk, settings=s)
+    return Result(scored, suppress(risk, org_shift, s), warnings)
 
 
 def run_and_persist(spark: SparkSession, messages: DataFrame, folder: str, consented: DataFrame | None = None, labels: DataFrame | None = None, settings: Settings | None = None, log: AuditLog | None = None, models: bool = True, least: float = 0.0) -> Result:
@@ -72,10 +71,10 @@ def run_and_persist(spark: SparkSession, messages: DataFrame, folder: str, conse
     Monitoring and reports are guarded: their failure does not fail the run."""
     s = settings or Settings()
     warnings = validate(messages) + unsafe(s)
-    found = score(messages, consented, s)
+    found = without_content(score(messages, consented, s))
     if models:
-        found = isolation_forest(checkpointed(found), settings=s)
-    sinks.write_table(without_content(found), f"{folder}/scored_messages", by_user=True)
+        found = isolation_forest(stored(found), settings=s)
+    sinks.write_table(found, f"{folder}/scored_messages", by_user=True)
     scored = read_table(spark, f"{folder}/scored_messages")
     risk, shift = user_risk(scored).join(trajectory(scored, s), "user", "left"), False
     if models:
