@@ -1182,3 +1182,13 @@ def test_texts_are_worked_on_before_they_are_brought_together_by_user(spark):
     rows = messages.prepare(synthetic.messages(spark, users=3))
     plan = pipeline.featured(rows, None, Settings(window=5)).select("id", "noun_ratio", "contact_degree")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and plan.rindex("Window") < plan.index("[^a-z']+")  # from the top down: windows, below them the texts
+
+
+def test_rows_between_the_same_cuts_are_worked_on_once(monkeypatch):
+    box = lambda f, lo, hi, share, value: shapley.Boxes(np.array([value]), np.array([[f]]), np.array([[lo]]), np.array([[hi]]), np.array([[share]]))
+    leaves = [box(0, -math.inf, 1.0, 0.25, 4.0), box(0, 1.0, math.inf, 0.75, 8.0), box(1, -math.inf, 2.0, 0.5, 1.0), box(1, 2.0, math.inf, 0.5, 3.0)]
+    x = np.array([[a, b] for a in (0.5, 1.0, 1.5, math.nan, math.inf) for b in (-math.inf, 2.0, 2.5, 9.0)] * 50)
+    worked, own = [], shapley._shapley
+    monkeypatch.setattr(shapley, "_shapley", lambda rows, trees: (worked.append(len(rows)), own(rows, trees))[1])
+    assert np.array_equal(shapley.shapley(x, leaves), own(x, leaves)) and worked == [4]
+    assert shapley.shapley(x[:0], leaves).shape == (0, 2)

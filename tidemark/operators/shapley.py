@@ -85,8 +85,27 @@ def expected(leaves: list[Boxes]) -> float:
     return float(sum((b.value * b.share.prod(axis=1)).sum() for b in leaves))
 
 
+def between_cuts(x: np.ndarray, leaves: list[Boxes]) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the rows of each kind, and the kind of each row. Rows of a kind lie between the same cuts in all features, so no tree tells them apart;
+    no number lies behind all cuts."""
+    kinds = np.zeros(x.shape, np.int64)
+    for f in range(x.shape[1]):
+        ends = [v[b.feature == f] for b in leaves if b.feature.size for v in (b.lo, b.hi)]
+        cuts = np.unique(np.concatenate([np.zeros(0), *ends]))
+        kinds[:, f] = np.searchsorted(cuts[np.isfinite(cuts)], x[:, f], "left")
+    _, first, kind = np.unique(kinds, axis=0, return_index=True, return_inverse=True)
+    return first, kind.ravel()
+
+
 def shapley(x: np.ndarray, leaves: list[Boxes]) -> np.ndarray:
-    """Rows by features: values that add up to the row's prediction less the expected one."""
+    """Rows by features: values that add up to the row's prediction less the expected one. Each kind of rows is worked on once."""
+    if not len(x):
+        return np.zeros(x.shape)
+    first, kind = between_cuts(x, leaves)
+    return _shapley(x[first], leaves)[kind]
+
+
+def _shapley(x: np.ndarray, leaves: list[Boxes]) -> np.ndarray:
     out = np.zeros(x.shape)
     for b in leaves:
         n, d = b.feature.shape
@@ -97,7 +116,7 @@ def shapley(x: np.ndarray, leaves: list[Boxes]) -> np.ndarray:
         for r in range(0, len(x), step):
             rows = x[r : r + step]
             # By Spark's rule a value that is no number goes right: it is inside unless a bound holds it on the left.
-            inside = [((~(rows[:, b.feature[:, k]] <= b.lo[:, k])) & ((rows[:, b.feature[:, k]] <= b.hi[:, k]) | np.isinf(b.hi[:, k]))).astype(float) for k in range(d)]
+            inside = [((~(rows[:, b.feature[:, k]] <= b.lo[:, k]) | np.isneginf(b.lo[:, k])) & ((rows[:, b.feature[:, k]] <= b.hi[:, k]) | np.isinf(b.hi[:, k]))).astype(float) for k in range(d)]
             for i in range(d):
                 # Coefficient k: over all subsets of k other features, those inside times the shares of the rest.
                 coefficient = [np.ones((len(rows), n))]
