@@ -30,14 +30,15 @@ def tfidf_top(corpus: DataFrame, questions: DataFrame, k: int = 4, key: str = "c
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # one row
     asked = terms(questions, question_key, text, stop).groupBy("key", "term").agg(F.count("*").cast("double").alias("tf"))
-    asked = asked.join(idf, "term").select(F.col("key").alias(question_key), "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    asked = asked.join(idf, "term").select(F.col("key").alias(question_key), "term", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
     norm = lambda w: F.sqrt(F.sum(w * w))
     asked = asked.join(asked.groupBy(F.col(question_key).alias("_q")).agg(norm(F.col("qw")).alias("qn")), F.col(question_key) == F.col("_q"))
     # Written, so that Spark knows how large the questions are: a few are broadcast, many are shuffled.
-    asked = stored(asked.select(question_key, "term", (F.col("qw") / F.col("qn")).alias("qw")))
+    asked = stored(asked.select(question_key, "term", "idf", (F.col("qw") / F.col("qn")).alias("qw")))
     weighed = counts.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighed.groupBy("key").agg(norm(F.col("w")).alias("norm"))
-    hit = weighed.join(asked, "term").groupBy(question_key, "key").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    # The questions' terms bring their idf with them, so all counts meet all of the vocabulary only once, for the norms.
+    hit = counts.join(asked, "term").groupBy(question_key, "key").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
     scores = hit.join(norms, "key").select(question_key, F.col("key").alias(key), (F.col("dot") / F.col("norm")).alias("score")).filter("score > 0")
     w = Window.partitionBy(question_key).orderBy(F.desc(F.round("score", 9)), key)
     return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
