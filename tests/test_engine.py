@@ -1098,6 +1098,53 @@ def test_stream_of_contacts_by_name(spark, sf, tmp_path):
     assert spark.table("contacts_idle").count() == len(want)
 
 
+
+def _in_batches(spark, folder, parts):
+    """A stream that reads the parts one after the other."""
+    import time
+
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/p{k}")
+        time.sleep(1.1)  # files are read in the order of their times
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def test_streams_keep_users_in_shards(spark, tmp_path):
+    """Python runs once a shard, whose state is one row, not once a user; users, ids and contacts that are missing change nothing for the others."""
+    from tidemark.streaming.baseline import stream_baseline, stream_contacts
+
+    big, rng = 2**53, np.random.default_rng(3)
+    user = lambda k: None if k % 41 == 40 else big + k % 41
+    rows = [(user(k), big + k, float((k * 7) % 11), [big + int(x) for x in rng.integers(0, 5, k % 4)]) for k in range(800)]
+    df = spark.createDataFrame(rows, "user long, id long, value double, recipients array<long>").withColumn("date", F.timestamp_seconds(F.col("id") - big))
+    live = _in_batches(spark, tmp_path / "in", [df.filter(F.col("id") < big + 300), df.filter(F.col("id") >= big + 300)])
+    forms = {"shards_c": (stream_contacts(live, 7, shards=4), network.with_network(df, 7)), "shards_z": (stream_baseline(live, 5, S, shards=4), baseline.with_z(df, ("value",), 5).filter("z_value is not null"))}
+    for name, (stream, batch) in forms.items():
+        run = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert 2 <= run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 5  # four shards, and one of no user
+        cols = [c for c in spark.table(name).columns if c not in ("drift_score", "date")]
+        got, want = ({r.id: r for r in t.select(*cols).collect()} for t in (spark.table(name), batch))
+        assert got.keys() == want.keys() and len(got) > 500
+        assert all(got[k].user == w.user and list(got[k])[2:] == pytest.approx(list(w)[2:], abs=1e-9) for k, w in want.items())
+    odd = spark.createDataFrame([(1, None, 0, [big, None]), (1, big, 1, [big + 1]), (1, big + 1, 2, []), (2, big + 2, 0, [5]), (2, big + 3, 1, [5])], "user long, id long, date long, recipients array<long>")
+    _run_stream(stream_contacts(_in_batches(spark, tmp_path / "odd", [odd]), 9, shards=1), "odd_contacts", tmp_path)
+    assert {r.id: r.contact_degree for r in spark.table("odd_contacts").collect()} == {None: 0, big: 2, big + 1: 3, big + 2: 0, big + 3: 1}
+
+
+def test_idle_users_go_from_a_shard_that_is_in_use(spark, tmp_path):
+    from tidemark.streaming.baseline import stream_contacts
+
+    day = 86_400
+    parts = [[("a", 0, 0), ("b", 0, 1)], [("b", 2 * day, 2)], [("b", 4 * day, 3)], [("b", 6 * day, 4)], [("b", 6 * day + 9, 7)], [("a", 7 * day, 5), ("b", 7 * day, 6)]]
+    rows = [spark.createDataFrame(p, "user string, t long, id long").select("user", F.timestamp_seconds(F.col("t") + 100 * day).alias("date"), "id", F.array("id").alias("recipients")) for p in parts]
+    live = _in_batches(spark, tmp_path / "in", rows)
+    for idle, left in ((3 * day, 0), (None, 1)):
+        _run_stream(stream_contacts(live, 5, idle_seconds=idle, shards=1), f"idle_shard_{idle is None}", tmp_path)
+        got = {r.id: r.contact_degree for r in spark.table(f"idle_shard_{idle is None}").collect()}
+        assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: left, 6: 5, 7: 4}
+
+
 # --- words in their order
 
 
