@@ -826,6 +826,27 @@ def test_model_queries_fit_the_whole_models(spark, sf, monkeypatch):
     assert fits == [("forest", None), ("boosting", None), ("forest", None)]
 
 
+def test_rows_of_a_fit_are_spread_by_their_number(spark, monkeypatch):
+    """All rows of a fit lay in one task in each of its rounds; spread out, they give the same boosted trees."""
+    rows = [(k, float(k % 13), float(k % 7), float(k * 5 % 11), int(k % 13 + k % 7 > 9)) for k in range(450)]
+    names = ("a", "b", "c")
+    df = spark.createDataFrame(rows, "user long, a double, b double, c double, label int").coalesce(1)
+    parts, whole = [], supervised.Pipeline.fit
+
+    def seen(self, dataset, params=None):
+        parts.append([len(x) for x in dataset.select("user").rdd.glom().collect()])
+        return whole(self, dataset, params)
+
+    monkeypatch.setattr(supervised.Pipeline, "fit", seen)
+    found = []
+    for most in (1000, 100):
+        monkeypatch.setattr(supervised, "ROWS_A_TASK", most, raising=False)
+        model = supervised.fit(df, "boosting", names, rounds=5)
+        found.append([r.probability for r in supervised.predict(model, df).orderBy("user").collect()])
+    assert len(parts[0]) == 1 and len(parts[1]) == 5 and sum(parts[1]) == 450 and max(parts[1]) < 200
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+
+
 def test_streams_of_contacts_and_days(spark, tmp_path):
     from tidemark.streaming.baseline import daily_counts, stream_contacts
 

@@ -16,6 +16,8 @@ from tidemark.operators.ranks import ahead, fresh, in_ranges, root_of, uniform
 from tidemark.sources.files import Folder, checkpointed
 
 FEATURES = ("avg_drift_score", "max_drift_score", "n_messages", "n_flagged_messages", "flagged_message_rate")
+#: Rows that a task of a fit holds. Trees are grown in rounds of small jobs, so few tasks are best until the rows outgrow them.
+ROWS_A_TASK = 50_000
 
 
 def training_rows(risk: DataFrame, labels: DataFrame, label: str = "is_malicious_insider") -> DataFrame:
@@ -39,6 +41,16 @@ def weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(counts), label).join(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")  # two rows and one
 
 
+def spread(df: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The rows in as many partitions as their number asks for, whatever the cluster, each in a fixed order; as they are if one holds them all. What
+    comes out of a shuffle is merged by bytes, and a few bytes a row would leave all rows to one task in every round."""
+    n = df.count()
+    if n <= ROWS_A_TASK:
+        return df
+    by = [c for c in ("user", *features, "label") if c in df.columns]
+    return df.repartition(-(-n // ROWS_A_TASK), *by).sortWithinPartitions(*by)
+
+
 def fit(df: DataFrame, kind: str = "forest", features: tuple[str, ...] = FEATURES, settings: Settings | None = None, rounds: int | None = None) -> PipelineModel:
     s = settings or Settings()
     if kind == "forest":
@@ -47,7 +59,7 @@ def fit(df: DataFrame, kind: str = "forest", features: tuple[str, ...] = FEATURE
         model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds or 200, maxDepth=4, stepSize=0.1, seed=s.seed)
     else:
         raise ValueError(f"unknown model: {kind}")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model]).fit(weighted(df))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model]).fit(spread(weighted(df), features))
 
 
 def save(model: PipelineModel, path: str) -> None:
